@@ -1,0 +1,5 @@
+"""No streaming operators: the workload is batch only.
+
+The per-row operators (derived features, encoding, fold-averaged scoring) are
+plain DataFrame functions and can be called from ``foreachBatch`` unchanged.
+"""
