@@ -37,17 +37,10 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DIC
         code = F.row_number().over(order).cast("long") - 1
         return distinct.select("feature", "value", code.alias("code"))
     line = [F.col("value").isNull().cast("int"), F.coalesce("number", F.lit(0.0)), F.col("value")]
-    # Columns are ranked apart; the first order column with variety carries the buckets.
-    has_numbers = any(isinstance(df.schema[c].dataType, T.NumericType) for c in columns)
-    lead = line if has_numbers else [F.coalesce(F.col("value"), F.lit("\U0010ffff")), *line]
-    placed = ranked(distinct, lead if not has_numbers else [_missing_last(line[1]), *line], by=["feature"])
+    placed = ranked(distinct, line, by=["feature"])
     return placed.select("feature", "value", (F.col("rank") - 1).alias("code"))
 
 
-def _missing_last(number: Column) -> Column:
-    return F.when(F.col("value").isNull(), F.lit(float("inf"))).otherwise(number)
-
-
 def apply_dictionary(
     df: DataFrame,
     dictionary: DataFrame,

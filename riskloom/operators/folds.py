@@ -7,7 +7,6 @@ come straight from the digest.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskloom.operators.ordering import ranked
 
 
-def shuffle_digest(seed: int | Column, id: str) -> Column:
+def shuffle_digest(seed: int | str | Column, id: str) -> Column:
     seed_text = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
     return F.md5(F.concat(seed_text, F.lit(":"), F.col(id).cast("string")))
 
@@ -89,6 +88,3 @@ def rows_of_chunks(df: DataFrame, chunks: DataFrame, key: str, wanted: Sequence[
     """Rows whose key lies in one of the wanted chunks."""
     return df.join(chunks.where(F.col("chunk").isin(list(wanted))).select(key), key, "left_semi")
 
-
-def default_fold_threads(k: int) -> int:
-    return max(1, math.ceil(k / 2))
