@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from riskloom.functions.missing import float_columns
+from riskloom.functions.missing import float_columns, numeric_columns
 
 
 def edge_float_columns(df: DataFrame) -> list[str]:
@@ -15,10 +15,10 @@ def edge_float_columns(df: DataFrame) -> list[str]:
 
 
 def bases_with(df: DataFrame, partner: str, anchor: str = "last") -> list[str]:
-    """Base names that have both ``{base}_{anchor}`` and ``{base}_{partner}``."""
-    names = set(df.columns)
+    """Base names with numeric ``{base}_{anchor}`` and ``{base}_{partner}`` columns."""
+    names = numeric_columns(df)
     suffix = f"_{anchor}"
-    bases = [c.removesuffix(suffix) for c in df.columns if c.endswith(suffix) and "round" not in c]
+    bases = [c.removesuffix(suffix) for c in names if c.endswith(suffix) and "round" not in c]
     return [b for b in bases if f"{b}_{partner}" in names]
 
 

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from riskloom.operators.skew import MIN_HOT_ROWS, SLICE, HotGroups, with_slices
+from riskloom.operators.skew import SLICE, HotGroups, row_floor, with_slices
 from riskloom.session import shuffle_partitions
 
 SEQ = "_seq"
@@ -127,7 +127,7 @@ def ranked(
     ``digest`` if ``order`` starts with a hex digest, to skip the quantile pass.
     ``by`` columns are few-valued and not NULL.
     """
-    floor = MIN_HOT_ROWS if min_rows is None else min_rows
+    floor = row_floor(min_rows)
     parts = shuffle_partitions(df.sparkSession)
     sums = dict(sums or {})
     if digest is None:

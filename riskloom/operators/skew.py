@@ -33,6 +33,10 @@ MAX_HOT_GROUPS = 1_000
 SAMPLES_PER_SLICE = 64
 
 
+def row_floor(min_rows: int | None) -> int:
+    return MIN_HOT_ROWS if min_rows is None else min_rows
+
+
 @dataclass(frozen=True)
 class HotGroups:
     """Rows in the table, and rows of each group that needs slicing."""
@@ -50,7 +54,7 @@ def hot_groups(df: DataFrame, key: str, min_rows: int | None = None) -> HotGroup
     One pass over the key column with a frequent-items sketch: nothing is
     shuffled by key, and the result has at most ``MAX_HOT_GROUPS`` entries.
     """
-    floor = MIN_HOT_ROWS if min_rows is None else min_rows
+    floor = row_floor(min_rows)
     parts = min(shuffle_partitions(df.sparkSession), MAX_HOT_GROUPS)
     top = df.where(F.col(key).isNotNull()).agg(
         F.count(F.lit(1)).alias("total"),
@@ -103,7 +107,7 @@ def with_slices(
 
     ``order`` columns ascend and identify the row position within the group.
     """
-    floor = MIN_HOT_ROWS if min_rows is None else min_rows
+    floor = row_floor(min_rows)
     hot = hot_groups(df, key, floor) if hot is None else hot
     points = _split_points(df, key, order, hot, floor) if hot else None
     if points is None:

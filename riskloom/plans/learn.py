@@ -117,7 +117,7 @@ def cross_validate(
     The assembled input is computed once and kept in the shared folder; folds
     are fitted from a few driver threads. ``group`` keeps all rows of an entity
     in one fold. With ``repeats`` the out-of-fold prediction of a row is the mean
-    over repeats. Scores hold one row per fold plus the summary.
+    over repeats.
     """
     needed = list(dict.fromkeys([id, label, *([group] if group else []), *carry, *features]))
     rows = model_input(df.select(*needed), features).withColumn(label, F.col(label).cast("int"))
@@ -135,7 +135,7 @@ def cross_validate(
 
     parts = [(r, f) for r in range(repeats) for f in range(k)]
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        models = list(pool.map(inheritable_thread_target(one), parts))
+        models = list(pool.map(inheritable_thread_target(df.sparkSession)(one), parts))
 
     def held_out_predictions(part: tuple[int, int], model: PipelineModel) -> DataFrame:
         r, f = part
@@ -147,23 +147,29 @@ def cross_validate(
     each = materialize(
         reduce(DataFrame.unionByName, [held_out_predictions(p, m) for p, m in zip(parts, models, strict=True)])
     )
-    scores = _fold_scores(each, label, id)
     if repeats > 1:
         oof = each.groupBy(id, *carry, label).agg(F.avg("prediction").alias("prediction"))
         oof = materialize(oof.withColumn("fold", F.lit(None).cast("int")).select(id, *carry, "fold", label, "prediction"))
     else:
         oof = each.drop("repeat")
-    overall = rank_score(oof, label, "prediction", id).select(F.col("rank_score").alias("oof_score"))
-    return ModelBundle(models, oof, scores.crossJoin(F.broadcast(overall)))
-
-
-def _fold_scores(predictions: DataFrame, label: str, id: str) -> DataFrame:
-    """Score of each fold with mean and deviation over folds (k·repeats rows)."""
-    scores = rank_score(predictions, label, "prediction", id, by=["repeat", "fold"]).select(
-        "repeat", "fold", "rank_score"
-    )
-    # Both sides have a fixed size: one row, and one row per fold.
-    return scores.crossJoin(F.broadcast(fold_summary(scores, "rank_score").drop("folds")))
+    return ModelBundle(models, oof, _scores(each, oof, label, id))
+
+
+def _scores(each: DataFrame, oof: DataFrame, label: str, id: str) -> DataFrame:
+    """``(measure, repeat, fold, value)``: every fold, their mean and deviation, and all rows."""
+    folds = rank_score(each, label, "prediction", id, by=["repeat", "fold"])
+    folds = materialize(folds.select("repeat", "fold", F.col("rank_score").alias("value")))
+    summary = fold_summary(folds, "value")
+    nowhere = [F.lit(None).cast("int").alias(c) for c in ("repeat", "fold")]
+    parts = [
+        folds.select(F.lit("fold").alias("measure"), "repeat", "fold", "value"),
+        summary.select(F.lit("cv_mean").alias("measure"), *nowhere, F.col("cv_mean").alias("value")),
+        summary.select(F.lit("cv_std").alias("measure"), *nowhere, F.col("cv_std").alias("value")),
+        rank_score(oof, label, "prediction", id).select(
+            F.lit("oof").alias("measure"), *nowhere, F.col("rank_score").alias("value")
+        ),
+    ]
+    return materialize(reduce(DataFrame.unionByName, parts))
 
 
 def average_folds(models: Sequence[PipelineModel], df: DataFrame, features: Sequence[str]) -> DataFrame:
