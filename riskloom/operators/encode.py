@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.operators.ordering import ranked
+from riskloom.session import materialize
 
 # Dictionaries up to this many entries are ranked per column and broadcast.
 SMALL_DICTIONARY = 1_000_000
@@ -25,12 +26,12 @@ def _entry(df: DataFrame, column: str) -> Column:
 def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DICTIONARY) -> DataFrame:
     """``(feature, value, code)`` for all columns, from one pass over the table.
 
-    Values collapse on the map side before anything is exchanged. The size of the
-    result decides how it is ranked: one window per column while it is small,
+    Values collapse on the map side before anything is exchanged, and the distinct
+    entries are kept, so the table is read once. Their number decides how they are ranked: one window per column while it is small,
     the distributed rank otherwise.
     """
     entries = F.explode(F.array(*[_entry(df, c) for c in columns]))
-    distinct = df.select(entries.alias("e")).select("e.*").distinct()
+    distinct = materialize(df.select(entries.alias("e")).select("e.*").distinct())
     largest = distinct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
     if largest <= small:
         order = Window.partitionBy("feature").orderBy(F.col("number").asc_nulls_last(), F.col("value").asc_nulls_last())

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from riskloom.operators.skew import SLICE, hot_groups, with_slices
+from riskloom.operators.skew import SLICE, HotGroups, hot_groups, with_slices
 
 FIRST_GAP_DAYS = 30.53
 
@@ -40,6 +40,7 @@ def gap_days(
     tie: Sequence[str] = (),
     first_gap: float = FIRST_GAP_DAYS,
     name: str = "SDist",
+    hot: HotGroups | None = None,
     min_rows: int | None = None,
 ) -> DataFrame:
     """Add the days (with fraction) since the key's previous row.
@@ -52,7 +53,7 @@ def gap_days(
     moment = F.to_timestamp_ntz(F.col(time)) if text else F.col(time).cast("timestamp_ntz")
     dated = df.where(F.col(key).isNotNull()).withColumn("_moment", moment)
     order = ["_moment", *tie]
-    hot = hot_groups(dated, key, min_rows)
+    hot = hot_groups(df, key, min_rows) if hot is None else hot
     sliced, cut = with_slices(dated, key, [F.col(c) for c in order], hot, min_rows)
     group = [key, SLICE] if cut else [key]
     previous = F.lag("_moment").over(Window.partitionBy(*group).orderBy(*order))

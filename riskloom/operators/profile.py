@@ -2,7 +2,7 @@
 
 Layout. Rows are exchanged once by key in their compact form and numbered
 there. Everything after works on rows already partitioned by key: unfolding
-columns into ``(key, column, value)`` rows, aggregating, and pivoting back need
+columns into ``(key, column, value)`` rows, aggregating, and widening again need
 no second exchange. Unfolding before the exchange would ship one row per cell
 instead of one per statement. For a hot key the rows are partitioned by
 ``(key, slice)`` instead, and Spark's partial aggregates reduce each slice
@@ -11,13 +11,13 @@ before the exchange that joins the slices.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.operators.ordered import difference_of_ends
 from riskloom.operators.ordering import FROM_END, SEQ, with_sequence
-from riskloom.operators.skew import hot_groups
+from riskloom.operators.skew import HotGroups, hot_groups
 
 NUMERIC_STATS = ("first", "mean", "std", "min", "max", "last")
 CATEGORICAL_STATS = ("count", "first", "last", "nunique")
@@ -59,7 +59,7 @@ def numeric_profile(
     """``{column}_{stat}`` for every column, and ``{column}_diff1`` for those in ``diff``.
 
     ``sequenced`` comes from :func:`with_sequence`. ``layout`` is ``wide`` (one
-    aggregate per output column), ``long`` (unfold, aggregate, pivot) or ``auto``.
+    aggregate per output column), ``long`` (unfold, aggregate, widen) or ``auto``.
     """
     if layout == "auto":
         layout = "long" if len(columns) >= WIDE_LIMIT else "wide"
@@ -73,16 +73,24 @@ def numeric_profile(
 
     long = numeric_profile_long(sequenced, key, columns, bool(diff), stats)
     named = [*stats, *(["diff1"] if diff else [])]
-    pivoted = long.groupBy(key).pivot("_column", list(range(len(columns)))).agg(
-        *[F.first(s).alias(s) for s in named]
-    )
-    keep = [
-        F.col(f"{i}_{s}").alias(f"{c}_{s}")
-        for i, c in enumerate(columns)
-        for s in named
-        if s != "diff1" or c in set(diff)
+    skip = {(c, "diff1") for c in columns if c not in set(diff)}
+    return _widen(long, key, columns, named, skip)
+
+
+def _widen(
+    long: DataFrame, key: str, columns: Sequence[str], stats: Sequence[str], skip: Collection[tuple[str, str]] = ()
+) -> DataFrame:
+    """``(key, _column, stats…)`` rows to one row per key.
+
+    A key has exactly one row per column, so its rows gather into an array of
+    known length and each output reads one fixed position. This runs in about
+    half the time of ``pivot``, which evaluates an aggregate per output group.
+    """
+    gathered = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_column", *stats))).alias("_stats"))
+    picks = [
+        f"_stats[{i}].`{s}` AS `{c}_{s}`" for i, c in enumerate(columns) for s in stats if (c, s) not in set(skip)
     ]
-    return pivoted.select(key, *keep)
+    return gathered.selectExpr(f"`{key}`", *picks)
 
 
 def numeric_profile_long(
@@ -121,10 +129,7 @@ def categorical_profile(
         "nunique": F.count("_value"),
     }
     long = values.groupBy(key, "_column").agg(*[made[s].alias(s) for s in stats])
-    pivoted = long.groupBy(key).pivot("_column", list(range(len(columns)))).agg(*[F.first(s).alias(s) for s in stats])
-    return pivoted.select(
-        key, *[F.col(f"{i}_{s}" if len(stats) > 1 else str(i)).alias(f"{c}_{s}") for i, c in enumerate(columns) for s in stats]
-    )
+    return _widen(long, key, columns, stats)
 
 
 def tenure(df: DataFrame, key: str, time: str, markers: Sequence[str]) -> DataFrame:
@@ -152,6 +157,7 @@ def profile(
     categorical: Sequence[str] = (),
     no_diff: Sequence[str] = ("preds",),
     layout: str = "auto",
+    hot: HotGroups | None = None,
     min_rows: int | None = None,
 ) -> DataFrame:
     """Full profile: numeric statistics, last-step differences and categorical statistics.
@@ -159,7 +165,7 @@ def profile(
     The numeric and the categorical part read disjoint columns and end up
     partitioned by key alike, so joining them moves nothing.
     """
-    hot = hot_groups(df, key, min_rows)
+    hot = hot_groups(df, key, min_rows) if hot is None else hot
     diff = [c for c in numeric if c not in set(no_diff)]
     ids = list(dict.fromkeys([key, *order]))
 

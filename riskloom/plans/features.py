@@ -11,6 +11,7 @@ from riskloom.operators.derive import last_first_diff, last_mean_diff, last_mean
 from riskloom.operators.encode import apply_dictionary, fit_dictionary
 from riskloom.operators.ordered import gap_days
 from riskloom.operators.profile import profile, tenure
+from riskloom.operators.skew import hot_groups
 
 
 def statement_profiles(
@@ -28,10 +29,11 @@ def statement_profiles(
     """One profile row per key; with gaps and tenure when asked for."""
     order, names = [time, *tie], list(numeric)
     rows = statements
+    hot = hot_groups(statements, key, min_rows)
     if with_gaps:
-        rows = gap_days(rows, key, time, tie, min_rows=min_rows)
+        rows = gap_days(rows, key, time, tie, hot=hot, min_rows=min_rows)
         names.append("SDist")
-    result = profile(rows, key, order, names, categorical, min_rows=min_rows)
+    result = profile(rows, key, order, names, categorical, hot=hot, min_rows=min_rows)
     if float32:
         result = downcast_fixed(result, skip=[key])
     if markers:
