@@ -19,17 +19,13 @@ def ieee_divide(numerator: Column, denominator: Column, on_zero: str = "ieee") -
     ANSI mode raises on division by zero. ``on_zero="null"`` gives NULL instead.
     """
     n, d = numerator.cast("double"), denominator.cast("double")
-    zero = d == F.lit(0.0)
-    quotient = F.when(d != F.lit(0.0), F.try_divide(n, d))
+    quotient = F.try_divide(n, d)
     if on_zero == "null":
         return quotient
     if on_zero != "ieee":
         raise ValueError(f"on_zero must be 'ieee' or 'null', not {on_zero!r}")
-    return (
-        quotient.when(zero & (F.isnan(n) | (n == F.lit(0.0))), F.lit(float("nan")))
-        .when(zero & (n > F.lit(0.0)), F.lit(float("inf")))
-        .when(zero & (n < F.lit(0.0)), F.lit(float("-inf")))
-    )
+    # try_divide is NULL on a zero denominator; there, 1/d is a signed infinity.
+    return F.coalesce(quotient, n * F.pow(d, F.lit(-1.0)))
 
 
 def sigmoid(score: Column) -> Column:

@@ -28,8 +28,8 @@ def normalise_missing(df: DataFrame) -> DataFrame:
 
 def fill_sentinel(value: Column, sentinel: float = SENTINEL) -> Column:
     """Replace NULL, NaN and both infinities by a sentinel."""
-    bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return F.when(bad, F.lit(sentinel)).otherwise(value)
+    # NaN sorts above infinity in Spark, so one comparison covers NaN, infinities and NULL.
+    return F.when(F.abs(value) < F.lit(float("inf")), value).otherwise(F.lit(sentinel))
 
 
 def sentinel_fill(df: DataFrame, columns: Sequence[str] | None = None, sentinel: float = SENTINEL) -> DataFrame:

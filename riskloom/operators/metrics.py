@@ -33,10 +33,17 @@ def ranked_by_score(df: DataFrame, label: str, score: str, id: str, by: Sequence
     ``in_top`` (the running weight is within the top share of all weight).
     Only the needed columns take part in the exchange.
     """
-    needed = df.select(*by, id, label, score)
-    sums = {"w": row_weight(label), "p": F.col(label).cast("long")}
-    rows = ranked(needed, [descending(score), F.col(id)], by, sums)
-    return rows.withColumn("in_top", F.col("cum_w") <= F.floor(F.lit(TOP_SHARE) * F.col("total_w")))
+    needed = df.select(*by, id, F.col(label).cast("int").alias(label), score)
+    rows = ranked(needed, [descending(score), F.col(id)], by, {"p": F.col(label)})
+    # Weights follow from counts, so only the label travels with the order.
+    weigh = lambda n, p: F.lit(NEGATIVE_WEIGHT) * (n - p) + p
+    weighted = rows.withColumns(
+        {
+            "cum_w": weigh(F.col("rank"), F.col("cum_p")),
+            "total_w": weigh(F.col("n_rows"), F.col("total_p")),
+        }
+    )
+    return weighted.withColumn("in_top", F.col("cum_w") <= F.floor(F.lit(TOP_SHARE) * F.col("total_w")))
 
 
 def rank_score(df: DataFrame, label: str, score: str, id: str, by: Sequence[str] = ()) -> DataFrame:

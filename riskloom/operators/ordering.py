@@ -135,16 +135,14 @@ def ranked(
     else:
         placed, cut = df.withColumn(BUCKET, uniform_bucket(digest, parts)), False
     group = [*by, BUCKET, SLICE] if cut else [*by, BUCKET]
-    placed = placed.withColumns({f"_in_{name}": value for name, value in sums.items()})
-
     running = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns(
         {"_rank": F.row_number().over(Window.partitionBy(*group).orderBy(*order))}
-        | {f"_run_{name}": F.sum(f"_in_{name}").over(running) for name in sums}
+        | {f"_run_{name}": F.sum(value).over(running) for name, value in sums.items()}
     )
 
     counted = placed.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_of_rank"), *[F.sum(f"_in_{name}").alias(f"_of_{name}") for name in sums]
+        F.count(F.lit(1)).alias("_of_rank"), *[F.sum(value).alias(f"_of_{name}") for name, value in sums.items()]
     )
     along = [F.col(BUCKET), F.col(SLICE).desc()] if cut else [F.col(BUCKET)]
     every = Window.partitionBy(*by)
@@ -155,7 +153,9 @@ def ranked(
         *[F.coalesce(F.sum(f"_of_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in ["rank", *sums]],
         *[F.sum(f"_of_{name}").over(whole).alias(f"_all_{name}") for name in ["rank", *sums]],
     )
-    shifted = local.join(offsets, group)
+    # Size estimates do not see rows multiplied upstream and might broadcast the rows;
+    # the merge join finds them partitioned and sorted by its key already.
+    shifted = local.join(offsets.hint("merge"), group)
     return shifted.select(
         *df.columns,
         (F.col("_rank") + F.col("_before_rank")).alias("rank"),

@@ -12,7 +12,7 @@ from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way
 from riskloom.operators.folds import contiguous_folds
 from riskloom.operators.metrics import rank_score, rank_weighted_gradients
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate
-from riskloom.session import materialize
+from riskloom.session import materialize, shuffle_partitions
 
 EPS = 1e-15
 
@@ -25,13 +25,12 @@ SEARCH_STEPS = 100
 def score_matrix(scores: DataFrame, id: str, model: str, score: str, models: Sequence[str]) -> DataFrame:
     """Long ``(id, model, score)`` rows to one row per id with a column per model.
 
-    One exchange by id whatever the number of models. Ids that lack a model are
-    left out, as in a chain of inner joins.
+    One exchange by id whatever the number of models. Ids without a score of
+    every model are left out, as in a chain of inner joins.
     """
     columns = [F.max(F.when(F.col(model) == m, F.col(score))).alias(m) for m in models]
     wanted = scores.where(F.col(model).isin(list(models))).select(id, model, score)
-    wide = wanted.repartition(id).groupBy(id).agg(*columns, F.count_distinct(model).alias("_models"))
-    return wide.where(F.col("_models") == len(models)).drop("_models")
+    return wanted.repartition(id).groupBy(id).agg(*columns).na.drop(subset=list(models))
 
 
 def stack(
@@ -187,10 +186,9 @@ def blend_grid(
     """
     candidate = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("candidate")
     w = F.col("candidate") * F.lit(max_weight) / F.lit(float(steps))
-    mixed = (
-        df.select(id, label, first, second, candidate)
-        .withColumn("_mix", two_way_mix(F.col(first), F.col(second), w))
-    )
+    # Every input row becomes steps + 1 rows; spread the rows before they multiply.
+    spread = df.select(id, label, first, second).repartition(shuffle_partitions(df.sparkSession), id)
+    mixed = spread.select("*", candidate).withColumn("_mix", two_way_mix(F.col(first), F.col(second), w))
     scores = rank_score(mixed, label, "_mix", id, by=["candidate"])
     return scores.select("candidate", w.alias("weight"), "rank_score")
 

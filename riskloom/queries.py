@@ -79,7 +79,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(digits: int, *names: str) -> list[Column]:
-    return [F.round(F.col(f"`{n}`").cast("double"), digits).alias(n) for n in names]
+    return [round_half_even(F.col(f"`{n}`").cast("double"), digits).alias(n) for n in names]
 
 
 def settled(digits: int, *names: str) -> list[Column]:
@@ -89,11 +89,11 @@ def settled(digits: int, *names: str) -> list[Column]:
     1 % of the last digit decides such ties; the SQL side adds the same.
     """
     nudge = F.lit(0.01 * 10.0**-digits)
-    return [F.round(F.col(n).cast("double") + nudge, digits).alias(n) for n in names]
+    return [round_half_even(F.col(n).cast("double") + nudge, digits).alias(n) for n in names]
 
 
 def settled_sql(value: str, digits: int = 4) -> str:
-    return f"round({value} + {0.01 * 10.0**-digits!r}::DOUBLE, {digits})"
+    return f"round_even({value} + {0.01 * 10.0**-digits!r}::DOUBLE, {digits})"
 
 
 # --- shared inputs ---------------------------------------------------------------------
@@ -127,7 +127,7 @@ ORDER = ["o_orderdate", "o_orderkey"]
 SCORED = """
 scored AS (
   SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
-         round(o_totalprice / 500000, 2) AS score, o_totalprice / 250000 - 1 AS raw,
+         round_even(o_totalprice / 500000, 2) AS score, o_totalprice / 250000 - 1 AS raw,
          o_orderpriority AS grp
   FROM orders)"""
 
@@ -137,7 +137,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"),
-        F.round(F.col("o_totalprice") / 500000, 2).alias("score"),
+        round_half_even(F.col("o_totalprice") / 500000, 2).alias("score"),
         (F.col("o_totalprice") / 250000 - 1).alias("raw"),
         F.col("o_orderpriority").alias("grp"),
     )
@@ -268,8 +268,8 @@ def _(spark, sf_dir):
       FROM lineitem)
     SELECT l_orderkey,
            CASE WHEN disc_mean = 0 AND disc_last = 0 THEN -1 WHEN disc_mean = 0 THEN -2
-                ELSE round(disc_last / disc_mean, 6) END AS disc_last_mean_rate,
-           round(qty_last / qty_mean, 8) AS qty_last_mean_rate
+                ELSE round_even(disc_last / disc_mean, 6) END AS disc_last_mean_rate,
+           round_even(qty_last / qty_mean, 8) AS qty_last_mean_rate
     FROM prof""",
 )
 def _(spark, sf_dir):
@@ -282,7 +282,7 @@ def _(spark, sf_dir):
     )
     made = derive.last_mean_rate(prof)
     rate = F.col("disc_last_mean_rate")
-    shown = F.when(F.isnan(rate), F.lit(-1.0)).when(rate == F.lit(float("inf")), F.lit(-2.0)).otherwise(F.round(rate, 6))
+    shown = F.when(F.isnan(rate), F.lit(-1.0)).when(rate == F.lit(float("inf")), F.lit(-2.0)).otherwise(round_half_even(rate, 6))
     return made.select("l_orderkey", shown.alias("disc_last_mean_rate"), *rounded(8, "qty_last_mean_rate"))
 
 
@@ -300,10 +300,10 @@ def _(spark, sf_dir):
 @register(
     "pair_features",
     """
-    SELECT l_orderkey, round(l_tax - l_discount, 6) AS "B_9-P_2", round(l_tax * l_discount, 6) AS "B_9XP_2",
-           round(l_tax - l_quantity, 6) AS "B_9-P_3", round(l_tax * l_quantity, 6) AS "B_9XP_3",
-           round(l_extendedprice - l_discount, 6) AS "S_16-P_2", round(l_extendedprice * l_discount, 6) AS "S_16XP_2",
-           round(l_extendedprice - l_quantity, 6) AS "S_16-P_3", round(l_extendedprice * l_quantity, 6) AS "S_16XP_3"
+    SELECT l_orderkey, round_even(l_tax - l_discount, 6) AS "B_9-P_2", round_even(l_tax * l_discount, 6) AS "B_9XP_2",
+           round_even(l_tax - l_quantity, 6) AS "B_9-P_3", round_even(l_tax * l_quantity, 6) AS "B_9XP_3",
+           round_even(l_extendedprice - l_discount, 6) AS "S_16-P_2", round_even(l_extendedprice * l_discount, 6) AS "S_16XP_2",
+           round_even(l_extendedprice - l_quantity, 6) AS "S_16-P_3", round_even(l_extendedprice * l_quantity, 6) AS "S_16XP_3"
     FROM lineitem""",
 )
 def _(spark, sf_dir):
@@ -346,7 +346,7 @@ RATIO_INPUTS = {
       FROM base)
     SELECT l_orderkey, """
     + ", ".join(
-        f"CASE WHEN isnan({n}) OR isinf({n}) THEN -127 ELSE round({n}, 5) END AS {n}" for n in derive.NAMED_RATIOS
+        f"CASE WHEN isnan({n}) OR isinf({n}) THEN -127 ELSE round_even({n}, 5) END AS {n}" for n in derive.NAMED_RATIOS
     )
     + " FROM made",
 )
@@ -355,7 +355,7 @@ def _(spark, sf_dir):
     base = rows.select("l_orderkey", *[F.expr(f"CAST({e.replace('0.0001', '0.0001D')} AS DOUBLE)").alias(f"{n}_last") for n, e in RATIO_INPUTS.items()])
     made = derive.ratio_features(base)
     return made.select(
-        "l_orderkey", *[F.round(fill_sentinel(F.col(n)), 5).alias(n) for n in derive.NAMED_RATIOS]
+        "l_orderkey", *[round_half_even(fill_sentinel(F.col(n)), 5).alias(n) for n in derive.NAMED_RATIOS]
     )
 
 
@@ -413,17 +413,17 @@ def _(spark, sf_dir):
     "blend_scores",
     f"""
     WITH {MEMBERS}
-    SELECT id, round(0.5 * m1 + 0.3 * m2 + 0.2 * m3, 10) AS blend,
-           round((1 - 0.03221084221328546) * m1 + 0.03221084221328546 * m2, 10) AS mix,
-           round((2 * m1 + 3 * m2 + 4 * m3) / 9, 10) AS average
+    SELECT id, round_even(0.5 * m1 + 0.3 * m2 + 0.2 * m3, 10) AS blend,
+           round_even((1 - 0.03221084221328546) * m1 + 0.03221084221328546 * m2, 10) AS mix,
+           round_even((2 * m1 + 3 * m2 + 4 * m3) / 9, 10) AS average
     FROM members""",
 )
 def _(spark, sf_dir):
     return members(spark, sf_dir).select(
         "id",
-        F.round(linear_blend({"m1": 0.5, "m2": 0.3, "m3": 0.2}), 10).alias("blend"),
-        F.round(two_way_mix(F.col("m1"), F.col("m2"), 0.03221084221328546), 10).alias("mix"),
-        F.round(weighted_average(["m1", "m2", "m3"], [2, 3, 4]), 10).alias("average"),
+        round_half_even(linear_blend({"m1": 0.5, "m2": 0.3, "m3": 0.2}), 10).alias("blend"),
+        round_half_even(two_way_mix(F.col("m1"), F.col("m2"), 0.03221084221328546), 10).alias("mix"),
+        round_half_even(weighted_average(["m1", "m2", "m3"], [2, 3, 4]), 10).alias("average"),
     )
 
 
@@ -478,13 +478,13 @@ def _(spark, sf_dir):
 @register(
     "chunk_union",
     """
-    SELECT o_orderkey, o_custkey, round(0.05 + 0.9 * o_totalprice / 500000, 10) AS prediction FROM orders""",
+    SELECT o_orderkey, o_custkey, round_even(0.05 + 0.9 * o_totalprice / 500000, 10) AS prediction FROM orders""",
 )
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     chunks = assign_chunks(rows, "o_custkey", 2)
     parts = [rows_of_chunks(rows, chunks, "o_custkey", [i]) for i in range(2)]
-    prediction = F.round(F.lit(0.05) + F.lit(0.9) * F.col("o_totalprice") / 500000, 10).alias("prediction")
+    prediction = round_half_even(F.lit(0.05) + F.lit(0.9) * F.col("o_totalprice") / 500000, 10).alias("prediction")
     return reduce(DataFrame.unionByName, [p.select("o_orderkey", "o_custkey", prediction) for p in parts])
 
 
@@ -604,8 +604,8 @@ def _(spark, sf_dir):
     f"""
     WITH {STATEMENTS}
     SELECT o_custkey,
-           round(max(price) FILTER (from_end = 1) - max(price) FILTER (from_end = 2), 4) AS price_diff1,
-           round(max(amount) FILTER (from_end = 1) - max(amount) FILTER (from_end = 2), 4) AS amount_diff1
+           round_even(max(price) FILTER (from_end = 1) - max(price) FILTER (from_end = 2), 4) AS price_diff1,
+           round_even(max(amount) FILTER (from_end = 1) - max(amount) FILTER (from_end = 2), 4) AS amount_diff1
     FROM statements GROUP BY o_custkey""",
 )
 def _(spark, sf_dir):
@@ -619,7 +619,7 @@ GAP = "coalesce((epoch_us({t}) - lag(epoch_us({t})) OVER (PARTITION BY {k} ORDER
 @register(
     "gap_days",
     f"""
-    SELECT event_id, user_id, round({GAP.format(t="ts", k="user_id", i="event_id")}, 8) AS "SDist" FROM events""",
+    SELECT event_id, user_id, round_even({GAP.format(t="ts", k="user_id", i="event_id")}, 8) AS "SDist" FROM events""",
 )
 def _(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
@@ -675,7 +675,7 @@ def _(spark, sf_dir):
               FROM (SELECT DISTINCT status_last FROM prof))
     SELECT o_custkey, target, {settled_sql('price_last')} AS price_last, {settled_sql('price_diff1')} AS price_diff1,
            {settled_sql('price_last - price_mean')} AS price_last_mean_diff,
-           round(price_last / price_mean, 6) AS price_last_mean_rate,
+           round_even(price_last / price_mean, 6) AS price_last_mean_rate,
            {settled_sql('price_last - price_first')} AS price_last_first_diff, code AS status_last, n::DOUBLE AS "LT"
     FROM prof JOIN codes USING (status_last) LEFT JOIN lab USING (o_custkey)""",
 )
@@ -865,7 +865,7 @@ def ranked_sql(source: str, score: str, by: str = "") -> str:
 
 @register(
     "top_capture",
-    f"WITH {SCORED}, {ranked_sql('scored', 'score')} SELECT round(d, 8) AS top_capture FROM metric",
+    f"WITH {SCORED}, {ranked_sql('scored', 'score')} SELECT round_even(d, 8) AS top_capture FROM metric",
 )
 def _(spark, sf_dir):
     return rank_score(scored(spark, sf_dir), "label", "score", "id").select(*rounded(8, "top_capture"))
@@ -873,7 +873,7 @@ def _(spark, sf_dir):
 
 @register(
     "weighted_gini",
-    f"WITH {SCORED}, {ranked_sql('scored', 'score')} SELECT round(g, 8) AS weighted_gini FROM metric",
+    f"WITH {SCORED}, {ranked_sql('scored', 'score')} SELECT round_even(g, 8) AS weighted_gini FROM metric",
 )
 def _(spark, sf_dir):
     return rank_score(scored(spark, sf_dir), "label", "score", "id").select(*rounded(8, "weighted_gini"))
@@ -883,7 +883,7 @@ def _(spark, sf_dir):
     "rank_score",
     f"""
     WITH {SCORED}, {ranked_sql('scored', 'score')}
-    SELECT round(0.5 * (g + d), 8) AS rank_score FROM metric""",
+    SELECT round_even(0.5 * (g + d), 8) AS rank_score FROM metric""",
 )
 def _(spark, sf_dir):
     return rank_score(scored(spark, sf_dir), "label", "score", "id").select(*rounded(8, "rank_score"))
@@ -893,7 +893,7 @@ def _(spark, sf_dir):
     "rank_score_by_group",
     f"""
     WITH {SCORED}, {ranked_sql('scored', 'score', 'grp')}
-    SELECT grp, round(d, 8) AS top_capture, round(g, 8) AS weighted_gini, round(0.5 * (g + d), 8) AS rank_score
+    SELECT grp, round_even(d, 8) AS top_capture, round_even(g, 8) AS weighted_gini, round_even(0.5 * (g + d), 8) AS rank_score
     FROM metric""",
 )
 def _(spark, sf_dir):
@@ -907,7 +907,7 @@ def _(spark, sf_dir):
     WITH scored AS (
       SELECT d.doc_id AS id, l.quality AS label, n_chars / 1000.0::DOUBLE AS score
       FROM documents d JOIN labels l USING (doc_id)), {ranked_sql('scored', 'score')}
-    SELECT round(d, 8) AS top_capture, round(g, 8) AS weighted_gini FROM metric""",
+    SELECT round_even(d, 8) AS top_capture, round_even(g, 8) AS weighted_gini FROM metric""",
 )
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("score"))
@@ -919,12 +919,12 @@ def _(spark, sf_dir):
     "metric_evaluator",
     f"""
     WITH {SCORED}, {ranked_sql('scored', 'score')}
-    SELECT round(0.5 * (g + d), 8) AS rank_score, true AS larger_better FROM metric""",
+    SELECT round_even(0.5 * (g + d), 8) AS rank_score, true AS larger_better FROM metric""",
 )
 def _(spark, sf_dir):
     evaluator = RankScoreEvaluator(labelCol="label", predictionCol="score", idCol="id")
     value = evaluator.evaluate(scored(spark, sf_dir))
-    return spark.createDataFrame([(round(value, 8), evaluator.isLargerBetter())], "rank_score double, larger_better boolean")
+    return spark.createDataFrame([(round_even(value, 8), evaluator.isLargerBetter())], "rank_score double, larger_better boolean")
 
 
 FALLING = "1 + exp(-5.0 * (2.0 - 1) * (1 - (rank - 1) / (n - 1)::DOUBLE))"
@@ -936,9 +936,9 @@ FALLING = "1 + exp(-5.0 * (2.0 - 1) * (1 - (rank - 1) / (n - 1)::DOUBLE))"
     WITH {SCORED}, {ranked_sql('scored', 'raw')},
     p AS (SELECT *, 1 / (1 + exp(-raw)) AS p,
                  CASE WHEN label = 1 AND cw > floor(0.04 * tw) THEN {FALLING} ELSE 1 END AS weight FROM ranked)
-    SELECT id, rank, round(weight, 8) AS weight,
-           round(p * (1 + weight * label - label) - weight * label, 8) AS grad,
-           round(greatest(p * (1 - p) * (1 + weight * label - label), 1e-16), 8) AS hess
+    SELECT id, rank, round_even(weight, 8) AS weight,
+           round_even(p * (1 + weight * label - label) - weight * label, 8) AS grad,
+           round_even(greatest(p * (1 - p) * (1 + weight * label - label), 1e-16), 8) AS hess
     FROM p""",
 )
 def _(spark, sf_dir):
@@ -951,7 +951,7 @@ def _(spark, sf_dir):
     f"""
     WITH {SCORED}, {ranked_sql('scored', 'raw')},
     p AS (SELECT *, 1 / (1 + exp(-raw)) AS p, {FALLING} AS weight FROM ranked)
-    SELECT round(avg(-weight * label * ln(p) - (1 - label) * ln(1 - p)), 8) AS rank_weighted_log_loss FROM p""",
+    SELECT round_even(avg(-weight * label * ln(p) - (1 - label) * ln(1 - p)), 8) AS rank_weighted_log_loss FROM p""",
 )
 def _(spark, sf_dir):
     made = rank_weighted_log_loss(scored(spark, sf_dir), "label", "raw", "id")
@@ -962,7 +962,7 @@ def _(spark, sf_dir):
     "log_loss",
     f"""
     WITH {MEMBERS}
-    SELECT round(avg(-(label * ln(m1) + (1 - label) * ln(1 - m1))), 8) AS log_loss FROM members""",
+    SELECT round_even(avg(-(label * ln(m1) + (1 - label) * ln(1 - m1))), 8) AS log_loss FROM members""",
 )
 def _(spark, sf_dir):
     return log_loss(members(spark, sf_dir), "label", "m1").select(*rounded(8, "log_loss"))
@@ -986,7 +986,7 @@ def _(spark, sf_dir):
     WITH {SCORED}, folded AS (
       SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(concat('42', ':', id)), id) - 1) % 5 AS fold
       FROM scored), {ranked_sql('folded', 'score', 'fold')}
-    SELECT round(avg(0.5 * (g + d)), 8) AS cv_mean, round(stddev_pop(0.5 * (g + d)), 8) AS cv_std, count(*) AS folds
+    SELECT round_even(avg(0.5 * (g + d)), 8) AS cv_mean, round_even(stddev_pop(0.5 * (g + d)), 8) AS cv_std, count(*) AS folds
     FROM metric""",
 )
 def _(spark, sf_dir):
@@ -1108,7 +1108,7 @@ def _(spark, sf_dir):
     f"""
     WITH {MEMBERS}, folded AS (SELECT *, ntile(5) OVER (ORDER BY id) - 1 AS fold FROM members),
     b AS (SELECT label, fold, 0.5 * m1 + 0.3 * m2 + 0.2 * m3 AS b FROM folded)
-    SELECT CAST(f AS INTEGER) AS fold, round(avg(-(label * ln(b) + (1 - label) * ln(1 - b))), 8) AS log_loss
+    SELECT CAST(f AS INTEGER) AS fold, round_even(avg(-(label * ln(b) + (1 - label) * ln(1 - b))), 8) AS log_loss
     FROM b, (SELECT unnest([0, 1, 2, 3, 4]) AS f) WHERE fold <> f GROUP BY f""",
 )
 def _(spark, sf_dir):
@@ -1131,8 +1131,8 @@ def _(spark, sf_dir):
       SELECT id, label, candidate, (1 - candidate * 0.001::DOUBLE / 100.0::DOUBLE) * m1
                                    + candidate * 0.001::DOUBLE / 100.0::DOUBLE * m2 AS score
       FROM members, (SELECT unnest(range(101)) AS candidate)), {ranked_sql('scored', 'score', 'candidate')}
-    SELECT CAST(candidate AS INTEGER) AS candidate, round(candidate * 0.001::DOUBLE / 100.0::DOUBLE, 8) AS weight,
-           round(0.5 * (g + d), 8) AS rank_score FROM metric""",
+    SELECT CAST(candidate AS INTEGER) AS candidate, round_even(candidate * 0.001::DOUBLE / 100.0::DOUBLE, 8) AS weight,
+           round_even(0.5 * (g + d), 8) AS rank_score FROM metric""",
 )
 def _(spark, sf_dir):
     made = blend_grid(members(spark, sf_dir), "label", "m1", "m2", "id")
@@ -1159,7 +1159,7 @@ def _(spark, sf_dir):
     WITH base AS (SELECT CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS y, l_quantity, l_extendedprice, l_discount,
                          l_tax, l_linenumber::DOUBLE AS l_linenumber FROM lineitem),
     long AS (UNPIVOT base ON l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber INTO NAME feature VALUE x),
-    imp AS (SELECT feature, round(corr(x, y), 8) AS weight FROM long GROUP BY feature)
+    imp AS (SELECT feature, round_even(corr(x, y), 8) AS weight FROM long GROUP BY feature)
     SELECT feature, weight, feature IN ('l_linenumber', 'l_tax') AS is_categorical FROM imp WHERE weight >= 0""",
 )
 def _(spark, sf_dir):
@@ -1168,5 +1168,5 @@ def _(spark, sf_dir):
         F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0).alias("y"), *[F.col(c).cast("double") for c in names]
     )
     long = base.unpivot(["y"], names, "feature", "x")
-    importance = long.groupBy("feature").agg(F.round(F.corr("x", "y"), 8).alias("weight"))
+    importance = long.groupBy("feature").agg(round_half_even(F.corr("x", "y"), 8).alias("weight"))
     return select_features(importance, ["l_linenumber", "l_tax"])
