@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 import os.path
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from riskloom.operators.skew import SLICE, HotGroups, row_floor, with_slices
+from riskloom.operators.skew import SLICE, HotGroups, row_floor, sample_fraction, with_slices
 from riskloom.session import shuffle_partitions
 
 SEQ = "_seq"
 FROM_END = "_from_end"
 BUCKET = "_bucket"
 
+ROWS_PER_BUCKET = 4_000_000
+MAX_BUCKETS = 10_000
+
 # Room for the row number inside one slice when slice and row number share a bigint.
 SLICE_SPAN = 1 << 40
 
@@ -70,34 +74,37 @@ def _position_on_line(df: DataFrame, order: Column) -> Column:
     return F.conv(F.rpad(rest, 12, "0"), 16, 10).cast("double")
 
 
-def _by_quantiles(df: DataFrame, order: Sequence[Column], parts: int, min_rows: int) -> tuple[DataFrame, bool]:
-    """Cut rows into about ``parts`` ordered buckets of similar size.
+def bucket_count(total: int, parts: int) -> int:
+    """Enough buckets for the partitions, and none too large for one task."""
+    return min(max(parts, math.ceil(total / ROWS_PER_BUCKET)), MAX_BUCKETS)
+
+
+def _by_quantiles(df: DataFrame, order: Sequence[Column], min_rows: int) -> tuple[DataFrame, bool]:
+    """Cut rows into ordered buckets of similar size.
 
-    One sketch pass finds the quantiles of the first order column. A value that
-    fills several quantiles is a hot tie: it gets a bucket of its own, which is
-    then sliced along the full order.
+    Quantiles of the first order column come from a sample of fixed size. A value
+    that fills several quantiles is a hot tie: it gets a bucket of its own, which
+    is then sliced along the full order. Split points affect balance only.
     """
     line = F.coalesce(_position_on_line(df, order[0]), F.lit(float("-inf")))
     placed = df.withColumn("_line", line)
-    probabilities = [i / parts for i in range(1, parts)]
-    if not probabilities:
-        return placed.withColumn(BUCKET, F.lit(0)).drop("_line"), False
-    sketch = placed.agg(
-        F.percentile_approx("_line", probabilities, max(10_000, 10 * parts)).alias("q"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    quantiles = [q for q in sketch.q or [] if math.isfinite(q)]
-    ties = {q: quantiles.count(q) * sketch.n / parts for q in set(quantiles) if quantiles.count(q) > 1}
-    hot_values = sorted(q for q, rows in ties.items() if rows >= min_rows)
-    inner = sorted(set(quantiles) | {math.nextafter(q, math.inf) for q in hot_values})
-    splits = [-math.inf, *inner, math.inf]
+    total = df.count()
+    n = bucket_count(total, shuffle_partitions(df.sparkSession))
+    sample = placed.select("_line").sample(sample_fraction(total, n), seed=7)
+    shares = ", ".join(f"{i / n!r}D" for i in range(1, n)) or "0.5D"
+    found = sample.agg(F.expr(f"percentile_approx(_line, array({shares}), {10 * n + 1_000})").alias("q")).first().q
+    quantiles = [q for q in found or [] if math.isfinite(q)]
+    times = Counter(quantiles)
+    ties = {q: c * total / n for q, c in times.items() if c > 1 and c * total / n >= min_rows}
+    inner = sorted({*times, *(math.nextafter(q, math.inf) for q in ties)})
     if not inner:
         return placed.withColumn(BUCKET, F.lit(0)).drop("_line"), False
+    splits = [-math.inf, *inner, math.inf]
     # NaN sorts above every number in Spark; "keep" puts it into a bucket past the last.
     cutter = Bucketizer(splits=splits, inputCol="_line", outputCol=BUCKET, handleInvalid="keep")
     bucket = F.coalesce(F.col(BUCKET).cast("int"), F.lit(len(splits)))
     bucketed = cutter.transform(placed).withColumn(BUCKET, bucket).drop("_line")
-    hot = HotGroups(sketch.n, {splits.index(q): int(ties[q]) for q in hot_values})
+    hot = HotGroups(total, {splits.index(q): int(rows) for q, rows in ties.items()})
     return with_slices(bucketed, BUCKET, order, hot, min_rows)
 
 
@@ -127,12 +134,11 @@ def ranked(
     ``digest`` if ``order`` starts with a hex digest, to skip the quantile pass.
     ``by`` columns are few-valued and not NULL.
     """
-    floor = row_floor(min_rows)
-    parts = shuffle_partitions(df.sparkSession)
     sums = dict(sums or {})
     if digest is None:
-        placed, cut = _by_quantiles(df, order, parts, floor)
+        placed, cut = _by_quantiles(df, order, row_floor(min_rows))
     else:
+        parts = shuffle_partitions(df.sparkSession)
         placed, cut = df.withColumn(BUCKET, uniform_bucket(digest, parts)), False
     group = [*by, BUCKET, SLICE] if cut else [*by, BUCKET]
     running = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.operators.ordered import difference_of_ends
 from riskloom.operators.ordering import FROM_END, SEQ, with_sequence
-from riskloom.operators.skew import HotGroups, hot_groups
+from riskloom.operators.skew import HotGroups, hot_groups, split_hot
 
 NUMERIC_STATS = ("first", "mean", "std", "min", "max", "last")
 CATEGORICAL_STATS = ("count", "first", "last", "nunique")
@@ -162,18 +162,23 @@ def profile(
 ) -> DataFrame:
     """Full profile: numeric statistics, last-step differences and categorical statistics.
 
-    The numeric and the categorical part read disjoint columns and end up
-    partitioned by key alike, so joining them moves nothing.
+    Rows of hot keys take their own branch, so that ordinary keys keep the plan
+    with one exchange. The numeric and the categorical part end up partitioned
+    by key alike, so joining them moves nothing.
     """
     hot = hot_groups(df, key, min_rows) if hot is None else hot
     diff = [c for c in numeric if c not in set(no_diff)]
     ids = list(dict.fromkeys([key, *order]))
 
-    def numbered(columns: Sequence[str]) -> DataFrame:
-        needed = df.select(*ids, *[c for c in columns if c not in ids])
-        return with_sequence(needed, key, order, hot, min_rows)
+    def branch(rows: DataFrame, groups: HotGroups) -> DataFrame:
+        def numbered(columns: Sequence[str]) -> DataFrame:
+            needed = rows.select(*ids, *[c for c in columns if c not in ids])
+            return with_sequence(needed, key, order, groups, min_rows)
 
-    result = numeric_profile(numbered(numeric), key, numeric, diff, layout=layout)
-    if categorical:
-        result = result.join(categorical_profile(numbered(categorical), key, categorical), key)
-    return result
+        made = numeric_profile(numbered(numeric), key, numeric, diff, layout=layout)
+        return made.join(categorical_profile(numbered(categorical), key, categorical), key) if categorical else made
+
+    if not hot:
+        return branch(df, hot)
+    ordinary, dominant = split_hot(df, key, hot)
+    return branch(ordinary, HotGroups(hot.total)).unionByName(branch(dominant, hot))

@@ -27,9 +27,10 @@ SLICE = "_slice"
 # A group below this many rows is small for one task however large its share.
 MIN_HOT_ROWS = 200_000
 
-# At most this many groups can each hold more than the detection share.
-MAX_HOT_GROUPS = 1_000
+# Bounds what is sampled, collected and broadcast, however many partitions are configured.
+MAX_PARTS = 4_000
 
+SAMPLES_PER_PART = 200
 SAMPLES_PER_SLICE = 64
 
 
@@ -48,21 +49,35 @@ class HotGroups:
         return bool(self.rows)
 
 
+def sample_fraction(total: int, parts: int) -> float:
+    """Share of rows that gives about ``SAMPLES_PER_PART`` rows per partition."""
+    return min(1.0, SAMPLES_PER_PART * parts / max(total, 1))
+
+
 def hot_groups(df: DataFrame, key: str, min_rows: int | None = None) -> HotGroups:
     """Keys holding more than one shuffle partition's worth of rows.
 
-    One pass over the key column with a frequent-items sketch: nothing is
-    shuffled by key, and the result has at most ``MAX_HOT_GROUPS`` entries.
+    A count, and only for tables that could hold such a key a count of keys in a
+    sample of fixed size. At most two keys per shuffle partition come back. A
+    key near the threshold may be missed or added: that shifts work between
+    tasks and changes no result.
     """
     floor = row_floor(min_rows)
-    parts = min(shuffle_partitions(df.sparkSession), MAX_HOT_GROUPS)
-    top = df.where(F.col(key).isNotNull()).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.expr(f"approx_top_k(`{key}`, {parts}, {max(10 * parts, 1_000)})").alias("top"),
-    )
-    found = top.first()
-    least = max(floor, found.total / parts)
-    return HotGroups(found.total, {t["item"]: t["count"] for t in found.top or [] if t["count"] >= least})
+    keys = df.where(F.col(key).isNotNull()).select(key)
+    parts = min(shuffle_partitions(df.sparkSession), MAX_PARTS)
+    total = keys.count()
+    if total < floor:
+        return HotGroups(total)
+    fraction = sample_fraction(total, parts)
+    least = 0.5 * max(floor, total / parts) * fraction
+    counted = keys.sample(fraction, seed=7).groupBy(key).count().where(F.col("count") >= least)
+    return HotGroups(total, {r[0]: int(r[1] / fraction) for r in counted.collect()})
+
+
+def split_hot(df: DataFrame, key: str, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and rows of hot keys."""
+    is_hot = F.col(key).isin(list(hot.rows))
+    return df.where(~is_hot), df.where(is_hot)
 
 
 def _split_points(
@@ -70,7 +85,7 @@ def _split_points(
 ) -> DataFrame | None:
     """``(key, _bounds)``: ascending order values at which each hot group is cut."""
     spark = df.sparkSession
-    target = max(min_rows, hot.total / shuffle_partitions(spark))
+    target = max(min_rows, hot.total / min(shuffle_partitions(spark), MAX_PARTS))
     slices = {k: max(2, math.ceil(n / target)) for k, n in hot.rows.items()}
     fractions = {k: min(1.0, SAMPLES_PER_SLICE * slices[k] / n) for k, n in hot.rows.items()}
     ordered = df.select(F.col(key), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_at"))
@@ -113,8 +128,8 @@ def with_slices(
     if points is None:
         return df, False
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    # The table of bounds has one row per hot group (at most MAX_HOT_GROUPS) and
-    # about two bounds per shuffle partition, so broadcasting it is safe.
+    # At most two hot groups per shuffle partition and, over all of them, a few
+    # bounds per partition: the size is fixed by the settings, not by the data.
     sliced = df.join(F.broadcast(points), key, "left").withColumn("_at", at)
     after = F.size(F.filter("_bounds", lambda b: b > F.col("_at")))
     return sliced.withColumn(SLICE, F.coalesce(after, F.lit(0))).drop("_bounds", "_at"), True

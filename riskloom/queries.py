@@ -924,7 +924,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     evaluator = RankScoreEvaluator(labelCol="label", predictionCol="score", idCol="id")
     value = evaluator.evaluate(scored(spark, sf_dir))
-    return spark.createDataFrame([(round_even(value, 8), evaluator.isLargerBetter())], "rank_score double, larger_better boolean")
+    return spark.createDataFrame([(round(value, 8), evaluator.isLargerBetter())], "rank_score double, larger_better boolean")
 
 
 FALLING = "1 + exp(-5.0 * (2.0 - 1) * (1 - (rank - 1) / (n - 1)::DOUBLE))"
@@ -1040,6 +1040,20 @@ def _(spark, sf_dir):
     return _customer_cv(spark, sf_dir).oof
 
 
+@register(
+    "cv_oof_coverage",
+    """
+    WITH rows AS (SELECT c_custkey AS o_custkey, CASE WHEN c_acctbal < 2500 THEN 1 ELSE 0 END AS label
+                  FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
+    SELECT o_custkey, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat('42', ':', o_custkey)), o_custkey)
+                                   - 1) % 3 AS INTEGER) AS fold, true AS is_probability
+    FROM rows""",
+)
+def _(spark, sf_dir):
+    oof = _customer_cv(spark, sf_dir).oof
+    return oof.select("o_custkey", "label", "fold", F.col("prediction").between(0, 1).alias("is_probability"))
+
+
 @register("cv_scores")
 def _(spark, sf_dir):
     return _customer_cv(spark, sf_dir).scores
@@ -1058,7 +1072,7 @@ def _(spark, sf_dir):
     return cross_validate(rows, CUSTOMER_FEATURES, "label", "o_custkey", stages, k=2).oof
 
 
-@register("bundle_roundtrip")
+@register("bundle_roundtrip", "SELECT c_custkey AS o_custkey, true AS same FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(spark, sf_dir):
     bundle = _customer_cv(spark, sf_dir)
     path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
@@ -1067,7 +1081,8 @@ def _(spark, sf_dir):
     rows = customer_rows(spark, sf_dir)
     before = average_folds(bundle.models, rows, CUSTOMER_FEATURES).select("o_custkey", F.col("prediction").alias("before"))
     after = average_folds(loaded.models, rows, CUSTOMER_FEATURES).select("o_custkey", F.col("prediction").alias("after"))
-    return before.join(after, "o_custkey")
+    same = F.abs(F.col("before") - F.col("after")) < 1e-12
+    return before.join(after, "o_custkey").select("o_custkey", same.alias("same"))
 
 
 @register("fold_inference")
