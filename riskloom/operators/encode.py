@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from riskloom.operators.ordering import ranked
 from riskloom.session import materialize
 
-# Dictionaries up to this many entries are ranked per column and broadcast.
+# A column's dictionary up to this many entries is ranked by one task.
 SMALL_DICTIONARY = 1_000_000
 
+# A dictionary up to this size is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 
 def _entry(df: DataFrame, column: str) -> Column:
     """Column name, value as text, and its number if the column is numeric (for sorting)."""
@@ -47,23 +50,24 @@ def apply_dictionary(
     dictionary: DataFrame,
     columns: Sequence[str],
     unseen: str | int = "error",
-    small: int = SMALL_DICTIONARY,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Replace each column by its code.
 
     ``unseen="error"`` fails on a value the dictionary lacks; a number is used
     as the code of such values. A column's dictionary is broadcast only after its
-    size was counted; a larger one is joined by shuffle, where adaptive execution
+    size was measured; a larger one is joined by shuffle, where adaptive execution
     splits frequent values.
     """
-    sizes = {r.feature: r["count"] for r in dictionary.groupBy("feature").count().collect()}
+    size = F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + F.lit(32))
+    sizes = {r.feature: r.size for r in dictionary.groupBy("feature").agg(size.alias("size")).collect()}
     result = df
     for c in columns:
         entries = dictionary.where(F.col("feature") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"), F.lit(True).alias("_known")
         )
-        if sizes.get(c, 0) <= small:
-            entries = F.broadcast(entries)
+        fits = sizes.get(c, 0) <= broadcast_bytes
+        entries = F.broadcast(entries) if fits else entries.hint("merge")
         value = F.col(c)
         if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
             value = F.when(~F.isnan(value), value)

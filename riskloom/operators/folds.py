@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.operators.ordering import ranked
+from riskloom.session import materialize
 
 
 def shuffle_digest(seed: int | str | Column, id: str) -> Column:
@@ -48,7 +49,7 @@ def grouped_stratified_folds(
     Groups are stratified by their largest label. The join back is left to
     adaptive execution, which splits a group that dominates the table.
     """
-    groups = df.groupBy(group).agg(F.max(label).alias("_label"))
+    groups = materialize(df.groupBy(group).agg(F.max(label).alias("_label")))
     folds = stratified_folds(groups, group, "_label", k, seed).select(group, "fold")
     return df.join(folds, group)
 
@@ -80,7 +81,7 @@ def contiguous_folds(df: DataFrame, id: str, k: int = 5) -> DataFrame:
 
 def assign_chunks(df: DataFrame, key: str, n: int) -> DataFrame:
     """Distinct keys with their ``chunk``: n contiguous, balanced blocks in key order."""
-    keys = df.where(F.col(key).isNotNull()).select(key).distinct()
+    keys = materialize(df.where(F.col(key).isNotNull()).select(key).distinct())
     return contiguous_folds(keys, key, n).withColumnRenamed("fold", "chunk")
 
 

@@ -17,6 +17,8 @@ SEQ = "_seq"
 FROM_END = "_from_end"
 BUCKET = "_bucket"
 
+# Several buckets per partition even out what hashing them to tasks makes uneven.
+BUCKETS_PER_PART = 4
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 10_000
 
@@ -76,7 +78,7 @@ def _position_on_line(df: DataFrame, order: Column) -> Column:
 
 def bucket_count(total: int, parts: int) -> int:
     """Enough buckets for the partitions, and none too large for one task."""
-    return min(max(parts, math.ceil(total / ROWS_PER_BUCKET)), MAX_BUCKETS)
+    return min(max(BUCKETS_PER_PART * parts, math.ceil(total / ROWS_PER_BUCKET)), MAX_BUCKETS)
 
 
 def _by_quantiles(df: DataFrame, order: Sequence[Column], min_rows: int) -> tuple[DataFrame, bool]:
@@ -108,10 +110,10 @@ def _by_quantiles(df: DataFrame, order: Sequence[Column], min_rows: int) -> tupl
     return with_slices(bucketed, BUCKET, order, hot, min_rows)
 
 
-def uniform_bucket(hex_digest: Column, parts: int) -> Column:
-    """Ordered bucket of a uniformly distributed hex digest; needs no quantiles."""
+def uniform_bucket(hex_digest: Column, n: int) -> Column:
+    """Ordered bucket (0..n-1) of a uniformly distributed hex digest; needs no quantiles."""
     leading = F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("long")
-    return F.floor(leading * F.lit(parts) / F.lit(float(1 << 32))).cast("int")
+    return F.floor(leading * F.lit(n) / F.lit(float(1 << 32))).cast("int")
 
 
 def ranked(
@@ -138,8 +140,8 @@ def ranked(
     if digest is None:
         placed, cut = _by_quantiles(df, order, row_floor(min_rows))
     else:
-        parts = shuffle_partitions(df.sparkSession)
-        placed, cut = df.withColumn(BUCKET, uniform_bucket(digest, parts)), False
+        n = min(BUCKETS_PER_PART * shuffle_partitions(df.sparkSession), MAX_BUCKETS)
+        placed, cut = df.withColumn(BUCKET, uniform_bucket(digest, n)), False
     group = [*by, BUCKET, SLICE] if cut else [*by, BUCKET]
     running = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns(

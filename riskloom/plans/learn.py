@@ -19,7 +19,7 @@ from riskloom.operators.folds import grouped_stratified_folds, repeated_stratifi
 from riskloom.operators.metrics import fold_summary, rank_score
 from riskloom.session import materialize
 
-FOLD_MODEL_OUTPUTS = ("features", "scaled", "rawPrediction", "probability", "prediction")
+MODEL_OUTPUTS = ("scaled", "rawPrediction", "probability", "prediction")
 VALIDATION = "_is_validation"
 
 MakeStages = Callable[[], list]
@@ -53,7 +53,7 @@ def neural_stages(inputs: int, hidden: Sequence[int] = (16, 8), rounds: int = 50
 
 @dataclass
 class ModelBundle:
-    """Fold models, out-of-fold predictions ``(id, fold, label, prediction)`` and scores."""
+    """Fold models over a ``features`` vector, out-of-fold predictions and scores."""
 
     models: list[PipelineModel]
     oof: DataFrame
@@ -74,9 +74,14 @@ class ModelBundle:
         return cls(models, spark.read.parquet(f"{path}/oof"), scores.drop("models"))
 
 
-def model_input(df: DataFrame, features: Sequence[str], sentinel: float = SENTINEL) -> DataFrame:
-    """Feature columns as doubles with missing and infinite values replaced."""
-    return df.withColumns({c: fill_sentinel(F.col(c).cast("double"), sentinel) for c in features})
+def assemble(df: DataFrame, features: Sequence[str], sentinel: float = SENTINEL) -> DataFrame:
+    """Add the ``features`` vector; missing and infinite values become the sentinel.
+
+    The columns themselves stay as they are.
+    """
+    filled = {f"_in_{c}": fill_sentinel(F.col(c).cast("double"), sentinel) for c in features}
+    assembler = VectorAssembler(inputCols=list(filled), outputCol="features")
+    return assembler.transform(df.withColumns(filled)).drop(*filled)
 
 
 def positive_probability() -> Column:
@@ -88,15 +93,15 @@ def _needs_validation(stages: Sequence) -> bool:
     return isinstance(last, Estimator) and last.hasParam("validationIndicatorCol") and last.isSet("validationIndicatorCol")
 
 
-def fit_fold(rows: DataFrame, features: Sequence[str], make_stages: MakeStages, held_out: Column) -> PipelineModel:
+def fit_fold(assembled: DataFrame, make_stages: MakeStages, held_out: Column) -> PipelineModel:
     """Fit on the rows that are not held out.
 
     A learner with a validation column sees the held-out rows too, but only to
     decide when to stop.
     """
     stages = make_stages()
-    training = rows.withColumn(VALIDATION, held_out) if _needs_validation(stages) else rows.where(~held_out)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), *stages]).fit(training)
+    training = assembled.withColumn(VALIDATION, held_out) if _needs_validation(stages) else assembled.where(~held_out)
+    return Pipeline(stages=stages).fit(training)
 
 
 def cross_validate(
@@ -114,13 +119,13 @@ def cross_validate(
 ) -> ModelBundle:
     """Train one model per fold and predict every row with the model that did not see it.
 
-    The assembled input is computed once and kept in the shared folder; folds
-    are fitted from a few driver threads. ``group`` keeps all rows of an entity
+    Only ids, label and the assembled vector are kept, computed once into the
+    shared folder; folds are fitted from a few driver threads. ``group`` keeps all rows of an entity
     in one fold. With ``repeats`` the out-of-fold prediction of a row is the mean
     over repeats.
     """
-    needed = list(dict.fromkeys([id, label, *([group] if group else []), *carry, *features]))
-    rows = model_input(df.select(*needed), features).withColumn(label, F.col(label).cast("int"))
+    kept = list(dict.fromkeys([id, label, *([group] if group else []), *carry, "features"]))
+    rows = assemble(df, features).select(*kept).withColumn(label, F.col(label).cast("int"))
     if group:
         placed = grouped_stratified_folds(rows, group, label, k, seed).withColumn("repeat", F.lit(0))
     elif repeats > 1:
@@ -131,7 +136,7 @@ def cross_validate(
 
     def one(part: tuple[int, int]) -> PipelineModel:
         r, f = part
-        return fit_fold(placed.where(F.col("repeat") == r), features, make_stages, F.col("fold") == f)
+        return fit_fold(placed.where(F.col("repeat") == r), make_stages, F.col("fold") == f)
 
     parts = [(r, f) for r in range(repeats) for f in range(k)]
     with ThreadPoolExecutor(max_workers=threads) as pool:
@@ -178,13 +183,11 @@ def average_folds(models: Sequence[PipelineModel], df: DataFrame, features: Sequ
     One narrow pass: the models are applied one after another to the same rows,
     no exchange and no chunk loop.
     """
-    inputs = {f"_raw_{c}": F.col(c) for c in features}
-    scored = model_input(df.withColumns(inputs), features)
+    scored = assemble(df, features)
     for i, model in enumerate(models):
-        scored = model.transform(scored).withColumn(f"_p{i}", positive_probability()).drop(*FOLD_MODEL_OUTPUTS)
+        scored = model.transform(scored).withColumn(f"_p{i}", positive_probability()).drop(*MODEL_OUTPUTS)
     total = reduce(Column.__add__, [F.col(f"_p{i}") for i in range(len(models))])
-    kept = [F.col(f"_raw_{c}").alias(c) if c in set(features) else F.col(c) for c in df.columns]
-    return scored.select(*kept, (total / F.lit(float(len(models)))).alias("prediction"))
+    return scored.select(*df.columns, (total / F.lit(float(len(models)))).alias("prediction"))
 
 
 def statement_meta_feature(

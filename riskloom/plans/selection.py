@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from itertools import batched
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskloom.functions.columns import common_names
 from riskloom.operators.folds import holdout_split, shuffle_digest
-from riskloom.plans.learn import MakeStages, fit_fold, model_input
+from riskloom.plans.learn import MakeStages, assemble, fit_fold
 from riskloom.session import materialize
 
 # Rows of a bucket within which values change places; large enough to mix well.
@@ -50,42 +49,30 @@ def permutation_importance(
     The model is fitted on the other rows. Each batch of features is scored in
     one job that holds one shuffled copy of the holdout per feature and repeat.
     """
-    rows = model_input(df.select(id, label, *features), features).withColumn(label, F.col(label).cast("int"))
+    rows = df.select(id, F.col(label).cast("int").alias(label), *features)
     split = materialize(holdout_split(rows, id, label, share, seed))
-    model = fit_fold(split, features, make_stages, F.col("is_holdout"))
+    model = fit_fold(assemble(split, features), make_stages, F.col("is_holdout"))
     holdout = split.where("is_holdout")
     right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
-    base = model.transform(holdout).agg(right.alias("base"), F.count(F.lit(1)).alias("n")).first()
+    base = model.transform(assemble(holdout, features)).agg(right.alias("base"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(1, base.n // ROWS_PER_BUCKET)
-    parts = [
-        _shuffled_accuracy(model, holdout, names, label, id, repeats, seed, buckets) for names in batched(features, batch)
-    ]
+
+    def accuracy(names: Sequence[str]) -> DataFrame:
+        copies = [
+            permute_column(holdout, c, id, f"{seed}/{c}/{r}", buckets).withColumns(
+                {"feature": F.lit(c), "repeat": F.lit(r)}
+            )
+            for c in names
+            for r in range(repeats)
+        ]
+        scored = model.transform(assemble(reduce(DataFrame.unionByName, copies), features))
+        return scored.groupBy("feature", "repeat").agg(right.alias("accuracy"))
+
+    parts = [materialize(accuracy(names)) for names in batched(features, batch)]
     drops = reduce(DataFrame.unionByName, parts).withColumn("drop", F.lit(base.base) - F.col("accuracy"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("weight"), F.stddev_pop("drop").alias("std"))
 
 
-def _shuffled_accuracy(
-    model: PipelineModel,
-    holdout: DataFrame,
-    names: Iterable[str],
-    label: str,
-    id: str,
-    repeats: int,
-    seed: int,
-    buckets: int,
-) -> DataFrame:
-    copies = [
-        permute_column(holdout, c, id, f"{seed}/{c}/{r}", buckets).withColumns(
-            {"feature": F.lit(c), "repeat": F.lit(r)}
-        )
-        for c in names
-        for r in range(repeats)
-    ]
-    scored = model.transform(reduce(DataFrame.unionByName, copies))
-    accuracy = F.avg((F.col("prediction") == F.col(label)).cast("double"))
-    return scored.groupBy("feature", "repeat").agg(accuracy.alias("accuracy"))
-
-
 def select_features(importance: DataFrame, categorical: Sequence[str], least: float = 0.0) -> DataFrame:
     """Features of at least the given weight, each marked ``is_categorical``."""
     chosen = importance.where(F.col("weight") >= least)

@@ -52,7 +52,7 @@ from riskloom.plans.learn import (
     statement_meta_feature,
 )
 from riskloom.plans.selection import permutation_importance, select_features
-from riskloom.session import prepare, shared_folder
+from riskloom.session import materialize, prepare, shared_folder
 from riskloom.sources.files import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +74,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, keep: Column | None = None) -> DataFrame:
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", keep)
 
 
 def rounded(digits: int, *names: str) -> list[Column]:
@@ -184,7 +184,7 @@ def _(spark, sf_dir):
     "SELECT l_orderkey, l_linenumber, l_tax FROM lineitem WHERE l_tax > 0.0",
 )
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where(F.col("l_tax") > 0.0).select("l_orderkey", "l_linenumber", "l_tax")
+    return table(spark, sf_dir, "lineitem", keep=F.col("l_tax") > 0.0).select("l_orderkey", "l_linenumber", "l_tax")
 
 
 @register(
@@ -693,7 +693,8 @@ def _(spark, sf_dir):
         with_gaps=True,
         float32=False,
     )
-    frame, _dictionary = training_frame(with_labels(made, labels, "o_custkey"), ["status_last"])
+    profiles = materialize(with_labels(made, labels, "o_custkey"))
+    frame, _dictionary = training_frame(profiles, ["status_last"])
     four = ["price_last", "price_diff1", "price_last_mean_diff", "price_last_first_diff"]
     return frame.select(
         "o_custkey", "target", *settled(4, *four), *rounded(6, "price_last_mean_rate"), "status_last", "LT"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 
 from riskloom.functions.missing import normalise_missing
 
@@ -17,9 +17,16 @@ PREDICTION_SCHEMA = T.StructType(
 OOF_SCHEMA = T.StructType([*LABEL_SCHEMA.fields, PREDICTION_SCHEMA["prediction"]])
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan with NaN turned into NULL."""
-    return normalise_missing(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """Parquet scan with NaN turned into NULL.
+
+    ``keep`` selects rows. It is applied to the stored columns, so that the scan
+    can skip row groups by it, and again after NaN became NULL.
+    """
+    stored = spark.read.parquet(path)
+    if keep is None:
+        return normalise_missing(stored)
+    return normalise_missing(stored.where(keep)).where(keep)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

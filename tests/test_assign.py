@@ -77,16 +77,16 @@ def test_dictionary_is_sorted_with_missing_last(spark, low_floor, small):
     }
 
 
-@pytest.mark.parametrize("small", [1000, 1])
-def test_dictionary_applies(spark, small):
+@pytest.mark.parametrize("size", [1000, 1])
+def test_dictionary_applies(spark, size):
     df = spark.createDataFrame(MIXED, "s string, x double")
     dictionary = fit_dictionary(df, ["s", "x"])
-    coded = apply_dictionary(df, dictionary, ["s", "x"], small=small).collect()
+    coded = apply_dictionary(df, dictionary, ["s", "x"], broadcast_bytes=size).collect()
     assert sorted((r.s, r.x) for r in coded) == [(0, 0), (1, 1), (1, 2), (2, 3), (3, 3)]
     new = spark.createDataFrame([("zz", 9.0)], "s string, x double")
-    assert apply_dictionary(new, dictionary, ["s", "x"], unseen=-1, small=small).first().s == -1
+    assert apply_dictionary(new, dictionary, ["s", "x"], unseen=-1, broadcast_bytes=size).first().s == -1
     with pytest.raises(PySparkException, match="not in the dictionary of s"):
-        apply_dictionary(new, dictionary, ["s", "x"], small=small).collect()
+        apply_dictionary(new, dictionary, ["s", "x"], broadcast_bytes=size).collect()
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -99,5 +99,8 @@ def test_files_round_trip(spark, tmp_path):
     files.write_parquet(chunked, f"{tmp_path}/chunks", partition_by=["chunk"])
     assert {p.name for p in (tmp_path / "chunks").glob("chunk=*")} == {"chunk=0", "chunk=1"}
     assert files.read_parquet(spark, f"{tmp_path}/chunks").where("chunk = 1").first().customer_ID == "c1"
+    some = spark.createDataFrame([(1.0,), (float("nan"),), (-1.0,)], "x double")
+    files.write_parquet(some, f"{tmp_path}/some")
+    assert [r.x for r in files.read_parquet(spark, f"{tmp_path}/some", F.col("x") > 0).collect()] == [1.0]
     files.write_names(spark, ["z", "a", "m"], f"{tmp_path}/names")
     assert files.read_names(spark, f"{tmp_path}/names") == ["z", "a", "m"]
