@@ -19,6 +19,7 @@ BUCKET = "_bucket"
 
 # Several buckets per partition even out what hashing them to tasks makes uneven.
 BUCKETS_PER_PART = 4
+BUCKETS_PER_HOT_GROUP = 200
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 10_000
 
@@ -76,9 +77,11 @@ def _position_on_line(df: DataFrame, order: Column) -> Column:
     return F.conv(F.rpad(rest, 12, "0"), 16, 10).cast("double")
 
 
-def bucket_count(total: int, parts: int) -> int:
-    """Enough buckets for the partitions, and none too large for one task."""
-    return min(max(BUCKETS_PER_PART * parts, math.ceil(total / ROWS_PER_BUCKET)), MAX_BUCKETS)
+def bucket_count(total: int, parts: int, min_rows: int) -> int:
+    """Enough buckets for the partitions, none too large for one task, none needlessly small."""
+    wanted = max(BUCKETS_PER_PART * parts, math.ceil(total / ROWS_PER_BUCKET))
+    useful = max(1, total // max(1, min_rows // BUCKETS_PER_HOT_GROUP))
+    return min(wanted, useful, MAX_BUCKETS)
 
 
 def _by_quantiles(df: DataFrame, order: Sequence[Column], min_rows: int) -> tuple[DataFrame, bool]:
@@ -91,7 +94,7 @@ def _by_quantiles(df: DataFrame, order: Sequence[Column], min_rows: int) -> tupl
     line = F.coalesce(_position_on_line(df, order[0]), F.lit(float("-inf")))
     placed = df.withColumn("_line", line)
     total = df.count()
-    n = bucket_count(total, shuffle_partitions(df.sparkSession))
+    n = bucket_count(total, shuffle_partitions(df.sparkSession), min_rows)
     sample = placed.select("_line").sample(sample_fraction(total, n), seed=7)
     shares = ", ".join(f"{i / n!r}D" for i in range(1, n)) or "0.5D"
     found = sample.agg(F.expr(f"percentile_approx(_line, array({shares}), {10 * n + 1_000})").alias("q")).first().q

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way
 from riskloom.operators.folds import contiguous_folds
 from riskloom.operators.metrics import rank_score, rank_weighted_gradients
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate
-from riskloom.session import materialize, shuffle_partitions
+from riskloom.session import materialize
 
 EPS = 1e-15
 
@@ -21,6 +22,8 @@ FIRST_MIX_WEIGHT = 0.03221084221328546
 SEARCH_MAX_WEIGHT = 0.001
 SEARCH_STEPS = 100
 
+ROWS_PER_TASK = 1_000_000
+
 
 def score_matrix(scores: DataFrame, id: str, model: str, score: str, models: Sequence[str]) -> DataFrame:
     """Long ``(id, model, score)`` rows to one row per id with a column per model.
@@ -187,7 +190,8 @@ def blend_grid(
     candidate = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("candidate")
     w = F.col("candidate") * F.lit(max_weight) / F.lit(float(steps))
     # Every input row becomes steps + 1 rows; spread the rows before they multiply.
-    spread = df.select(id, label, first, second).repartition(shuffle_partitions(df.sparkSession), id)
+    tasks = max(1, math.ceil(df.count() * (steps + 1) / ROWS_PER_TASK))
+    spread = df.select(id, label, first, second).repartition(tasks, id)
     mixed = spread.select("*", candidate).withColumn("_mix", two_way_mix(F.col(first), F.col(second), w))
     scores = rank_score(mixed, label, "_mix", id, by=["candidate"])
     return scores.select("candidate", w.alias("weight"), "rank_score")

@@ -15,22 +15,28 @@ from riskloom.session import materialize
 
 # Rows of a bucket within which values change places; large enough to mix well.
 ROWS_PER_BUCKET = 50_000
+MAX_PARTS = 10_000
 
+MIX = "_mix_bucket"
 
-def permute_column(df: DataFrame, column: str, id: str, seed: str, buckets: int) -> DataFrame:
-    """Give every row the value of the row after it in a random order.
 
-    Rows fall into hash buckets and into a digest order inside them; the last row
-    of a bucket takes the first row's value. The result is a permutation of the
-    column, without any ordering across tasks.
+def with_mixing_buckets(df: DataFrame, id: str, buckets: int) -> DataFrame:
+    """Partition rows by a random bucket, within which columns will be permuted."""
+    placed = df.withColumn(MIX, F.pmod(F.xxhash64(F.col(id)), F.lit(buckets)))
+    return placed.repartition(min(buckets, MAX_PARTS), MIX)
+
+
+def permute_column(df: DataFrame, column: str, id: str, seed: str) -> DataFrame:
+    """Give every row the value of the row after it in a random order of its bucket.
+
+    The last row of a bucket takes the first row's value, so the result is a
+    permutation of the column. Rows already partitioned by bucket stay where they are.
     """
-    digest = shuffle_digest(seed, id)
-    bucket = F.pmod(F.xxhash64(digest), F.lit(buckets))
-    ring = Window.partitionBy("_bucket").orderBy("_digest", id)
+    ring = Window.partitionBy(MIX).orderBy("_digest", id)
     held = F.struct(F.col(column).alias("v"))
     following = F.coalesce(F.lead(held).over(ring), F.first(held).over(ring))
-    placed = df.withColumns({"_digest": digest, "_bucket": bucket})
-    return placed.withColumn("_moved", following).withColumn(column, F.col("_moved.v")).drop("_digest", "_bucket", "_moved")
+    moved = df.withColumn("_digest", shuffle_digest(seed, id)).withColumn("_moved", following)
+    return moved.withColumn(column, F.col("_moved.v")).drop("_digest", "_moved")
 
 
 def permutation_importance(
@@ -46,20 +52,21 @@ def permutation_importance(
 ) -> DataFrame:
     """``(feature, weight, std)``: drop of holdout accuracy when a feature is shuffled.
 
-    The model is fitted on the other rows. Each batch of features is scored in
-    one job that holds one shuffled copy of the holdout per feature and repeat.
+    The model is fitted on the other rows. Each batch of features is scored in one
+    job over one shuffled copy per feature and repeat; the copies share a single
+    exchange of the holdout, into random buckets.
     """
     rows = df.select(id, F.col(label).cast("int").alias(label), *features)
     split = materialize(holdout_split(rows, id, label, share, seed))
     model = fit_fold(assemble(split, features), make_stages, F.col("is_holdout"))
-    holdout = split.where("is_holdout")
+    held = split.where("is_holdout")
+    holdout = with_mixing_buckets(held, id, max(1, held.count() // ROWS_PER_BUCKET))
     right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
-    base = model.transform(assemble(holdout, features)).agg(right.alias("base"), F.count(F.lit(1)).alias("n")).first()
-    buckets = max(1, base.n // ROWS_PER_BUCKET)
+    base = model.transform(assemble(holdout, features)).agg(right.alias("base")).first()
 
     def accuracy(names: Sequence[str]) -> DataFrame:
         copies = [
-            permute_column(holdout, c, id, f"{seed}/{c}/{r}", buckets).withColumns(
+            permute_column(holdout, c, id, f"{seed}/{c}/{r}").withColumns(
                 {"feature": F.lit(c), "repeat": F.lit(r)}
             )
             for c in names

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from riskloom.plans.ensemble import blend_grid, blend_objective, fit_blend, score_matrix, search_blend
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate, statement_meta_feature
 from riskloom.operators.folds import contiguous_folds
-from riskloom.plans.selection import permutation_importance, permute_column, select_features, selected_names
+from riskloom.plans.selection import permutation_importance, permute_column, select_features, selected_names, with_mixing_buckets
+from riskloom.session import materialize
 
 
 def trees():
@@ -101,13 +102,23 @@ def test_score_matrix_needs_every_model(spark):
 
 
 def test_permuting_keeps_the_values(signal):
-    moved = permute_column(signal, "noise", "id", "s", buckets=3)
+    placed = with_mixing_buckets(materialize(signal), "id", 3)
+    moved = permute_column(placed, "noise", "id", "s")
     before, after = [{r.id: r.noise for r in d.collect()} for d in (signal, moved)]
     assert sorted(before.values(), key=repr) == sorted(after.values(), key=repr)
     assert sum(before[i] != after[i] for i in before) > 500
     assert {r.id: r.good for r in moved.collect()} == {r.id: r.good for r in signal.collect()}
 
 
+def test_shuffled_copies_share_one_exchange(signal):
+    placed = with_mixing_buckets(materialize(signal), "id", 3)
+    copies = permute_column(placed, "noise", "id", "a").unionByName(permute_column(placed, "good", "id", "b"))
+    copies.write.format("noop").mode("overwrite").save()
+    copies.collect()
+    plan = copies._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1
+
+
 def test_importance_finds_the_signal(signal):
     importance = permutation_importance(signal, ["good", "noise"], "label", "id", trees, repeats=2)
     weights = {r.feature: r.weight for r in importance.collect()}
