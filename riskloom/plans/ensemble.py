@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way_mix
+from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way_mix, weighted_average
 from riskloom.operators.folds import contiguous_folds
 from riskloom.operators.metrics import rank_score, rank_weighted_gradients
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate
@@ -201,3 +201,30 @@ def search_blend(df: DataFrame, label: str, first: str, second: str, id: str, **
     """Weight of the best candidate; the smallest weight wins a tie."""
     scores = blend_grid(df, label, first, second, id, **grid)
     return scores.orderBy(F.col("rank_score").desc_nulls_last(), "weight").first().weight
+
+
+def mix_and_search(
+    oof: DataFrame,
+    test: DataFrame,
+    label: str,
+    id: str,
+    first: str,
+    second: str,
+    third: str,
+    mix_weight: float = FIRST_MIX_WEIGHT,
+    **grid,
+) -> tuple[float, DataFrame, DataFrame]:
+    """Mix two members with a fixed weight, then search the weight of a third.
+
+    Returns the weight found and the blended ``prediction`` of both frames.
+    """
+    base = two_way_mix(F.col(first), F.col(second), mix_weight).alias("_base")
+    mixed = materialize(oof.select(id, label, base, third))
+    weight = search_blend(mixed, label, "_base", third, id, **grid)
+    final = two_way_mix(F.col("_base"), F.col(third), weight).alias("prediction")
+    return weight, mixed.select(id, label, final), test.select(id, base, third).select(id, final)
+
+
+def apply_blend(df: DataFrame, id: str, members: Sequence[str], weights: Sequence[float]) -> DataFrame:
+    """``(id, prediction)``: the fitted weights applied to member predictions."""
+    return df.select(id, weighted_average(members, weights).alias("prediction"))

@@ -40,7 +40,16 @@ from riskloom.operators.metrics import (
 from riskloom.operators.ordered import gap_days, last_difference
 from riskloom.operators.ordering import head_tail, with_sequence
 from riskloom.operators.profile import categorical_profile, numeric_profile, profile, tenure
-from riskloom.plans.ensemble import blend_grid, blend_objective, fit_blend, score_matrix, search_blend, stack
+from riskloom.plans.ensemble import (
+    FIRST_MIX_WEIGHT,
+    apply_blend,
+    blend_grid,
+    blend_objective,
+    fit_blend,
+    mix_and_search,
+    score_matrix,
+    stack,
+)
 from riskloom.plans.features import statement_profiles, training_frame, with_labels
 from riskloom.plans.learn import (
     ModelBundle,
@@ -422,7 +431,7 @@ def _(spark, sf_dir):
     return members(spark, sf_dir).select(
         "id",
         round_half_even(linear_blend({"m1": 0.5, "m2": 0.3, "m3": 0.2}), 10).alias("blend"),
-        round_half_even(two_way_mix(F.col("m1"), F.col("m2"), 0.03221084221328546), 10).alias("mix"),
+        round_half_even(two_way_mix(F.col("m1"), F.col("m2"), FIRST_MIX_WEIGHT), 10).alias("mix"),
         round_half_even(weighted_average(["m1", "m2", "m3"], [2, 3, 4]), 10).alias("average"),
     )
 
@@ -991,7 +1000,7 @@ def _(spark, sf_dir):
     FROM metric""",
 )
 def _(spark, sf_dir):
-    folded = stratified_folds(scored(spark, sf_dir).select("id", "label", "score"), "id", "label", 5)
+    folded = materialize(stratified_folds(scored(spark, sf_dir).select("id", "label", "score"), "id", "label", 5))
     made = fold_summary(rank_score(folded, "label", "score", "id", by=["fold"]), "rank_score")
     return made.select(*rounded(8, "cv_mean", "cv_std"), "folds")
 
@@ -1158,9 +1167,14 @@ def _(spark, sf_dir):
 @register("blend_search")
 def _(spark, sf_dir):
     rows = members(spark, sf_dir)
-    best = search_blend(rows, "label", "m1", "m3", "id", max_weight=1.0, steps=20)
-    mixed = two_way_mix(F.col("m1"), F.col("m3"), best)
-    return rows.select("id", "label", mixed.alias("prediction"))
+    return mix_and_search(rows, rows, "label", "id", "m1", "m2", "m3", max_weight=1.0, steps=20)[2]
+
+
+@register("blend_apply")
+def _(spark, sf_dir):
+    rows, names = members(spark, sf_dir), ["m1", "m2", "m3"]
+    fit = fit_blend(rows, names, "label", "id")
+    return apply_blend(rows, "id", names, fit.weights.tolist())
 
 
 @register("permutation_importance")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.plans.ensemble import blend_grid, blend_objective, fit_blend, score_matrix, search_blend
+from riskloom.plans.ensemble import apply_blend, blend_grid, blend_objective, fit_blend, mix_and_search, score_matrix, search_blend
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate, statement_meta_feature
 from riskloom.operators.folds import contiguous_folds
 from riskloom.plans.selection import permutation_importance, permute_column, select_features, selected_names, with_mixing_buckets
@@ -95,6 +95,18 @@ def test_search_takes_the_best_candidate(scores):
     assert search_blend(scores, "label", "m1", "m2", "id", max_weight=1.0, steps=10) == pytest.approx(want)
 
 
+def test_blends_apply_to_new_rows(scores):
+    test = scores.drop("label")
+    weight, oof, blended = mix_and_search(scores, test, "label", "id", "m1", "m2", "m3", mix_weight=0.25, max_weight=1.0, steps=4)
+    assert weight in (0.0, 0.25, 0.5, 0.75, 1.0)
+    members = {r.id: (r.m1, r.m2, r.m3) for r in test.collect()}
+    got, again = ({r.id: r.prediction for r in d.collect()} for d in (blended, oof))
+    want = {i: (1 - weight) * (0.75 * a + 0.25 * b) + weight * c for i, (a, b, c) in members.items()}
+    assert got == pytest.approx(want) and again == pytest.approx(want)
+    plain = {r.id: r.prediction for r in apply_blend(test, "id", ["m1", "m2", "m3"], [0.5, 0.3, 0.2]).collect()}
+    assert plain == pytest.approx({i: 0.5 * a + 0.3 * b + 0.2 * c for i, (a, b, c) in members.items()})
+
+
 def test_score_matrix_needs_every_model(spark):
     rows = [(1, "a", 0.1), (1, "b", 0.2), (2, "a", 0.3), (3, "b", 0.5), (3, "a", 0.4), (3, "other", 0.9)]
     long = spark.createDataFrame(rows, "id long, model string, p double")
