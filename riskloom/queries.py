@@ -671,7 +671,7 @@ def _(spark, sf_dir):
 
 
 @register(
-    "feature_pipeline",
+    "training_profiles",
     f"""
     WITH {STATEMENTS}, lab AS (
       SELECT c_custkey AS o_custkey, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS target FROM customer),

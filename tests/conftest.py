@@ -27,3 +27,10 @@ def sf_small():
 def low_floor(monkeypatch):
     """Treat groups of a few dozen rows as hot, so that small tables take the skew path."""
     monkeypatch.setattr("riskloom.operators.skew.MIN_HOT_ROWS", 40)
+
+
+@pytest.fixture
+def sparse_sample(monkeypatch, low_floor):
+    """Find split points from a small share of the rows, as on large tables."""
+    monkeypatch.setattr("riskloom.operators.skew.SAMPLES_PER_PART", 12)
+    monkeypatch.setattr("riskloom.operators.skew.SAMPLES_PER_SLICE", 12)

@@ -119,6 +119,13 @@ def test_profile_does_not_depend_on_skew_handling_or_input_order(skewed, layout)
     assert plain == cut == again
 
 
+def test_hot_key_is_found_in_a_small_sample(skewed, sparse_sample):
+    hot = hot_groups(skewed, "k")
+    assert set(hot.rows) == {"hot"} and hot.total == 3000
+    plain = {r.i: r.SDist for r in gap_days(skewed, "k", "t", ["i"], min_rows=10**9).collect()}
+    assert {r.i: r.SDist for r in gap_days(skewed, "k", "t", ["i"], hot=hot).collect()} == plain
+
+
 def test_gaps_cross_slices(skewed):
     plain = {r.i: r.SDist for r in gap_days(skewed, "k", "t", ["i"]).collect()}
     cut = {r.i: r.SDist for r in gap_days(skewed, "k", "t", ["i"], min_rows=100).collect()}

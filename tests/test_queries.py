@@ -11,7 +11,7 @@ WITH_SQL = sorted(oracle_sql())
 # Queries in which rows meet by key, value or order; the others work row by row.
 MEETING = sorted(
     n for n in WITH_SQL
-    if n.startswith(("profile", "last_diff", "gap", "tenure", "feature_pipeline", "label", "chunk", "stack", "fold",
+    if n.startswith(("profile", "last_diff", "gap", "tenure", "training_profiles", "label", "chunk", "stack", "fold",
                      "holdout", "rank", "top", "weighted", "encode", "blend_grid", "blend_objective"))
 )
 

@@ -66,6 +66,13 @@ def test_rank_score_equals_brute_force(spark, kind, low_floor):
     assert stretched.rank_score == pytest.approx(got.rank_score, abs=1e-12)
 
 
+def test_split_points_from_few_rows_change_nothing(spark, sparse_sample):
+    rows = rows_of("ties", 4000)
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    got = rank_score(df, "label", "score", "id").first()
+    assert (got.top_capture, got.weighted_gini) == pytest.approx(brute_force(rows), abs=1e-12)
+
+
 @pytest.mark.parametrize("label", [0, 1])
 def test_one_class_has_no_score(spark, label):
     df = spark.createDataFrame([(i, label, i / 9) for i in range(9)], "id long, label int, score double")
