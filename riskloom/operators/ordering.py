@@ -113,6 +113,21 @@ def _by_quantiles(df: DataFrame, order: Sequence[Column], min_rows: int) -> tupl
     return with_slices(bucketed, BUCKET, order, hot, min_rows)
 
 
+def _non_null_keys(df: DataFrame, by: Sequence[str]) -> dict[str, Column]:
+    """Key columns that identify the groups of ``by`` and are never NULL, for plain equi-joins."""
+    keys: dict[str, Column] = {}
+    for i, name in enumerate(by):
+        field = df.schema[name]
+        value = F.col(name)
+        if not isinstance(field.dataType, T.NumericType):
+            value = value.cast("string")
+        blank = F.lit(0) if isinstance(field.dataType, T.NumericType) else F.lit("")
+        keys[f"_key{i}"] = F.coalesce(value, blank) if field.nullable else value
+        if field.nullable:
+            keys[f"_key{i}_missing"] = F.col(name).isNull()
+    return keys
+
+
 def uniform_bucket(hex_digest: Column, n: int) -> Column:
     """Ordered bucket (0..n-1) of a uniformly distributed hex digest; needs no quantiles."""
     leading = F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("long")
@@ -137,7 +152,7 @@ def ranked(
     per ``by`` group) ever meet in one task. The rows are exchanged once: the
     join with the totals uses the buckets as its key, like the window. Pass
     ``digest`` if ``order`` starts with a hex digest, to skip the quantile pass.
-    ``by`` columns are few-valued and not NULL.
+    ``by`` columns are few-valued; NULL is a group like any other.
     """
     sums = dict(sums or {})
     if digest is None:
@@ -145,7 +160,9 @@ def ranked(
     else:
         n = min(BUCKETS_PER_PART * shuffle_partitions(df.sparkSession), MAX_BUCKETS)
         placed, cut = df.withColumn(BUCKET, uniform_bucket(digest, n)), False
-    group = [*by, BUCKET, SLICE] if cut else [*by, BUCKET]
+    keys = _non_null_keys(df, by)
+    placed = placed.withColumns(keys)
+    group = [*keys, BUCKET, SLICE] if cut else [*keys, BUCKET]
     running = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns(
         {"_rank": F.row_number().over(Window.partitionBy(*group).orderBy(*order))}
@@ -156,7 +173,7 @@ def ranked(
         F.count(F.lit(1)).alias("_of_rank"), *[F.sum(value).alias(f"_of_{name}") for name, value in sums.items()]
     )
     along = [F.col(BUCKET), F.col(SLICE).desc()] if cut else [F.col(BUCKET)]
-    every = Window.partitionBy(*by)
+    every = Window.partitionBy(*keys)
     before = every.orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
     whole = every.orderBy(*along).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counted.select(

@@ -132,6 +132,13 @@ def test_rank_of_texts_and_missing_scores(spark, low_floor):
     assert [r.id for r in ranked(gaps, [descending("score"), F.col("id")]).orderBy("rank").collect()] == [3, 1, 2]
 
 
+def test_missing_group_keeps_its_rows(spark):
+    rows = [(1, "a"), (2, None), (3, None), (4, ""), (5, "a")]
+    df = spark.createDataFrame(rows, "id long, g string")
+    got = {r.id: (r["rank"], r.n_rows) for r in ranked(df, [F.col("id")], by=["g"]).collect()}
+    assert got == {1: (1, 2), 5: (2, 2), 2: (1, 2), 3: (2, 2), 4: (1, 1)}
+
+
 def test_small_metrics(spark):
     df = spark.createDataFrame([(1, 0.8, 1), (0, 0.4, 0), (0, 1.0, 1)], "label int, p double, pred int")
     want = -(math.log(0.8) + math.log(0.6) + math.log(1e-15)) / 3
