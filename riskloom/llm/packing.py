@@ -29,6 +29,35 @@ class Limits:
     loss_tokens: int = 1024
 
 
+def rank_encoder(path: str):
+    """An encoder by merge ranks for the same byte-level vocabulary, or None if the file is not of that kind.
+
+    It encodes short texts in a fraction of the time. Ids are ranks where tokens are numbered in
+    the order of their merges.
+    """
+    import json
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not model["end_of_word_suffix"] and not spec["normalizer"]
+    if not plain or cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space"):
+        return None
+    made = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+    if [model["vocab"][x] for x in made] != list(range(256, 256 + len(made))):
+        return None
+    # The file writes printable bytes as their Latin-1 character and the others, in order, from 256 on.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in set(printable)]
+    byte_of = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(others)}
+    added = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in k): v for k, v in model["vocab"].items() if k not in added}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def encoder(path: str):
     """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids, for a byte-level BPE file.
 
@@ -49,13 +78,17 @@ def encoder(path: str):
     tokenizer = once(f"tokenizer:{path}", load)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     inner_space = re.compile(r"(?<=\S) (?=\S)")
+    by_rank = once(f"ranks:{path}", lambda: rank_encoder(path))
 
     def ids(text: str) -> bytes:
         found = tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(found, dtype="<u4").tobytes()
 
-    stems = memo(f"stems:{path}", ids)
-    tails = memo(f"tails:{path}", ids)
+    def short_ids(text: str) -> bytes:
+        return np.asarray(by_rank.encode_ordinary(text), dtype="<u4").tobytes() if by_rank else ids(text)
+
+    stems = memo(f"stems:{path}", short_ids)
+    tails = memo(f"tails:{path}", short_ids)
 
     def piece(text: str) -> bytes:
         stem = text.rstrip(TRAILING)
