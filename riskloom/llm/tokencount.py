@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.common import filled_id, once, written
 
-#: A pre-token is frequent if it holds at least this share of all occurrences, so at most 1/share of them are.
-FREQUENT_SHARE = 1 / 400_000
+#: A pre-token is frequent if it is known to hold this share of all occurrences, so at most 1/share of them are.
+FREQUENT_SHARE = 1 / 1_000_000
 
 #: Longer pre-tokens never count as frequent; together both bound what is broadcast.
 FREQUENT_BYTES = 64
 
 #: Distinct pre-tokens a task holds before it hands its counts on.
-HELD = 300_000
+HELD = 1_000_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -51,43 +51,54 @@ def _load(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _local_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the pre-tokens that hold their share within what a task holds at once, and that total."""
+
+    def heads(held: Counter) -> pd.DataFrame:
+        total = sum(held.values())
+        often = {t: n for t, n in held.items() if n >= total * FREQUENT_SHARE and len(t.encode()) <= FREQUENT_BYTES}
+        return pd.DataFrame({"token": [None, *often], "freq": [total, *often.values()]})
+
     held: Counter = Counter()
     for batch in batches:
         for text in batch["text"]:
             held.update(pre_tokens(text))
             if len(held) > HELD:
-                yield pd.DataFrame({"token": list(held), "freq": list(held.values())})
+                yield heads(held)
                 held = Counter()
-    if held:
-        yield pd.DataFrame({"token": list(held), "freq": list(held.values())})
+    yield heads(held)
 
 
-def piece_table(texts: DataFrame, model: str) -> DataFrame:
-    """Every distinct pre-token of the column ``text`` with its occurrences and its number of pieces."""
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(model: str):
+    def count(tokens: list[str]) -> list[int]:
         encode = once(f"sentencepiece:{model}", lambda: _load(model)).encode
-        for batch in batches:
-            ids = encode(batch["token"].tolist(), num_threads=1)
-            # The mark alone encodes to nothing by itself, as the model adds none to an empty text.
-            batch["pieces"] = [len(x) if token else 1 for x, token in zip(ids, batch["token"], strict=True)]
-            yield batch
+        # The mark alone encodes to nothing by itself, as the model adds none to an empty text.
+        return [len(x) if token else 1 for x, token in zip(encode(tokens, num_threads=1), tokens, strict=True)]
+
+    return count
 
-    distinct = (
-        texts.select("text").mapInPandas(_counted, "token string, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
-    )
-    return written(distinct.mapInPandas(pieces, "token string, freq long, pieces long"))
+
+def frequent_pieces(texts: DataFrame, model: str) -> dict[str, int]:
+    """Pieces of the frequent pre-tokens: of all that hold twice the share, and of none that holds less than it.
+
+    A pre-token with twice the share of all occurrences keeps more than one share after the
+    parts in which it holds less are left out; so leaving them out of the exchange loses none.
+    """
+    counted = texts.select("text").mapInPandas(_local_heads, "token string, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
+    counted = written(counted)
+    total = counted.where("token is null").agg(F.sum("freq")).first()[0] or 0
+    tokens = [r.token for r in counted.where(F.col("token").isNotNull() & (F.col("freq") >= F.lit(total * FREQUENT_SHARE))).collect()]
+    return dict(zip(tokens, _pieces(model)(tokens), strict=True))
 
 
 def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Tokens of each text: one row per row of ``docs`` with ``doc_id``, ``n_bytes`` and ``n_tokens``.
 
-    Pieces are counted once per distinct pre-token. Documents then meet
-    these counts by pre-token: the frequent ones, whose number and length are
-    bounded whatever the input, as a broadcast dictionary; all others by a
-    join, where none of them can be a hot key as each holds less than the share. Token ids
-    are never kept.
+    Pieces are counted once per distinct pre-token, and documents meet these counts by pre-token:
+    the frequent ones, whose number and length are bounded whatever the input, through a
+    broadcast dictionary; all others where their per-document frequencies have been brought together by
+    pre-token. There, none can be a hot key, as each holds less than twice the
+    share. Token ids are never kept.
 
     NULL counts as empty text: no bytes, no tokens. Repeated rows each get their row.
     Texts may be of any length. An empty table gives no rows.
@@ -95,23 +106,14 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_co
     spark = docs.sparkSession
     text = F.coalesce(docs[text_column], F.lit(""))
     doc_id, has_id = filled_id(docs, id_column)
-    rows = docs.select(
-        doc_id.alias("doc_id"),
-        has_id.alias("has_id"),
-        text.alias("text"),
-        F.octet_length(text).alias("n_bytes"),
-        F.hash(text).alias("mark"),
-    )
-    table = piece_table(rows, model)
-    total = table.agg(F.sum("freq")).first()[0] or 0
-    often = (F.col("freq") >= F.lit(total * FREQUENT_SHARE)) & (F.octet_length("token") <= FREQUENT_BYTES)
-    same = ["doc_id", "has_id", "n_bytes", "mark"]
-    known = spark.sparkContext.broadcast({r.token: r.pieces for r in table.where(often).collect()})
+    rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), text.alias("text"), F.hash(text).alias("mark"))
+    same = ["doc_id", "has_id", "mark"]
+    known = spark.sparkContext.broadcast(frequent_pieces(rows, model))
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = known.value
         for batch in batches:
-            at, token, freq, own = [], [], [], []
+            at, token, freq = [], [], []
             for i, (text, mark) in enumerate(zip(batch["text"], batch["mark"], strict=True)):
                 mine = 0
                 for t, n in Counter(pre_tokens(text)).items():
@@ -120,32 +122,47 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_co
                         at.append(i)
                         token.append(t)
                         freq.append(n)
-                        own.append(0)
                     else:
                         mine += n * pieces
-                # One row carries what is known already and makes the document appear. Its
-                # name starts with the mark, so it meets no pre-token, and spreads over tasks.
+                # One row carries what is known already and the bytes, and makes the document appear. Its
+                # name starts with the mark, which no pre-token does, and spreads over tasks.
                 at.append(i)
-                token.append(f"▁{mark}")
-                freq.append(0)
-                own.append(mine)
+                token.append(f"▁{mark} {len(text.encode('utf-8', 'surrogatepass'))}")
+                freq.append(mine)
                 if len(at) > 200_000:
-                    yield batch[same].iloc[at].assign(token=token, freq=freq, own=own)
-                    at, token, freq, own = [], [], [], []
-            yield batch[same].iloc[at].assign(token=token, freq=freq, own=own)
+                    yield batch[same].iloc[at].assign(token=token, freq=freq)
+                    at, token, freq = [], [], []
+            yield batch[same].iloc[at].assign(token=token, freq=freq)
+
+    count = _pieces(model)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, int] = {}
+        for batch in batches:
+            names = batch["token"].unique()
+            new = [t for t in names if t not in last and not t.startswith("▁")]
+            pieces = last | dict(zip(new, count(new), strict=True))
+            last = {t: pieces[t] for t in names[-1:] if t in pieces}
+            whole = batch["token"].str.startswith("▁")
+            tokens = batch["freq"] * batch["token"].map(pieces).where(~whole, 1).astype("int64")
+            sizes = batch["token"].where(whole).str.split(" ").str[1].fillna("0").astype("int64")
+            out = batch[same].assign(n=tokens, n_bytes=sizes, copies=whole.astype("int64"))
+            yield out.groupby(same, sort=False, as_index=False).sum()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInPandas(looked_up, f"doc_id {kind}, has_id boolean, n_bytes int, mark int, token string, freq long, own long")
-    rare = table.where(~often).select("token", "pieces")
-    tokens = F.col("own") + F.col("freq") * F.coalesce("pieces", F.lit(0))
-    summed = parts.join(rare, "token", "left").groupBy(*same).agg(
-        F.sum(tokens).alias("n"), F.sum(F.when(F.col("freq") == 0, 1).otherwise(0)).alias("rows")
+    key = f"doc_id {kind}, has_id boolean, mark int"
+    parts = rows.mapInPandas(looked_up, f"{key}, token string, freq long")
+    together = parts.repartition(F.col("token")).sortWithinPartitions("token")
+    summed = (
+        together.mapInPandas(counted, f"{key}, n long, n_bytes long, copies long")
+        .groupBy(*same)
+        .agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"))
     )
     # Rows with equal id and text were summed together; each of them has its share.
     each = summed.select(
         F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"),
-        F.col("n_bytes").cast("long").alias("n_bytes"),
-        (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"),
-        F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("row"),
+        (F.col("n_bytes") / F.col("copies")).cast("long").alias("n_bytes"),
+        (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"),
+        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
     )
-    return each.drop("row")
+    return each.drop("copy")
