@@ -87,3 +87,98 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@register("op10_near_duplicates")
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.neardup import near_duplicates
+
+    members, nodes = near_duplicates(table(spark, sf_dir, "documents"))
+    placed = members.join(nodes, "node", "left")
+    component = F.coalesce("component_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.toxicity import fit_field, in_training, toxicity, training_sample
+
+    docs = table(spark, sf_dir, "documents")
+    field = fit_field(training_sample(docs, table(spark, sf_dir, "labels"), in_training(F.col("label_id"))))
+    scored = toxicity(docs.select("doc_id", "text"), field)
+    return scored.select(
+        "doc.doc_id",
+        F.coalesce(~in_training(F.col("doc.doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
+@register("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.quality import quality_rules, ratio_table
+
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    judged = quality_rules(docs.select("doc_id", "text"), ratio_table(docs, trusted))
+    return judged.select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"
+    )
+
+
+#: Fixed values of the query: verdict, host and path of each rule.
+URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
+
+
+@register("op3_url_filter")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.urlfilter import filter_urls, parse_rule
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = filter_urls(pages, [parse_rule(line) for line in URL_RULES])
+    return judged.select("page.page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.pii import pseudonymised
+
+    changed = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key="example key")
+    return changed.select("doc.doc_id", F.col("new_text").alias("text"), "n_replaced")
+
+
+@register(
+    "op2_top_k",
+    """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+)
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.topk import exact_top_k, whole_vectors
+
+    vectors = table(spark, sf_dir, "embeddings")
+    whole = whole_vectors(vectors, "vec_id", F.col("embedding")).select("id", F.transform("v", lambda x: F.floor(64 * x.cast("double"))).alias("v"))
+    return exact_top_k(whole, whole.where("id % 20 = 0"), 20)
+
+
+@register("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.htmltext import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
