@@ -171,7 +171,8 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(votes) > 200_000:
             yield pd.DataFrame([(*k, v) for k, v in votes.items()], columns=["host", "path", "votes"])
             votes = {}
-    yield pd.DataFrame([(*k, v) for k, v in votes.items()], columns=["host", "path", "votes"])
+    if votes:
+        yield pd.DataFrame([(*k, v) for k, v in votes.items()], columns=["host", "path", "votes"])
 
 
 def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -168,7 +168,8 @@ def _document_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             found = {f for w in set(text.split()) for f in features(w)}
             (toxic if label else other).update(found)
     names = list(toxic.keys() | other.keys())
-    yield pd.DataFrame({"feature": names, "toxic": [toxic[f] for f in names], "other": [other[f] for f in names]})
+    if names:
+        yield pd.DataFrame({"feature": names, "toxic": [toxic[f] for f in names], "other": [other[f] for f in names]})
 
 
 def _blocks(texts: list[str], size: int) -> Iterator[list[int]]:
