@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm.common import written
+from riskloom.llm.common import ready, written
 from riskloom.llm.mixing import mixed
 from riskloom.llm.neardup import one_of_each
 from riskloom.llm.packing import pack
 from riskloom.llm.pii import pseudonymised
 from riskloom.llm.toxicity import fit_field, in_training, toxicity, training_sample
-from riskloom.session import prepare
 
 #: Documents with this score or more are rejected.
 TOXIC = 0.5
@@ -21,7 +20,7 @@ KEY = "example key"
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field, fitted on the labels' training rows, does not find toxic."""
-    prepare(spark)
+    ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = fit_field(training_sample(docs, labels, in_training(F.col("label_id"))))
     return toxicity(docs, field).where(F.col("score") < TOXIC).select("doc.*")
@@ -29,13 +28,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    prepare(spark)
+    ready(spark)
     return one_of_each(docs)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced; ``n_chars`` follows where a text changed."""
-    prepare(spark)
+    ready(spark)
     changed = pseudonymised(docs, KEY)
     doc = F.col("doc").withField("text", F.col("new_text"))
     if "n_chars" in docs.columns:
@@ -46,7 +45,7 @@ def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or thinned until sources come near their target weights."""
-    prepare(spark)
+    ready(spark)
     return mixed(docs)
 
 
@@ -54,7 +53,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, placed in sequences."""
     import public_tokenizers
 
-    prepare(spark)
+    ready(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

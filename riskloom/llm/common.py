@@ -5,15 +5,26 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskloom.session import shared_folder
+from riskloom.session import prepare, shared_folder
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Entries of one generation of a memo; two generations are held.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 250_000
+
+
+#: What a Python task receives at once. Texts may be long and stand in rows in pairs, so bytes are bounded as well as rows.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the settings these operators rely on."""
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+    return prepare(spark)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.session import prepare
+from riskloom.llm.common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(prepare(spark), sf_dir)
+            return function(ready(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
