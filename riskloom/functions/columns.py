@@ -22,13 +22,19 @@ def bases_with(df: DataFrame, partner: str, anchor: str = "last") -> list[str]:
     return [b for b in bases if f"{b}_{partner}" in names]
 
 
-def project(df: DataFrame, keep: Sequence[str] | None = None, drop: Sequence[str] = ()) -> DataFrame:
-    """Keep a chosen list of names (those present), or everything but the dropped ones.
+def project(
+    df: DataFrame, keep: Sequence[str] | None = None, drop: Sequence[str] = (), missing: str = "error"
+) -> DataFrame:
+    """Keep a chosen list of names, or everything but the dropped ones.
 
-    Both are plain projections, so the parquet scan reads only what is kept.
+    Both are plain projections, so the parquet scan reads only what is kept. A name that the
+    frame lacks is an error, unless ``missing="skip"``.
     """
-    dropped = set(drop)
-    names = df.columns if keep is None else [c for c in keep if c in set(df.columns)]
+    dropped, present = set(drop), set(df.columns)
+    unknown = [c for c in [*(keep or []), *drop] if c not in present]
+    if unknown and missing != "skip":
+        raise ValueError(f"no such columns: {unknown}")
+    names = df.columns if keep is None else [c for c in keep if c in present]
     return df.select(*[c for c in names if c not in dropped])
 
 

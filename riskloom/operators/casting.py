@@ -16,14 +16,14 @@ INTEGER_TYPES = (
 )
 
 
-def downcast_fixed(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
-    """double becomes float, bigint becomes int."""
-    narrow = {T.DoubleType: "float", T.LongType: "int"}
-    casts = {
-        f.name: F.col(f.name).cast(narrow[type(f.dataType)])
-        for f in df.schema
-        if type(f.dataType) in narrow and f.name not in set(skip)
-    }
+def downcast_fixed(df: DataFrame, integers: Sequence[str] = (), skip: Sequence[str] = ()) -> DataFrame:
+    """double becomes float; of the bigint columns, those named (counts) become int.
+
+    Other integers may exceed the smaller type and stay.
+    """
+    kinds = {f.name: type(f.dataType) for f in df.schema if f.name not in set(skip)}
+    casts = {c: F.col(c).cast("float") for c, kind in kinds.items() if kind is T.DoubleType}
+    casts |= {c: F.col(c).cast("int") for c in integers if kinds[c] is T.LongType}
     return df.withColumns(casts)
 
 

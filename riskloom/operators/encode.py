@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from riskloom.operators.ordering import ranked
 from riskloom.session import materialize
 
+# Holds every integer, and decimals up to 20 digits before and 18 after the point.
+EXACT = "decimal(38,18)"
+
 # A column's dictionary up to this many entries is ranked by one task.
 SMALL_DICTIONARY = 1_000_000
 
@@ -17,13 +20,17 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def _entry(df: DataFrame, column: str) -> Column:
-    """Column name, value as text, and its number if the column is numeric (for sorting)."""
-    numeric = isinstance(df.schema[column].dataType, T.NumericType)
+    """Column name, value as text, and its number for sorting: exact for integers and decimals, else a double."""
+    kind = df.schema[column].dataType
+    exact = isinstance(kind, (T.IntegralType, T.DecimalType))
+    floating = isinstance(kind, (T.FloatType, T.DoubleType))
     value = F.col(column)
     present = ~F.isnan(value) if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)) else value.isNotNull()
     value = F.when(present, value)
-    number = value.cast("double") if numeric else F.lit(None).cast("double")
-    return F.struct(F.lit(column).alias("feature"), value.cast("string").alias("value"), number.alias("number"))
+    whole = value.cast(EXACT) if exact else F.lit(None).cast(EXACT)
+    number = value.cast("double") if floating else F.lit(None).cast("double")
+    parts = [F.lit(column).alias("feature"), value.cast("string").alias("value"), whole.alias("exact"), number.alias("number")]
+    return F.struct(*parts)
 
 
 def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DICTIONARY) -> DataFrame:
@@ -37,14 +44,27 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DIC
     distinct = materialize(df.select(entries.alias("e")).select("e.*").distinct())
     largest = distinct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
     if largest <= small:
-        order = Window.partitionBy("feature").orderBy(F.col("number").asc_nulls_last(), F.col("value").asc_nulls_last())
+        line = [F.col(c).asc_nulls_last() for c in ("exact", "number", "value")]
+        order = Window.partitionBy("feature").orderBy(*line)
         code = F.row_number().over(order).cast("long") - 1
         return distinct.select("feature", "value", code.alias("code"))
-    line = [F.col("value").isNull().cast("int"), F.coalesce("number", F.lit(0.0)), F.col("value")]
+    # Buckets are cut along one double; the exact number decides within them.
+    near = F.coalesce("number", F.col("exact").cast("double"), F.lit(0.0))
+    near = F.when(F.col("value").isNull(), F.lit(float("inf"))).otherwise(near)
+    line = [near, F.col("value").isNull().cast("int"), F.coalesce("exact", F.lit(0).cast(EXACT)), F.col("value")]
     placed = ranked(distinct, line, by=["feature"])
     return placed.select("feature", "value", (F.col("rank") - 1).alias("code"))
 
 
+def save_dictionary(dictionary: DataFrame, path: str) -> None:
+    """Write a fitted dictionary as parquet."""
+    dictionary.write.mode("overwrite").parquet(path)
+
+
+def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def apply_dictionary(
     df: DataFrame,
     dictionary: DataFrame,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os.path
+import sys
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
@@ -21,7 +22,9 @@ BUCKET = "_bucket"
 BUCKETS_PER_PART = 4
 BUCKETS_PER_HOT_GROUP = 200
 ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 10_000
+
+# Largest finite double.
+END = sys.float_info.max
 
 # Room for the row number inside one slice when slice and row number share a bigint.
 SLICE_SPAN = 1 << 40
@@ -81,7 +84,7 @@ def bucket_count(total: int, parts: int, min_rows: int) -> int:
     """Enough buckets for the partitions, none too large for one task, none needlessly small."""
     wanted = max(BUCKETS_PER_PART * parts, math.ceil(total / ROWS_PER_BUCKET))
     useful = max(1, total // max(1, min_rows // BUCKETS_PER_HOT_GROUP))
-    return min(wanted, useful, MAX_BUCKETS)
+    return min(wanted, useful)
 
 
 def _by_quantiles(df: DataFrame, order: Sequence[Column], min_rows: int) -> tuple[DataFrame, bool]:
@@ -91,24 +94,22 @@ def _by_quantiles(df: DataFrame, order: Sequence[Column], min_rows: int) -> tupl
     that fills several quantiles is a hot tie: it gets a bucket of its own, which
     is then sliced along the full order. Split points affect balance only.
     """
-    line = F.coalesce(_position_on_line(df, order[0]), F.lit(float("-inf")))
-    placed = df.withColumn("_line", line)
+    # Missing, infinite and NaN values stand at the ends of the line, where many of them are a hot tie like any other.
+    line = F.coalesce(_position_on_line(df, order[0]), F.lit(-END))
+    placed = df.withColumn("_line", F.when(F.isnan(line), END).otherwise(F.greatest(F.lit(-END), F.least(F.lit(END), line))))
     total = df.count()
     n = bucket_count(total, shuffle_partitions(df.sparkSession), min_rows)
     sample = placed.select("_line").sample(sample_fraction(total, n), seed=7)
     shares = ", ".join(f"{i / n!r}D" for i in range(1, n)) or "0.5D"
     found = sample.agg(F.expr(f"percentile_approx(_line, array({shares}), {10 * n + 1_000})").alias("q")).first().q
-    quantiles = [q for q in found or [] if math.isfinite(q)]
-    times = Counter(quantiles)
+    times = Counter(found or [])
     ties = {q: c * total / n for q, c in times.items() if c > 1 and c * total / n >= min_rows}
-    inner = sorted({*times, *(math.nextafter(q, math.inf) for q in ties)})
+    inner = sorted({*times, *(math.nextafter(q, math.inf) for q in ties if q < END)})
     if not inner:
         return placed.withColumn(BUCKET, F.lit(0)).drop("_line"), False
     splits = [-math.inf, *inner, math.inf]
-    # NaN sorts above every number in Spark; "keep" puts it into a bucket past the last.
-    cutter = Bucketizer(splits=splits, inputCol="_line", outputCol=BUCKET, handleInvalid="keep")
-    bucket = F.coalesce(F.col(BUCKET).cast("int"), F.lit(len(splits)))
-    bucketed = cutter.transform(placed).withColumn(BUCKET, bucket).drop("_line")
+    cutter = Bucketizer(splits=splits, inputCol="_line", outputCol=BUCKET)
+    bucketed = cutter.transform(placed).withColumn(BUCKET, F.col(BUCKET).cast("int")).drop("_line")
     hot = HotGroups(total, {splits.index(q): int(rows) for q, rows in ties.items()})
     return with_slices(bucketed, BUCKET, order, hot, min_rows)
 
@@ -158,7 +159,7 @@ def ranked(
     if digest is None:
         placed, cut = _by_quantiles(df, order, row_floor(min_rows))
     else:
-        n = min(BUCKETS_PER_PART * shuffle_partitions(df.sparkSession), MAX_BUCKETS)
+        n = BUCKETS_PER_PART * shuffle_partitions(df.sparkSession)
         placed, cut = df.withColumn(BUCKET, uniform_bucket(digest, n)), False
     keys = _non_null_keys(df, by)
     placed = placed.withColumns(keys)

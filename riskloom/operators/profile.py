@@ -12,13 +12,15 @@ before the exchange that joins the slices.
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskloom.operators.ordered import difference_of_ends
 from riskloom.operators.ordering import FROM_END, SEQ, with_sequence
 from riskloom.operators.skew import HotGroups, hot_groups, split_hot
 
+# The names of the statistics and the tenure of a new key.
 NUMERIC_STATS = ("first", "mean", "std", "min", "max", "last")
 CATEGORICAL_STATS = ("count", "first", "last", "nunique")
 
@@ -61,6 +63,7 @@ def numeric_profile(
     ``sequenced`` comes from :func:`with_sequence`. ``layout`` is ``wide`` (one
     aggregate per output column), ``long`` (unfold, aggregate, widen) or ``auto``.
     """
+    sequenced = with_plain_types(sequenced, columns)
     if layout == "auto":
         layout = "long" if len(columns) >= WIDE_LIMIT else "wide"
     if layout == "wide":
@@ -71,10 +74,29 @@ def numeric_profile(
             outputs += [made[s].alias(f"{c}_{s}") for s in wanted]
         return sequenced.groupBy(key).agg(*outputs)
 
-    long = numeric_profile_long(sequenced, key, columns, bool(diff), stats)
+    # Columns unfold with others of their type, so that values are those of the wide layout.
     named = [*stats, *(["diff1"] if diff else [])]
     skip = {(c, "diff1") for c in columns if c not in set(diff)}
-    return _widen(long, key, columns, named, skip)
+    parts = []
+    for own in _by_type(sequenced, columns):
+        long = numeric_profile_long(sequenced, key, own, bool(diff), stats)
+        parts.append(_widen(long, key, own, named, skip))
+    whole = reduce(lambda a, b: a.join(b, key), parts)
+    return whole.select(key, *[f"`{c}_{s}`" for c in columns for s in named if (c, s) not in skip])
+
+
+def with_plain_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Integers as bigint and floating numbers as double; decimals keep their type."""
+    plain = {c: "bigint" for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)}
+    plain |= {c: "double" for c in columns if isinstance(df.schema[c].dataType, T.FloatType)}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in plain.items()})
+
+
+def _by_type(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        groups.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    return list(groups.values())
 
 
 def _widen(
@@ -99,9 +121,10 @@ def numeric_profile_long(
     """The profile as ``(key, _column, stats…)`` rows; ``_column`` is the position in ``columns``.
 
     Missing cells are kept while unfolding, so a column without any value keeps
-    its row. Prefer this form when the consumer does not need one wide row.
+    its row. Prefer this form when the consumer does not need one wide row. Columns of
+    several types unfold as their common type.
     """
-    cells = F.array(*[F.col(c).cast("double") for c in columns])
+    cells = F.array(*[F.col(c) for c in columns])
     unfolded = sequenced.select(key, SEQ, FROM_END, F.posexplode(cells).alias("_column", "_value"))
     made = _numeric_aggregates("_value")
     wanted = [*stats, *(["diff1"] if diff else [])]

@@ -17,6 +17,9 @@ from riskloom.session import materialize
 
 EPS = 1e-15
 
+# A fall of the loss below this (relative to it) is not measurable in double precision.
+GAIN = 1e-13
+
 # The first two-way mix, the bound of the weight search and its number of trials.
 FIRST_MIX_WEIGHT = 0.03221084221328546
 SEARCH_MAX_WEIGHT = 0.001
@@ -98,14 +101,15 @@ def fit_blend(
     id: str,
     k: int = 5,
     tolerance: float = 1e-9,
-    max_passes: int = 50,
+    max_passes: int = 200,
 ) -> BlendFit:
-    """Weights that minimise the log loss of the blend, per contiguous fold, averaged.
+    """Weights that minimise the log loss of the clipped blend, per contiguous fold, averaged.
 
-    The loss is convex in the weights. Every pass evaluates value, gradient and
-    curvature of all folds in one aggregate over the table (a few sums per fold);
-    the driver solves k systems of size m-1. A step that leaves the domain or
-    does not improve is halved.
+    Every pass evaluates value, slope and curvature of all folds in one aggregate over the
+    table (a few sums per fold); the driver solves k systems of size m-1. Rows whose
+    blend is clipped have a constant loss, hence no slope. A step is halved until the loss
+    falls. A fold has converged when its next step is below ``tolerance`` or promises
+    no measurable gain. Raises if a fold does not get there in ``max_passes``.
     """
     placed = materialize(contiguous_folds(df.select(id, label, *members), id, k))
     m = len(members)
@@ -116,33 +120,43 @@ def fit_blend(
     step = np.zeros((k, free))
     scale = np.ones(k)
     best = np.full(k, np.inf)
+    promised = np.full(k, np.inf)
     done = np.zeros(k, dtype=bool)
     passes = 0
-    while not done.all() and passes < max_passes:
+    while not done.all():
+        if passes == max_passes:
+            raise RuntimeError(f"blend weights of folds {np.flatnonzero(~done).tolist()} did not converge in {passes} passes")
         passes += 1
-        value, grad, hess, inside = _blend_sums(placed, members, label, current + step * scale[:, None])
-        for f in range(k):
-            if done[f]:
-                continue
-            if inside[f] and value[f] <= best[f]:
+        value, grad, hess = _blend_sums(placed, members, label, current + step * scale[:, None])
+        for f in np.flatnonzero(~done):
+            if value[f] <= best[f]:
                 gain = best[f] - value[f]
                 current[f] = current[f] + step[f] * scale[f]
                 best[f] = value[f]
-                step[f] = -np.linalg.lstsq(hess[f], grad[f], rcond=None)[0]
+                step[f], promised[f] = _descent(grad[f], hess[f])
                 scale[f] = 1.0
-                done[f] = np.abs(step[f]).max() < tolerance or gain == 0.0
-                if done[f]:
-                    step[f] = 0.0
+                small = GAIN * (1.0 + abs(best[f]))
+                done[f] = np.abs(step[f]).max() < tolerance or (promised[f] < small and gain < small)
             else:
                 scale[f] /= 2.0
-                if scale[f] < 2**-40:
-                    step[f], done[f] = 0.0, True
+                # A slope that promises nothing measurable over the rest of the step is a minimum.
+                done[f] = promised[f] * scale[f] < GAIN * (1.0 + abs(best[f])) or np.abs(step[f]).max() * scale[f] < tolerance
+            if done[f]:
+                step[f] = 0.0
     mean = current.mean(axis=0)
     return BlendFit(current, np.append(mean, 1.0 - mean.sum()), passes)
 
 
+def _descent(grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, float]:
+    """Newton step, and the fall of the loss it promises; along the slope where the curvature gives no descent."""
+    step = -np.linalg.lstsq(hess, grad, rcond=None)[0]
+    if grad @ step >= 0.0 and np.abs(grad).max() > 0.0:
+        step = -grad / max(1.0, np.abs(grad).max())
+    return step, float(-grad @ step)
+
+
 def _blend_sums(df: DataFrame, members: Sequence[str], label: str, weights: np.ndarray):
-    """Loss, gradient and Hessian of every fold's training rows, in one job."""
+    """Loss, slope and curvature of every fold's training rows, in one job."""
     k, free = weights.shape
     y, last = F.col(label).cast("double"), F.col(members[-1])
     slopes = [F.col(c) - last for c in members[:-1]]
@@ -153,13 +167,10 @@ def _blend_sums(df: DataFrame, members: Sequence[str], label: str, weights: np.n
         for w, d in zip(weights[f], slopes, strict=True):
             blend = blend + F.lit(float(w)) * d
         b = clip(blend, EPS, 1.0 - EPS)
-        first = (b - y) / (b * (F.lit(1.0) - b))
-        second = y / (b * b) + (F.lit(1.0) - y) / ((F.lit(1.0) - b) * (F.lit(1.0) - b))
-        outputs += [
-            F.avg(F.when(use, bernoulli_loss(y, b))).alias(f"v{f}"),
-            F.min(F.when(use, blend)).alias(f"lo{f}"),
-            F.max(F.when(use, blend)).alias(f"hi{f}"),
-        ]
+        inner = (blend > EPS) & (blend < 1.0 - EPS)
+        first = F.when(inner, (b - y) / (b * (F.lit(1.0) - b))).otherwise(0.0)
+        second = F.when(inner, y / (b * b) + (F.lit(1.0) - y) / ((F.lit(1.0) - b) * (F.lit(1.0) - b))).otherwise(0.0)
+        outputs.append(F.avg(F.when(use, bernoulli_loss(y, b))).alias(f"v{f}"))
         for i in range(free):
             outputs.append(F.avg(F.when(use, first * slopes[i])).alias(f"g{f}_{i}"))
             outputs += [F.avg(F.when(use, second * slopes[i] * slopes[j])).alias(f"h{f}_{i}_{j}") for j in range(i + 1)]
@@ -169,8 +180,7 @@ def _blend_sums(df: DataFrame, members: Sequence[str], label: str, weights: np.n
     hess = np.array(
         [[[row[f"h{f}_{max(i, j)}_{min(i, j)}"] for j in range(free)] for i in range(free)] for f in range(k)]
     )
-    inside = np.array([EPS < row[f"lo{f}"] and row[f"hi{f}"] < 1.0 - EPS for f in range(k)])
-    return value, grad, hess, inside
+    return value, grad, hess
 
 
 def blend_grid(

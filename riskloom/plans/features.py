@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskloom.operators.casting import downcast_fixed
 from riskloom.operators.derive import last_first_diff, last_mean_diff, last_mean_rate, ratio_features, round_features
@@ -12,6 +12,7 @@ from riskloom.operators.encode import apply_dictionary, fit_dictionary
 from riskloom.operators.ordered import gap_days
 from riskloom.operators.profile import profile, tenure
 from riskloom.operators.skew import hot_groups
+from riskloom.session import materialize
 
 
 def statement_profiles(
@@ -26,8 +27,12 @@ def statement_profiles(
     float32: bool = True,
     min_rows: int | None = None,
 ) -> DataFrame:
-    """One profile row per key; with gaps and tenure when asked for."""
+    """One profile row per key; with gaps and tenure when asked for.
+
+    A time given as text is parsed here, once, so that every step orders by the same clock.
+    """
     order, names = [time, *tie], list(numeric)
+    statements = with_parsed_time(statements, time)
     rows = statements
     hot = hot_groups(statements, key, min_rows)
     if with_gaps:
@@ -35,12 +40,20 @@ def statement_profiles(
         names.append("SDist")
     result = profile(rows, key, order, names, categorical, hot=hot, min_rows=min_rows)
     if float32:
-        result = downcast_fixed(result, skip=[key])
+        counts = [f"{c}_{s}" for c in categorical for s in ("count", "nunique")]
+        result = downcast_fixed(result, integers=counts, skip=[key])
     if markers:
         result = result.join(tenure(statements, key, time, markers), key)
     return result
 
 
+def with_parsed_time(df: DataFrame, time: str) -> DataFrame:
+    """The time column as a timestamp without zone, if it is text (years, months and days need no leading zeros)."""
+    if not isinstance(df.schema[time].dataType, T.StringType):
+        return df
+    return df.withColumn(time, F.col(time).cast("timestamp_ntz"))
+
+
 def with_labels(profiles: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Attach labels, keeping profiles that have none."""
     return profiles.join(labels, key, "left")
@@ -51,9 +64,10 @@ def training_frame(
 ) -> tuple[DataFrame, DataFrame]:
     """Derived features and category codes; returns the frame and the dictionary used.
 
-    Without a dictionary (training) one is fitted; with one (scoring) it is applied.
+    Without a dictionary (training) one is fitted; with one (scoring) it is applied. The profiles
+    are computed once although fitting and applying both read them.
     """
-    derived = round_features(profiles)
+    derived = round_features(materialize(profiles) if dictionary is None else profiles)
     for step in (last_mean_diff, last_mean_rate, last_first_diff, ratio_features):
         derived = step(derived)
     used = fit_dictionary(derived, categorical) if dictionary is None else dictionary

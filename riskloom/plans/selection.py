@@ -13,9 +13,11 @@ from riskloom.operators.folds import holdout_split, shuffle_digest
 from riskloom.plans.learn import MakeStages, assemble, fit_fold
 from riskloom.session import materialize
 
-# Rows of a bucket within which values change places; large enough to mix well.
-ROWS_PER_BUCKET = 50_000
-MAX_PARTS = 10_000
+# Buckets within which values change places. Fixed, so that importances do not depend on cores or settings.
+BUCKETS = 64
+
+# A bucket with more rows than this would be too much for one task; only then there are more.
+ROWS_PER_BUCKET = 2_000_000
 
 MIX = "_mix_bucket"
 
@@ -23,7 +25,7 @@ MIX = "_mix_bucket"
 def with_mixing_buckets(df: DataFrame, id: str, buckets: int) -> DataFrame:
     """Partition rows by a random bucket, within which columns will be permuted."""
     placed = df.withColumn(MIX, F.pmod(F.xxhash64(F.col(id)), F.lit(buckets)))
-    return placed.repartition(min(buckets, MAX_PARTS), MIX)
+    return placed.repartition(buckets, MIX)
 
 
 def permute_column(df: DataFrame, column: str, id: str, seed: str) -> DataFrame:
@@ -60,7 +62,7 @@ def permutation_importance(
     split = materialize(holdout_split(rows, id, label, share, seed))
     model = fit_fold(assemble(split, features), make_stages, F.col("is_holdout"))
     held = split.where("is_holdout")
-    holdout = with_mixing_buckets(held, id, max(1, held.count() // ROWS_PER_BUCKET))
+    holdout = with_mixing_buckets(held, id, max(BUCKETS, held.count() // ROWS_PER_BUCKET))
     right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
     base = model.transform(assemble(holdout, features)).agg(right.alias("base")).first()
 

@@ -7,18 +7,17 @@ day. An order's label is whether its status is F; its score is its scaled price.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskloom.functions.arith import linear_blend, round_half_even, two_way_mix, weighted_average
+from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, round_half_even, two_way_mix, weighted_average
 from riskloom.functions.columns import project
 from riskloom.functions.missing import fill_sentinel, null_counts, sentinel_fill
 from riskloom.operators import derive
 from riskloom.operators.casting import downcast_by_range, downcast_fixed, downcast_floats
-from riskloom.operators.encode import apply_dictionary, fit_dictionary
+from riskloom.operators.encode import apply_dictionary, fit_dictionary, load_dictionary, save_dictionary
 from riskloom.operators.folds import (
     assign_chunks,
     contiguous_folds,
@@ -41,6 +40,7 @@ from riskloom.operators.ordered import gap_days, last_difference
 from riskloom.operators.ordering import head_tail, with_sequence
 from riskloom.operators.profile import categorical_profile, numeric_profile, profile, tenure
 from riskloom.plans.ensemble import (
+    EPS,
     FIRST_MIX_WEIGHT,
     apply_blend,
     blend_grid,
@@ -61,8 +61,8 @@ from riskloom.plans.learn import (
     statement_meta_feature,
 )
 from riskloom.plans.selection import permutation_importance, select_features
-from riskloom.session import materialize, prepare, shared_folder
-from riskloom.sources.files import read_parquet
+from riskloom.session import materialize, prepare, scratch
+from riskloom.sources.files import attach, read_csv, read_parquet, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,7 +183,7 @@ def _(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     return project(
         rows,
-        keep=["l_quantity", "l_orderkey", "l_extendedprice", "not_there", "l_discount"],
+        keep=["l_quantity", "l_orderkey", "l_extendedprice", "l_discount"],
         drop=["l_orderkey", "l_shipdate"],
     )
 
@@ -380,13 +380,17 @@ def _(spark, sf_dir):
 @register(
     "downcast_fixed",
     """
-    SELECT CAST(l_orderkey AS INTEGER) AS l_orderkey, l_linenumber, CAST(l_quantity AS FLOAT) AS l_quantity,
+    SELECT l_orderkey + 3000000000 AS l_orderkey, l_linenumber, CAST(l_quantity AS FLOAT) AS l_quantity,
            CAST(l_extendedprice AS FLOAT) AS l_extendedprice, CAST(l_tax AS FLOAT) AS l_tax
     FROM lineitem""",
 )
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    return downcast_fixed(rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"))
+    # Counts are narrowed, keys beyond the smaller type are not.
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") + 3_000_000_000).alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"),
+        "l_quantity", "l_extendedprice", "l_tax",
+    )
+    return downcast_fixed(rows, integers=["l_linenumber"])
 
 
 @register(
@@ -400,22 +404,20 @@ def _(spark, sf_dir):
 @register(
     "downcast_by_range",
     """
-    SELECT CAST(l_linenumber AS TINYINT) AS l_linenumber, CAST(l_partkey AS SMALLINT) AS l_partkey,
-           CAST(l_quantity AS FLOAT) AS l_quantity, CAST(l_extendedprice AS FLOAT) AS l_extendedprice,
-           CAST(l_partkey * 1000000 AS BIGINT) AS large, l_returnflag
+    SELECT CAST(l_linenumber AS TINYINT) AS tiny, CAST(l_linenumber * 1000 AS SMALLINT) AS small,
+           CAST(l_linenumber * 1000000 AS INTEGER) AS medium, l_linenumber::BIGINT * 1000000000000 AS large,
+           CAST(l_quantity AS FLOAT) AS l_quantity, CAST(l_extendedprice AS FLOAT) AS l_extendedprice, l_returnflag
     FROM lineitem""",
 )
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
-        "l_linenumber",
-        "l_partkey",
+        F.col("l_linenumber").alias("tiny"),
+        *[(F.col("l_linenumber").cast("long") * n).alias(c) for c, n in (("small", 1000), ("medium", 10**6), ("large", 10**12))],
         "l_quantity",
         "l_extendedprice",
-        (F.col("l_partkey") * 1000000).alias("large"),
         "l_returnflag",
     )
-    # At small scale "large" fits an int; it is kept as it is to show the column choice.
-    return downcast_by_range(rows, ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"])
+    return downcast_by_range(rows)
 
 
 @register(
@@ -582,6 +584,8 @@ def _(spark, sf_dir):
     return made.select("o_custkey", *settled(4, *numeric), *[c for c in made.columns if c.startswith(("status", "priority"))])
 
 
+GAP = "coalesce((epoch_us({t}) - lag(epoch_us({t})) OVER (PARTITION BY {k} ORDER BY {t}, {i})) / 86400e6, 30.53)"
+
 LINE_ORDER = [
     "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     "l_returnflag", "l_linestatus",
@@ -608,6 +612,58 @@ def _(spark, sf_dir):
     return made.select("l_orderkey", *settled(4, *[c for c in made.columns if c not in texts and c != "l_orderkey"]), *texts)
 
 
+# Many columns of mixed types: every one is a stated shift of a table column.
+WIDE_COLUMNS = {f"c{i}": (["l_partkey", "l_linenumber", "l_quantity", "l_tax"][i % 4], i) for i in range(24)}
+WIDE_WHOLE = [c for c, (base, _) in WIDE_COLUMNS.items() if base in ("l_partkey", "l_linenumber")]
+WIDE_EXACT = ["first", "last", "min", "max", "diff1"]
+
+
+@register(
+    "profile_wide",
+    f"""
+    WITH shifted AS (
+      SELECT *, {", ".join(f"{base} + {i if base[2:] != 'partkey' else i + 9007199254740992} AS {c}" for c, (base, i) in WIDE_COLUMNS.items())}
+      FROM lineitem),
+    statements AS (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS seq,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(f"{c} DESC" for c in LINE_ORDER)}) AS from_end
+      FROM shifted)
+    SELECT l_orderkey, {", ".join(
+        (f"arg_min({c}, seq)::BIGINT AS {c}_first, arg_max({c}, seq)::BIGINT AS {c}_last, min({c})::BIGINT AS {c}_min, "
+         f"max({c})::BIGINT AS {c}_max, (max({c}) FILTER (from_end = 1) - max({c}) FILTER (from_end = 2))::BIGINT AS {c}_diff1")
+        if c in WIDE_WHOLE else _numeric_sql(c, True) for c in WIDE_COLUMNS
+    )}
+    FROM statements GROUP BY l_orderkey""",
+)
+def _(spark, sf_dir):
+    shift = {c: F.col(base) + F.lit(i + 2**53 if base == "l_partkey" else i) for c, (base, i) in WIDE_COLUMNS.items()}
+    rows = table(spark, sf_dir, "lineitem").withColumns(shift)
+    made = profile(rows, "l_orderkey", LINE_ORDER, list(WIDE_COLUMNS))
+    whole = [f"{c}_{s}" for c in WIDE_WHOLE for s in WIDE_EXACT]
+    rest = [c for c in made.columns[1:] if c.split("_")[0] not in WIDE_WHOLE]
+    return made.select("l_orderkey", *whole, *settled(4, *rest))
+
+
+@register(
+    "profile_text_time",
+    f"""
+    WITH {STATEMENTS}, days AS (
+      SELECT *, {GAP.format(t='o_orderdate', k='o_custkey', i='o_orderkey')} AS "SDist" FROM statements)
+    SELECT o_custkey, {_numeric_sql("price", True)}, {_numeric_sql("SDist", True)}, {_categorical_sql("status")},
+           count(o_orderdate)::DOUBLE AS "LT", max(o_orderdate) AS o_orderdate
+    FROM days GROUP BY o_custkey""",
+)
+def _(spark, sf_dir):
+    # Text dates without leading zeros sort differently as text.
+    text = statements(spark, sf_dir).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-M-d"))
+    made = statement_profiles(
+        text, "o_custkey", "o_orderdate", ["o_orderkey"], ["price"], ["status"], markers=["price"], with_gaps=True, float32=False
+    )
+    numbers = [c for c in made.columns if c.startswith(("price", "SDist"))]
+    texts = [c for c in made.columns if c.startswith("status")]
+    return made.select("o_custkey", *settled(4, *numbers), *texts, "LT", "o_orderdate")
+
+
 @register(
     "last_diff",
     f"""
@@ -622,9 +678,6 @@ def _(spark, sf_dir):
     return made.select("o_custkey", *rounded(4, "price_diff1", "amount_diff1"))
 
 
-GAP = "coalesce((epoch_us({t}) - lag(epoch_us({t})) OVER (PARTITION BY {k} ORDER BY {t}, {i})) / 86400e6, 30.53)"
-
-
 @register(
     "gap_days",
     f"""
@@ -702,8 +755,7 @@ def _(spark, sf_dir):
         with_gaps=True,
         float32=False,
     )
-    profiles = materialize(with_labels(made, labels, "o_custkey"))
-    frame, _dictionary = training_frame(profiles, ["status_last"])
+    frame, _dictionary = training_frame(with_labels(made, labels, "o_custkey"), ["status_last"])
     four = ["price_last", "price_diff1", "price_last_mean_diff", "price_last_first_diff"]
     return frame.select(
         "o_custkey", "target", *settled(4, *four), *rounded(6, "price_last_mean_rate"), "status_last", "LT"
@@ -780,6 +832,50 @@ def _(spark, sf_dir):
     return apply_dictionary(coded, fit_dictionary(rows, ["priority"]), ["priority"])
 
 
+@register(
+    "encode_large_ids",
+    """
+    WITH base AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN -9007199254740992 - o_orderkey
+                                       ELSE 9007199254740992 + o_orderkey END AS big FROM orders)
+    SELECT 'big' AS feature, big::VARCHAR AS value, row_number() OVER (ORDER BY big) - 1 AS code FROM base""",
+)
+def _(spark, sf_dir):
+    key = F.col("o_orderkey")
+    big = F.when(key % 3 == 0, F.lit(-(2**53)) - key).otherwise(F.lit(2**53) + key)
+    return fit_dictionary(table(spark, sf_dir, "orders").select(big.alias("big")), ["big"])
+
+
+@register(
+    "encoder_roundtrip",
+    """
+    WITH codes AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code
+                   FROM (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderpriority NOT LIKE '1%'))
+    SELECT o_orderkey, coalesce(code, -1) AS priority FROM orders LEFT JOIN codes ON v = o_orderpriority""",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"))
+    with scratch(spark) as path:
+        save_dictionary(fit_dictionary(rows.where("priority not like '1%'"), ["priority"]), path)
+        return materialize(apply_dictionary(rows, load_dictionary(spark, path), ["priority"], unseen=-1))
+
+
+@register(
+    "submission_roundtrip",
+    f"""
+    WITH {MEMBERS}
+    SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE round_even(m1, 8) END AS prediction FROM members""",
+)
+def _(spark, sf_dir):
+    rows = members(spark, sf_dir)
+    with scratch(spark) as path:
+        write_csv(rows.select("id"), f"{path}/ids")
+        wanted = read_csv(spark, f"{path}/ids", "id long")
+        scored = rows.where("id % 4 != 0").select("id", F.col("m1").alias("prediction"))
+        write_csv(attach(wanted, scored, "id"), f"{path}/submission")
+        back = materialize(read_csv(spark, f"{path}/submission", "id long, prediction double"))
+    return back.select("id", *rounded(8, "prediction"))
+
+
 # --- folds -----------------------------------------------------------------------------------
 
 DIGEST = "md5(concat('{seed}', ':', {id}))"
@@ -1085,9 +1181,9 @@ def _(spark, sf_dir):
 @register("bundle_roundtrip", "SELECT c_custkey AS o_custkey, true AS same FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(spark, sf_dir):
     bundle = _customer_cv(spark, sf_dir)
-    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
-    bundle.save(path)
-    loaded = ModelBundle.load(spark, path)
+    with scratch(spark) as path:
+        bundle.save(path)
+        loaded = ModelBundle.load(spark, path)
     rows = customer_rows(spark, sf_dir)
     before = average_folds(bundle.models, rows, CUSTOMER_FEATURES).select("o_custkey", F.col("prediction").alias("before"))
     after = average_folds(loaded.models, rows, CUSTOMER_FEATURES).select("o_custkey", F.col("prediction").alias("after"))
@@ -1200,3 +1296,69 @@ def _(spark, sf_dir):
     long = base.unpivot(["y"], names, "feature", "x")
     importance = long.groupBy("feature").agg(round_half_even(F.corr("x", "y"), 8).alias("weight"))
     return select_features(importance, ["l_linenumber", "l_tax"])
+
+
+@register(
+    "rank_score_missing",
+    f"""
+    WITH {SCORED}, missing AS (
+      SELECT id, label, CASE WHEN id % 2 = 0 THEN -1.0 ELSE score END AS score FROM scored), {ranked_sql('missing', 'score')}
+    SELECT round_even(d, 8) AS top_capture, round_even(g, 8) AS weighted_gini, round_even(0.5 * (g + d), 8) AS rank_score FROM metric""",
+)
+def _(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    missing = rows.withColumn("score", F.when(F.col("id") % 2 != 0, F.col("score")))
+    return rank_score(missing, "label", "score", "id").select(*rounded(8, "top_capture", "weighted_gini", "rank_score"))
+
+
+@register(
+    "blend_fit_check",
+    "SELECT unnest(range(3))::INT AS fold, true AS is_minimum, true AS is_below_start",
+)
+def _(spark, sf_dir):
+    # Some members are certain of some rows, and all of them of a few.
+    rows = members(spark, sf_dir)
+    sure = F.when(F.col("id") % 97 == 0, 0.0).when(F.col("id") % 89 == 0, 1.0)
+    rows = rows.withColumns({"label": F.when(F.col("id") % 97 == 0, 0).otherwise(F.col("label")), "m1": F.coalesce(sure, "m1"),
+                             "m2": F.when(F.col("id") % 97 == 0, 0.0).otherwise(F.col("m2"))})
+    k, names = 3, ["m1", "m2"]
+    fit = fit_blend(rows, names, "label", "id", k)
+    placed = materialize(contiguous_folds(rows, "id", k))
+    found = []
+    for f in range(k):
+        w = float(fit.fold_weights[f][0])
+        tries = {"at": w, "start": 0.5, "less": w - 1e-4, "more": w + 1e-4}
+        training = placed.where(F.col("fold") != f)
+        losses = {n: F.avg(bernoulli_loss(F.col("label"), clip(linear_blend({"m1": x, "m2": 1.0 - x}), EPS, 1.0 - EPS))) for n, x in tries.items()}
+        row = training.agg(*[v.alias(n) for n, v in losses.items()]).first()
+        found.append((f, min(row.less, row.more) >= row.at - 1e-12, row.at <= row.start))
+    return spark.createDataFrame(found, "fold int, is_minimum boolean, is_below_start boolean")
+
+
+@register(
+    "fold_inference_check",
+    "SELECT c_custkey AS o_custkey, true AS same FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+)
+def _(spark, sf_dir):
+    rows, models = customer_rows(spark, sf_dir), _customer_cv(spark, sf_dir).models
+    together = average_folds(models, rows, CUSTOMER_FEATURES).select("o_custkey", "prediction")
+    for i, model in enumerate(models):
+        own = average_folds([model], rows, CUSTOMER_FEATURES).select("o_custkey", F.col("prediction").alias(f"p{i}"))
+        together = together.join(own, "o_custkey")
+    mean = sum((F.col(f"p{i}") for i in range(len(models))), F.lit(0.0)) / len(models)
+    return together.select("o_custkey", (F.abs(mean - F.col("prediction")) < 1e-9).alias("same"))
+
+
+@register(
+    "meta_profile",
+    """
+    WITH k AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+    SELECT o_custkey, true AS is_between, 0 AS diff_columns FROM k WHERE o_custkey IN (SELECT c_custkey FROM customer)""",
+)
+def _(spark, sf_dir):
+    # Statement-level predictions become profile columns like any other, without a last-step difference.
+    rows = _meta_feature(spark, sf_dir)[1][0]
+    dated = rows.join(statements(spark, sf_dir).select("o_orderkey", "o_orderdate"), "o_orderkey")
+    made = profile(dated, "o_custkey", ["o_orderdate", "o_orderkey"], ["preds", "price"])
+    between = F.col("preds_mean").between(F.col("preds_min"), F.col("preds_max")) & F.col("preds_last").between(0, 1)
+    return made.select("o_custkey", between.alias("is_between"), F.lit(sum("preds_diff" in c for c in made.columns)).alias("diff_columns"))

@@ -29,7 +29,7 @@ def read_parquet(spark: SparkSession, path: str, keep: Column | None = None) ->
     return normalise_missing(stored.where(keep)).where(keep)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV scan with a stated schema (no inference pass)."""
     return normalise_missing(
         spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
@@ -56,3 +56,8 @@ def write_names(spark: SparkSession, names: Sequence[str], path: str) -> None:
 def read_names(spark: SparkSession, path: str) -> list[str]:
     """Load a feature list. It names columns of a plan, so it is short by nature."""
     return [r.feature for r in spark.read.parquet(path).orderBy("position").collect()]
+
+
+def attach(wanted: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """Put predictions beside the rows that ask for them, by key; NULL where there is none."""
+    return wanted.join(predictions, key, "left")

@@ -54,7 +54,9 @@ def test_columns_are_chosen_by_name_and_type(spark):
     assert bases_with(df, "mean") == ["P"]
     assert bases_with(df, "first") == []
     assert edge_float_columns(df) == ["P_last", "Q_last", "P_last_round2"]
-    assert project(df, keep=["Q_last", "nope", "P_last"], drop=["P_last"]).columns == ["Q_last"]
+    assert project(df, keep=["Q_last", "nope", "P_last"], drop=["P_last"], missing="skip").columns == ["Q_last"]
+    with pytest.raises(ValueError, match="nope"):
+        project(df, keep=["Q_last", "nope"])
     assert common_names(["c", "a", "b"], ["a", "c"]) == ["c", "a"]
     assert last_mean_rate(df).first().P_last_mean_rate == 0.5
     assert "N_last_round2" not in round_features(df).columns
