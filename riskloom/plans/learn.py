@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -17,18 +17,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from riskloom.functions.missing import SENTINEL, fill_sentinel
 from riskloom.operators.folds import grouped_stratified_folds, repeated_stratified_folds, stratified_folds
 from riskloom.operators.metrics import fold_summary, rank_score
-from riskloom.session import materialize
+from riskloom.session import materialize, scratch
 
 MODEL_OUTPUTS = ("scaled", "rawPrediction", "probability", "prediction")
 VALIDATION = "_is_validation"
 
 MakeStages = Callable[[], list]
+Metric = Callable[[DataFrame, str, str, str, Sequence[str]], DataFrame]
 
 
 def boosted_trees(
-    rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42, weight: str | None = None, label: str = "label"
+    rounds: int = 20,
+    depth: int = 4,
+    step: float = 0.1,
+    seed: int = 42,
+    weight: str | None = None,
+    label: str = "label",
+    row_share: float = 1.0,
+    feature_share: str = "all",
+    leaf_rows: int = 1,
+    bins: int = 32,
 ) -> GBTClassifier:
-    """Boosted-tree member: binary objective, stops early on the held-out fold."""
+    """Boosted-tree member: binary objective, stops early on the held-out fold.
+
+    ``row_share`` and ``feature_share`` are drawn anew for every tree and node; ``bins`` must not be
+    below the number of values of a nominal feature.
+    """
     params = dict(
         labelCol=label,
         featuresCol="features",
@@ -37,6 +51,10 @@ def boosted_trees(
         stepSize=step,
         seed=seed,
         validationIndicatorCol=VALIDATION,
+        subsamplingRate=row_share,
+        featureSubsetStrategy=feature_share,
+        minInstancesPerNode=leaf_rows,
+        maxBins=bins,
     )
     return GBTClassifier(**params, **({"weightCol": weight} if weight else {}))
 
@@ -74,14 +92,24 @@ class ModelBundle:
         return cls(models, spark.read.parquet(f"{path}/oof"), scores.drop("models"))
 
 
-def assemble(df: DataFrame, features: Sequence[str], sentinel: float = SENTINEL) -> DataFrame:
+def assemble(
+    df: DataFrame, features: Sequence[str], sentinel: float = SENTINEL, nominal: Mapping[str, int] | None = None
+) -> DataFrame:
     """Add the ``features`` vector; missing and infinite values become the sentinel.
 
-    The columns themselves stay as they are.
+    ``nominal`` names features that are dictionary codes, with their number: trees split them by sets of
+    values, not by order. A missing or unknown code is one more value. The columns themselves stay as they are.
     """
+    nominal = nominal or {}
     filled = {f"_in_{c}": fill_sentinel(F.col(c).cast("double"), sentinel) for c in features}
+    for c, n in nominal.items():
+        known = F.col(c).between(0, n - 1)
+        filled[f"_in_{c}"] = F.when(known, F.col(c).cast("double")).otherwise(F.lit(float(n)))
+    ready = df.withColumns(filled)
+    for c, n in nominal.items():
+        ready = ready.withMetadata(f"_in_{c}", {"ml_attr": {"type": "nominal", "num_vals": n + 1}})
     assembler = VectorAssembler(inputCols=list(filled), outputCol="features")
-    return assembler.transform(df.withColumns(filled)).drop(*filled)
+    return assembler.transform(ready).drop(*filled)
 
 
 def positive_probability() -> Column:
@@ -116,23 +144,38 @@ def cross_validate(
     repeats: int = 1,
     threads: int = 2,
     carry: Sequence[str] = (),
+    nominal: Mapping[str, int] | None = None,
+    metric: Metric = rank_score,
+    measure: str = "rank_score",
 ) -> ModelBundle:
     """Train one model per fold and predict every row with the model that did not see it.
 
-    Only ids, label and the assembled vector are kept, computed once into the
-    shared folder; folds are fitted from a few driver threads. ``group`` keeps all rows of an entity
+    Only ids, label and the assembled vector are kept, computed once into a table of the
+    shared folder with a part for each fold, so that a fold's model reads the other parts only; folds are fitted
+    from a few driver threads. ``group`` keeps all rows of an entity
     in one fold. With ``repeats`` the out-of-fold prediction of a row is the mean
-    over repeats.
+    over repeats. ``metric(rows, label, score, id, by)`` gives the column ``measure`` of the scores.
     """
+    with scratch(df.sparkSession) as folder:
+        return _cross_validate(
+            df, features, label, id, make_stages, k, seed, group, repeats, threads, carry, nominal, metric, measure, folder
+        )
+
+
+def _cross_validate(
+    df, features, label, id, make_stages, k, seed, group, repeats, threads, carry, nominal, metric, measure, folder
+) -> ModelBundle:
     kept = list(dict.fromkeys([id, label, *([group] if group else []), *carry, "features"]))
-    rows = assemble(df, features).select(*kept).withColumn(label, F.col(label).cast("int"))
+    # Placing the rows in folds reads them several times.
+    rows = materialize(assemble(df, features, nominal=nominal).select(*kept).withColumn(label, F.col(label).cast("int")))
     if group:
         placed = grouped_stratified_folds(rows, group, label, k, seed).withColumn("repeat", F.lit(0))
     elif repeats > 1:
         placed = repeated_stratified_folds(rows, id, label, k, repeats, seed)
     else:
         placed = stratified_folds(rows, id, label, k, seed).withColumn("repeat", F.lit(0))
-    placed = materialize(placed)
+    placed.write.partitionBy("repeat", "fold").parquet(folder)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(folder)
 
     def one(part: tuple[int, int]) -> PipelineModel:
         r, f = part
@@ -157,33 +200,35 @@ def cross_validate(
         oof = materialize(oof.withColumn("fold", F.lit(None).cast("int")).select(id, *carry, "fold", label, "prediction"))
     else:
         oof = each.drop("repeat")
-    return ModelBundle(models, oof, _scores(each, oof, label, id))
+    return ModelBundle(models, oof, _scores(each, oof, label, id, metric, measure))
 
 
-def _scores(each: DataFrame, oof: DataFrame, label: str, id: str) -> DataFrame:
+def _scores(each: DataFrame, oof: DataFrame, label: str, id: str, metric: Metric, measure: str) -> DataFrame:
     """``(measure, repeat, fold, value)``: every fold, their mean and deviation, and all rows."""
-    folds = rank_score(each, label, "prediction", id, by=["repeat", "fold"])
-    folds = materialize(folds.select("repeat", "fold", F.col("rank_score").alias("value")))
+    folds = metric(each, label, "prediction", id, ["repeat", "fold"])
+    folds = materialize(folds.select("repeat", "fold", F.col(measure).alias("value")))
     summary = fold_summary(folds, "value")
     nowhere = [F.lit(None).cast("int").alias(c) for c in ("repeat", "fold")]
     parts = [
         folds.select(F.lit("fold").alias("measure"), "repeat", "fold", "value"),
         summary.select(F.lit("cv_mean").alias("measure"), *nowhere, F.col("cv_mean").alias("value")),
         summary.select(F.lit("cv_std").alias("measure"), *nowhere, F.col("cv_std").alias("value")),
-        rank_score(oof, label, "prediction", id).select(
-            F.lit("oof").alias("measure"), *nowhere, F.col("rank_score").alias("value")
+        metric(oof, label, "prediction", id, []).select(
+            F.lit("oof").alias("measure"), *nowhere, F.col(measure).alias("value")
         ),
     ]
     return materialize(reduce(DataFrame.unionByName, parts))
 
 
-def average_folds(models: Sequence[PipelineModel], df: DataFrame, features: Sequence[str]) -> DataFrame:
+def average_folds(
+    models: Sequence[PipelineModel], df: DataFrame, features: Sequence[str], nominal: Mapping[str, int] | None = None
+) -> DataFrame:
     """Mean probability of the fold models as ``prediction``, added to all columns of ``df``.
 
     One narrow pass: the models are applied one after another to the same rows,
     no exchange and no chunk loop.
     """
-    scored = assemble(df, features)
+    scored = assemble(df, features, nominal=nominal)
     for i, model in enumerate(models):
         scored = model.transform(scored).withColumn(f"_p{i}", positive_probability()).drop(*MODEL_OUTPUTS)
     total = reduce(Column.__add__, [F.col(f"_p{i}") for i in range(len(models))])

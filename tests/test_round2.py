@@ -10,6 +10,7 @@ from riskloom.operators.ordering import descending, with_sequence
 from riskloom.operators.profile import numeric_profile
 from riskloom.plans.ensemble import fit_blend
 from riskloom.plans.features import statement_profiles
+from riskloom.plans.learn import average_folds, boosted_trees, cross_validate
 
 
 def blend_rows(spark, extra=()):
@@ -90,3 +91,22 @@ def test_dictionary_orders_large_integers_and_survives_saving(spark, tmp_path):
     more = df.union(spark.createDataFrame([(8,)], "v long"))
     got = [r.v for r in apply_dictionary(more, loaded, ["v"], unseen=-1).collect()]
     assert sorted(got) == [-1, 0, 1, 2, 3, 4, 5]
+
+
+def test_categories_split_by_value_and_the_metric_is_a_choice(spark):
+    # Codes 1, 3 and 5 are positive: no single cut of an ordered code separates them.
+    rows = [(i, i % 6 if i % 11 else None, i % 2 if i % 11 else 1) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, code int, label int")
+
+    def hits(df, label, score, id, by):
+        right = F.avg(((F.col(score) >= 0.5) == (F.col(label) == 1)).cast("double"))
+        return df.groupBy(*by).agg(right.alias("hits"))
+
+    trees = lambda: [boosted_trees(rounds=2, depth=1, bins=8, row_share=0.9, leaf_rows=5)]
+    options = dict(k=2, metric=hits, measure="hits")
+    nominal = cross_validate(df, ["code"], "label", "id", trees, nominal={"code": 6}, **options)
+    ordered = cross_validate(df, ["code"], "label", "id", trees, **options)
+    value = {name: {r.measure: r.value for r in b.scores.collect()}["oof"] for name, b in (("n", nominal), ("o", ordered))}
+    assert value["n"] == 1.0 and value["o"] < 0.9
+    again = average_folds(nominal.models, df, ["code"], {"code": 6})
+    assert again.where("(prediction >= 0.5) != (label = 1)").count() == 0
