@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.llm.common import memo, written
 
@@ -25,11 +25,11 @@ MIN_DOCS = 5
 LIFT = 12.0
 
 #: Passes over the training documents; after each, the weights that parts of them have arrived at are averaged.
-ROUNDS = 4
+ROUNDS = 5
 PARTS = 6
 
 #: Tokens per gradient step.
-STEP_TOKENS = 60_000
+STEP_TOKENS = 12_000
 
 
 def features(word: str) -> list[str]:
@@ -108,6 +108,11 @@ class Field:
     document: tuple[float, ...] = ()
 
 
+def _broadcast(spark: SparkSession, field: Field):
+    """The parts of a field, as types that every executor knows."""
+    return spark.sparkContext.broadcast((field.weights, field.bias, field.trans, field.start, field.document))
+
+
 def _flat(texts: list[str], emission) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of all tokens of some texts in one array, where texts begin, and the text of each token."""
     words = [t.split() for t in texts]
@@ -272,10 +277,10 @@ def fit_field(sample: DataFrame) -> Field:
     if not (n1 and n0):
         return field
 
-    shared = spark.sparkContext.broadcast(field)
+    shared = _broadcast(spark, field)
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = _scorer(shared.value)
+        run = _scorer(Field(*shared.value))
         for batch in batches:
             values, _ = run(batch["text"].tolist(), "fit")
             yield pd.DataFrame(values, columns=["a", "b", "c"]).assign(label=batch["toxic"].to_numpy(dtype=float))
@@ -301,12 +306,12 @@ def toxicity(docs: DataFrame, field: Field, text_column: str = "text") -> DataFr
     """
     import uuid
 
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = _broadcast(docs.sparkSession, field)
     name = uuid.uuid4().hex
 
     @F.pandas_udf("score double, spans array<struct<start:int,length:int>>")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        own = shared.value
+        own = Field(*shared.value)
         run = _scorer(own)
         texts = texts.fillna("").tolist()
         score, spans = np.zeros(len(texts)), []
