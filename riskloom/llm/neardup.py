@@ -238,8 +238,9 @@ def near_duplicates(
         )
         likely = written(likely)
         wanted = likely.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-        texts = docs.select(digest.alias("key"), text.alias("text")).join(wanted, "key", "left_semi")
-        texts = written(texts.groupBy("key").agg(F.first("text").alias("text")))
+        # Copies of a text collapse in the tasks that read them, before any exchange.
+        texts = docs.select(digest.alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+        texts = written(texts.join(wanted, "key", "left_semi"))
         beside = likely.join(texts.toDF("key_b", "text_b"), "key_b").join(texts.toDF("key_a", "text_a"), "key_a")
         return written(beside.mapInPandas(_confirm(percent), "node_a binary, node_b binary"))
 
