@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import WORD, filled_id, memo, written
+from riskloom.llm.common import WORD, filled_id, memo, once, written
 from riskloom.llm.components import components
 
 SHINGLE = 5
@@ -56,7 +55,6 @@ def shingle_hashes(words: list[bytes], word_hash) -> np.ndarray:
     return np.unique(total)
 
 
-@lru_cache
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     a = rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -65,7 +63,7 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     """One minimum per hash function over a set of shingles, of any size, in blocks."""
-    a, b = _multipliers()
+    a, b = once("minhash multipliers", _multipliers)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full((BANDS * ROWS, 1), 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(x), 2048):
