@@ -9,7 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskloom.llm.common import filled_id
+from riskloom.llm.common import filled_id, written
+
+#: Hosts with this share of all voting pages are frequent; there are at most 1/share of them.
+FREQUENT_SHARE = 1 / 1000
 
 # Element kinds of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -184,7 +187,8 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     3. Every page is extracted again with its host's winning path. A page on which nothing lies under it gives all its
        blocks that are not marked as surroundings.
 
-    Hosts meet pages in a join by host, whose winning paths are one row a host; skewed partitions of pages are split by Spark.
+    The paths of hosts with at least ``FREQUENT_SHARE`` of all voting pages, boundedly many, are broadcast; the others meet
+    their pages in a join by host, in which no host has a large share.
     NULL is an empty page, which gives an empty text, as does a page without blocks. Pages without
     a host (NULL url, no ``://``) vote together. Repeated rows are extracted alike; pages of any length are read whole.
     """
@@ -194,8 +198,16 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     page = F.coalesce(pages[html_column], F.lit(""))
     votes = pages.select(host.alias("host"), page.alias("html")).mapInPandas(_votes, "host string, path string, votes long")
     counted = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.col("votes").desc(), F.length("path"), "path"))
-    winners = counted.withColumn("rank", rank).where("rank = 1").select("host", "path")
+    own_host = Window.partitionBy("host")
+    ranked = counted.withColumns(
+        {
+            "rank": F.row_number().over(own_host.orderBy(F.col("votes").desc(), F.length("path"), "path")),
+            "pages": F.sum("votes").over(own_host),
+        }
+    )
+    winners = written(ranked.where("rank = 1").select("host", "path", "pages"))
+    total = winners.agg(F.sum("pages")).first()[0] or 0
+    frequent = F.col("pages") >= F.lit(total * FREQUENT_SHARE)
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,6 +218,13 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     own = pages.select(
         page_id.alias("page_id"), has_id.alias("has_id"), pages[url_column].alias("url"), host.alias("host"), page.alias("html")
     )
-    joined = own.join(winners, "host", "left").select("page_id", "has_id", "url", "html", "path")
+    often = winners.where(frequent).select("host", F.col("path").alias("often"))
+    known = own.join(F.broadcast(often), "host", "left")
+    # Pages whose path is known stand under a name that no host has, which spreads them over the tasks.
+    apart = F.concat(F.lit("/"), F.xxhash64("page_id", "url", "html").cast("string"))
+    keyed = known.withColumn("key", F.when(F.col("often").isNull(), F.col("host")).otherwise(apart))
+    rare = winners.where(~frequent).select(F.col("host").alias("key"), "path")
+    path = F.coalesce("often", "path").alias("path")
+    joined = keyed.join(rare, "key", "left").select("page_id", "has_id", "url", "html", path)
     out = joined.mapInPandas(extracted, f"page_id {kind}, has_id boolean, url string, text string, n_chars long")
     return out.select(F.when(F.col("has_id"), F.col("page_id")).alias("page_id"), "url", "text", "n_chars")
