@@ -18,8 +18,11 @@ from riskloom.llm.common import memo, written
 #: The field is fitted on at most so many labelled documents of either label.
 TRAIN_DOCS = 8_000
 
-#: A feature is known if it occurs in this many training documents.
+#: A feature is known if it occurs in this many training documents, and either so many times likelier in
+#: toxic ones or in this share of all. The field has no use for rare features that lean nowhere.
 MIN_DOCS = 5
+KNOWN_LIFT = 3.0
+KNOWN_SHARE = 0.003
 
 #: A token of a toxic document is labelled toxic if one of its features is this many times likelier in toxic documents.
 LIFT = 12.0
@@ -259,8 +262,11 @@ def fit_field(sample: DataFrame) -> Field:
     total = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     counted = sample.mapInPandas(_document_features, "feature string, toxic long, other long").groupBy("feature")
-    counted = counted.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") + F.col("other") >= MIN_DOCS)
-    known = counted.orderBy("feature").collect()
+    counted = counted.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    docs = F.col("toxic") + F.col("other")
+    leaning = (F.col("toxic") + 0.5) / (n1 + 1) >= KNOWN_LIFT * (F.col("other") + 0.5) / (n0 + 1)
+    common = docs >= KNOWN_SHARE * (n0 + n1)
+    known = counted.where((docs >= MIN_DOCS) & (leaning | common)).orderBy("feature").collect()
     lift = {r.feature: ((r.toxic + 0.5) / (n1 + 1)) / ((r.other + 0.5) / (n0 + 1)) for r in known}
     lexicon = {f for f, x in lift.items() if x >= LIFT and f[0] != "3"}
     names = {r.feature: i for i, r in enumerate(known, 2)}
