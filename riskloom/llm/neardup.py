@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import WORD, filled_id, memo, once, written
+from riskloom.llm.common import WORD, filled_id, memo, once, rows_at_once, written
 from riskloom.llm.components import components
 
 SHINGLE = 5
@@ -25,6 +25,10 @@ BATCH = 18
 MISS = 1e-6
 
 
+#: Pairs of whole texts that a Python task receives at once.
+PAIRS_AT_ONCE = 40
+
+
 def words_of(text: str) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased and nothing else changed."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -240,7 +244,9 @@ def near_duplicates(
         texts = docs.select(digest.alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
         texts = written(texts.join(wanted, "key", "left_semi"))
         beside = likely.join(texts.toDF("key_b", "text_b"), "key_b").join(texts.toDF("key_a", "text_a"), "key_a")
-        return written(beside.mapInPandas(_confirm(percent), "node_a binary, node_b binary"))
+        # Both rows of a pair may hold very long texts, so only few pairs go to Python at once.
+        with rows_at_once(docs.sparkSession, PAIRS_AT_ONCE):
+            return written(beside.mapInPandas(_confirm(percent), "node_a binary, node_b binary"))
 
     first = shared.where("node != hub").select(F.col("hub").alias("node_a"), F.col("node").alias("node_b")).distinct()
     links = verified(first)
