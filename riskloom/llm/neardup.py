@@ -25,6 +25,9 @@ BATCH = 18
 MISS = 1e-6
 
 
+#: Rounds in which a bucket with several components gets another node to compare with.
+MORE_HUBS = 2
+
 #: Pairs of whole texts that a Python task receives at once.
 PAIRS_AT_ONCE = 40
 
@@ -162,16 +165,34 @@ def _confirm(percent: int):
     return run
 
 
-def _leftovers(shared: DataFrame, found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Candidates that the comparisons with the hubs leave open.
-
-    Pairs of one bucket that are not connected yet, of which neither is the hub,
-    and whose set sizes allow the similarity.
-    """
+def _open_buckets(shared: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes, their set sizes and components, of the buckets that still hold several components."""
     sized = shared.join(nodes.select("node", "n"), "node").join(found, "node", "left")
     placed = sized.select("bucket", "hub", "node", "n", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    open_ones = placed.where("node != hub").join(several.select("bucket"), "bucket", "left_semi").drop("hub")
+    return placed.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def _next_hubs(open_ones: DataFrame, turn: int) -> DataFrame:
+    """Candidates with one more hub per open bucket: a node that is not connected to the first one.
+
+    Where the first hub is itself the odd one out, this connects the others without comparing them all.
+    """
+    first = open_ones.where("node = hub").select("bucket", F.col("root").alias("hub_root"))
+    apart = open_ones.join(first, "bucket").where("root != hub_root")
+    draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root")
+    chosen = apart.groupBy("bucket").agg(F.min(draw).alias("c"))
+    hubs = chosen.select("bucket", F.col("c.node").alias("node_a"), F.col("c.root").alias("root_a"))
+    return open_ones.join(hubs, "bucket").where("root != root_a").select("node_a", F.col("node").alias("node_b")).distinct()
+
+
+def _leftovers(open_ones: DataFrame, similarity: float) -> DataFrame:
+    """Candidates that the comparisons with hubs leave open.
+
+    Pairs of one bucket that are not connected yet, of which neither is the first hub,
+    and whose set sizes allow the similarity.
+    """
+    open_ones = open_ones.where("node != hub").drop("hub")
     a = open_ones.toDF("bucket", "node_a", "n_a", "root_a")
     b = open_ones.toDF("bucket", "node_b", "n_b", "root_b")
     fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - F.lit(1e-9)
@@ -191,9 +212,10 @@ def near_duplicates(
 
     1. Equal word sequences are one node, however many copies there are.
     2. Nodes that share a band are candidates. In a bucket, every node is compared with the
-       bucket's smallest one, not with all others. After that, nodes of one bucket that are
-       already connected need no comparison; only those of different components do
-       (``_leftovers``), so a large group of near copies costs one pair a member and bucket.
+       bucket's smallest one, not with all others. Nodes of one bucket that are connected by then
+       need no comparison. Where a bucket still holds several components, its nodes are compared with
+       up to ``MORE_HUBS`` further ones, and last, those still apart with each other (``_leftovers``).
+       So a large group of near copies costs a few pairs a member and bucket.
     3. Candidates are pruned by comparing signatures in batches (posterior below ``MISS``),
        and the survivors are confirmed on their whole texts.
 
@@ -251,10 +273,14 @@ def near_duplicates(
     first = shared.where("node != hub").select(F.col("hub").alias("node_a"), F.col("node").alias("node_b")).distinct()
     links = verified(first)
     found = components(links, "node_a", "node_b")
-    rest = written(_leftovers(shared, found, nodes, similarity))
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest))
-        found = components(links, "node_a", "node_b")
+    for turn in range(MORE_HUBS + 1):
+        open_ones = written(_open_buckets(shared, found, nodes))
+        if open_ones.isEmpty():
+            break
+        rest = written(_next_hubs(open_ones, turn) if turn < MORE_HUBS else _leftovers(open_ones, similarity))
+        if not rest.isEmpty():
+            links = links.unionByName(verified(rest))
+            found = components(links, "node_a", "node_b")
 
     placed = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
