@@ -100,7 +100,8 @@ def ratio_table(docs: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_i
     """
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("trusted_id")).where("trusted_id is not null").distinct()
     slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    trusted = slim.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    # The ids grow with the corpus: a merge join at every size, never a broadcast.
+    trusted = slim.join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
     raw, target = bucket_counts(slim, F.col("text")), bucket_counts(trusted, F.col("text"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(raw.withColumnRenamed("n", "raw"), "bucket", "left").join(target.withColumnRenamed("n", "target"), "bucket", "left")
