@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.llm.common import filled_id, once, written
 
 #: A pre-token is frequent if it is known to hold this share of all occurrences, so at most 1/share of them are.
-FREQUENT_SHARE = 1 / 1_000_000
+FREQUENT_SHARE = 1 / 700_000
 
 #: Longer pre-tokens never count as frequent; together both bound what is broadcast.
 FREQUENT_BYTES = 64
