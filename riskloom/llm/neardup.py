@@ -26,7 +26,7 @@ MISS = 1e-6
 
 
 #: Rounds in which a bucket with several components gets another node to compare with.
-MORE_HUBS = 2
+MORE_HUBS = 1
 
 #: Pairs of whole texts that a Python task receives at once.
 PAIRS_AT_ONCE = 40
@@ -186,17 +186,37 @@ def _next_hubs(open_ones: DataFrame, turn: int) -> DataFrame:
     return open_ones.join(hubs, "bucket").where("root != root_a").select("node_a", F.col("node").alias("node_b")).distinct()
 
 
-def _leftovers(open_ones: DataFrame, similarity: float) -> DataFrame:
-    """Candidates that the comparisons with hubs leave open.
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import xxhash
+
+    word_hash = memo("xxh64", xxhash.xxh64_intdigest).__getitem__
+    for batch in batches:
+        if len(batch):
+            hashes = [shingle_hashes(words_of(text), word_hash).view(np.int64) for text in batch["text"]]
+            yield batch[["node"]].assign(shingles=hashes)
+
+
+def _rarest_shared(apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Candidates among ``apart`` (node, text_key, n, root) that share one of their rarest shingles.
 
-    Pairs of one bucket that are not connected yet, of which neither is the first hub,
-    and whose set sizes allow the similarity.
+    Sets that reach the similarity share ``percent`` of either set, so with all shingles in one order, the
+    first n - least + 1 of both have one in common. The rarest come first: a text of a large group that resembles
+    the others but differs by more than is allowed shows only shingles of its own, and meets nobody.
+    Shingles that a single text holds meet nothing; they are counted, not exchanged again.
     """
-    open_ones = open_ones.where("node != hub").drop("hub")
-    a = open_ones.toDF("bucket", "node_a", "n_a", "root_a")
-    b = open_ones.toDF("bucket", "node_b", "n_b", "root_b")
-    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - F.lit(1e-9)
-    pairs = a.join(b, "bucket").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    hashed = apart.select("node", "text_key").join(texts.toDF("text_key", "text"), "text_key").select("node", "text")
+    hashed = written(hashed.mapInPandas(_hashed, "node binary, shingles array<long>"))
+    each = hashed.select("node", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    # One text's shared shingles, as many as it is long.
+    shared = each.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    first = F.greatest(F.size("shared") - least + 1, F.lit(0)).cast("int")
+    met = shared.join(apart.select("node", "n", "root"), "node")
+    ordered = written(met.select("node", "n", "root", F.explode(F.slice("shared", 1, first)["shingle"]).alias("shingle")))
+    a, b = ordered.toDF("node_a", "n_a", "root_a", "shingle"), ordered.toDF("node_b", "n_b", "root_b", "shingle")
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    pairs = a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits)
     return pairs.select("node_a", "node_b").distinct()
 
 
@@ -214,7 +234,8 @@ def near_duplicates(
     2. Nodes that share a band are candidates. In a bucket, every node is compared with the
        bucket's smallest one, not with all others. Nodes of one bucket that are connected by then
        need no comparison. Where a bucket still holds several components, its nodes are compared with
-       up to ``MORE_HUBS`` further ones, and last, those still apart with each other (``_leftovers``).
+       up to ``MORE_HUBS`` further ones, and last, those of them that share one of their rarest
+       shingles with each other, which loses no link (``_rarest_shared``).
        So a large group of near copies costs a few pairs a member and bucket.
     3. Candidates are pruned by comparing signatures in batches (posterior below ``MISS``),
        and the survivors are confirmed on their whole texts.
@@ -253,6 +274,11 @@ def near_duplicates(
     hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared = written(banded.join(hubs.select("bucket", "hub"), "bucket"))
 
+    def whole_texts(keys: DataFrame) -> DataFrame:
+        # Copies of a text collapse in the tasks that read them, before any exchange.
+        texts = docs.select(digest.alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+        return texts.join(keys.toDF("key").distinct(), "key", "left_semi")
+
     def verified(pairs: DataFrame) -> DataFrame:
         sides = nodes.select("node", "text_key", "signature", "n")
         a = sides.toDF("node_a", "key_a", "sig_a", "n_a")
@@ -261,10 +287,7 @@ def near_duplicates(
             _prune(similarity), "node_a binary, node_b binary, key_a binary, key_b binary"
         )
         likely = written(likely)
-        wanted = likely.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-        # Copies of a text collapse in the tasks that read them, before any exchange.
-        texts = docs.select(digest.alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-        texts = written(texts.join(wanted, "key", "left_semi"))
+        texts = written(whole_texts(likely.select(F.explode(F.array("key_a", "key_b")))))
         beside = likely.join(texts.toDF("key_b", "text_b"), "key_b").join(texts.toDF("key_a", "text_a"), "key_a")
         # Both rows of a pair may hold very long texts, so only few pairs go to Python at once.
         with rows_at_once(docs.sparkSession, PAIRS_AT_ONCE):
@@ -277,7 +300,11 @@ def near_duplicates(
         open_ones = written(_open_buckets(shared, found, nodes))
         if open_ones.isEmpty():
             break
-        rest = written(_next_hubs(open_ones, turn) if turn < MORE_HUBS else _leftovers(open_ones, similarity))
+        if turn < MORE_HUBS:
+            rest = written(_next_hubs(open_ones, turn))
+        else:
+            apart = open_ones.select("node", "n", "root").distinct().join(nodes.select("node", "text_key"), "node")
+            rest = written(_rarest_shared(apart, whole_texts(apart.select("text_key")), percent))
         if not rest.isEmpty():
             links = links.unionByName(verified(rest))
             found = components(links, "node_a", "node_b")
