@@ -210,14 +210,20 @@ def _rarest_shared(apart: DataFrame, texts: DataFrame, percent: int) -> DataFram
     often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     # One text's shared shingles, as many as it is long.
     shared = each.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
-    least = F.floor((F.col("n") * percent + 99) / 100)
-    first = F.greatest(F.size("shared") - least + 1, F.lit(0)).cast("int")
+    n = F.col("n")
+    least = F.floor((n * percent + 99) / 100)
+    # With a set as large or larger, more must be shared, so the smaller one shows fewer shingles.
+    least_up = F.floor((n * 2 * percent + 99 + percent) / (100 + percent))
+    first, first_up = (F.greatest(F.size("shared") - x + 1, F.lit(0)).cast("int") for x in (least, least_up))
     met = shared.join(apart.select("node", "n", "root"), "node")
-    ordered = written(met.select("node", "n", "root", F.explode(F.slice("shared", 1, first)["shingle"]).alias("shingle")))
-    a, b = ordered.toDF("node_a", "n_a", "root_a", "shingle"), ordered.toDF("node_b", "n_b", "root_b", "shingle")
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    pairs = a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    return pairs.select("node_a", "node_b").distinct()
+    shown = F.posexplode(F.slice("shared", 1, first)["shingle"]).alias("at", "shingle")
+    ordered = written(met.select("node", "n", "root", first_up.alias("up"), shown).withColumn("up", F.col("at") < F.col("up")).drop("at"))
+    a = ordered.where("up").select(*(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root")), "shingle")
+    b = ordered.select(*(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")), "shingle")
+    fits = F.col("n_a") * 100 >= F.col("n_b") * percent
+    upward = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
+    pairs = a.join(b, "shingle").where(upward & (F.col("root_a") != F.col("root_b")) & fits)
+    return pairs.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
 
 
 def near_duplicates(

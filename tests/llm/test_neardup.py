@@ -116,3 +116,20 @@ def test_components(spark, n):
     found = {r.node: r.root for r in components(links, "a", "b").collect()}
     assert found == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100, 103: 100}
     assert components(links.where("false"), "a", "b").collect() == []
+
+
+def test_texts_still_apart_meet_by_their_rarest_shingles(spark):
+    """One large group that resembles but mostly does not link: every link between different texts is found."""
+    from riskloom.llm.neardup import _rarest_shared
+
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(60)] + [" ".join(base + ["tail", str(i)]) for i in range(6)]
+    sets = [shingles_of(words_of(t)) for t in texts]
+    rows = [(bytes([i]), bytes([i]), len(s), bytes([i])) for i, s in enumerate(sets)]
+    apart = spark.createDataFrame(rows, "node binary, text_key binary, n long, root binary")
+    whole = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "key binary, text string")
+    found = {(bytes(r.node_a)[0], bytes(r.node_b)[0]) for r in _rarest_shared(apart, whole, 85).collect()}
+    every = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    links = {(i, j) for i, j in every if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert links and links <= found
+    assert len(found) < len(every)
