@@ -18,6 +18,10 @@ TOXIC = 0.5
 KEY = "example key"
 
 
+#: Documents whose sets of five-word shingles have this similarity or more, in percent, are near duplicates here. (Query ``op10`` has its own.)
+NEAR = 80
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field, fitted on the labels' training rows, does not find toxic."""
     ready(spark)
@@ -29,7 +33,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     ready(spark)
-    return one_of_each(docs)
+    return one_of_each(docs, percent=NEAR)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

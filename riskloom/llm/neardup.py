@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,9 @@ from riskloom.llm.components import components
 
 SHINGLE = 5
 
-#: Two texts meet if one of ``BANDS`` bands of ``ROWS`` minima agrees. At similarity 0.85 that fails for 1 pair in
-#: 20,000, at 0.9 for 1 in 40 million.
-BANDS = 21
+#: Two texts meet if one of their bands of ``ROWS`` minima agrees. There are as many bands as let a pair at exactly the
+#: similarity share none with at most this probability (``bands_for``).
+LOST = 1 / 20_000
 ROWS = 6
 
 #: Minima are compared in batches of this many; after each, the posterior decides.
@@ -32,6 +33,17 @@ MORE_HUBS = 1
 PAIRS_AT_ONCE = 40
 
 
+def bands_for(percent: int) -> int:
+    """The number of bands for a similarity of ``percent`` / 100: 21 at 85, 33 at 80."""
+    if percent >= 100:
+        return 1
+    return math.ceil(math.log(LOST) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+#: The bands at 85, where no other similarity is asked for.
+BANDS = bands_for(85)
+
+
 def words_of(text: str) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased and nothing else changed."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -62,17 +74,18 @@ def shingle_hashes(words: list[bytes], word_hash) -> np.ndarray:
     return np.unique(total)
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    a = rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    return a[:, None], rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
+    a = rng.integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    return a[:, None], rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One minimum per hash function over a set of shingles, of any size, in blocks."""
-    a, b = once("minhash multipliers", _multipliers)
+    n = bands * ROWS
+    a, b = once(f"minhash multipliers {n}", lambda: _multipliers(n))
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full((BANDS * ROWS, 1), 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full((n, 1), 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(x), 2048):
         y = a * x[None, i : i + 2048] + b
         y ^= y >> np.uint32(15)
@@ -80,28 +93,34 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least[:, 0]
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
+def _signed(bands: int):
+    """Per text: the digest of its words, the size of its set of shingles and its signature."""
 
-    import xxhash
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
 
-    word_hash = memo("xxh64", xxhash.xxh64_intdigest).__getitem__
-    for batch in batches:
-        out = []
-        for text in batch["text"]:
-            words = words_of(text)
-            if not words:
-                out.append((None, 0, None))
-                continue
-            hashes = shingle_hashes(words, word_hash)
-            digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-            out.append((digest, len(hashes), minima(hashes).astype("<u4").tobytes()))
-        batch = batch.drop(columns="text")
-        batch[["node", "n_shingles", "signature"]] = pd.DataFrame(out, columns=["node", "n_shingles", "signature"], index=batch.index)
-        yield batch
+        import xxhash
+
+        word_hash = memo("xxh64", xxhash.xxh64_intdigest).__getitem__
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                words = words_of(text)
+                if not words:
+                    out.append((None, 0, None))
+                    continue
+                hashes = shingle_hashes(words, word_hash)
+                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                out.append((digest, len(hashes), minima(hashes, bands).astype("<u4").tobytes()))
+            batch = batch.drop(columns="text")
+            names = ["node", "n_shingles", "signature"]
+            batch[names] = pd.DataFrame(out, columns=names, index=batch.index)
+            yield batch
+
+    return run
 
 
-def fewest_agreeing(similarity: float) -> np.ndarray:
+def fewest_agreeing(similarity: float, bands: int = BANDS) -> np.ndarray:
     """``least[n]``: the fewest agreeing minima among n with which a pair may still reach the similarity.
 
     Agreeing minima are binomial in the similarity. With a uniform prior on it, the
@@ -110,9 +129,9 @@ def fewest_agreeing(similarity: float) -> np.ndarray:
     """
     from math import comb
 
-    n_all = BANDS * ROWS
+    n_all = bands * ROWS
     least = np.zeros(n_all + 1, dtype=np.int64)
-    for n in range(BATCH, n_all + 1, BATCH):
+    for n in {*range(BATCH, n_all, BATCH), n_all}:
         tail, m = 0.0, -1
         while tail < MISS and m < n:
             m += 1
@@ -121,15 +140,15 @@ def fewest_agreeing(similarity: float) -> np.ndarray:
     return least
 
 
-def _prune(similarity: float):
+def _prune(similarity: float, bands: int):
     """Keep the pairs whose signatures leave the similarity possible, reading them batch by batch."""
-    least = fewest_agreeing(similarity)
+    least = fewest_agreeing(similarity, bands)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            n_all = BANDS * ROWS
+            n_all = bands * ROWS
             a = np.frombuffer(b"".join(batch["sig_a"]), "<u4").reshape(-1, n_all)
             b = np.frombuffer(b"".join(batch["sig_b"]), "<u4").reshape(-1, n_all)
             alive, agree = np.arange(len(batch)), np.zeros(len(batch), dtype=np.int64)
@@ -250,14 +269,14 @@ def near_duplicates(
     Spark splits. NULL, empty and blank texts have no shingles and link with nothing; repeated rows and
     equal ids stay rows of their own. Texts are read whole. An empty table gives empty results.
     """
-    similarity = percent / 100
+    similarity, n_bands = percent / 100, bands_for(percent)
     text = F.coalesce(docs[text_column], F.lit(""))
     doc_id, has_id = filled_id(docs, id_column)
     kind = docs.schema[id_column].dataType.simpleString()
     digest = F.unhex(F.md5(text.cast("binary")))
     rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), digest.alias("text_key"), text.alias("text"))
     signed = rows.mapInPandas(
-        _signed, f"doc_id {kind}, has_id boolean, text_key binary, node binary, n_shingles long, signature binary"
+        _signed(n_bands), f"doc_id {kind}, has_id boolean, text_key binary, node binary, n_shingles long, signature binary"
     ).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
     signed = written(signed.drop("has_id"))
     members = signed.select("doc_id", "text_key", "node", "n_shingles")
@@ -273,7 +292,7 @@ def near_duplicates(
     )
 
     bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        F.sequence(F.lit(0), F.lit(n_bands - 1)),
         lambda i: F.xxhash64(i, F.col("signature").substr(i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
     )
     banded = nodes.select("node", F.explode(bands).alias("bucket"))
@@ -290,7 +309,7 @@ def near_duplicates(
         a = sides.toDF("node_a", "key_a", "sig_a", "n_a")
         b = sides.toDF("node_b", "key_b", "sig_b", "n_b")
         likely = pairs.join(b, "node_b").join(a, "node_a").mapInPandas(
-            _prune(similarity), "node_a binary, node_b binary, key_a binary, key_b binary"
+            _prune(similarity, n_bands), "node_a binary, node_b binary, key_a binary, key_b binary"
         )
         likely = written(likely)
         texts = written(whole_texts(likely.select(F.explode(F.array("key_a", "key_b")))))
