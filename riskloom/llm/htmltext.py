@@ -36,6 +36,8 @@ ASIDE_WORDS = set(
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 MARKER = re.compile(r"(?:^|\s)(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What ends an element whose content is no markup.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 NUMBER = re.compile(r"\d+")
 WORDS = re.compile(r"[^a-z]+")
 
@@ -55,18 +57,31 @@ class Node:
         self.tag, self.path, self.aside, self.parent = tag, path, aside, parent
 
 
+def tokens_of(page: str) -> Iterator[re.Match]:
+    """The tokens of a page. Raw content, such as a script with ``i<n``, is no markup: it is skipped to its end tag."""
+    at = 0
+    while at < len(page):
+        for m in TOKEN.finditer(page, at):
+            at = m.end()
+            yield m
+            if m.group(2) and not m.group(1) and (tag := m.group(2).lower()) in RAW:
+                end = RAW_END[tag].search(page, at)
+                at = end.start() if end else len(page)
+                break
+
+
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
     """The blocks of a page in its order: (the element it lies in, text, characters of it in links).
 
     Tolerant of missing end tags: a new paragraph or item ends the one before, an end tag
     ends what is open inside, and stray ones are ignored. White space becomes one space.
+    Raw elements are left out, to their end tag or, without one, to the end of the page.
     """
     root = Node("", "", False, None)
     stack = [root]
     found: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     linked = link_depth = 0
-    raw = None
 
     def flush() -> None:
         nonlocal linked
@@ -77,22 +92,17 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    for m in tokens_of(page):
         token, name = m.group(), m.group(2)
         if name is None:
             if token[0] == "<" and token[1:2] in ("!", "?"):
                 continue
-            if raw is None:
-                text = entities.unescape(token)
-                parts.append(text)
-                if link_depth:
-                    linked += len(text.strip())
+            text = entities.unescape(token)
+            parts.append(text)
+            if link_depth:
+                linked += len(text.strip())
             continue
         tag = name.lower()
-        if raw is not None:
-            if m.group(1) and tag == raw:
-                raw = None
-            continue
         if m.group(1):
             if tag == "a":
                 link_depth = max(0, link_depth - 1)
@@ -103,7 +113,6 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                         pass
             continue
         if tag in RAW:
-            raw = tag
             continue
         if tag == "br" or tag == "hr":
             flush()
