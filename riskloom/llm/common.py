@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskloom.session import prepare, shared_folder
 
@@ -52,6 +52,43 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ways a key that fills a large share of the rows is dealt out.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, in which every key stands once, where few keys may hold most rows.
+
+    Rows of one key are dealt out by the columns ``by``. Only the different pairs of key and
+    deal, at most ``SALTS`` a key, meet the lookup; what they find then meets the rows, dealt
+    the same way. No task gets all rows of a key, and nothing is broadcast.
+    """
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    held = dealt.select(*keys, "_deal").distinct().join(lookup, keys)
+    return dealt.join(held, [*keys, "_deal"]).drop("_deal")
+
+
+#: Rows of one key that a running sum takes at once.
+STRETCH = 4096
+
+
+def running_sums(df: DataFrame, key: str, at: str, rows_of_key: str, sums: dict[str, Column]) -> DataFrame:
+    """Add the running sum, in the order of ``at`` within ``key``, of every entry of ``sums``, its own row included.
+
+    ``at`` counts from 0 without gaps and ``rows_of_key`` is the key's number of rows. Sums run within
+    stretches of ``STRETCH`` rows and are shifted by the totals of the stretches before, so a key
+    with very many rows is dealt to many tasks. ``df`` is read twice.
+    """
+    cut = df.withColumn("_stretch", F.floor(F.col(at) / STRETCH))
+    window = Window.partitionBy(key, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumns({name: F.sum(value).over(window) for name, value in sums.items()})
+    totals = cut.where(F.col(rows_of_key) > STRETCH).groupBy(key, "_stretch").agg(*[F.sum(v).alias(f"_all_{n}") for n, v in sums.items()])
+    before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(key, "_stretch", *[F.sum(f"_all_{n}").over(before).alias(f"_shift_{n}") for n in sums])
+    shifted = local.join(shifts, [key, "_stretch"], "left")
+    return shifted.withColumns({n: F.col(n) + F.coalesce(F.col(f"_shift_{n}"), F.lit(0)) for n in sums}).select(*df.columns, *sums)
+
+
 def filled_id(docs: DataFrame, name: str) -> tuple[Column, Column]:
     """The id with 0 in place of NULL, and whether there was one: pandas would turn integers next to NULL into floats."""
     kind = docs.schema[name].dataType

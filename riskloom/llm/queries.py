@@ -177,6 +177,34 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+@register(
+    "op12_ngram_join",
+    r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) END AS s FROM worded),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT x AS doc_id, y AS other FROM links
+  UNION
+  SELECT reached.doc_id, links.y FROM reached JOIN links ON links.x = reached.other),
+least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(least(doc_id, other), doc_id) AS component_id
+FROM sets LEFT JOIN least USING (doc_id)""",
+)
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.ngramjoin import class_of_documents, ngram_join
+
+    members, classes, _links = ngram_join(table(spark, sf_dir, "documents"))
+    return class_of_documents(members, classes)
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
