@@ -4,33 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from riskloom.operators.ordering import ranked
+from riskloom.operators.skew import spread_join
 from riskloom.session import materialize
 
-# Holds every integer, and decimals up to 20 digits before and 18 after the point.
-EXACT = "decimal(38,18)"
-
 # A column's dictionary up to this many entries is ranked by one task.
-SMALL_DICTIONARY = 1_000_000
+SMALL_DICTIONARY = 100_000
 
-# A dictionary up to this size is broadcast.
+# Dictionaries that together hold so many bytes and entries at most are handed to every task.
 BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_ENTRIES = 200_000
 
+# Where the parts of a decimal are compared exactly, whatever its precision and scale.
+WHOLE, FRACTION = "decimal(38,0)", "decimal(38,38)"
 
-def _entry(df: DataFrame, column: str) -> Column:
-    """Column name, value as text, and its number for sorting: exact for integers and decimals, else a double."""
-    kind = df.schema[column].dataType
-    exact = isinstance(kind, (T.IntegralType, T.DecimalType))
-    floating = isinstance(kind, (T.FloatType, T.DoubleType))
+LINE = ("integer", "whole", "fraction", "number", "value")
+
+
+def _text(df: DataFrame, column: str) -> Column:
+    """The value as text; NULL for missing values, NaN included."""
     value = F.col(column)
-    present = ~F.isnan(value) if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)) else value.isNotNull()
-    value = F.when(present, value)
-    whole = value.cast(EXACT) if exact else F.lit(None).cast(EXACT)
-    number = value.cast("double") if floating else F.lit(None).cast("double")
-    parts = [F.lit(column).alias("feature"), value.cast("string").alias("value"), whole.alias("exact"), number.alias("number")]
-    return F.struct(*parts)
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        value = F.when(~F.isnan(value), value)
+    return value.cast("string")
+
+
+def _entry(df: DataFrame, column: str) -> Column:
+    """Column name, value as text, and numbers that sort it: exact for integers and decimals, else a double."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    none = {"integer": "bigint", "whole": WHOLE, "fraction": FRACTION, "number": "double"}
+    sorts = {name: F.lit(None).cast(t) for name, t in none.items()}
+    if isinstance(kind, T.IntegralType):
+        sorts["integer"] = value.cast("bigint")
+    elif isinstance(kind, T.DecimalType):
+        below = F.floor(value)
+        sorts |= {"whole": below.cast(WHOLE), "fraction": (value - below).cast(FRACTION)}
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        sorts["number"] = F.when(~F.isnan(value), value.cast("double"))
+    return F.struct(F.lit(column).alias("feature"), _text(df, column).alias("value"), *[v.alias(n) for n, v in sorts.items()])
 
 
 def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DICTIONARY) -> DataFrame:
@@ -44,14 +58,13 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DIC
     distinct = materialize(df.select(entries.alias("e")).select("e.*").distinct())
     largest = distinct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
     if largest <= small:
-        line = [F.col(c).asc_nulls_last() for c in ("exact", "number", "value")]
-        order = Window.partitionBy("feature").orderBy(*line)
+        order = Window.partitionBy("feature").orderBy(*[F.col(c).asc_nulls_last() for c in LINE])
         code = F.row_number().over(order).cast("long") - 1
         return distinct.select("feature", "value", code.alias("code"))
-    # Buckets are cut along one double; the exact number decides within them.
-    near = F.coalesce("number", F.col("exact").cast("double"), F.lit(0.0))
+    # Buckets are cut along one double; the exact numbers decide within them.
+    near = F.coalesce("number", F.col("integer").cast("double"), F.col("whole").cast("double"), F.lit(0.0))
     near = F.when(F.col("value").isNull(), F.lit(float("inf"))).otherwise(near)
-    line = [near, F.col("value").isNull().cast("int"), F.coalesce("exact", F.lit(0).cast(EXACT)), F.col("value")]
+    line = [near, F.col("value").isNull().cast("int"), *[F.coalesce(c, F.lit(0)) for c in LINE[:3]], F.col("value")]
     placed = ranked(distinct, line, by=["feature"])
     return placed.select("feature", "value", (F.col("rank") - 1).alias("code"))
 
@@ -65,38 +78,79 @@ def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _split_by_size(dictionary: DataFrame, columns: Sequence[str], most_bytes: int) -> tuple[list[str], list[str]]:
+    """Columns whose dictionaries fit into tasks together, smallest first, and the others."""
+    size = F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + F.lit(32))
+    rows = dictionary.groupBy("feature").agg(size.alias("size"), F.count("*").alias("n")).collect()
+    sizes = {r.feature: (r.size, r.n) for r in rows}
+    small, bytes_left, entries_left = [], most_bytes, BROADCAST_ENTRIES
+    for c in sorted(columns, key=lambda c: sizes.get(c, (0, 0))):
+        size, n = sizes.get(c, (0, 0))
+        if size > bytes_left or n > entries_left:
+            break
+        small.append(c)
+        bytes_left, entries_left = bytes_left - size, entries_left - n
+    return small, [c for c in columns if c not in set(small)]
+
+
 def apply_dictionary(
     df: DataFrame,
     dictionary: DataFrame,
     columns: Sequence[str],
     unseen: str | int = "error",
     broadcast_bytes: int = BROADCAST_BYTES,
+    key: str | None = None,
 ) -> DataFrame:
-    """Replace each column by its code.
+    """Replace each column by its code, all columns in one pass.
 
-    ``unseen="error"`` fails on a value the dictionary lacks; a number is used
-    as the code of such values. A column's dictionary is broadcast only after its
-    size was measured; a larger one is joined by shuffle, where adaptive execution
-    splits frequent values.
+    ``unseen="error"`` fails on a value the dictionary lacks; a number is used as the code of such values.
+    Dictionaries whose measured sizes fit together are looked up in the tasks, without a join. The columns
+    of all others are unfolded into one long form that meets its entries in one exchange, values that fill the table dealt
+    out, and the codes of a row return to it by ``key``, a column that is unique and not NULL. Without one, the rows are
+    numbered and kept first.
     """
-    size = F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + F.lit(32))
-    sizes = {r.feature: r.size for r in dictionary.groupBy("feature").agg(size.alias("size")).collect()}
-    result = df
-    for c in columns:
-        entries = dictionary.where(F.col("feature") == c).select(
-            F.col("value").alias("_value"), F.col("code").alias("_code"), F.lit(True).alias("_known")
-        )
-        fits = sizes.get(c, 0) <= broadcast_bytes
-        entries = F.broadcast(entries) if fits else entries.hint("merge")
-        value = F.col(c)
-        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-            value = F.when(~F.isnan(value), value)
-        joined = result.join(entries, value.cast("string").eqNullSafe(F.col("_value")), "left")
+    names = df.columns
+    small, large = _split_by_size(dictionary, columns, broadcast_bytes)
+    texts = {c: _text(df, c) for c in columns}
+
+    def settled(column: str, code: Column, original: Column) -> Column:
         if unseen == "error":
-            message = F.concat(F.lit(f"value not in the dictionary of {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))
-            missing = F.raise_error(message).cast("long")
-        else:
-            missing = F.lit(int(unseen)).cast("long")
-        code = F.when(F.col("_known"), F.col("_code")).otherwise(missing)
-        result = joined.withColumn(c, code).drop("_value", "_code", "_known")
-    return result
+            message = F.concat(F.lit(f"value not in the dictionary of {column}: "), F.coalesce(original.cast("string"), F.lit("NULL")))
+            return F.coalesce(code, F.raise_error(message).cast("long"))
+        return F.coalesce(code, F.lit(int(unseen)).cast("long"))
+
+    if large:
+        row = key
+        if row is None:
+            row = "_row"
+            df = materialize(df.withColumn(row, F.monotonically_increasing_id()))
+        # A missing value is a value of its own, marked by the empty prefix.
+        marked = lambda value: F.coalesce(F.concat(F.lit("="), value), F.lit(""))
+        cells = F.array(*[F.struct(F.lit(c).alias("feature"), marked(texts[c]).alias("value")) for c in large])
+        long = df.select(F.col(row).alias("_id"), F.explode(cells).alias("cell")).select("_id", "cell.*")
+        entries = dictionary.where(F.col("feature").isin(large)).select("feature", marked(F.col("value")).alias("value"), "code")
+        met = spread_join(long, entries, ["feature", "value"], ["_id"], "left")
+        codes = [F.max(F.when(F.col("feature") == c, F.col("code"))).alias(f"_code_{c}") for c in large]
+        df = df.join(met.groupBy("_id").agg(*codes).withColumnRenamed("_id", row), row)
+    looked, found = _looked_up(df.withColumns({f"_text_{c}": texts[c] for c in small}), dictionary, small) if small else (df, {})
+    found |= {c: F.col(f"_code_{c}") for c in large}
+    return looked.select(*[settled(c, found[c], F.col(c)).alias(c) if c in found else F.col(f"`{c}`") for c in names])
+
+
+def _looked_up(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Codes of small dictionaries, by one multi-column indexer whose labels stand in the order of their codes."""
+    entries: dict[str, dict] = {c: {} for c in columns}
+    for r in dictionary.where(F.col("feature").isin(list(columns))).collect():
+        entries[r.feature][r.value] = r.code
+    missing = {c: e.pop(None, None) for c, e in entries.items()}
+    labels = {c: sorted(e, key=e.get) for c, e in entries.items()}
+    texts, places = [f"_text_{c}" for c in columns], [f"_place_{c}" for c in columns]
+    model = StringIndexerModel.from_arrays_of_labels([labels[c] or [""] for c in columns], texts, places, handleInvalid="keep")
+    found = {}
+    for c in columns:
+        place = F.col(f"_place_{c}").cast("int")
+        codes = [entries[c][v] for v in labels[c]]
+        code = place.cast("long") if codes == list(range(len(codes))) else F.get(F.lit(codes), place).cast("long")
+        known = F.when(place < len(codes), code)
+        found[c] = F.when(F.col(f"_text_{c}").isNull(), F.lit(missing[c]).cast("long")).otherwise(known)
+    return model.transform(df), found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.operators.skew import SLICE, HotGroups, hot_groups, with_slices
 
@@ -33,6 +33,12 @@ def difference_of_ends(column: str, from_end: str = "_from_end"):
     return at[0] - at[1]
 
 
+def days_between(earlier: Column, later: Column) -> Column:
+    """Days, with fraction, from one date or time to another."""
+    moments = [c.cast("timestamp_ntz") for c in (earlier, later)]
+    return F.timestamp_diff("MICROSECOND", *moments) / F.lit(86_400e6)
+
+
 def gap_days(
     df: DataFrame,
     key: str,
@@ -69,6 +75,5 @@ def gap_days(
         with_previous = with_previous.join(F.broadcast(ends), group, "left").withColumn(
             "_previous", F.coalesce("_previous", "_carried")
         )
-    gap = F.timestamp_diff("MICROSECOND", F.col("_previous"), F.col("_moment")) / F.lit(86_400e6)
-    filled = F.coalesce(gap, F.lit(float(first_gap)))
+    filled = F.coalesce(days_between(F.col("_previous"), F.col("_moment")), F.lit(float(first_gap)))
     return with_previous.select(*df.columns, filled.alias(name))

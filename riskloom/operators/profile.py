@@ -1,11 +1,12 @@
 """One row per key: ordered, distributional and categorical statistics of its history.
 
-Layout. Rows are exchanged once by key in their compact form and numbered
-there. Everything after works on rows already partitioned by key: unfolding
-columns into ``(key, column, value)`` rows, aggregating, and widening again need
-no second exchange. Unfolding before the exchange would ship one row per cell
+Layout. Rows are exchanged once by key in their compact form, with all columns that any
+statistic needs, and numbered there; the gap to the row before is taken in the same window. Everything
+after works on rows already partitioned by key: unfolding columns of all types into
+``(key, column, value)`` cells, aggregating, and widening again need no second exchange and no second
+scan, whatever the number of column types. Unfolding before the exchange would ship one row per cell
 instead of one per statement. For a hot key the rows are partitioned by
-``(key, slice)`` instead, and Spark's partial aggregates reduce each slice
+``(key, slice)`` instead, and Spark's partial aggregates (counts, moments, extremes, first and last) reduce each slice
 before the exchange that joins the slices.
 """
 
@@ -14,9 +15,9 @@ from __future__ import annotations
 from collections.abc import Collection, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from riskloom.operators.ordered import difference_of_ends
+from riskloom.operators.ordered import FIRST_GAP_DAYS, days_between, difference_of_ends, gap_days
 from riskloom.operators.ordering import FROM_END, SEQ, with_sequence
 from riskloom.operators.skew import HotGroups, hot_groups, split_hot
 
@@ -167,9 +168,116 @@ def tenure(df: DataFrame, key: str, time: str, markers: Sequence[str]) -> DataFr
         F.max(time).alias(time),
         F.least(*[F.count(m) for m in markers], F.lit(1)).alias("_marked"),
     )
-    new = (F.col("_rows") == 1) & (F.col("_marked") == 0)
-    lt = F.when(new, F.lit(NEW_CUSTOMER_TENURE)).otherwise(F.col("_rows").cast("double"))
-    return counted.select(key, lt.alias("LT"), time)
+    return counted.select(key, _tenure_of(F.col("_rows"), F.col("_marked")).alias("LT"), time)
+
+
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+#: Cells that only tenure reads.
+TIME_CELL, MARKER_CELL = "_time", "_marker"
+
+
+def _as_number(df: DataFrame, time: str) -> Column:
+    """Dates and times as microseconds; numbers as they are."""
+    if isinstance(df.schema[time].dataType, T.NumericType):
+        return F.col(time)
+    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), F.col(time).cast("timestamp_ntz"))
+
+
+def _as_time(number: Column, kind: T.DataType) -> Column:
+    return number.cast(kind) if isinstance(kind, T.NumericType) else F.timestamp_add("MICROSECOND", number, F.expr(EPOCH)).cast(kind)
+
+
+def one_pass_profile(
+    sequenced: DataFrame,
+    key: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    diff: Collection[str] = (),
+    time: str | None = None,
+    markers: Sequence[str] = (),
+) -> DataFrame:
+    """All statistics of all columns from one unfolding of numbered rows (:func:`with_sequence`).
+
+    A cell holds its value in the field of its type. Cells collapse to one per distinct text first, so no sets are collected; numeric
+    cells have no text, so theirs are complete after that step. With ``time``, the columns ``LT`` and ``time`` of
+    :func:`tenure` come from the same cells.
+    """
+    rows = with_plain_types(sequenced, numeric)
+    values = {c: F.col(c) for c in numeric}
+    if time is not None:
+        kind = sequenced.schema[time].dataType
+        rows = rows.withColumn(TIME_CELL, _as_number(sequenced, time))
+        values[TIME_CELL] = F.col(TIME_CELL)
+        for i, m in enumerate(markers):
+            rows = rows.withColumn(f"{MARKER_CELL}{i}", F.when(F.col(m).isNotNull(), F.lit(1).cast("long")))
+            values[f"{MARKER_CELL}{i}"] = F.col(f"{MARKER_CELL}{i}")
+    own_type = {c: rows.schema[c].dataType.simpleString() for c in values}
+    types = list(dict.fromkeys(own_type.values()))
+    fields = {t: f"v{i}" for i, t in enumerate(types)}
+
+    def cell(value: Column, kind: str) -> Column:
+        held = [(value if kind == t else F.lit(None).cast(t)).alias(f) for t, f in fields.items()]
+        return F.struct(*held, (value if kind == "text" else F.lit(None).cast("string")).alias("text"))
+
+    # A column may be both numeric and categorical, so positions and not names tell cells apart.
+    cells = [*values, *categorical]
+    made_cells = [cell(v, own_type[c]) for c, v in values.items()] + [cell(F.col(c).cast("string"), "text") for c in categorical]
+    unfolded = rows.select(key, SEQ, FROM_END, F.posexplode(F.array(*made_cells)).alias("_column", "_cell"))
+    unfolded = unfolded.select(key, SEQ, FROM_END, "_column", "_cell.*")
+
+    # Averages and deviations of integers and doubles are the same aggregate; decimals keep their own.
+    plain = [f for t, f in fields.items() if not t.startswith("decimal")]
+    moments = {"m": F.coalesce(*[F.col(f).cast("double") for f in plain])} if plain else {}
+    moments |= {f"m_{f}": F.col(f) for t, f in fields.items() if t.startswith("decimal")}
+    moment_of = {t: f"m_{f}" if t.startswith("decimal") else "m" for t, f in fields.items()}
+    made: dict[str, Column] = {}
+    for f in fields.values():
+        first, last = _first_last(F.col(f))
+        ends = [F.max(F.when(F.col(FROM_END) == i, F.col(f))) for i in (1, 2)]
+        made |= {f"{f}_first": first, f"{f}_last": last, f"{f}_min": F.min(f), f"{f}_max": F.max(f), f"{f}_diff1": ends[0] - ends[1]}
+    for name, value in moments.items():
+        made |= {f"{name}_mean": F.avg(value), f"{name}_std": F.stddev_samp(value)}
+    filled = reduce(Column.__or__, [F.col(f).isNotNull() for f in fields.values()], F.lit(False))
+    made |= {"n": F.count_if(filled), "n_text": F.count("text"), "from": F.min(SEQ), "to": F.max(SEQ)}
+    collapsed = unfolded.groupBy(key, "_column", "text").agg(*[v.alias(n) for n, v in made.items()])
+
+    kept = [n for n in made if n not in ("n_text", "from", "to")]
+    if categorical:
+        seen = F.col("text").isNotNull()
+        stats = {n: F.max(n) for n in kept} | {
+            "count": F.sum("n_text"),
+            "first": F.min_by("text", F.when(seen, F.col("from"))),
+            "last": F.max_by("text", F.when(seen, F.col("to"))),
+            "nunique": F.count("text"),
+        }
+        collapsed = collapsed.groupBy(key, "_column").agg(*[v.alias(n) for n, v in stats.items()])
+        kept = list(stats)
+    gathered = collapsed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_column", *kept))).alias("_stats"))
+
+    def pick(position: int, field: str) -> Column:
+        return F.col("_stats")[position][field]
+
+    out = [F.col(key)]
+    for i, c in enumerate(cells):
+        if i < len(numeric):
+            f, m = fields[own_type[c]], moment_of[own_type[c]]
+            at = {s: f"{m}_{s}" if s in ("mean", "std") else f"{f}_{s}" for s in NUMERIC_STATS}
+            out += [pick(i, at[s]).alias(f"{c}_{s}") for s in NUMERIC_STATS]
+            out += [pick(i, f"{f}_diff1").alias(f"{c}_diff1")] if c in diff else []
+        elif i >= len(values):
+            out += [pick(i, s).alias(f"{c}_{s}") for s in CATEGORICAL_STATS]
+    if time is not None:
+        at = len(numeric)
+        dated = pick(at, "n")
+        marked = F.least(*[pick(at + 1 + i, "n") for i in range(len(markers))], F.lit(1))
+        out.append(_tenure_of(dated, marked).alias("LT"))
+        out.append(_as_time(pick(at, f"{fields[own_type[TIME_CELL]]}_max"), kind).alias(time))
+    return gathered.select(*out)
+
+
+def _tenure_of(rows: Column, marked: Column) -> Column:
+    return F.when((rows == 1) & (marked == 0), F.lit(NEW_CUSTOMER_TENURE)).otherwise(rows.cast("double"))
 
 
 def profile(
@@ -182,24 +290,33 @@ def profile(
     layout: str = "auto",
     hot: HotGroups | None = None,
     min_rows: int | None = None,
+    gap: str | None = None,
+    time: str | None = None,
+    markers: Sequence[str] = (),
 ) -> DataFrame:
-    """Full profile: numeric statistics, last-step differences and categorical statistics.
+    """Full profile: numeric statistics, last-step differences and categorical statistics, from one exchange of the rows.
 
-    Rows of hot keys take their own branch, so that ordinary keys keep the plan
-    with one exchange. The numeric and the categorical part end up partitioned
-    by key alike, so joining them moves nothing.
+    ``gap`` names a numeric column to add before: days since the key's previous row in ``order``, whose first
+    column is then a date or time. ``time`` and ``markers`` add the columns of :func:`tenure`. Rows of hot keys take their own
+    branch, so that ordinary keys keep the plan with one exchange. Numeric columns alone may use one wide aggregate (``layout``).
     """
     hot = hot_groups(df, key, min_rows) if hot is None else hot
-    diff = [c for c in numeric if c not in set(no_diff)]
-    ids = list(dict.fromkeys([key, *order]))
+    names = [*numeric, *([gap] if gap else [])]
+    diff = {c for c in names if c not in set(no_diff)}
+    needed = list(dict.fromkeys([key, *order, *numeric, *categorical, *([time] if time else []), *markers]))
 
     def branch(rows: DataFrame, groups: HotGroups) -> DataFrame:
-        def numbered(columns: Sequence[str]) -> DataFrame:
-            needed = rows.select(*ids, *[c for c in columns if c not in ids])
-            return with_sequence(needed, key, order, groups, min_rows)
-
-        made = numeric_profile(numbered(numeric), key, numeric, diff, layout=layout)
-        return made.join(categorical_profile(numbered(categorical), key, categorical), key) if categorical else made
+        rows = rows.select(*needed)
+        if gap and groups:
+            rows = gap_days(rows, key, order[0], order[1:], name=gap, hot=groups, min_rows=min_rows)
+        numbered = with_sequence(rows, key, order, groups, min_rows)
+        if gap and not groups:
+            # The window that numbers the rows is partitioned and sorted alike, so this costs no exchange.
+            before = F.lag(order[0]).over(Window.partitionBy(key).orderBy(*order))
+            numbered = numbered.withColumn(gap, F.coalesce(days_between(before, F.col(order[0])), F.lit(FIRST_GAP_DAYS)))
+        if not categorical and time is None:
+            return numeric_profile(numbered, key, names, [c for c in names if c in diff], layout=layout)
+        return one_pass_profile(numbered, key, names, categorical, diff, time, markers)
 
     if not hot:
         return branch(df, hot)

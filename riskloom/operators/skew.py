@@ -130,3 +130,19 @@ def with_slices(
     sliced = df.join(F.broadcast(points), key, "left").withColumn("_at", at)
     after = F.size(F.filter("_bounds", lambda b: b > F.col("_at")))
     return sliced.withColumn(SLICE, F.coalesce(after, F.lit(0))).drop("_bounds", "_at"), True
+
+
+# Ways a key that fills a large share of the rows is dealt out.
+DEALS = 64
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` with what ``lookup`` holds for their keys, where few keys may hold most rows.
+
+    Rows of one key are dealt out by the columns ``by``. Only the different pairs of key and
+    deal, at most ``DEALS`` a key, meet the lookup (``how`` inner or left); what they find then meets the rows, dealt
+    the same way. No task gets all rows of a key, and nothing is broadcast. Keys are not NULL.
+    """
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*by), F.lit(DEALS)))
+    held = dealt.select(*keys, "_deal").distinct().join(lookup, list(keys), how)
+    return dealt.join(held, [*keys, "_deal"]).drop("_deal")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way_mix, weighted_average
 from riskloom.operators.folds import contiguous_folds
-from riskloom.operators.metrics import rank_score, rank_weighted_gradients
+from riskloom.operators.metrics import NEGATIVE_WEIGHT, TOP_SHARE, rank_score, rank_weighted_gradients
+from riskloom.operators.ordering import BUCKETS_PER_PART, descending
+from riskloom.operators.skew import row_floor
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate
-from riskloom.session import materialize
+from riskloom.session import materialize, shuffle_partitions
 
 EPS = 1e-15
 
@@ -27,6 +29,15 @@ SEARCH_STEPS = 100
 
 ROWS_PER_TASK = 1_000_000
 
+# Equal steps of the score from which the search makes its buckets.
+CELLS = 4096
+
+# A bucket with so many times the rows of an average one is too much for a task.
+HOT_BUCKET = 16
+
+# Scores closer than this are compared by their exact values, not by bounds.
+ROUNDING = 1e-9
+
 
 def score_matrix(scores: DataFrame, id: str, model: str, score: str, models: Sequence[str]) -> DataFrame:
     """Long ``(id, model, score)`` rows to one row per id with a column per model.
@@ -183,6 +194,144 @@ def _blend_sums(df: DataFrame, members: Sequence[str], label: str, weights: np.n
     return value, grad, hess
 
 
+@dataclass(frozen=True)
+class _Candidates:
+    """Rows of two members, the weights to try, and ordered buckets of the mixed score, the highest first."""
+
+    rows: DataFrame
+    id: str
+    label: str
+    members: tuple[str, str]
+    max_weight: float
+    steps: int
+    low: float
+    high: float
+    bucket_of_cell: list[int]
+    positives: int
+    negatives: int
+
+    @property
+    def weight(self) -> int:
+        return NEGATIVE_WEIGHT * self.negatives + self.positives
+
+    def weight_of(self, candidate: Column) -> Column:
+        return candidate * F.lit(self.max_weight) / F.lit(float(self.steps))
+
+    def mix(self, candidate: Column) -> Column:
+        return two_way_mix(F.col(self.members[0]), F.col(self.members[1]), self.weight_of(candidate))
+
+    def cell(self, candidate: Column) -> Column:
+        """Cell of the mixed score, 0 for the highest; missing scores come last. It never rises with the score."""
+        mixed, last = self.mix(candidate), F.lit(CELLS - 1.0)
+        place = (F.lit(self.high) - mixed) * F.lit(CELLS / (self.high - self.low)) if self.high > self.low else mixed * 0.0
+        place = F.least(last, F.greatest(F.lit(0.0), place))
+        return F.floor(F.when(mixed.isNull() | F.isnan(mixed), last).otherwise(place)).cast("int")
+
+    def spread(self, candidates: Sequence[int]) -> DataFrame:
+        """Every row once per bucket that it visits, with the run of candidates (positions ``start``..``stop``) for which it does.
+
+        A mixed score moves one way as the weight grows, so a row visits few buckets, and with small weights one or two.
+        """
+        tried, n = F.lit(list(candidates)), len(candidates)
+        bucket = F.lit(self.bucket_of_cell)
+        visits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(bucket, self.cell(F.get(tried, i))))
+        placed = self.rows.withColumn("_visits", visits)
+        changes = lambda i: (i == 0) | (F.get("_visits", i) != F.get("_visits", i - 1))
+        placed = placed.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.lit(n - 1)), changes))
+        run = lambda start, j: F.struct(
+            F.get("_visits", start).alias("bucket"), start.alias("start"), (F.coalesce(F.get("_starts", j + 1), F.lit(n)) - 1).alias("stop")
+        )
+        runs = placed.select(*self.rows.columns, F.explode(F.transform("_starts", run)).alias("_run"))
+        return runs.select(*self.rows.columns, "_run.*")
+
+    def totals(self, candidates: Sequence[int]) -> np.ndarray:
+        """Rows and positives per candidate and bucket; only these counts are exchanged. Their number is set by settings and steps."""
+        at = F.explode(F.sequence("start", "stop")).alias("at")
+        each = self.spread(candidates).select("bucket", F.col(self.label).alias("y"), at)
+        counted = each.groupBy("at", "bucket").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("p")).collect()
+        made = np.zeros((len(candidates), max(self.bucket_of_cell) + 1, 2), dtype=np.int64)
+        for r in counted:
+            made[r["at"], r.bucket] = r.n, r.p
+        return made
+
+    def bounds(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest possible score of every candidate: negatives, or positives, first in every bucket."""
+        n, p = totals[..., 0], totals[..., 1]
+        m = n - p
+        before = np.cumsum(NEGATIVE_WEIGHT * m + p, axis=1) - (NEGATIVE_WEIGHT * m + p)
+        limit = math.floor(TOP_SHARE * self.weight)
+        ends = []
+        for behind in (NEGATIVE_WEIGHT * m, 0 * m):
+            area = (p * (self.weight + 1.0 - before - behind) - p * (p + 1) / 2).sum(axis=1)
+            ends.append(self._score(area, np.clip(limit - before - behind, 0, p).sum(axis=1)))
+        return ends[0], ends[1]
+
+    def _score(self, area, caught):
+        """Score from the weight at or after each positive, summed, and the positives within the top share.
+
+        The running weight times the weight, summed over all rows, does not depend on their order.
+        """
+        w, p, m = self.weight, self.positives, self.negatives
+        best = NEGATIVE_WEIGHT / 2 * m * (1.0 - (NEGATIVE_WEIGHT - 1.0) / w)
+        gini = (area / p - (w * w + NEGATIVE_WEIGHT**2 * m + p) / (2.0 * w)) / best
+        return 0.5 * (gini + caught / p)
+
+    def exact(self, candidates: Sequence[int], totals: np.ndarray, min_rows: int | None = None) -> DataFrame:
+        """``(candidate, rank_score)``: rows are exchanged once per bucket they visit and ordered there for every candidate."""
+        spark = self.rows.sparkSession
+        tried = F.lit(list(candidates))
+        buckets = totals.shape[1]
+        if totals[..., 0].max() > max(row_floor(min_rows), HOT_BUCKET * totals[0, :, 0].sum() / buckets):
+            # A score shared by so many rows that one bucket is too much for a task: the general rank slices such ties.
+            copies = self.rows.withColumn("candidate", F.explode(tried)).withColumn("_mix", self.mix(F.col("candidate")))
+            return rank_score(copies, self.label, "_mix", self.id, by=["candidate"]).select("candidate", "rank_score")
+        n, p = totals[..., 0], totals[..., 1]
+        before = np.cumsum(NEGATIVE_WEIGHT * (n - p) + p, axis=1) - (NEGATIVE_WEIGHT * (n - p) + p)
+        shifts = [(int(b), int(c), int(before[c, b])) for c in range(len(candidates)) for b in range(buckets) if n[c, b]]
+        shifts = spark.createDataFrame(shifts, "bucket int, at int, before long")
+        tasks = max(1, min(buckets, math.ceil(int(n.sum()) / ROWS_PER_TASK)))
+        moved = self.spread(candidates).repartition(tasks, "bucket")
+        each = moved.select("bucket", self.id, F.col(self.label).cast("long").alias("y"), *self.members, F.explode(F.sequence("start", "stop")).alias("at"))
+        each = each.withColumn("_mix", self.mix(F.get(tried, F.col("at"))))
+        order = Window.partitionBy("bucket", "at").orderBy(descending("_mix"), self.id)
+        running = order.rowsBetween(Window.unboundedPreceding, 0)
+        placed = each.select("bucket", "at", "y", F.row_number().over(order).alias("r"), F.sum("y").over(running).alias("p")).where("y = 1")
+        # As many rows as candidates and buckets, whatever the table.
+        joined = placed.join(F.broadcast(shifts), ["bucket", "at"])
+        passed = F.col("before") + F.lit(NEGATIVE_WEIGHT) * (F.col("r") - F.col("p")) + F.col("p")
+        summed = joined.groupBy("at").agg(
+            F.sum(F.lit(self.weight + 1) - passed).alias("area"),
+            F.count_if(passed <= math.floor(TOP_SHARE * self.weight)).alias("caught"),
+        )
+        score = self._score(F.col("area"), F.col("caught"))
+        return summed.select(F.get(tried, F.col("at")).alias("candidate"), score.alias("rank_score"))
+
+
+def _candidates(df: DataFrame, label: str, first: str, second: str, id: str, max_weight: float, steps: int) -> _Candidates | None:
+    """Buckets of similar size over the mixed scores of a few weights; None if the table has one class only."""
+    rows = df.select(id, F.col(label).cast("int").alias(label), F.col(first).cast("double").alias(first), F.col(second).cast("double").alias(second))
+    finite = [F.when(F.abs(c) < F.lit(float("inf")), F.col(c)) for c in (first, second)]
+    row = rows.agg(
+        F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"),
+        F.min(F.least(*finite)).alias("low"), F.max(F.greatest(*finite)).alias("high"),
+    ).first()
+    if not row.p or row.p == row.n:
+        return None
+    low, high = (row.low, row.high) if row.low is not None else (0.0, 0.0)
+    made = _Candidates(rows, id, label, (first, second), max_weight, steps, low, high, [0] * CELLS, row.p, row.n - row.p)
+    probes = sorted({round(i * steps / 4) for i in range(5)})
+    seen = rows.select(F.explode(F.array(*[made.cell(F.lit(c)) for c in probes])).alias("cell")).groupBy("cell").count().collect()
+    counts = np.zeros(CELLS, dtype=np.int64)
+    for r in seen:
+        counts[r.cell] = r["count"]
+    tasks = max(1, math.ceil(row.n * (steps + 1) / ROWS_PER_TASK))
+    wanted = BUCKETS_PER_PART * max(tasks, shuffle_partitions(df.sparkSession))
+    share = (np.cumsum(counts) - counts) * wanted // max(1, counts.sum())
+    # Numbers without gaps; cells that hold nothing join the bucket before.
+    buckets = np.unique(share, return_inverse=True)[1]
+    return replace(made, bucket_of_cell=[int(b) for b in buckets])
+
+
 def blend_grid(
     df: DataFrame,
     label: str,
@@ -191,26 +340,73 @@ def blend_grid(
     id: str,
     max_weight: float = SEARCH_MAX_WEIGHT,
     steps: int = SEARCH_STEPS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Rank score of ``(1-w) first + w second`` for evenly spaced w in [0, max_weight].
 
-    All candidates are ranked in one job: the rows are repeated per candidate and
-    ordered within it.
+    Rows are exchanged once per bucket of scores that they visit, not once per candidate, and ordered per candidate where they arrive.
+    """
+    tried = list(range(steps + 1))
+    made = _candidates(df, label, first, second, id, max_weight, steps)
+    if made is None:
+        nothing = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("candidate"), F.lit(None).cast("double").alias("rank_score"))
+        return nothing.select("candidate", _weight_of(max_weight, steps), "rank_score")
+    return made.exact(tried, made.totals(tried), min_rows).select("candidate", _weight_of(max_weight, steps), "rank_score")
+
+
+def _weight_of(max_weight: float, steps: int) -> Column:
+    return (F.col("candidate") * F.lit(max_weight) / F.lit(float(steps))).alias("weight")
+
+
+@dataclass(frozen=True)
+class BlendSearch:
+    """The best candidate of a grid, its weight and score, and the candidates whose rows had to be ordered."""
+
+    candidate: int
+    weight: float
+    rank_score: float | None
+    ordered: list[int]
+
+
+def search_best(
+    df: DataFrame,
+    label: str,
+    first: str,
+    second: str,
+    id: str,
+    max_weight: float = SEARCH_MAX_WEIGHT,
+    steps: int = SEARCH_STEPS,
+    min_rows: int | None = None,
+) -> BlendSearch:
+    """The grid's best candidate by branch and bound; the smallest weight wins a tie.
+
+    Counts per candidate and bucket bound every score from both sides, without ordering a row. The candidate that may score highest is ordered first; of the
+    others, only those are ordered whose upper bound reaches the best score known.
     """
-    candidate = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("candidate")
-    w = F.col("candidate") * F.lit(max_weight) / F.lit(float(steps))
-    # Every input row becomes steps + 1 rows; spread the rows before they multiply.
-    tasks = max(1, math.ceil(df.count() * (steps + 1) / ROWS_PER_TASK))
-    spread = df.select(id, label, first, second).repartition(tasks, id)
-    mixed = spread.select("*", candidate).withColumn("_mix", two_way_mix(F.col(first), F.col(second), w))
-    scores = rank_score(mixed, label, "_mix", id, by=["candidate"])
-    return scores.select("candidate", w.alias("weight"), "rank_score")
+    made = _candidates(df, label, first, second, id, max_weight, steps)
+    if made is None:
+        return BlendSearch(0, 0.0, None, [])
+    tried = list(range(steps + 1))
+    totals = made.totals(tried)
+    lower, upper = made.bounds(totals)
+    leader = int(np.argmax(upper))
+
+    def ordered(candidates: list[int]) -> dict[int, float]:
+        rows = made.exact(candidates, totals[candidates], min_rows).collect()
+        return {r.candidate: r.rank_score for r in rows}
+
+    scores = ordered([leader])
+    least = max(float(lower.max()), scores[leader]) - ROUNDING
+    rest = [c for c in tried if c != leader and upper[c] >= least]
+    if rest:
+        scores |= ordered(rest)
+    best = min(scores, key=lambda c: (-scores[c], c))
+    return BlendSearch(best, best * max_weight / float(steps), scores[best], sorted(scores))
 
 
 def search_blend(df: DataFrame, label: str, first: str, second: str, id: str, **grid) -> float:
     """Weight of the best candidate; the smallest weight wins a tie."""
-    scores = blend_grid(df, label, first, second, id, **grid)
-    return scores.orderBy(F.col("rank_score").desc_nulls_last(), "weight").first().weight
+    return search_best(df, label, first, second, id, **grid).weight
 
 
 def mix_and_search(

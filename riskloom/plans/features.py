@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from riskloom.operators.casting import downcast_fixed
 from riskloom.operators.derive import last_first_diff, last_mean_diff, last_mean_rate, ratio_features, round_features
 from riskloom.operators.encode import apply_dictionary, fit_dictionary
-from riskloom.operators.ordered import gap_days
-from riskloom.operators.profile import profile, tenure
-from riskloom.operators.skew import hot_groups
+from riskloom.operators.profile import profile
 from riskloom.session import materialize
 
 
@@ -27,23 +25,18 @@ def statement_profiles(
     float32: bool = True,
     min_rows: int | None = None,
 ) -> DataFrame:
-    """One profile row per key; with gaps and tenure when asked for.
+    """One profile row per key; with gaps and tenure when asked for, all from one scan and one exchange of the rows.
 
     A time given as text is parsed here, once, so that every step orders by the same clock.
     """
-    order, names = [time, *tie], list(numeric)
     statements = with_parsed_time(statements, time)
-    rows = statements
-    hot = hot_groups(statements, key, min_rows)
-    if with_gaps:
-        rows = gap_days(rows, key, time, tie, hot=hot, min_rows=min_rows)
-        names.append("SDist")
-    result = profile(rows, key, order, names, categorical, hot=hot, min_rows=min_rows)
+    result = profile(
+        statements, key, [time, *tie], numeric, categorical, min_rows=min_rows,
+        gap="SDist" if with_gaps else None, time=time if markers else None, markers=markers,
+    )
     if float32:
         counts = [f"{c}_{s}" for c in categorical for s in ("count", "nunique")]
-        result = downcast_fixed(result, integers=counts, skip=[key])
-    if markers:
-        result = result.join(tenure(statements, key, time, markers), key)
+        result = downcast_fixed(result, integers=counts, skip=[key, "LT"])
     return result
 
 

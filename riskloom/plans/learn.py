@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions.missing import SENTINEL, fill_sentinel
-from riskloom.operators.folds import grouped_stratified_folds, repeated_stratified_folds, stratified_folds
+from riskloom.operators.folds import balanced_grouped_folds, repeated_stratified_folds, stratified_folds
 from riskloom.operators.metrics import fold_summary, rank_score
 from riskloom.session import materialize, scratch
 
@@ -169,7 +169,7 @@ def _cross_validate(
     # Placing the rows in folds reads them several times.
     rows = materialize(assemble(df, features, nominal=nominal).select(*kept).withColumn(label, F.col(label).cast("int")))
     if group:
-        placed = grouped_stratified_folds(rows, group, label, k, seed).withColumn("repeat", F.lit(0))
+        placed = balanced_grouped_folds(rows, group, label, k, seed).withColumn("repeat", F.lit(0))
     elif repeats > 1:
         placed = repeated_stratified_folds(rows, id, label, k, repeats, seed)
     else:

@@ -20,6 +20,7 @@ from riskloom.operators.casting import downcast_by_range, downcast_fixed, downca
 from riskloom.operators.encode import apply_dictionary, fit_dictionary, load_dictionary, save_dictionary
 from riskloom.operators.folds import (
     assign_chunks,
+    balanced_grouped_folds,
     contiguous_folds,
     grouped_stratified_folds,
     holdout_split,
@@ -48,6 +49,7 @@ from riskloom.plans.ensemble import (
     fit_blend,
     mix_and_search,
     score_matrix,
+    search_best,
     stack,
 )
 from riskloom.plans.features import statement_profiles, training_frame, with_labels
@@ -794,6 +796,8 @@ def _encode_inputs(spark, sf_dir) -> DataFrame:
     return rows.select(flag, F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"), "l_orderkey")
 
 
+MANY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
+
 CODES = "row_number() OVER (ORDER BY {0} NULLS LAST) - 1"
 
 
@@ -929,6 +933,62 @@ def _(spark, sf_dir):
     return grouped_stratified_folds(rows, "o_custkey", "label", 5)
 
 
+@register(
+    "fold_grouped_balanced",
+    """
+    WITH RECURSIVE g AS (
+      SELECT o_custkey % 97 * (o_custkey % 97) // 90 AS grp, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, o_orderkey FROM orders),
+    s AS (SELECT grp, max(y) AS y, count(*) AS n, md5(concat('42', ':', grp)) AS d FROM (SELECT grp, CASE WHEN grp % 3 = 0 THEN 0 ELSE y END AS y FROM g) GROUP BY grp),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY n DESC, d, grp) AS place FROM s),
+    lpt AS (
+      SELECT y, 0::BIGINT AS place, NULL::BIGINT AS grp, NULL::BIGINT AS fold, [0::BIGINT, 0, 0, 0, 0] AS loads FROM (SELECT DISTINCT y FROM s)
+      UNION ALL
+      SELECT p.y, p.place, p.grp, list_position(l.loads, list_min(l.loads)) - 1,
+             list_transform(l.loads, lambda x, i: CASE WHEN i = list_position(l.loads, list_min(l.loads)) THEN x + p.n ELSE x END)
+      FROM lpt l JOIN placed p ON p.y = l.y AND p.place = l.place + 1 AND p.place <= 8),
+    filled AS (SELECT y, loads FROM lpt QUALIFY row_number() OVER (PARTITION BY y ORDER BY place DESC) = 1),
+    rest AS (SELECT *, sum(n) OVER (PARTITION BY y ORDER BY d, grp ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY y) AS total
+             FROM placed WHERE place > 8),
+    levels AS (SELECT r.*, loads, list_min([(total + list_sum(list_sort(loads)[1:j])) / j::DOUBLE for j in [1, 2, 3, 4, 5]]) AS level FROM rest r JOIN filled f ON f.y = r.y),
+    room AS (SELECT *, [greatest(0.0, level - x) for x in loads] AS room FROM levels),
+    folds AS (
+      SELECT grp, fold FROM lpt WHERE grp IS NOT NULL
+      UNION ALL
+      SELECT grp, len(list_filter([list_sum(room[1:f]) for f in [1, 2, 3, 4]], lambda e: before >= e)) FROM room)
+    SELECT o_orderkey, grp, CASE WHEN grp % 3 = 0 THEN 0 ELSE y END AS label, CAST(fold AS INTEGER) AS fold FROM g JOIN folds USING (grp)""",
+)
+def _(spark, sf_dir):
+    # Groups of very different sizes.
+    member = F.col("o_custkey") % 97
+    label = F.when((F.col("o_orderstatus") == "F") & (F.col("grp") % 3 != 0), 1).otherwise(0).alias("label")
+    rows = table(spark, sf_dir, "orders").withColumn("grp", F.floor(member * member / 90)).select("o_orderkey", "grp", label)
+    return balanced_grouped_folds(rows, "grp", "label", 5, large=8)
+
+
+@register(
+    "encode_many",
+    """
+    WITH base AS (
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS l_returnflag,
+             l_linestatus, l_quantity, l_discount, l_tax, l_shipdate::VARCHAR AS l_shipdate, l_extendedprice
+      FROM lineitem),
+    """
+    + ", ".join(
+        f"k_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c} NULLS LAST) - 1 AS code FROM (SELECT DISTINCT {c} FROM base))"
+        for c in MANY
+    )
+    + " SELECT l_extendedprice, "
+    + ", ".join(f"k_{c}.code AS {c}" for c in MANY)
+    + " FROM base b "
+    + " ".join(f"JOIN k_{c} ON k_{c}.v IS NOT DISTINCT FROM b.{c}" for c in MANY),
+)
+def _(spark, sf_dir):
+    # Keys and days are large dictionaries here, all others small.
+    rows = table(spark, sf_dir, "lineitem").select(*MANY, "l_extendedprice")
+    rows = rows.withColumns({"l_returnflag": F.when(F.col("l_linenumber") != 2, F.col("l_returnflag")), "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")})
+    return apply_dictionary(rows, fit_dictionary(rows, MANY), MANY, broadcast_bytes=20_000)
+
+
 @register(
     "holdout_split",
     f"""
@@ -1260,6 +1320,21 @@ def _(spark, sf_dir):
     return made.select("candidate", *rounded(8, "weight", "rank_score"))
 
 
+@register(
+    "blend_search_best",
+    f"""
+    WITH {MEMBERS}, scored AS (
+      SELECT id, label, candidate, (1 - candidate * 1.0::DOUBLE / 20.0::DOUBLE) * m2 + candidate * 1.0::DOUBLE / 20.0::DOUBLE * m1 AS score
+      FROM members, (SELECT unnest(range(21)) AS candidate)), {ranked_sql('scored', 'score', 'candidate')}
+    SELECT CAST(candidate AS INTEGER) AS candidate, round_even(candidate * 1.0::DOUBLE / 20.0::DOUBLE, 8) AS weight,
+           round_even(0.5 * (g + d), 8) AS rank_score FROM metric ORDER BY 0.5 * (g + d) DESC, candidate LIMIT 1""",
+)
+def _(spark, sf_dir):
+    best = search_best(members(spark, sf_dir), "label", "m2", "m1", "id", max_weight=1.0, steps=20)
+    made = spark.createDataFrame([(best.candidate, best.weight, best.rank_score)], "candidate int, weight double, rank_score double")
+    return made.select("candidate", *rounded(8, "weight", "rank_score"))
+
+
 @register("blend_search")
 def _(spark, sf_dir):
     rows = members(spark, sf_dir)
