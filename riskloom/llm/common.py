@@ -72,20 +72,19 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[st
 STRETCH = 4096
 
 
-def running_sums(df: DataFrame, key: str, at: str, rows_of_key: str, sums: dict[str, Column]) -> DataFrame:
+def running_sums(df: DataFrame, key: str, at: str, sums: dict[str, Column]) -> DataFrame:
     """Add the running sum, in the order of ``at`` within ``key``, of every entry of ``sums``, its own row included.
 
-    ``at`` counts from 0 without gaps and ``rows_of_key`` is the key's number of rows. Sums run within
-    stretches of ``STRETCH`` rows and are shifted by the totals of the stretches before, so a key
-    with very many rows is dealt to many tasks. ``df`` is read twice.
+    ``at`` is a number from 0 that no two rows of a key share. Sums run within stretches of ``STRETCH`` numbers and are
+    shifted by the totals of the stretches before, so a key with very many rows is dealt to many tasks. ``df`` is read twice.
     """
     cut = df.withColumn("_stretch", F.floor(F.col(at) / STRETCH))
     window = Window.partitionBy(key, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns({name: F.sum(value).over(window) for name, value in sums.items()})
-    totals = cut.where(F.col(rows_of_key) > STRETCH).groupBy(key, "_stretch").agg(*[F.sum(v).alias(f"_all_{n}") for n, v in sums.items()])
+    totals = cut.groupBy(key, "_stretch").agg(*[F.sum(v).alias(f"_all_{n}") for n, v in sums.items()])
     before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(key, "_stretch", *[F.sum(f"_all_{n}").over(before).alias(f"_shift_{n}") for n in sums])
-    shifted = local.join(shifts, [key, "_stretch"], "left")
+    shifted = local.join(shifts.where("_stretch > 0"), [key, "_stretch"], "left")
     return shifted.withColumns({n: F.col(n) + F.coalesce(F.col(f"_shift_{n}"), F.lit(0)) for n in sums}).select(*df.columns, *sums)
 
 

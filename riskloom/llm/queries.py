@@ -177,6 +177,52 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+@register(
+    "op11_prefix_trie",
+    """
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || coalesce(text, ''))) - 1 AS "at",
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+               lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT, 1, 2, 3, 4, 5, 6, 7],
+                 lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o."at", role, text FROM convs c JOIN own o ON o.conv_id = c.base AND o."at" < c.h
+  UNION ALL
+  SELECT c.conv_id, 1 AS part, o."at", role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o."at" >= c.h),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, "at") AS d, role, text FROM rebuilt),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS d, 0::BIGINT AS bytes, '' AS node FROM convs
+  UNION ALL
+  SELECT conv_id, d, strlen(text)::BIGINT AS bytes,
+         md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS node FROM turns),
+nodes AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM paths GROUP BY node, d),
+tree AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.node AS parent
+  FROM nodes n LEFT JOIN paths h ON h.conv_id = n.conv_id AND h.d = n.d - 1 LEFT JOIN nodes p ON p.node = h.node AND p.d = h.d),
+children AS (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM tree WHERE parent IS NOT NULL GROUP BY parent, d),
+sums AS (
+  SELECT h.node, h.d, sum((u.n_convs - 1) * u.bytes)::BIGINT AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes u LEFT JOIN children c USING (node, d) JOIN paths h ON h.conv_id = u.conv_id AND h.d <= u.d GROUP BY h.node, h.d),
+ends AS (
+  SELECT node, d, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) = 1) GROUP BY node, d)
+SELECT t.conv_id, t.d AS depth, t.parent_conv_id, t.n_convs, coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves,
+       s.saved AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM tree t LEFT JOIN children c USING (node, d) JOIN sums s USING (node, d) LEFT JOIN ends e USING (node, d)""",
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.prefixtrie import numbered_turns, prefix_trie, with_shared_heads
+
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    turns, convs = with_shared_heads(numbered_turns(table(spark, sf_dir, "conversations")), family=5, most=8, head=head)
+    return prefix_trie(turns, convs)
+
+
 @register(
     "op12_ngram_join",
     r"""
