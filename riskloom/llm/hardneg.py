@@ -76,7 +76,7 @@ class Tree:
     def bounds(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per level, the least and largest inner product of every query with a point of every box."""
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        return [(up @ low.T + down @ high.T, up @ high.T + down @ low.T) for _, low, high, _, _ in self.levels]
+        return [(_within(up @ low.T + down @ high.T), _within(up @ high.T + down @ low.T)) for _, low, high, _, _ in self.levels]
 
     def search(
         self, query: np.ndarray, own_id: int, label, windows: list[tuple], k: int, same: bool, bounds: list[tuple]
@@ -111,7 +111,7 @@ class Tree:
                 push(level - 1, inside)
                 continue
             part = slice(inside.start, inside.stop)
-            scores = self.vectors[part] @ query
+            scores = _within(self.vectors[part] @ query)
             ids = self.ids[part]
             wanted = ((self.codes[part] == code) == same) & (ids != own_id)
             for i, (_, high) in enumerate(windows):
@@ -133,6 +133,11 @@ def _whole(values: np.ndarray) -> np.ndarray:
     return np.array([[int(x) for x in row] for row in values], dtype=object).reshape(values.shape)
 
 
+def _within(scores: np.ndarray) -> np.ndarray:
+    """Scores beyond a bigint become its ends; doubles are far from them here."""
+    return np.clip(scores, -BIGINT - 1, BIGINT) if scores.dtype == object else scores
+
+
 def _trees(held: list[pd.DataFrame]) -> dict[int, tuple[Tree, float]]:
     rows = pd.concat(held)
     trees = {}
@@ -165,7 +170,7 @@ def _searching(k: int, same: bool):
                 windows = [(-math.inf, math.inf)] if same else [(-(-80 * int(p) // 100), int(p)) for p in asked]
                 near = [(lower[i], upper[i]) for lower, upper in bounds]
                 for at, found in enumerate(tree.search(queries[i], own, label, windows, k, same, near)):
-                    rows += [(row, at, j, max(-BIGINT - 1, min(BIGINT, -s))) for s, j in found]
+                    rows += [(row, at, j, -s) for s, j in found]
         return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +216,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     with at most so many rows a window, of which the best remain. A label, a vector or a coordinate that fills the table is cut
     into blocks like any other. Repeated ids: every row is a candidate of the others and an anchor of its own; rows with the
     anchor's id are never its answers. Vectors of other lengths are not compared; empty vectors and rows without an id are
-    left out. Scores beyond a bigint are compared exactly and returned as its ends. An empty table gives no rows.
+    left out. A score beyond a bigint counts as its end. An empty table gives no rows.
     """
     order = [F.col("label"), F.get("v", F.lit(0)), F.col("id"), F.col("v")]
     total = vectors.count()
