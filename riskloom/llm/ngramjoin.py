@@ -1,7 +1,7 @@
 """Jaccard join of texts on word n-grams by vertical partitioning, and the classes its links form.
 
 All n-grams have one global order, cut into ``STRIPS`` fragments by the leading bits of their
-hashes. The first half of the fragments comes first and is ordered by how many texts hold
+hashes. The first ``COUNTED`` fragments are ordered by how many texts hold
 an n-gram, rarest first; the others follow by hash. Two sets that reach the
 similarity share one of the first n-grams of either, which makes the candidates. The sizes of a set's
 fragments bound what a pair can share; for the pairs left, the overlap of each part of the order is counted separately
@@ -21,8 +21,10 @@ from riskloom.llm.components import components
 from riskloom.llm.neardup import _mix, words_of
 from riskloom.session import shuffle_partitions
 
-#: Fragments of the global order. Those below half of it hold the non-negative hashes.
+#: Fragments of the global order, and how many of them are ordered by frequency.
 STRIPS = 128
+COUNTED = 42
+FIRST_UNCOUNTED = COUNTED << 57
 
 #: Parts of the order whose overlaps are counted separately; each is a run of fragments.
 PARTS = 8
@@ -65,61 +67,42 @@ def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def _signed(width: int, seed: int):
-    """Per text: key and digest of its word sequence, its number of n-grams and their number in each fragment."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word_hash = _hashing()
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = words_of(text)
-                if not words:
-                    out.append((None, None, 0, None))
-                    continue
-                hashes = gram_hashes(words, width, word_hash)
-                strips = np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=STRIPS)
-                digest = _digest(words, seed)
-                out.append((_key(digest), digest, len(hashes), strips.astype(np.int32)))
-            batch = batch.drop(columns="text")
-            signed = pd.DataFrame(out, columns=["key", "digest", "n_shingles", "strips"], index=batch.index)
-            signed["key"] = pd.array(signed["key"].tolist(), dtype="Int64")
-            yield pd.concat([batch, signed], axis=1)
-
-    return run
-
-
 def first_grams(n: int, percent: int) -> int:
     """How many of a set's first n-grams it shows: one of them is shared with any set that reaches the similarity."""
     return n - -(-n * percent // 100) + 1
 
 
-def _shown(width: int, seed: int, percent: int):
-    """(``shingle``, ``key``): the counted half of every set, and what is missing to the n-grams it must show. Copies within a task count once."""
+def _signed(width: int, seed: int, percent: int):
+    """Per text: key and digest of its word sequence, its number of n-grams, their number in each fragment, and the
+    n-grams of the counted fragments with what is missing to those it must show. Of copies within a task only the first shows any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word_hash = _hashing()
         seen: set[bytes] = set()
         for batch in batches:
-            keys, grams = [], []
+            out = []
             for text in batch["text"]:
                 words = words_of(text)
-                if not words or (digest := _digest(words, seed)) in seen:
+                if not words:
+                    out.append((None, None, 0, None, None))
                     continue
-                seen.add(digest)
                 hashes = gram_hashes(words, width, word_hash)
-                counted = int(np.searchsorted(hashes, np.uint64(1 << 63)))
-                shown = hashes[: max(counted, first_grams(len(hashes), percent))].view(np.int64)
-                grams.append(shown)
-                keys.append(np.full(len(shown), _key(digest), dtype=np.int64))
-            if keys:
-                yield pd.DataFrame({"shingle": np.concatenate(grams), "key": np.concatenate(keys)})
+                strips = np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=STRIPS)
+                digest, shown = _digest(words, seed), None
+                if digest not in seen:
+                    seen.add(digest)
+                    shown = hashes[: max(int(strips[:COUNTED].sum()), first_grams(len(hashes), percent))].view(np.int64)
+                out.append((_key(digest), digest, len(hashes), strips.astype(np.int32), shown))
+            batch = batch.drop(columns="text")
+            signed = pd.DataFrame(out, columns=["key", "digest", "n_shingles", "strips", "shown"], index=batch.index)
+            signed["key"] = pd.array(signed["key"].tolist(), dtype="Int64")
+            yield pd.concat([batch, signed], axis=1)
 
     return run
 
 
 def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
-    """(``key``, ``part``, ``grams``) of the texts that the filter lets through, copies within a task once."""
+    """(``key``, ``part``, ``grams``) of the texts whose prints the filter lets through, copies within a task once."""
     bits = dict(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,14 +110,13 @@ def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
         seen: set[bytes] = set()
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                words = words_of(text)
-                if not words or (digest := _digest(words, seed)) in seen:
-                    continue
-                at = _key(digest) % FILTER_BITS
+            for text, at in zip(batch["text"], batch["print"] % FILTER_BITS, strict=True):
                 bucket, place = at // 32_768 + 1, at % 32_768
                 if bucket not in bits or not bits[bucket][place // 8] >> (place % 8) & 1:
                     continue
+                words = words_of(text)
+                if not words or (digest := _digest(words, seed)) in seen:
+                    continue
                 seen.add(digest)
                 hashes = gram_hashes(words, width, word_hash)
                 edges = np.searchsorted(hashes >> np.uint64(57), np.arange(1, PARTS, dtype=np.uint64) * np.uint64(STRIPS // PARTS))
@@ -155,28 +137,29 @@ def _can_share(strips_a: str, strips_b: str) -> Column:
     return F.aggregate(smaller, F.lit(0), lambda total, x: total + x)
 
 
-def _hot_grams(texts: DataFrame, width: int, percent: int, total: int) -> list[int]:
+def _hot_grams(signed: DataFrame, total: int) -> list[int]:
     """n-grams that hold more than half of a partition's worth of all rows, judged by a sample of fixed size."""
     share = min(1.0, SAMPLE_DOCS / max(total, 1))
-    rows = texts.sample(share, seed=7).mapInPandas(_shown(width, 0, percent), "shingle long, key long")
-    counted = rows.groupBy("shingle").count()
+    counted = signed.sample(share, seed=7).select(F.explode("shown").alias("shingle")).groupBy("shingle").count()
     least = counted.agg(F.sum("count")).first()[0] or 0
-    least = max(100, least / (2 * shuffle_partitions(texts.sparkSession)))
+    least = max(100, least / (2 * shuffle_partitions(signed.sparkSession)))
     return [r.shingle for r in counted.where(F.col("count") >= least).collect()]
 
 
 def _counted(rows: DataFrame, hot: list[int]) -> DataFrame:
     """(``shingle``, ``key``, ``often``): the different rows of n-grams that several texts hold, and how many hold them.
 
-    Rows are exchanged once, by n-gram; an n-gram of very many texts is dealt to many tasks.
+    Rows are exchanged once, by n-gram; an n-gram of very many texts is dealt to many tasks. Most n-grams have one text and go first.
     """
+    group = ["shingle", "deal"]
+    deal = F.when(F.col("shingle").isin(hot), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(F.lit(0)) if hot else F.lit(0)
+    each = rows.withColumn("deal", deal.cast("int"))
+    window = Window.partitionBy(*group)
+    several = (F.min("key").over(window) != F.max("key").over(window)) | (F.col("shingle").isin(hot) if hot else F.lit(False))
+    each = each.withColumn("several", several).where("several").select(*group, "key").distinct()
     if not hot:
-        each = rows.repartition("shingle").distinct()
-        return each.withColumn("often", F.count("*").over(Window.partitionBy("shingle"))).where("often > 1")
-    deal = F.when(F.col("shingle").isin(hot), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(F.lit(0))
-    each = rows.withColumn("deal", deal).repartition("shingle", "deal").distinct()
-    dealt = each.withColumn("held", F.count("*").over(Window.partitionBy("shingle", "deal")))
-    dealt = written(dealt.where(F.col("shingle").isin(hot) | (F.col("held") > 1)))
+        return each.withColumn("often", F.count("*").over(window)).select("shingle", "key", "often")
+    dealt = written(each.withColumn("held", F.count("*").over(window)))
     # At most two n-grams a partition.
     often = dealt.where(F.col("shingle").isin(hot)).groupBy("shingle").agg(F.count("*").alias("often"))
     joined = dealt.join(F.broadcast(often), "shingle", "left")
@@ -186,15 +169,17 @@ def _counted(rows: DataFrame, hot: list[int]) -> DataFrame:
 def _prefixes(counted: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(``shingle``, ``key``, ``n``, ``at``, ``up``): the n-grams a set shows, with their places in its order.
 
-    n-grams that no other text holds come first and meet nothing, so only their number matters. ``up`` marks
+    n-grams that no other text holds come first and meet nothing, so only their number matters. Uncounted ones take the place of the
+    first of them, which is never too late. ``up`` marks
     those shown to sets that are as large or larger: with these more must be shared, so fewer are shown.
     """
-    late = F.col("shingle") < 0
+    late = (F.col("shingle") < 0) | (F.col("shingle") >= FIRST_UNCOUNTED)
     ordered = F.sort_array(F.collect_list(F.struct(late.alias("late"), F.when(late, 0).otherwise(F.col("often")).alias("often"), "shingle")))
     own = counted.groupBy("key").agg(ordered.alias("grams"), F.count_if(~late).alias("shared"))
     met = own.join(nodes.select("key", "n", "counted"), "key")
-    each = met.select("key", "n", (F.col("counted") - F.col("shared")).alias("alone"), F.posexplode("grams").alias("i", "gram"))
-    placed = each.select("key", "n", F.col("gram.shingle").alias("shingle"), (F.col("alone") + F.col("i")).cast("int").alias("at"))
+    each = met.select("key", "n", "counted", (F.col("counted") - F.col("shared")).alias("alone"), F.posexplode("grams").alias("i", "gram"))
+    at = F.least(F.col("alone") + F.col("i"), F.col("counted")).cast("int")
+    placed = each.select("key", "n", F.col("gram.shingle").alias("shingle"), at.alias("at"))
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     first_up = F.col("n") - needed(F.col("n"), F.col("n"), percent) + 1
     return placed.where(F.col("at") < first).withColumn("up", F.col("at") < first_up)
@@ -251,42 +236,43 @@ def ngram_join(
     text = F.coalesce(docs[text_column], F.lit(""))
     doc_id, has_id = filled_id(docs, id_column)
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), text.alias("text"))
-    schema = f"doc_id {kind}, has_id boolean, key long, digest binary, n_shingles long, strips array<int>"
+    print = F.xxhash64(text).alias("print")
+    rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), print, text.alias("text"))
+    schema = f"doc_id {kind}, has_id boolean, print long, key long, digest binary, n_shingles long, strips array<int>, shown array<long>"
     for seed in range(SEEDS):
-        signed = rows.mapInPandas(_signed(width, seed), schema).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
+        signed = rows.mapInPandas(_signed(width, seed, percent), schema).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
         signed = written(signed.drop("has_id").withColumn("row", F.monotonically_increasing_id()))
         grouped = signed.where("key is not null").groupBy("key").agg(
             F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("strips").alias("strips"),
-            F.min("digest").alias("digest"), F.max("digest").alias("last"),
+            F.min("digest").alias("digest"), F.max("digest").alias("last"), F.min("print").alias("print"),
         )
-        nodes = written(grouped.withColumn("counted", F.aggregate(F.slice("strips", 1, STRIPS // 2), F.lit(0), lambda t, x: t + x)))
+        nodes = written(grouped.withColumn("counted", F.aggregate(F.slice("strips", 1, COUNTED), F.lit(0), lambda t, x: t + x)))
         if nodes.where("digest != last").isEmpty():
             break
     else:
         raise RuntimeError(f"keys of word sequences collided in {SEEDS} draws")
     members = signed.select("row", "doc_id", "key", "n_shingles")
 
-    texts = docs.select(text.alias("text"))
-    hot = _hot_grams(texts, width, percent, signed.count())
-    shown = written(_prefixes(_counted(texts.mapInPandas(_shown(width, seed, percent), "shingle long, key long"), hot), nodes, percent))
+    hot = _hot_grams(signed, signed.count())
+    shown = written(_prefixes(_counted(signed.select(F.explode("shown").alias("shingle"), "key"), hot), nodes, percent))
+    texts = docs.select(print, text.alias("text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        at = F.pmod("key", F.lit(FILTER_BITS)) + 1
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        at = F.pmod("print", F.lit(FILTER_BITS)) + 1
         bucket = F.bitmap_bucket_number(at).alias("bucket")
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-        held = keys.groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+        held = nodes.select("key", "print").join(keys, "key").groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
         held = [(r.bucket, bytes(r.bits)) for r in held]
         found = texts.mapInPandas(_parts(width, seed, held), "key long, part int, grams array<long>")
-        parts = written(found.join(keys.distinct(), "key", "left_semi").groupBy("key", "part").agg(F.first("grams").alias("grams")))
+        parts = written(found.join(keys, "key", "left_semi").groupBy("key", "part").agg(F.first("grams").alias("grams")))
         beside = spread_join(pairs, parts.toDF("b", "part", "grams_b"), ["b"], ["a"])
         beside = spread_join(beside, parts.toDF("a", "part", "grams_a"), ["a", "part"], ["b"])
         shares = beside.select("a", "b", "need", F.size(F.array_intersect("grams_a", "grams_b")).alias("share"))
         summed = shares.groupBy("a", "b", "need").agg(F.sum("share").alias("overlap")).where("overlap >= need")
         return written(summed.select("a", "b", "overlap"))
 
-    links = texts.sparkSession.createDataFrame([], "a long, b long, overlap long")
-    found = texts.sparkSession.createDataFrame([], "node long, root long")
+    links = docs.sparkSession.createDataFrame([], "a long, b long, overlap long")
+    found = docs.sparkSession.createDataFrame([], "node long, root long")
     sizes = nodes.select("key", "strips")
     for turn, hubs in enumerate(HUBS):
         state = nodes.join(found.withColumnRenamed("node", "key"), "key", "left")
