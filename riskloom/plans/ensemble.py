@@ -32,6 +32,9 @@ ROWS_PER_TASK = 1_000_000
 # Equal steps of the score from which the search makes its buckets.
 CELLS = 4096
 
+# Buckets beyond those that balance the tasks only tighten the bounds.
+MOST_BUCKETS = 2048
+
 # A bucket with so many times the rows of an average one is too much for a task.
 HOT_BUCKET = 16
 
@@ -325,7 +328,8 @@ def _candidates(df: DataFrame, label: str, first: str, second: str, id: str, max
     for r in seen:
         counts[r.cell] = r["count"]
     tasks = max(1, math.ceil(row.n * (steps + 1) / ROWS_PER_TASK))
-    wanted = BUCKETS_PER_PART * max(tasks, shuffle_partitions(df.sparkSession))
+    # Enough for all tasks, and narrow for tight bounds, but no more counts than rows.
+    wanted = max(BUCKETS_PER_PART * max(tasks, shuffle_partitions(df.sparkSession)), min(MOST_BUCKETS, row.n // (steps + 1)))
     share = (np.cumsum(counts) - counts) * wanted // max(1, counts.sum())
     # Numbers without gaps; cells that hold nothing join the bucket before.
     buckets = np.unique(share, return_inverse=True)[1]

@@ -36,7 +36,7 @@ def statement_profiles(
     )
     if float32:
         counts = [f"{c}_{s}" for c in categorical for s in ("count", "nunique")]
-        result = downcast_fixed(result, integers=counts, skip=[key, "LT"])
+        result = downcast_fixed(result, integers=counts, skip=[key, "LT", time])
     return result
 
 
