@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from riskloom.operators.skew import spread_join  # noqa: F401  (also used by the operators)
 from riskloom.session import prepare, shared_folder
 
 #: A word is a maximal run of characters other than ASCII white space.
@@ -40,34 +41,19 @@ def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows of ``df``, computed once into a parquet table of the shared folder.
 
     Used where several later jobs read the same rows. The table outlives lost
-    executors, and later readers can skip columns, unlike with a row checkpoint.
+    executors, and later readers can skip columns, unlike with a row checkpoint. With ``folder`` (of
+    ``session.scratch``), it goes when its readers are done.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ways a key that fills a large share of the rows is dealt out.
-SALTS = 64
-
-
-def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Inner join of ``rows`` with ``lookup``, in which every key stands once, where few keys may hold most rows.
-
-    Rows of one key are dealt out by the columns ``by``. Only the different pairs of key and
-    deal, at most ``SALTS`` a key, meet the lookup; what they find then meets the rows, dealt
-    the same way. No task gets all rows of a key, and nothing is broadcast.
-    """
-    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
-    held = dealt.select(*keys, "_deal").distinct().join(lookup, keys)
-    return dealt.join(held, [*keys, "_deal"]).drop("_deal")
-
-
 #: Rows of one key that a running sum takes at once.
 STRETCH = 4096
 
@@ -94,11 +80,12 @@ def filled_id(docs: DataFrame, name: str) -> tuple[Column, Column]:
     return F.coalesce(docs[name], F.lit("0").cast(kind)), docs[name].isNotNull()
 
 
-def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES):
+def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES, instead_of: str | None = None):
     """A memo of ``compute`` that tasks of one Python worker share and that never exceeds two generations.
 
     A full generation becomes the old one and a new one begins, so frequent keys
-    stay. Lookups of young keys run at the speed of a dict.
+    stay. Lookups of young keys run at the speed of a dict. ``name`` tells what is computed, so whatever the results depend on
+    is part of it. A new memo takes the place of those whose names begin with ``instead_of``.
     """
     import sys
 
@@ -117,6 +104,8 @@ def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES):
 
     shelf = sys.__dict__.setdefault("_riskloom_llm_memos", {})
     if name not in shelf:
+        for old in [x for x in shelf if instead_of and x.startswith(instead_of)]:
+            del shelf[old]
         shelf[name] = Memo()
         shelf[name].old = {}
         shelf[name].compute = compute

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.common import written
+from riskloom.session import scratch
 
 MAX_ROUNDS = 60
 
@@ -22,29 +23,31 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Nodes without links are not returned; an empty link table gives no rows. Repeated links and links of a node with itself
     change nothing. Raises if ``MAX_ROUNDS`` do not suffice.
     """
-    edges = written(
-        links.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent"))
-        .distinct()
-    )
-    for _ in range(MAX_ROUNDS):
-        both = edges.union(edges.select("parent", "child")).toDF("node", "other")
-        least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.where("other > node").join(least, "node").select(F.col("other").alias("child"), F.col("m").alias("parent"))
-        large = large.distinct()
-        first = large.groupBy("child").agg(F.min("parent").alias("m"))
-        small = large.join(first, "child")
-        after = (
-            small.select(F.col("parent").alias("child"), F.col("m").alias("parent"))
-            .union(first.select("child", F.col("m").alias("parent")))
-            .where("child != parent")
-            .distinct()
+    with scratch(links.sparkSession) as folder:
+        edges = written(
+            links.where(F.col(a) != F.col(b))
+            .select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent"))
+            .distinct(),
+            folder,
         )
-        after = written(after)
-        # Done when every child has one parent and no parent is a child: the links are stars.
-        roots = after.select("parent").distinct().withColumnRenamed("parent", "child")
-        if after.join(roots, "child", "left_semi").isEmpty() and after.groupBy("child").count().where("count > 1").isEmpty():
-            tops = after.select("parent").distinct()
-            return after.toDF("node", "root").union(tops.select("parent", "parent"))
-        edges = after
+        for _ in range(MAX_ROUNDS):
+            both = edges.union(edges.select("parent", "child")).toDF("node", "other")
+            least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+            large = both.where("other > node").join(least, "node").select(F.col("other").alias("child"), F.col("m").alias("parent"))
+            large = large.distinct()
+            first = large.groupBy("child").agg(F.min("parent").alias("m"))
+            small = large.join(first, "child")
+            after = (
+                small.select(F.col("parent").alias("child"), F.col("m").alias("parent"))
+                .union(first.select("child", F.col("m").alias("parent")))
+                .where("child != parent")
+                .distinct()
+            )
+            after = written(after, folder)
+            # Done when every child has one parent and no parent is a child: the links are stars.
+            roots = after.select("parent").distinct().withColumnRenamed("parent", "child")
+            if after.join(roots, "child", "left_semi").isEmpty() and after.groupBy("child").count().where("count > 1").isEmpty():
+                tops = after.select("parent").distinct()
+                return written(after.toDF("node", "root").union(tops.select("parent", "parent")))
+            edges = after
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -9,8 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import WORD, filled_id, memo, once, rows_at_once, written
-from riskloom.llm.components import components
+from riskloom.llm.common import WORD, filled_id, once, spread_join, written
+from riskloom.llm.linking import beside, different_texts, digest_of, gram_hashes, hashing, key_of, linked, strips_of, words_of
 
 SHINGLE = 5
 
@@ -26,13 +26,6 @@ BATCH = 18
 MISS = 1e-6
 
 
-#: Rounds in which a bucket with several components gets another node to compare with.
-MORE_HUBS = 1
-
-#: Pairs of whole texts that a Python task receives at once.
-PAIRS_AT_ONCE = 40
-
-
 def bands_for(percent: int) -> int:
     """The number of bands for a similarity of ``percent`` / 100: 21 at 85, 33 at 80."""
     if percent >= 100:
@@ -44,11 +37,6 @@ def bands_for(percent: int) -> int:
 BANDS = bands_for(85)
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, with A-Z lower-cased and nothing else changed."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def shingles_of(words: list[bytes]) -> set[bytes]:
     """Distinct shingles; a shorter text is one shingle. (Words hold no spaces, so joining is exact.)"""
     if not words:
@@ -58,22 +46,6 @@ def shingles_of(words: list[bytes]) -> set[bytes]:
     return {b" ".join(x) for x in zip(*(words[i:] for i in range(SHINGLE)), strict=False)}
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(words: list[bytes], word_hash) -> np.ndarray:
-    """64-bit hashes of the distinct shingles."""
-    h = np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words))
-    n = max(1, len(h) - SHINGLE + 1)
-    total = np.full(n, np.uint64(min(len(h), SHINGLE)), dtype=np.uint64)
-    for i in range(min(len(h), SHINGLE)):
-        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(total)
-
-
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     a = rng.integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -93,29 +65,30 @@ def minima(hashes: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return least[:, 0]
 
 
-def _signed(bands: int):
-    """Per text: the digest of its words, the size of its set of shingles and its signature."""
+def _signed(bands: int, seed: int):
+    """Per text: key and digest of its words, the size of its set of shingles, the sizes of its fragments and its signature.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        import xxhash
+    Of copies within a task only the first carries a signature.
+    """
 
-        word_hash = memo("xxh64", xxhash.xxh64_intdigest).__getitem__
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        word_hash = hashing()
+        seen: set[bytes] = set()
         for batch in batches:
             out = []
             for text in batch["text"]:
                 words = words_of(text)
                 if not words:
-                    out.append((None, 0, None))
+                    out.append((None, None, 0, None, None))
                     continue
-                hashes = shingle_hashes(words, word_hash)
-                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                out.append((digest, len(hashes), minima(hashes, bands).astype("<u4").tobytes()))
+                hashes = gram_hashes(words, SHINGLE, word_hash)
+                digest, signature = digest_of(words, seed), None
+                if digest not in seen:
+                    seen.add(digest)
+                    signature = minima(hashes, bands).astype("<u4").tobytes()
+                out.append((key_of(digest), digest, len(hashes), strips_of(hashes), signature))
             batch = batch.drop(columns="text")
-            names = ["node", "n_shingles", "signature"]
-            batch[names] = pd.DataFrame(out, columns=names, index=batch.index)
-            yield batch
+            yield beside(batch, ["key", "digest", "n_shingles", "strips", "signature"], out)
 
     return run
 
@@ -152,192 +125,72 @@ def _prune(similarity: float, bands: int):
             a = np.frombuffer(b"".join(batch["sig_a"]), "<u4").reshape(-1, n_all)
             b = np.frombuffer(b"".join(batch["sig_b"]), "<u4").reshape(-1, n_all)
             alive, agree = np.arange(len(batch)), np.zeros(len(batch), dtype=np.int64)
-            # The larger set bounds the similarity by the ratio of sizes.
-            small, large = np.minimum(batch["n_a"], batch["n_b"]), np.maximum(batch["n_a"], batch["n_b"])
-            alive = alive[(small >= similarity * large - 1e-9).to_numpy()]
             for start in range(0, n_all, BATCH):
                 cut = slice(start, start + BATCH)
                 agree[alive] += (a[alive, cut] == b[alive, cut]).sum(axis=1)
                 alive = alive[agree[alive] >= least[min(start + BATCH, n_all)]]
-            yield batch.iloc[alive][["node_a", "node_b", "key_a", "key_b"]]
-
-    return run
-
-
-def _confirm(percent: int):
-    """Keep the pairs that reach the similarity on their full sets of shingles."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[bytes, set] = {}
-        for batch in batches:
-            keep = []
-            for node_a, node_b, text_a, text_b in zip(
-                batch["node_a"], batch["node_b"], batch["text_a"], batch["text_b"], strict=True
-            ):
-                if node_a not in held:
-                    held = {node_a: shingles_of(words_of(text_a))}
-                a, b = held[node_a], shingles_of(words_of(text_b))
-                both = len(a & b)
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch[["node_a", "node_b"]][np.array(keep, dtype=bool)]
+            yield batch.iloc[alive][["a", "b", "need"]]
 
     return run
 
 
-def _open_buckets(shared: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes, their set sizes and components, of the buckets that still hold several components."""
-    sized = shared.join(nodes.select("node", "n"), "node").join(found, "node", "left")
-    placed = sized.select("bucket", "hub", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    return placed.join(several.select("bucket"), "bucket", "left_semi")
-
-
-def _next_hubs(open_ones: DataFrame, turn: int) -> DataFrame:
-    """Candidates with one more hub per open bucket: a node that is not connected to the first one.
-
-    Where the first hub is itself the odd one out, this connects the others without comparing them all.
-    """
-    first = open_ones.where("node = hub").select("bucket", F.col("root").alias("hub_root"))
-    apart = open_ones.join(first, "bucket").where("root != hub_root")
-    draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root")
-    chosen = apart.groupBy("bucket").agg(F.min(draw).alias("c"))
-    hubs = chosen.select("bucket", F.col("c.node").alias("node_a"), F.col("c.root").alias("root_a"))
-    return open_ones.join(hubs, "bucket").where("root != root_a").select("node_a", F.col("node").alias("node_b")).distinct()
-
-
-def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
-
-    word_hash = memo("xxh64", xxhash.xxh64_intdigest).__getitem__
-    for batch in batches:
-        if len(batch):
-            hashes = [shingle_hashes(words_of(text), word_hash).view(np.int64) for text in batch["text"]]
-            yield batch[["node"]].assign(shingles=hashes)
-
-
-def _rarest_shared(apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Candidates among ``apart`` (node, text_key, n, root) that share one of their rarest shingles.
-
-    Sets that reach the similarity share ``percent`` of either set, so with all shingles in one order, the
-    first n - least + 1 of both have one in common. The rarest come first: a text of a large group that resembles
-    the others but differs by more than is allowed shows only shingles of its own, and meets nobody.
-    Shingles that a single text holds meet nothing; they are counted, not exchanged again.
-    """
-    hashed = apart.select("node", "text_key").join(texts.toDF("text_key", "text"), "text_key").select("node", "text")
-    hashed = written(hashed.mapInPandas(_hashed, "node binary, shingles array<long>"))
-    each = hashed.select("node", F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    # One text's shared shingles, as many as it is long.
-    shared = each.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
-    n = F.col("n")
-    least = F.floor((n * percent + 99) / 100)
-    # With a set as large or larger, more must be shared, so the smaller one shows fewer shingles.
-    least_up = F.floor((n * 2 * percent + 99 + percent) / (100 + percent))
-    first, first_up = (F.greatest(F.size("shared") - x + 1, F.lit(0)).cast("int") for x in (least, least_up))
-    met = shared.join(apart.select("node", "n", "root"), "node")
-    shown = F.posexplode(F.slice("shared", 1, first)["shingle"]).alias("at", "shingle")
-    ordered = written(met.select("node", "n", "root", first_up.alias("up"), shown).withColumn("up", F.col("at") < F.col("up")).drop("at"))
-    a = ordered.where("up").select(*(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root")), "shingle")
-    b = ordered.select(*(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")), "shingle")
-    fits = F.col("n_a") * 100 >= F.col("n_b") * percent
-    upward = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
-    pairs = a.join(b, "shingle").where(upward & (F.col("root_a") != F.col("root_b")) & fits)
-    return pairs.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
-
-
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85
 ) -> tuple[DataFrame, DataFrame]:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more, transitively.
 
-    Returns ``(members, nodes)``. ``members`` has one row per row of ``docs``: ``doc_id``, ``text_key``
-    (digest of its text), ``node`` (digest of its word sequence; NULL without words),
+    Returns ``(members, nodes)``. ``members`` has one row per row of ``docs``: ``row`` (a number), ``doc_id``, ``text_key``
+    (digest of its text), ``node`` (key of its word sequence; NULL without words),
     ``n_shingles``. ``nodes`` has one row per different word sequence: ``node``, ``root`` (one
     for each group), ``component_id`` (smallest doc_id of the group, NULL if none has an id).
 
     1. Equal word sequences are one node, however many copies there are.
-    2. Nodes that share a band are candidates. In a bucket, every node is compared with the
-       bucket's smallest one, not with all others. Nodes of one bucket that are connected by then
-       need no comparison. Where a bucket still holds several components, its nodes are compared with
-       up to ``MORE_HUBS`` further ones, and last, those of them that share one of their rarest
-       shingles with each other, which loses no link (``_rarest_shared``).
-       So a large group of near copies costs a few pairs a member and bucket.
+    2. Nodes that share a band are candidates. They meet in rounds (``linking.linked``): in a bucket 1, then 8, then 32
+       nodes meet those not connected to them yet, at last all that are still apart. So a large group of near
+       copies costs a few pairs a member and bucket. What the sizes of two sets' fragments rule out goes first, which loses no link.
     3. Candidates are pruned by comparing signatures in batches (posterior below ``MISS``),
-       and the survivors are confirmed on their whole texts.
+       and the survivors are confirmed on their full sets of shingles.
 
-    Joins on a node that most pairs share are ordinary sort-merge joins, whose skewed partitions
-    Spark splits. NULL, empty and blank texts have no shingles and link with nothing; repeated rows and
+    Signatures are only fetched for candidates; all else is exchanged by 8-byte keys. NULL, empty and blank texts have no
+    shingles and link with nothing; repeated rows and
     equal ids stay rows of their own. Texts are read whole. An empty table gives empty results.
     """
-    similarity, n_bands = percent / 100, bands_for(percent)
+    n_bands = bands_for(percent)
     text = F.coalesce(docs[text_column], F.lit(""))
     doc_id, has_id = filled_id(docs, id_column)
     kind = docs.schema[id_column].dataType.simpleString()
-    digest = F.unhex(F.md5(text.cast("binary")))
-    rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), digest.alias("text_key"), text.alias("text"))
-    signed = rows.mapInPandas(
-        _signed(n_bands), f"doc_id {kind}, has_id boolean, text_key binary, node binary, n_shingles long, signature binary"
-    ).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
-    signed = written(signed.drop("has_id"))
-    members = signed.select("doc_id", "text_key", "node", "n_shingles")
-    nodes = written(
-        signed.where("node is not null")
-        .groupBy("node")
-        .agg(
-            F.min("doc_id").alias("least_id"),
-            F.min("text_key").alias("text_key"),
-            F.min("n_shingles").alias("n"),
-            F.min("signature").alias("signature"),
-        )
-    )
+    print = F.xxhash64(text).alias("print")
+    digest = F.unhex(F.md5(text.cast("binary"))).alias("text_key")
+    rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), digest, print, text.alias("text"))
+    schema = f"doc_id {kind}, has_id boolean, text_key binary, print long, key long, digest binary, n_shingles long, strips array<int>, signature binary"
 
+    def sign(seed: int) -> DataFrame:
+        signed = rows.mapInPandas(_signed(n_bands, seed), schema)
+        return signed.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
+
+    seed, signed, nodes = different_texts(sign, {"signature": F.first("signature", ignorenulls=True)})
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(n_bands - 1)),
         lambda i: F.xxhash64(i, F.col("signature").substr(i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
     )
-    banded = nodes.select("node", F.explode(bands).alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = written(banded.join(hubs.select("bucket", "hub"), "bucket"))
-
-    def whole_texts(keys: DataFrame) -> DataFrame:
-        # Copies of a text collapse in the tasks that read them, before any exchange.
-        texts = docs.select(digest.alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-        return texts.join(keys.toDF("key").distinct(), "key", "left_semi")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = nodes.select("node", "text_key", "signature", "n")
-        a = sides.toDF("node_a", "key_a", "sig_a", "n_a")
-        b = sides.toDF("node_b", "key_b", "sig_b", "n_b")
-        likely = pairs.join(b, "node_b").join(a, "node_a").mapInPandas(
-            _prune(similarity, n_bands), "node_a binary, node_b binary, key_a binary, key_b binary"
-        )
-        likely = written(likely)
-        texts = written(whole_texts(likely.select(F.explode(F.array("key_a", "key_b")))))
-        beside = likely.join(texts.toDF("key_b", "text_b"), "key_b").join(texts.toDF("key_a", "text_a"), "key_a")
-        # Both rows of a pair may hold very long texts, so only few pairs go to Python at once.
-        with rows_at_once(docs.sparkSession, PAIRS_AT_ONCE):
-            return written(beside.mapInPandas(_confirm(percent), "node_a binary, node_b binary"))
-
-    first = shared.where("node != hub").select(F.col("hub").alias("node_a"), F.col("node").alias("node_b")).distinct()
-    links = verified(first)
-    found = components(links, "node_a", "node_b")
-    for turn in range(MORE_HUBS + 1):
-        open_ones = written(_open_buckets(shared, found, nodes))
-        if open_ones.isEmpty():
-            break
-        if turn < MORE_HUBS:
-            rest = written(_next_hubs(open_ones, turn))
-        else:
-            apart = open_ones.select("node", "n", "root").distinct().join(nodes.select("node", "text_key"), "node")
-            rest = written(_rarest_shared(apart, whole_texts(apart.select("text_key")), percent))
-        if not rest.isEmpty():
-            links = links.unionByName(verified(rest))
-            found = components(links, "node_a", "node_b")
-
-    placed = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return members, placed.join(smallest, "root").select("node", "root", "component_id")
+    banded = nodes.select("key", F.col("n"), F.explode(bands).alias("shingle"))
+    several = banded.groupBy("shingle").count().where("count > 1").select("shingle")
+    shown = written(banded.join(several, "shingle").select("shingle", "key", "n", F.lit(0).alias("at"), F.lit(True).alias("up")))
+    signatures = nodes.select("key", "signature")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        both = spread_join(pairs, signatures.toDF("a", "sig_a"), ["a"], ["b"])
+        both = spread_join(both, signatures.toDF("b", "sig_b"), ["b"], ["a"])
+        return both.mapInPandas(_prune(percent / 100, n_bands), "a long, b long, need long")
+
+    classes, _links = linked(nodes, shown, docs.select(print, text.alias("text")), SHINGLE, percent, seed, likely)
+    members = signed.select("row", "doc_id", "text_key", F.col("key").alias("node"), "n_shingles")
+    return members, classes.withColumnRenamed("key", "node")
+
 
+def placed_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members that have words, beside the columns of their nodes; copies of one text are dealt out."""
+    return spread_join(members.where("node is not null"), nodes, ["node"], ["row"])
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85) -> DataFrame:
@@ -349,7 +202,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     text = F.coalesce(docs[text_column], F.lit(""))
     members, nodes = near_duplicates(docs, id_column, text_column, percent)
-    signed = members.where("node is not null").join(nodes, "node")
+    signed = placed_members(members, nodes)
     chosen = signed.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("c")
     )

@@ -14,58 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from riskloom.llm.common import filled_id, memo, spread_join, written
-from riskloom.llm.components import components
-from riskloom.llm.neardup import _mix, words_of
+from riskloom.llm.common import filled_id, spread_join, written
+from riskloom.llm.linking import STRIPS, beside, different_texts, digest_of, gram_hashes, hashing, key_of, linked, needed, strips_of, words_of
 from riskloom.session import shuffle_partitions
 
-#: Fragments of the global order, and how many of them are ordered by frequency.
-STRIPS = 128
+#: Fragments of the order that are ordered by frequency, and the hash at which the others begin.
 COUNTED = 42
 FIRST_UNCOUNTED = COUNTED << 57
 
-#: Parts of the order whose overlaps are counted separately; each is a run of fragments.
-PARTS = 8
-
-#: How many texts of an n-gram's list meet all others of the list, by round. In the last round all that are still apart meet.
-HUBS = (1, 8, 32, None)
-
-#: Bits of the filter that keeps most texts without candidates out of the exchange (8 MB, whatever the table).
-FILTER_BITS = 1 << 26
-
 #: Documents looked at to find n-grams that too many texts hold for one task.
 SAMPLE_DOCS = 2_000
 
-SEEDS = 8
-
-
-def gram_hashes(words: list[bytes], width: int, word_hash) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-grams; a shorter text is one n-gram."""
-    h = np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words))
-    w = min(len(h), width)
-    total = np.full(len(h) - w + 1, np.uint64(w), dtype=np.uint64)
-    for i in range(w):
-        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(total)])
-    return np.unique(total)
-
-
-def _hashing():
-    import xxhash
-
-    return memo("xxh64", xxhash.xxh64_intdigest).__getitem__
-
-
-def _digest(words: list[bytes], seed: int) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(b" ".join(words), digest_size=16, key=bytes([seed])).digest()
-
-
-def _key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
 
 def first_grams(n: int, percent: int) -> int:
     """How many of a set's first n-grams it shows: one of them is shared with any set that reaches the similarity."""
@@ -77,7 +38,7 @@ def _signed(width: int, seed: int, percent: int):
     n-grams of the counted fragments with what is missing to those it must show. Of copies within a task only the first shows any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word_hash = _hashing()
+        word_hash = hashing()
         seen: set[bytes] = set()
         for batch in batches:
             out = []
@@ -87,56 +48,18 @@ def _signed(width: int, seed: int, percent: int):
                     out.append((None, None, 0, None, None))
                     continue
                 hashes = gram_hashes(words, width, word_hash)
-                strips = np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=STRIPS)
-                digest, shown = _digest(words, seed), None
+                strips = strips_of(hashes)
+                digest, shown = digest_of(words, seed), None
                 if digest not in seen:
                     seen.add(digest)
                     shown = hashes[: max(int(strips[:COUNTED].sum()), first_grams(len(hashes), percent))].view(np.int64)
-                out.append((_key(digest), digest, len(hashes), strips.astype(np.int32), shown))
+                out.append((key_of(digest), digest, len(hashes), strips, shown))
             batch = batch.drop(columns="text")
-            signed = pd.DataFrame(out, columns=["key", "digest", "n_shingles", "strips", "shown"], index=batch.index)
-            signed["key"] = pd.array(signed["key"].tolist(), dtype="Int64")
-            yield pd.concat([batch, signed], axis=1)
+            yield beside(batch, ["key", "digest", "n_shingles", "strips", "shown"], out)
 
     return run
 
 
-def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
-    """(``key``, ``part``, ``grams``) of the texts whose prints the filter lets through, copies within a task once."""
-    bits = dict(held)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word_hash = _hashing()
-        seen: set[bytes] = set()
-        for batch in batches:
-            out = []
-            for text, at in zip(batch["text"], batch["print"] % FILTER_BITS, strict=True):
-                bucket, place = at // 32_768 + 1, at % 32_768
-                if bucket not in bits or not bits[bucket][place // 8] >> (place % 8) & 1:
-                    continue
-                words = words_of(text)
-                if not words or (digest := _digest(words, seed)) in seen:
-                    continue
-                seen.add(digest)
-                hashes = gram_hashes(words, width, word_hash)
-                edges = np.searchsorted(hashes >> np.uint64(57), np.arange(1, PARTS, dtype=np.uint64) * np.uint64(STRIPS // PARTS))
-                out += [(_key(digest), i, part.view(np.int64)) for i, part in enumerate(np.split(hashes, edges))]
-            if out:
-                yield pd.DataFrame(out, columns=["key", "part", "grams"])
-
-    return run
-
-
-def needed(n_a: Column, n_b: Column, percent: int) -> Column:
-    """What two sets of these sizes share at least if they reach the similarity."""
-    return F.floor(((n_a + n_b) * percent + (99 + percent)) / (100 + percent))
-
-
-def _can_share(strips_a: str, strips_b: str) -> Column:
-    smaller = F.zip_with(strips_a, strips_b, lambda x, y: F.least(x, y))
-    return F.aggregate(smaller, F.lit(0), lambda total, x: total + x)
-
-
 def _hot_grams(signed: DataFrame, total: int) -> list[int]:
     """n-grams that hold more than half of a partition's worth of all rows, judged by a sample of fixed size."""
     share = min(1.0, SAMPLE_DOCS / max(total, 1))
@@ -185,32 +108,6 @@ def _prefixes(counted: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return placed.where(F.col("at") < first).withColumn("up", F.col("at") < first_up)
 
 
-def _met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame:
-    """Candidates (``a``, ``b``, ``need``) among ``rows``, which show n-grams and are not all connected.
-
-    With ``hubs``, so many texts of every list, drawn by their keys, meet the others of it; else all do, and then the sizes of the
-    fragments (``strips``) decide within the join. A pair is kept where its places leave the similarity possible.
-    """
-    names = [c for c in rows.columns if c != "shingle"]
-    left = rows
-    if hubs is not None:
-        draw = Window.partitionBy("shingle").orderBy(F.xxhash64("key", F.lit(turn)), "key")
-        left = rows.withColumn("drawn", F.row_number().over(draw)).where(F.col("drawn") <= hubs)
-    a = left.select("shingle", *(F.col(c).alias(f"{c}_a") for c in names))
-    b = rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in names))
-    smaller = F.struct("n_a", "key_a") < F.struct("n_b", "key_b")
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    need = needed(F.col("n_a"), F.col("n_b"), percent)
-    left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    possible = (F.col("root_a") != F.col("root_b")) & fits & (left_over >= need)
-    if hubs is None:
-        possible = possible & smaller & F.col("up_a") & (_can_share("strips_a", "strips_b") >= need)
-    else:
-        possible = possible & F.when(smaller, F.col("up_a")).otherwise(F.col("up_b"))
-    pairs = a.join(b, "shingle").where(possible)
-    return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), need.alias("need")).distinct()
-
-
 def ngram_join(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -223,15 +120,13 @@ def ngram_join(
     so ``links`` connects every class without listing all its pairs.
 
     1. Equal word sequences are one key, however many copies there are.
-    2. Keys meet by the first n-grams of the global order (module docstring). In every list of an n-gram, 1, then 8, then 32
-       of its keys meet those not yet connected to them; classes are renewed after each round. At last all
-       keys of a list that are still apart meet, where the sizes of their fragments allow the similarity. A large group of near copies is
-       connected by the first rounds and costs a few pairs a key.
+    2. Keys meet by the first n-grams of the global order (module docstring), in rounds (``linked``), so that a large group of near
+       copies costs a few pairs a key.
     3. Overlaps are counted part by part on the full sets and summed per pair.
 
     NULL, empty and blank texts have no n-grams and link with nothing. Repeated rows and equal or missing ids stay rows of
     their own; other columns are not read. Texts are read whole. An empty table gives empty results. Keys are
-    64-bit hashes of 128-bit digests, drawn anew should two digests share one; raises if ``SEEDS`` draws do not separate them.
+    64-bit hashes of 128-bit digests, drawn anew should two digests share one.
     """
     text = F.coalesce(docs[text_column], F.lit(""))
     doc_id, has_id = filled_id(docs, id_column)
@@ -239,63 +134,17 @@ def ngram_join(
     print = F.xxhash64(text).alias("print")
     rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), print, text.alias("text"))
     schema = f"doc_id {kind}, has_id boolean, print long, key long, digest binary, n_shingles long, strips array<int>, shown array<long>"
-    for seed in range(SEEDS):
-        signed = rows.mapInPandas(_signed(width, seed, percent), schema).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
-        signed = written(signed.drop("has_id").withColumn("row", F.monotonically_increasing_id()))
-        grouped = signed.where("key is not null").groupBy("key").agg(
-            F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("strips").alias("strips"),
-            F.min("digest").alias("digest"), F.max("digest").alias("last"), F.min("print").alias("print"),
-        )
-        nodes = written(grouped.withColumn("counted", F.aggregate(F.slice("strips", 1, COUNTED), F.lit(0), lambda t, x: t + x)))
-        if nodes.where("digest != last").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"keys of word sequences collided in {SEEDS} draws")
-    members = signed.select("row", "doc_id", "key", "n_shingles")
 
+    def sign(seed: int) -> DataFrame:
+        signed = rows.mapInPandas(_signed(width, seed, percent), schema)
+        return signed.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
+
+    counted = F.aggregate(F.slice(F.first("strips"), 1, COUNTED), F.lit(0), lambda total, x: total + x)
+    seed, signed, nodes = different_texts(sign, {"counted": counted})
     hot = _hot_grams(signed, signed.count())
     shown = written(_prefixes(_counted(signed.select(F.explode("shown").alias("shingle"), "key"), hot), nodes, percent))
-    texts = docs.select(print, text.alias("text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        at = F.pmod("print", F.lit(FILTER_BITS)) + 1
-        bucket = F.bitmap_bucket_number(at).alias("bucket")
-        held = nodes.select("key", "print").join(keys, "key").groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-        held = [(r.bucket, bytes(r.bits)) for r in held]
-        found = texts.mapInPandas(_parts(width, seed, held), "key long, part int, grams array<long>")
-        parts = written(found.join(keys, "key", "left_semi").groupBy("key", "part").agg(F.first("grams").alias("grams")))
-        beside = spread_join(pairs, parts.toDF("b", "part", "grams_b"), ["b"], ["a"])
-        beside = spread_join(beside, parts.toDF("a", "part", "grams_a"), ["a", "part"], ["b"])
-        shares = beside.select("a", "b", "need", F.size(F.array_intersect("grams_a", "grams_b")).alias("share"))
-        summed = shares.groupBy("a", "b", "need").agg(F.sum("share").alias("overlap")).where("overlap >= need")
-        return written(summed.select("a", "b", "overlap"))
-
-    links = docs.sparkSession.createDataFrame([], "a long, b long, overlap long")
-    found = docs.sparkSession.createDataFrame([], "node long, root long")
-    sizes = nodes.select("key", "strips")
-    for turn, hubs in enumerate(HUBS):
-        state = nodes.join(found.withColumnRenamed("node", "key"), "key", "left")
-        state = state.select("key", F.coalesce("root", "key").alias("root"), *([] if hubs else ["strips"]))
-        placed = shown.join(state, "key")
-        apart = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-        apart = written(placed.join(apart.select("shingle"), "shingle", "left_semi"))
-        pairs = written(_met(apart, percent, hubs, turn))
-        if hubs is not None:
-            beside = spread_join(pairs, sizes.toDF("a", "strips_a"), ["a"], ["b"])
-            beside = spread_join(beside, sizes.toDF("b", "strips_b"), ["b"], ["a"])
-            pairs = written(beside.where(_can_share("strips_a", "strips_b") >= F.col("need")).select("a", "b", "need"))
-        if pairs.isEmpty():
-            continue
-        more = verified(pairs)
-        links = links.unionByName(more)
-        found = components(links, "a", "b")
-
-    joined = nodes.select("key", "least_id").join(found.withColumnRenamed("node", "key"), "key", "left")
-    joined = written(joined.withColumn("root", F.coalesce("root", "key")))
-    smallest = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = spread_join(joined, smallest, ["root"], ["key"]).select("key", "root", "component_id")
-    return members, classes, links
+    classes, links = linked(nodes, shown, docs.select(print, text.alias("text")), width, percent, seed)
+    return signed.select("row", "doc_id", "key", "n_shingles"), classes, links
 
 
 def class_of_documents(members: DataFrame, classes: DataFrame) -> DataFrame:

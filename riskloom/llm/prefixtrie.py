@@ -11,6 +11,7 @@ add up to those of the whole, and no task needs a whole conversation.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -200,18 +201,21 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
     # All other nodes of a member's path have the same smallest member as their parent.
     zero = [F.lit(0).cast("long")] * 4
-    whole = convs.select("conv_id", F.lit(1).alias("n_convs"), F.lit(0).alias("leaves"), F.lit(0).alias("saved_tokens")).unionByName(
-        owned.select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).alias("n_convs"), "leaves", F.col("owned").alias("saved_tokens"))
-    )
-    whole = whole.agg(F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in ("n_convs", "leaves", "saved_tokens")])
-    whole = whole.where("n_convs > 0").select(*_node(*zero), "conv_id", "n_convs", "leaves", "saved_tokens")
+    counts = ["n_convs", "n_children", "leaves", "saved_tokens"]
+    parts = [
+        convs.select("conv_id", F.lit(1), F.lit(0), F.lit(0), F.lit(0)).toDF("conv_id", *counts),
+        nodes.where("depth = 1").select(F.lit(None).cast("long"), F.lit(0), F.lit(1), F.lit(0), F.lit(0)).toDF("conv_id", *counts),
+        owned.select(F.lit(None).cast("long"), F.lit(0), F.lit(0), "leaves", "owned").toDF("conv_id", *counts),
+    ]
+    whole = reduce(DataFrame.unionByName, parts).agg(F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in counts])
+    whole = whole.where("n_convs > 0").select(*_node(*zero), "conv_id", *counts)
     known = nodes.select(*NODE, "conv_id").unionByName(whole.select(*NODE, "conv_id")).toDF("px", "py", "parent_conv_id")
     tops = spread_join(summed.where("nth = 1"), known, ["px", "py"], NODE)
     inner = summed.where("nth > 1").withColumn("parent_conv_id", F.col("conv_id"))
 
-    root = whole.join(children, NODE, "left").select(
+    root = whole.select(
         *NODE, "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
-        F.coalesce("n_children", F.lit(0)).alias("n_children"), F.greatest("leaves", F.lit(1)).alias("leaves"), "saved_tokens",
+        "n_children", F.greatest("leaves", F.lit(1)).alias("leaves"), "saved_tokens",
     )
     names = root.columns
     every = tops.select(*names).unionByName(inner.select(*names)).unionByName(root)

@@ -91,13 +91,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_near_duplicates")
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm.neardup import near_duplicates
+    from riskloom.llm.neardup import near_duplicates, placed_members
 
     members, nodes = near_duplicates(table(spark, sf_dir, "documents"))
-    placed = members.join(nodes, "node", "left")
+    blank = members.where("node is null").withColumns({"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    placed = placed_members(members, nodes)
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return placed.unionByName(blank).select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 @register("op1_toxicity")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -146,7 +147,7 @@ def _scorer(field: Field):
 
     def run(texts: list[str], name: str):
         # Words mean the same to every task that has this field.
-        emission = memo(f"crf:{name}", weight)
+        emission = memo(f"crf:{name}", weight, instead_of="crf:")
         score, first, owner = _flat(texts, emission)
         if not len(score):
             return np.zeros((len(texts), 3)), [[] for _ in texts]
@@ -239,14 +240,18 @@ def _trainer(names: dict[str, int], lexicon: set[str], state: np.ndarray):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, where: Column, per_label: int = TRAIN_DOCS) -> DataFrame:
-    """At most ``per_label`` labelled documents of each label, those with the smallest digests of their ids."""
-    own = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    """At most ``per_label`` labelled documents of each label, those with the smallest digests of their ids.
+
+    A document that is labelled both ways counts as toxic; of several texts with one id, the first in byte order is taken.
+    """
+    own = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     order = F.md5(F.col("label_id").cast("string").cast("binary"))
     fit = own.where(where).withColumn("order", order)
     few = [fit.where(F.col("toxic") == k).orderBy("order", "label_id").limit(per_label) for k in (0, 1)]
-    chosen = few[0].unionByName(few[1]).drop("order").dropDuplicates(["label_id"])
+    chosen = few[0].unionByName(few[1]).drop("order")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    own = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    return own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit_field(sample: DataFrame) -> Field:
@@ -283,12 +288,12 @@ def fit_field(sample: DataFrame) -> Field:
     if not (n1 and n0):
         return field
 
-    shared = _broadcast(spark, field)
+    shared, name = _broadcast(spark, field), uuid.uuid4().hex
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = _scorer(Field(*shared.value))
         for batch in batches:
-            values, _ = run(batch["text"].tolist(), "fit")
+            values, _ = run(batch["text"].tolist(), name)
             yield pd.DataFrame(values, columns=["a", "b", "c"]).assign(label=batch["toxic"].to_numpy(dtype=float))
 
     points = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
@@ -310,8 +315,6 @@ def toxicity(docs: DataFrame, field: Field, text_column: str = "text") -> DataFr
     NULL, empty and blank texts are scored as texts without words, with no spans. Repeated rows are scored alike, texts
     of any length whole. Without labels of both kinds every score is 0.
     """
-    import uuid
-
     shared = _broadcast(docs.sparkSession, field)
     name = uuid.uuid4().hex
 
