@@ -23,7 +23,7 @@ def test_stages(spark, tmp_path):
             # Some labels are noise, and 45 toxic documents are few to learn from.
             assert sum(known) >= 0.6 * sum(x for x in labels.values() if x) and sum(known) >= 0.9 * len(known)
         if name == "near_duplicates":
-            assert after == {d for d, _, c in brute(docs) if d == c}
+            assert after == {d for d, _, c in brute(docs, corpus_pipeline.NEAR) if d == c}
         if name == "pii":
             assert after == before and all(r.n_chars == len(r.text) for r in out.collect())
         if name == "packing":

@@ -148,6 +148,8 @@ def planted_texts():
         rows.append(" ".join(chain))
     rows += [" ".join(base)] * 5 + ["a b c", "A  b\tC", "a b", "a b c d", "one", "x y " * 40, "x y " * 41]
     rows += [" ".join(text(rng.randrange(1, 40))) for _ in range(40)]
+    rows += ["", None, " \n"]  # blank texts stand in batches with others
+    rng.shuffle(rows)
     return list(enumerate(rows))
 
 
@@ -175,7 +177,7 @@ def test_ngrams_of_very_many_texts_are_dealt_out(spark, monkeypatch):
 
 
 def test_last_round_alone_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "HUBS", (None,))
+    monkeypatch.setattr("riskloom.llm.linking.HUBS", (None,))
     rows = planted_texts()
     assert joined(spark, rows)[0] == classes_by_hand(rows)
 

@@ -69,3 +69,28 @@ def test_edges(spark, edge_docs, no_docs):
     assert toxicity(no_docs, field).collect() == []
     blank = fit_field(training_sample(no_docs, labels, F.lit(True)))
     assert {r.score for r in toxicity(edge_docs, blank).collect()} == {0.0}
+
+
+def test_two_fits_in_one_session_equal_the_fits_alone(spark):
+    """Workers outlive a fit; what they remember of one field must not reach the next."""
+    from riskloom.llm import toxicity as module
+
+    def fitted(bad):
+        rows = [(i, f"{bad if i % 2 else 'calm'} word{i % 7} and more", i % 2) for i in range(60)]
+        sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        return module.fit_field(sample).document
+
+    alone = fitted("awful")
+    assert fitted("horrid") != (0.0,)
+    again = fitted("awful")
+    np.testing.assert_allclose(again, alone, rtol=1e-9)
+    # A field that knows the words of another table must be calibrated on its own weights.
+    first, second = fitted("awful"), fitted("calm")
+    assert first != second
+
+
+def test_sample_takes_one_text_and_one_label_a_document(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    rows = training_sample(docs, labels, F.lit(True)).collect()
+    assert sorted(map(tuple, rows)) == [(1, "a", 1), (2, "", 0)]
