@@ -12,11 +12,12 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasValidationIndicatorCol
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions.missing import SENTINEL, fill_sentinel
 from riskloom.operators.folds import balanced_grouped_folds, repeated_stratified_folds, stratified_folds
-from riskloom.operators.metrics import fold_summary, rank_score
+from riskloom.operators.metrics import fold_summary, log_loss, rank_score
 from riskloom.session import materialize, scratch
 
 MODEL_OUTPUTS = ("scaled", "rawPrediction", "probability", "prediction")
@@ -69,6 +70,50 @@ def neural_stages(inputs: int, hidden: Sequence[int] = (16, 8), rounds: int = 50
     ]
 
 
+class StagedPerceptron(Estimator, HasLabelCol, HasFeaturesCol, HasValidationIndicatorCol):
+    """A small perceptron on standardised inputs that is trained in short stages and stops early.
+
+    Every stage goes on from the weights of the one before. After each, the log loss of the held-out rows is taken; training ends
+    when it has not fallen for ``patience`` stages, and the weights of the best stage are kept. Inputs are
+    standardised by the training rows. The fitted pipeline has the losses as ``stage_losses``.
+    """
+
+    def __init__(self, layers: Sequence[int], stage_rounds: int = 5, stages: int = 20, patience: int = 2, seed: int = 42, label: str = "label"):
+        super().__init__()
+        self._set(labelCol=label, featuresCol="features", validationIndicatorCol=VALIDATION)
+        self.layers, self.stage_rounds, self.stages, self.patience, self.seed = list(layers), stage_rounds, stages, patience, seed
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        held_out, label = F.col(self.getValidationIndicatorCol()), self.getLabelCol()
+        scaler = StandardScaler(inputCol=self.getFeaturesCol(), outputCol="scaled", withMean=True, withStd=True).fit(dataset.where(~held_out))
+        scaled = scaler.transform(dataset).select(label, "scaled", held_out.alias(VALIDATION))
+        losses: list[float] = []
+        best = weights = None
+        while len(losses) < self.stages:
+            learner = MultilayerPerceptronClassifier(
+                labelCol=label, featuresCol="scaled", layers=self.layers, maxIter=self.stage_rounds, seed=self.seed
+            )
+            if weights is not None:
+                learner.setInitialWeights(weights)
+            model = learner.fit(scaled.where(~F.col(VALIDATION)))
+            weights = model.weights
+            judged = model.transform(scaled.where(VALIDATION)).withColumn("_p", positive_probability())
+            losses.append(log_loss(judged, label, "_p").first().log_loss)
+            least = losses.index(min(losses))
+            if least == len(losses) - 1:
+                best = model
+            elif len(losses) - 1 - least >= self.patience:
+                break
+        fitted = PipelineModel([scaler, best])
+        fitted.stage_losses = losses
+        return fitted
+
+
+def early_stopping_stages(inputs: int, hidden: Sequence[int] = (16, 8), label: str = "label", **options) -> list:
+    """Neural member that stops on the held-out fold (:class:`StagedPerceptron`)."""
+    return [StagedPerceptron([inputs, *hidden, 2], label=label, **options)]
+
+
 @dataclass
 class ModelBundle:
     """Fold models over a ``features`` vector, out-of-fold predictions and scores."""

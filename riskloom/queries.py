@@ -53,18 +53,20 @@ from riskloom.plans.ensemble import (
     stack,
 )
 from riskloom.plans.features import statement_profiles, training_frame, with_labels
+from riskloom.plans.chunks import read_chunks, score_chunks, selected_columns, with_chunks, write_chunks
 from riskloom.plans.learn import (
     ModelBundle,
     apply_meta_feature,
     average_folds,
     boosted_trees,
     cross_validate,
+    early_stopping_stages,
     neural_stages,
     statement_meta_feature,
 )
-from riskloom.plans.selection import permutation_importance, select_features
+from riskloom.plans.selection import permutation_importance, select_features, selected_names
 from riskloom.session import materialize, prepare, scratch
-from riskloom.sources.files import attach, read_csv, read_parquet, write_csv
+from riskloom.sources.files import attach, read_csv, read_parquet, write_csv, write_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1238,6 +1240,106 @@ def _(spark, sf_dir):
     return cross_validate(rows, CUSTOMER_FEATURES, "label", "o_custkey", stages, k=2).oof
 
 
+@register(
+    "neural_early_stop",
+    """
+    WITH rows AS (SELECT c_custkey AS o_custkey, CASE WHEN c_acctbal < 2500 THEN 1 ELSE 0 END AS label
+                  FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
+    SELECT o_custkey, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat('42', ':', o_custkey)), o_custkey)
+                                   - 1) % 2 AS INTEGER) AS fold, true AS is_probability, true AS least_is_kept, true AS at_most_two_worse
+    FROM rows""",
+)
+def _(spark, sf_dir):
+    rows = customer_rows(spark, sf_dir)
+    stages = lambda: early_stopping_stages(len(CUSTOMER_FEATURES), stage_rounds=3, stages=8)
+    bundle = cross_validate(rows, CUSTOMER_FEATURES, "label", "o_custkey", stages, k=2)
+    # The loss of the kept weights, taken anew from the out-of-fold rows, next to the losses of all stages.
+    kept = log_loss(bundle.oof, "label", "prediction", ["fold"])
+    losses = [(f, i, float(x)) for f, m in enumerate(bundle.models) for i, x in enumerate(m.stages[-1].stage_losses)]
+    stage = spark.createDataFrame(losses, "fold int, stage int, loss double")
+    least = stage.groupBy("fold").agg(F.min("loss").alias("least"), F.min_by("stage", "loss").alias("chosen"), F.max("stage").alias("last"))
+    judged = least.join(kept, "fold").select(
+        "fold", (F.abs(F.col("log_loss") - F.col("least")) < 1e-9).alias("least_is_kept"), (F.col("last") - F.col("chosen") <= 2).alias("at_most_two_worse")
+    )
+    return bundle.oof.join(judged, "fold").select(
+        "o_custkey", "label", "fold", F.col("prediction").between(0, 1).alias("is_probability"), "least_is_kept", "at_most_two_worse"
+    )
+
+
+CHUNKED_SQL = f"""
+    WITH {STATEMENTS}, keys AS (
+      SELECT o_custkey, CAST(ntile(7) OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS chunk FROM (SELECT DISTINCT o_custkey FROM orders))
+    SELECT o_custkey, chunk, {_numeric_sql("price", True)}, {_categorical_sql("status")}, count(o_orderdate)::DOUBLE AS "LT"
+    FROM statements JOIN keys USING (o_custkey) GROUP BY o_custkey, chunk"""
+
+
+def chunked_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = statements(spark, sf_dir)
+    made = statement_profiles(rows, "o_custkey", "o_orderdate", ["o_orderkey"], ["price"], ["status"], markers=["price"], float32=False)
+    return with_chunks(made, rows, "o_custkey", 7)
+
+
+@register("chunked_profiles_roundtrip", CHUNKED_SQL)
+def _(spark, sf_dir):
+    with scratch(spark) as path:
+        write_chunks(chunked_profiles(spark, sf_dir), path)
+        # Each chunk is read by itself, as a scoring job would.
+        parts = [read_chunks(spark, path, [i]) for i in range(7)]
+        back = materialize(reduce(DataFrame.unionByName, parts))
+    numbers = [c for c in back.columns if c.startswith("price")]
+    return back.select("o_custkey", "chunk", *settled(4, *numbers), *[c for c in back.columns if c.startswith("status")], "LT")
+
+
+@register(
+    "score_saved_bundle",
+    """
+    WITH keys AS (SELECT o_custkey, CAST(ntile(3) OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS chunk FROM (SELECT DISTINCT o_custkey FROM orders))
+    SELECT o_custkey, chunk, true AS same FROM keys WHERE o_custkey IN (SELECT c_custkey FROM customer)""",
+)
+def _(spark, sf_dir):
+    bundle = _customer_cv(spark, sf_dir)
+    rows = with_chunks(customer_rows(spark, sf_dir), statements(spark, sf_dir), "o_custkey", 3)
+    with scratch(spark) as path:
+        bundle.save(f"{path}/bundle")
+        write_chunks(rows, f"{path}/profiles")
+        scored = score_chunks(read_chunks(spark, f"{path}/profiles"), f"{path}/bundle", CUSTOMER_FEATURES, "o_custkey")
+        write_chunks(scored, f"{path}/scores")
+        back = materialize(read_chunks(spark, f"{path}/scores"))
+    direct = average_folds(bundle.models, rows, CUSTOMER_FEATURES).select("o_custkey", F.col("prediction").alias("direct"))
+    same = F.abs(F.col("prediction") - F.col("direct")) < 1e-12
+    return back.join(direct, "o_custkey").select("o_custkey", "chunk", same.alias("same"))
+
+
+@register(
+    "feature_list_roundtrip",
+    """
+    WITH rows AS (
+      SELECT o_orderkey, o_totalprice AS price, substr(o_orderpriority, 1, 1)::DOUBLE AS priority_code,
+             CASE WHEN o_totalprice > 250000 AND substr(o_orderpriority, 1, 1) <= '3' THEN 1 ELSE 0 END AS label
+      FROM orders WHERE o_orderkey % 2 = 1)
+    SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat('42', ':', o_orderkey)), o_orderkey) - 1) % 2 AS INTEGER) AS fold,
+           'price,priority_code' AS features, 'priority_code' AS categorical
+    FROM rows""",
+)
+def _(spark, sf_dir):
+    # The label follows from two of the columns; importance finds them on one half of the orders, training uses them on the other.
+    names = ["price", "month", "priority_code", "weekday"]
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("price"), F.month("o_orderdate").cast("double").alias("month"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("priority_code"), F.dayofweek("o_orderdate").cast("double").alias("weekday"),
+    )
+    rows = rows.withColumn("label", F.when((F.col("price") > 250000) & (F.col("priority_code") <= 3), 1).otherwise(0))
+    trees = lambda: [boosted_trees(rounds=6, depth=4)]
+    importance = materialize(permutation_importance(rows.where("o_orderkey % 2 = 0"), names, "label", "o_orderkey", trees, repeats=2))
+    with scratch(spark) as path:
+        chosen, categorical = selected_names(importance, ["priority_code", "weekday"], least=0.02)
+        write_names(spark, sorted(chosen), path)
+        kept, features = selected_columns(rows.where("o_orderkey % 2 = 1"), path, ["o_orderkey", "label"])
+        oof = cross_validate(kept, features, "label", "o_orderkey", trees, k=2).oof
+    placed = kept.join(oof.select("o_orderkey", "fold"), "o_orderkey")
+    return placed.withColumns({"features": F.lit(",".join(features)), "categorical": F.lit(",".join(categorical))})
+
+
 @register("bundle_roundtrip", "SELECT c_custkey AS o_custkey, true AS same FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(spark, sf_dir):
     bundle = _customer_cv(spark, sf_dir)
