@@ -159,7 +159,7 @@ def ranked(
     if digest is None:
         placed, cut = _by_quantiles(df, order, row_floor(min_rows))
     else:
-        n = BUCKETS_PER_PART * shuffle_partitions(df.sparkSession)
+        n = bucket_count(df.count(), shuffle_partitions(df.sparkSession), row_floor(min_rows))
         placed, cut = df.withColumn(BUCKET, uniform_bucket(digest, n)), False
     keys = _non_null_keys(df, by)
     placed = placed.withColumns(keys)

@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.session import shuffle_partitions
 
@@ -79,24 +79,27 @@ def split_hot(df: DataFrame, key: str, hot: HotGroups) -> tuple[DataFrame, DataF
 
 def _split_points(
     df: DataFrame, key: str, order: Sequence[Column], hot: HotGroups, min_rows: int
-) -> DataFrame | None:
-    """``(key, _bounds)``: ascending order values at which each hot group is cut."""
+) -> tuple[DataFrame, int] | None:
+    """``(key, _bounds)``: ascending order values at which each hot group is cut; and the most of one group."""
     spark = df.sparkSession
     target = max(min_rows, hot.total / shuffle_partitions(spark))
     slices = {k: max(2, math.ceil(n / target)) for k, n in hot.rows.items()}
     fractions = {k: min(1.0, SAMPLES_PER_SLICE * slices[k] / n) for k, n in hot.rows.items()}
     ordered = df.select(F.col(key), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_at"))
-    sample: dict[Any, list] = {}
-    for row in ordered.sampleBy(key, fractions, seed=7).orderBy(key, "_at").collect():
-        values = sample.setdefault(row[0], [])
-        if not values or values[-1] != row[1]:
-            values.append(row[1])
-    bounds = []
-    for k, values in sample.items():
-        cuts = {j * len(values) // slices[k] for j in range(1, slices[k])}
-        usable = [values[i] for i in sorted(cuts) if 0 < i < len(values) - 1]
-        if usable:
-            bounds.append((k, usable))
+    sample = ordered.sampleBy(key, fractions, seed=7).distinct()
+    kind = ordered.schema[key].dataType
+    wanted = spark.createDataFrame(list(slices.items()), T.StructType([T.StructField(key, kind), T.StructField("_slices", T.LongType())]))
+    # The sample's rows at the cuts: place i is one if it is floor(j n / s) for a whole j.
+    group = Window.partitionBy(key)
+    placed = sample.withColumns({"_i": F.row_number().over(group.orderBy("_at")) - 1, "_n": F.count("*").over(group)})
+    placed = placed.join(F.broadcast(wanted), key)
+    j = F.ceil(F.col("_i") * F.col("_slices") / F.col("_n"))
+    is_cut = (F.floor(j * F.col("_n") / F.col("_slices")) == F.col("_i")) & j.between(1, F.col("_slices") - 1)
+    cuts = placed.where(is_cut & (F.col("_i") > 0) & (F.col("_i") < F.col("_n") - 1)).select(key, "_at")
+    found: dict[Any, list] = {}
+    for row in cuts.orderBy(key, "_at").collect():
+        found.setdefault(row[0], []).append(row[1])
+    bounds = list(found.items())
     if not bounds:
         return None
     schema = T.StructType(
@@ -105,7 +108,7 @@ def _split_points(
             T.StructField("_bounds", T.ArrayType(ordered.schema["_at"].dataType)),
         ]
     )
-    return spark.createDataFrame(bounds, schema)
+    return spark.createDataFrame(bounds, schema), max(len(b) for _, b in bounds)
 
 
 def with_slices(
@@ -124,12 +127,27 @@ def with_slices(
     points = _split_points(df, key, order, hot, floor) if hot else None
     if points is None:
         return df, False
+    points, most = points
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     # At most two hot groups per shuffle partition and, over all of them, a few
     # bounds per partition: the size is fixed by the settings, not by the data.
     sliced = df.join(F.broadcast(points), key, "left").withColumn("_at", at)
-    after = F.size(F.filter("_bounds", lambda b: b > F.col("_at")))
-    return sliced.withColumn(SLICE, F.coalesce(after, F.lit(0))).drop("_bounds", "_at"), True
+    return sliced.withColumn(SLICE, bounds_after("_bounds", F.col("_at"), most)).drop("_bounds", "_at"), True
+
+
+def bounds_after(bounds: str, at: Column, most: int) -> Column:
+    """How many of the ascending ``bounds``, ``most`` at the most, lie after ``at``; 0 without bounds. By halving, not one by one."""
+
+    def halved(held: Column, _: Column) -> Column:
+        middle = F.floor((held["low"] + held["high"]) / 2).cast("int")
+        after = F.get(bounds, middle) > at
+        low, high = F.when(after, held["low"]).otherwise(middle + 1), F.when(after, middle).otherwise(held["high"])
+        return F.when(held["low"] < held["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(held)
+
+    size = F.coalesce(F.size(bounds), F.lit(0))
+    start = F.struct(F.lit(0).alias("low"), size.alias("high"))
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, most.bit_length()))), start, halved)["low"]
+    return F.when(F.col(bounds).isNull(), F.lit(0)).otherwise(size - first)
 
 
 # Ways a key that fills a large share of the rows is dealt out.

@@ -157,3 +157,35 @@ def test_evaluator_prefers_larger(spark):
     assert evaluator.isLargerBetter()
     d, g = brute_force(rows_of("noise"))
     assert evaluator.evaluate(df) == pytest.approx((d + g) / 2)
+
+
+def test_bounds_after_counts_like_a_filter(spark):
+    from riskloom.operators.skew import bounds_after
+
+    df = spark.range(-3, 60).withColumn("at", F.struct((F.col("id") / 2).alias("o0"), F.col("id").alias("o1")))
+    bounds = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct((i * 1.0).alias("o0"), (i * 2).cast("long").alias("o1")))
+    for size in (0, 1, 2, 20):
+        held = df.withColumn("b", F.slice(bounds, 1, size)).withColumn("n", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("b")))
+        for name in ("b", "n"):
+            want = F.coalesce(F.when(F.col(name).isNotNull(), F.size(F.filter(name, lambda x: x > F.col("at")))), F.lit(0))
+            assert held.where(bounds_after(name, F.col("at"), 20) != want).isEmpty()
+
+
+def test_many_slices_cost_little_more_than_few(spark):
+    import time
+
+    from riskloom.operators.skew import bounds_after
+
+    def seconds(slices):
+        # Every row carries the same array; only the search differs.
+        bounds = F.array(*[F.lit(i) for i in range(100)]) if slices == 100 else F.sequence(F.lit(0), F.lit(slices - 1))
+        df = spark.range(0, 300_000, 1, 4).select((F.col("id") % slices).cast("int").alias("at"), bounds.alias("b"))
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            df.select(bounds_after("b", F.col("at"), slices).alias("s")).agg(F.sum("s")).collect()
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    few, many = seconds(100), seconds(10_000)
+    assert many <= 2 * few + 0.5
