@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way_mix, weighted_average
@@ -169,31 +172,47 @@ def _descent(grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, float]:
     return step, float(-grad @ step)
 
 
-def _blend_sums(df: DataFrame, members: Sequence[str], label: str, weights: np.ndarray):
-    """Loss, slope and curvature of every fold's training rows, in one job."""
+def blend_moments(df: DataFrame, members: Sequence[str], label: str, weights: np.ndarray) -> DataFrame:
+    """``(training, moments)``: loss, slope and curvature of the blend on the training rows of every fold, as one vector each.
+
+    A row's ``fold`` is the one it is held out of; it counts for all others. The vector holds the mean loss, the slope along every member but
+    the last, and the curvature packed row by row (i, j <= i). One vector-valued aggregate, whatever the number of members.
+    """
     k, free = weights.shape
     y, last = F.col(label).cast("double"), F.col(members[-1])
-    slopes = [F.col(c) - last for c in members[:-1]]
-    outputs = []
-    for f in range(k):
-        use = F.col("fold") != f
+    slopes = F.array(*[F.col(c) - last for c in members[:-1]])
+    packed = F.flatten(F.transform("_slopes", lambda x, i: F.transform(F.slice("_slopes", F.lit(1), i + 1), lambda z: x * z)))
+    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in (label, *members)])
+    rows = df.where(complete).withColumn("_slopes", slopes).withColumn("_packed", packed)
+
+    def at(f: int) -> Column:
         blend = last
-        for w, d in zip(weights[f], slopes, strict=True):
-            blend = blend + F.lit(float(w)) * d
-        b = clip(blend, EPS, 1.0 - EPS)
-        inner = (blend > EPS) & (blend < 1.0 - EPS)
-        first = F.when(inner, (b - y) / (b * (F.lit(1.0) - b))).otherwise(0.0)
-        second = F.when(inner, y / (b * b) + (F.lit(1.0) - y) / ((F.lit(1.0) - b) * (F.lit(1.0) - b))).otherwise(0.0)
-        outputs.append(F.avg(F.when(use, bernoulli_loss(y, b))).alias(f"v{f}"))
-        for i in range(free):
-            outputs.append(F.avg(F.when(use, first * slopes[i])).alias(f"g{f}_{i}"))
-            outputs += [F.avg(F.when(use, second * slopes[i] * slopes[j])).alias(f"h{f}_{i}_{j}") for j in range(i + 1)]
-    row = df.agg(*outputs).first()
-    value = np.array([row[f"v{f}"] for f in range(k)])
-    grad = np.array([[row[f"g{f}_{i}"] for i in range(free)] for f in range(k)])
-    hess = np.array(
-        [[[row[f"h{f}_{max(i, j)}_{min(i, j)}"] for j in range(free)] for i in range(free)] for f in range(k)]
-    )
+        for i, w in enumerate(weights[f]):
+            blend = blend + F.lit(float(w)) * F.get("_slopes", F.lit(i))
+        return F.struct(F.lit(f).alias("training"), blend.alias("blend"))
+
+    each = rows.select(y.alias("y"), "fold", "_slopes", "_packed", F.explode(F.array(*[at(f) for f in range(k)])).alias("at"))
+    each = each.select("y", "_slopes", "_packed", "fold", "at.*").where("fold != training")
+    blend, y = F.col("blend"), F.col("y")
+    b = clip(blend, EPS, 1.0 - EPS)
+    inner = (blend > EPS) & (blend < 1.0 - EPS)
+    first = F.when(inner, (b - y) / (b * (F.lit(1.0) - b))).otherwise(0.0)
+    second = F.when(inner, y / (b * b) + (F.lit(1.0) - y) / ((F.lit(1.0) - b) * (F.lit(1.0) - b))).otherwise(0.0)
+    each = each.withColumns({"loss": bernoulli_loss(y, b), "first": first, "second": second})
+    moments = F.concat(F.array("loss"), F.transform("_slopes", lambda d: F.col("first") * d), F.transform("_packed", lambda o: F.col("second") * o))
+    return each.groupBy("training").agg(vector_to_array(Summarizer.mean(array_to_vector(moments))).alias("moments"))
+
+
+def _blend_sums(df: DataFrame, members: Sequence[str], label: str, weights: np.ndarray):
+    """Loss, slope and curvature of every fold's training rows, in one job."""
+    k, free = weights.shape
+    value, grad, hess = np.zeros(k), np.zeros((k, free)), np.zeros((k, free, free))
+    low = np.tril_indices(free)
+    for r in blend_moments(df, members, label, weights).collect():
+        own = np.array(r.moments)
+        value[r.training], grad[r.training] = own[0], own[1 : 1 + free]
+        hess[r.training][low] = own[1 + free :]
+        hess[r.training] += np.tril(hess[r.training], -1).T
     return value, grad, hess
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, round_half_even, two_way_mix, weighted_average
@@ -45,6 +46,7 @@ from riskloom.plans.ensemble import (
     FIRST_MIX_WEIGHT,
     apply_blend,
     blend_grid,
+    blend_moments,
     blend_objective,
     fit_blend,
     mix_and_search,
@@ -1407,6 +1409,39 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, weight double")
 
 
+WIDE_MEMBERS = [f"preds_{i}" for i in range(1, 16)]
+
+
+@register(
+    "blend_fit_wide",
+    "WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, ntile(5) OVER (ORDER BY o_orderkey) - 1 AS fold, ["
+    + ", ".join(f"0.05 + 0.9 * ((o_orderkey * {37 * i + 11}) % 1009 / 1009.0::DOUBLE)" for i in range(1, 16))
+    + """] AS p FROM orders),
+    d AS (SELECT y, fold, list_transform(p[1:14], lambda x: x - p[15]) AS d, list_sum(list_transform(p, lambda x, i: x * i / 120.0::DOUBLE)) AS b FROM m),
+    each AS (SELECT f, d, -(y * ln(b) + (1 - y) * ln(1 - b)) AS loss, (b - y) / (b * (1 - b)) AS g, y / (b * b) + (1 - y) / ((1 - b) * (1 - b)) AS h
+             FROM d, (SELECT unnest([0, 1, 2, 3, 4]) AS f) WHERE f <> fold),
+    places AS (SELECT i, j FROM (SELECT unnest(range(0, 15)) AS i), (SELECT unnest(range(0, 15)) AS j) WHERE j <= i)
+    SELECT CAST(f AS INTEGER) AS fold, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+           round_even(avg(CASE WHEN i = 0 THEN loss WHEN j = 0 THEN g * d[i] ELSE h * d[i] * d[j] END), 8) AS moment
+    FROM each, places GROUP BY f, i, j""",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"),
+        *[(F.lit(0.05) + F.lit(0.9) * (F.col("o_orderkey") * (37 * i + 11) % 1009 / F.lit(1009.0))).alias(f"preds_{i}") for i in range(1, 16)],
+    )
+    weights = np.array([[i / 120.0 for i in range(1, 15)]] * 5)
+    made = blend_moments(contiguous_folds(rows, "id", 5), WIDE_MEMBERS, "label", weights)
+    # Row 0 is the loss, column 0 the slopes, the rest the packed curvature.
+    places = [(0, 0), *[(i, 0) for i in range(1, 15)], *[(i, j) for i in range(1, 15) for j in range(1, i + 1)]]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.get("moments", F.lit(n)).alias("moment")) for n, (i, j) in enumerate(places)])
+    return made.select(F.col("training").alias("fold"), F.explode(cells).alias("c")).select("fold", "c.i", "c.j", *rounded_of("c.moment", 8))
+
+
+def rounded_of(name: str, digits: int) -> list[Column]:
+    return [round_half_even(F.col(name), digits).alias(name.split(".")[-1])]
+
+
 @register(
     "blend_grid",
     f"""
