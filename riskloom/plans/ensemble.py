@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way_mix, weighted_average
 from riskloom.operators.folds import contiguous_folds
-from riskloom.operators.metrics import NEGATIVE_WEIGHT, TOP_SHARE, rank_score, rank_weighted_gradients
+from riskloom.operators.metrics import NEGATIVE_WEIGHT, TOP_SHARE, rank_score, rank_weighted_gradients, rank_weighted_log_loss
 from riskloom.operators.ordering import BUCKETS_PER_PART, descending
 from riskloom.operators.skew import row_floor
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate
@@ -56,7 +56,21 @@ def score_matrix(scores: DataFrame, id: str, model: str, score: str, models: Seq
     return wanted.repartition(id).groupBy(id).agg(*columns).na.drop(subset=list(models))
 
 
-def stack(
+@dataclass
+class StackFit:
+    """The settled bundle, the fold-averaged prediction of the test rows, and the rounds that led there.
+
+    ``rounds`` holds ``(round, id, label, raw, weight)``: the out-of-fold raw score of every round and the weight that
+    follows from it for the next one. ``losses`` are the rank-weighted losses by round.
+    """
+
+    bundle: ModelBundle
+    predictions: DataFrame
+    rounds: DataFrame
+    losses: list[float]
+
+
+def stack_until_settled(
     oof: DataFrame,
     test: DataFrame,
     members: Sequence[str],
@@ -66,32 +80,38 @@ def stack(
     seed: int = 42,
     rounds: int = 10,
     depth: int = 3,
-) -> tuple[ModelBundle, DataFrame]:
-    """Meta-learner on member predictions, with rank weights.
-
-    A first pass gives out-of-fold scores; rows then get the weights of the
-    rank-weighted loss at these scores, and the second pass trains with them.
-    Returns the second bundle and the fold-averaged prediction of ``test``.
+    tolerance: float = 1e-2,
+    most: int = 12,
+) -> StackFit:
+    """Meta-learner on member predictions whose row weights follow its own scores.
+
+    The first fit is unweighted. After each, rows get the weights of the rank-weighted loss at their out-of-fold scores, and
+    the next fit trains with them, until the rank-weighted loss changes by no more than ``tolerance`` of itself. Weights are at
+    most 2, so a round never strays far. Raises if the loss has not settled after ``most`` fits.
     """
-    first = cross_validate(
-        oof, members, label, id, lambda: [boosted_trees(rounds, depth, seed=seed, label=label)], k, seed
-    )
-    p = clip(F.col("prediction"), EPS, 1.0 - EPS)
-    raw = first.oof.withColumn("raw", F.log(p / (F.lit(1.0) - p)))
-    weights = rank_weighted_gradients(raw, label, "raw", id).select(id, "weight")
-    weighted = oof.join(weights, id)
-    second = cross_validate(
-        weighted,
-        members,
-        label,
-        id,
-        lambda: [boosted_trees(rounds, depth, seed=seed, weight="weight", label=label)],
-        k,
-        seed,
-        carry=["weight"],
-    )
-    second.oof = second.oof.drop("weight")
-    return second, average_folds(second.models, test, members)
+    held, losses, bundle, weighted = [], [], None, oof
+    while True:
+        weight = "weight" if held else None
+        stages = lambda weight=weight: [boosted_trees(rounds, depth, seed=seed, weight=weight, label=label)]
+        bundle = cross_validate(weighted, members, label, id, stages, k, seed, carry=["weight"] if weight else [])
+        p = clip(F.col("prediction"), EPS, 1.0 - EPS)
+        raw = bundle.oof.select(id, label, F.log(p / (F.lit(1.0) - p)).alias("raw"))
+        weights = materialize(rank_weighted_gradients(raw, label, "raw", id).select(id, label, "raw", "weight"))
+        losses.append(rank_weighted_log_loss(raw, label, "raw", id).first().rank_weighted_log_loss)
+        held.append(weights.select(F.lit(len(held)).alias("round"), "*"))
+        if len(losses) > 1 and abs(losses[-1] - losses[-2]) <= tolerance * abs(losses[-1]):
+            break
+        if len(losses) == most:
+            raise RuntimeError(f"the weighted loss has not settled after {most} fits: {losses}")
+        weighted = oof.join(weights.select(id, "weight"), id)
+    bundle.oof = bundle.oof.drop("weight")
+    return StackFit(bundle, average_folds(bundle.models, test, members), reduce(DataFrame.unionByName, held), losses)
+
+
+def stack(oof: DataFrame, test: DataFrame, members: Sequence[str], label: str, id: str, **options) -> tuple[ModelBundle, DataFrame]:
+    """The settled bundle and the prediction of ``test`` (:func:`stack_until_settled`)."""
+    made = stack_until_settled(oof, test, members, label, id, **options)
+    return made.bundle, made.predictions
 
 
 @dataclass

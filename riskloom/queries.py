@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, round_half_even, two_way_mix, weighted_average
 from riskloom.functions.columns import project
@@ -53,6 +53,7 @@ from riskloom.plans.ensemble import (
     score_matrix,
     search_best,
     stack,
+    stack_until_settled,
 )
 from riskloom.plans.features import statement_profiles, training_frame, with_labels
 from riskloom.plans.chunks import read_chunks, score_chunks, selected_columns, with_chunks, write_chunks
@@ -1388,6 +1389,33 @@ def _(spark, sf_dir):
     return predictions.select("id", "prediction").join(oof, "id")
 
 
+@register(
+    "stacking_rounds",
+    f"""
+    WITH {MEMBERS}
+    SELECT id, label, true AS loss_as_stated, true AS settled, true AS weights_bounded, 1.0::DOUBLE AS negative_weight FROM members""",
+)
+def _(spark, sf_dir):
+    rows = members(spark, sf_dir)
+    made = stack_until_settled(rows, rows.drop("label"), ["m1", "m2", "m3"], "label", "id", k=2, rounds=3, depth=3)
+    # Loss and weights of every round, recomputed from its raw scores by their formulas, not by the operators that made them.
+    order = Window.partitionBy("round").orderBy(F.col("raw").desc(), "id")
+    n = F.count("*").over(Window.partitionBy("round"))
+    ranked = made.rounds.withColumn("w", F.lit(1.0) + F.exp(F.lit(-5.0) * (F.lit(1.0) - (F.row_number().over(order) - 1) / (n - 1))))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("raw")))
+    loss = -F.col("w") * F.col("label") * F.log(p) - (F.lit(1.0) - F.col("label")) * F.log(F.lit(1.0) - p)
+    stated = spark.createDataFrame(list(enumerate(made.losses)), "round int, stated double")
+    by_round = ranked.groupBy("round").agg(F.avg(loss).alias("loss")).join(stated, "round")
+    checked = by_round.agg(
+        F.bool_and(F.abs(F.col("loss") - F.col("stated")) < 1e-9).alias("loss_as_stated"),
+        (F.abs(F.max_by("loss", "round") - F.max_by("loss", F.when(F.col("round") < len(made.losses) - 1, F.col("round")))) <= 0.01 * F.max_by("loss", "round")).alias("settled"),
+    ).first()
+    weights = made.rounds.groupBy("id", "label").agg(
+        F.bool_and(F.col("weight").between(1, 2)).alias("weights_bounded"), F.max(F.when(F.col("label") == 0, F.col("weight")).otherwise(1.0)).alias("negative_weight")
+    )
+    return weights.select("id", "label", F.lit(checked.loss_as_stated).alias("loss_as_stated"), F.lit(checked.settled).alias("settled"), "weights_bounded", "negative_weight")
+
+
 @register(
     "blend_objective",
     f"""
