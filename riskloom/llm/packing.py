@@ -9,13 +9,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.llm.common import filled_id, memo, once
 
 #: Rows that are packed together in one task; every group leaves at most one badly filled sequence behind.
 GROUP_ROWS = 4_000
 
+#: Entries of one generation of the memos of pieces and of their stems. Most different pieces are rare, so that few entries more save many encodings.
+PIECES = 600_000
+
 #: Punctuation that ends a token when it follows a letter or digit. (The apostrophe starts contractions.)
 TRAILING = ".,;:!?*%&#$)\""
 
@@ -87,7 +90,7 @@ def encoder(path: str):
     def short_ids(text: str) -> bytes:
         return np.asarray(by_rank.encode_ordinary(text), dtype="<u4").tobytes() if by_rank else ids(text)
 
-    stems = memo(f"stems:{path}", short_ids)
+    stems = memo(f"stems:{path}", short_ids, PIECES)
     tails = memo(f"tails:{path}", short_ids)
 
     def piece(text: str) -> bytes:
@@ -96,7 +99,7 @@ def encoder(path: str):
             return stems[stem] + tails[text[len(stem) :]]
         return stems[text]
 
-    pieces = memo(f"pieces:{path}", piece)
+    pieces = memo(f"pieces:{path}", piece, PIECES)
 
     def encode(text: str) -> bytes:
         if any(s in text for s in specials):
@@ -109,8 +112,8 @@ def encoder(path: str):
     return encode
 
 
-def _tokenised(path: str, size: int, end_id: int):
-    """Per document: how many ids, the checksums of its full pieces, length and checksum of the rest."""
+def _tokenised(path: str, end_id: int):
+    """Per document: its ids, how many there are, and a number that tells equal documents of a task apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
@@ -120,18 +123,15 @@ def _tokenised(path: str, size: int, end_id: int):
             out = []
             for doc_id, has_id, text in zip(batch["doc_id"], batch["has_id"], batch["text"], strict=True):
                 ids = encode(text) + end
-                n = len(ids) // 4
-                full = n // size * size
-                crcs = [zlib.crc32(ids[4 * i : 4 * (i + size)]) for i in range(0, full, size)]
-                rest = zlib.crc32(ids[4 * full :]) if n > full else None
+                mark = zlib.crc32(ids)
                 # Equal rows are told apart by their number, so that any count of them spreads over groups.
-                key = (doc_id, has_id, n, rest or (crcs[-1] if crcs else 0))
+                key = (doc_id, has_id, mark)
                 seen[key] += 1
-                out.append((doc_id, has_id, n, crcs, n - full, rest, seen[key]))
+                out.append((ids, len(ids) // 4, mark, seen[key]))
                 if len(seen) > 200_000:
                     seen = Counter({k: v for k, v in seen.items() if v > 1})
-            frame = pd.DataFrame(out, columns=["doc_id", "has_id", "doc_tokens", "full_crcs", "rest", "rest_crc", "copy"])
-            frame["rest_crc"] = frame["rest_crc"].astype("Int64")
+            frame = batch.drop(columns="text")
+            frame[["ids", "doc_tokens", "mark", "copy"]] = pd.DataFrame(out, columns=["ids", "doc_tokens", "mark", "copy"], index=frame.index)
             yield frame
 
     return run
@@ -172,60 +172,75 @@ def fill(demands: np.ndarray) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text",
-         limits: Limits = Limits(), end_id: int = 0) -> DataFrame:
+         limits: Limits = Limits(), end_id: int = 0, loss_share: Column | None = None) -> DataFrame:
     """Cut documents into pieces and place the pieces in sequences.
 
     Returns per piece ``doc_id``, ``start`` and ``length`` (ids of the document before it and in
-    it), ``ids_crc32``, ``doc_tokens``, ``loss_tokens``, ``sequence_id`` and ``offset``. A document's ids are
+    it), ``ids`` (little-endian unsigned 32-bit, 4 bytes each), ``doc_tokens``, ``loss_tokens``, ``sequence_id`` and ``offset``.
+    The pieces of a sequence in the order of their offsets are its ids. A document's ids are
     those of its text with ``end_id`` after them. Pieces as long as a sequence
     fill one each. What is left of a document, an example, stays whole and is packed under
-    all ``limits`` at once; every token but a piece's first bears loss.
+    all ``limits`` at once. Every token but a piece's first bears loss, or, with ``loss_share`` (a column of ``docs``, 0 to 1, NULL as 1), that
+    share of them, rounded up.
 
     NULL is empty text; an empty text is one piece with the end id alone. Repeated rows are
     packed once each; long texts become many pieces. An empty table gives no rows.
 
-    Only numbers are exchanged, about 50 bytes a document. Groups come from a hash of
+    Ids are exchanged once, to the group that packs them. Groups come from a hash of
     content and copy number, so their size does not depend on any key.
     """
-    size = min(limits.tokens, limits.loss_tokens + 1)
+    size = limits.tokens if loss_share is not None else min(limits.tokens, limits.loss_tokens + 1)
     groups = max(1, -(-docs.count() // GROUP_ROWS))
     kind = docs.schema[id_column].dataType.simpleString()
     doc_id, has_id = filled_id(docs, id_column)
-    texts = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
-    counted = texts.mapInPandas(
-        _tokenised(tokenizer, size, end_id),
-        f"doc_id {kind}, has_id boolean, doc_tokens long, full_crcs array<long>, rest long, rest_crc long, copy long",
+    share = F.lit(1.0) if loss_share is None else F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(loss_share.cast("double"), F.lit(1.0))))
+    texts = docs.select(
+        doc_id.alias("doc_id"), has_id.alias("has_id"), share.alias("share"), F.coalesce(docs[text_column], F.lit("")).alias("text")
     )
-    grouped = counted.withColumn(
-        "pack_group", F.pmod(F.xxhash64("doc_id", "has_id", "doc_tokens", "rest_crc", "full_crcs", "copy"), F.lit(groups))
+    encoded = texts.mapInPandas(
+        _tokenised(tokenizer, end_id), f"doc_id {kind}, has_id boolean, share double, ids binary, doc_tokens long, mark long, copy long"
     )
+    grouped = encoded.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "has_id", "doc_tokens", "mark", "copy"), F.lit(groups)))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_tokens", "doc_id", "has_id", "rest_crc", "copy"], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["doc_tokens", "doc_id", "has_id", "mark", "copy"], kind="stable").reset_index(drop=True)
         number = int(group["pack_group"].iloc[0])
+        total, ids = group["doc_tokens"].to_numpy(dtype="int64"), group["ids"].tolist()
+        bearing = lambda n, i: np.ceil((n - 1) * group["share"].to_numpy()[i] - 1e-9).astype("int64")
+        # Pieces (document, start, length) that no limit but the number of tokens concerns, and those to be packed.
+        cuts = [(i, k, min(size, int(n) - k)) for i, n in enumerate(total) for k in range(0, int(n), size)]
+        at, start, length = (np.array(x, dtype="int64") for x in zip(*cuts, strict=True))
+        loss = bearing(length, at)
+        # A full piece whose loss is beyond the limit is halved until each part keeps to it.
+        while (over := (loss > limits.loss_tokens) & (length > 1)).any():
+            half = length[over] // 2
+            at, start = np.append(at, at[over]), np.append(start, start[over] + half)
+            length = np.append(length, length[over] - half)
+            length[: len(over)][over] = half
+            loss = bearing(length, at)
+        whole = length == limits.tokens
         rows, next_bin = [], 0
-        for i, (n, crcs) in enumerate(zip(group["doc_tokens"], group["full_crcs"], strict=True)):
-            for k, crc in enumerate(crcs):
-                rows.append((i, k * size, size, int(crc), n, size - 1, number + groups * next_bin, 0))
-                next_bin += 1
-        tails = np.flatnonzero(group["rest"] > 0)
-        length = group["rest"].to_numpy(dtype="int64")[tails]
-        total, crc = group["doc_tokens"].to_numpy(), group["rest_crc"].to_numpy()
+        for i in np.flatnonzero(whole):
+            rows.append((i, next_bin, 0))
+            next_bin += 1
+        rest = np.flatnonzero(~whole)
         demands = np.column_stack(
-            [length / limits.tokens, np.full(len(length), 1 / limits.segments), (length - 1) / max(1, limits.loss_tokens)]
+            [length[rest] / limits.tokens, np.full(len(rest), 1 / limits.segments), loss[rest] / max(1, limits.loss_tokens)]
         )
         for content in fill(demands):
             offset = 0
-            for j in content:
-                i, n = tails[j], int(length[j])
-                rows.append((i, int(total[i]) - n, n, int(crc[i]), total[i], n - 1, number + groups * next_bin, offset))
-                offset += n
+            for i in rest[content]:
+                rows.append((i, next_bin, offset))
+                offset += int(length[i])
             next_bin += 1
-        names = ["at", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
-        placed = pd.DataFrame(rows, columns=names)
-        own = group[["doc_id", "has_id"]].iloc[placed.pop("at")].reset_index(drop=True)
-        return pd.concat([own, placed], axis=1)
-
-    numbers = "start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-    placed = grouped.groupBy("pack_group").applyInPandas(place, f"doc_id {kind}, has_id boolean, {numbers}")
+        piece, bin_of, offset = (np.array(x, dtype="int64") for x in zip(*rows, strict=True))
+        own = group[["doc_id", "has_id"]].iloc[at[piece]].reset_index(drop=True)
+        own["start"], own["length"] = start[piece], length[piece]
+        own["ids"] = [ids[at[i]][4 * start[i] : 4 * (start[i] + length[i])] for i in piece]
+        own["doc_tokens"], own["loss_tokens"] = total[at[piece]], loss[piece]
+        own["sequence_id"], own["offset"] = number + groups * bin_of, offset
+        return own
+
+    columns = "start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
+    placed = grouped.groupBy("pack_group").applyInPandas(place, f"doc_id {kind}, has_id boolean, {columns}")
     return placed.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
