@@ -41,7 +41,8 @@ def tokenizer_file(name: str) -> str:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    placed = pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 @register(

@@ -15,10 +15,13 @@ DEPTHS = (1 / 64, 1 / 4, 3 / 4, 15 / 16)
 
 
 def whole_vectors(table: DataFrame, id_column: str, vector: Column) -> DataFrame:
-    """(``id``, ``v``) of the rows that have a vector without NULL, NaN or infinite components."""
+    """(``id``, ``v``) of the rows that have an id and a vector without NULL, NaN or infinite components.
+
+    A row without an id could neither be named in a result nor told from a query's own row.
+    """
     limit = F.lit(float("inf"))
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == limit))
-    return table.select(table[id_column].cast("long").alias("id"), vector.alias("v")).where(vector.isNotNull() & ~bad)
+    return table.select(table[id_column].cast("long").alias("id"), vector.alias("v")).where(table[id_column].isNotNull() & vector.isNotNull() & ~bad)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
