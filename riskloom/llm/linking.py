@@ -83,20 +83,22 @@ def beside(batch: pd.DataFrame, names: list[str], rows: list[tuple]) -> pd.DataF
     return pd.concat([batch, pd.DataFrame(made, index=batch.index)], axis=1)
 
 
-def different_texts(sign: Callable[[int], DataFrame], also: dict[str, Column] | None = None) -> tuple[int, DataFrame, DataFrame]:
+def different_texts(
+    sign: Callable[[int], DataFrame], also: dict[str, Column] | None = None, folder: str | None = None
+) -> tuple[int, DataFrame, DataFrame]:
     """Signed rows and one row per key, for the first seed that gives different digests different keys.
 
     ``sign(seed)`` has ``key`` (NULL without words), ``digest``, ``doc_id``, ``n_shingles``, ``strips``, ``print``.
     Keys are 64-bit hashes; raises if ``SEEDS`` draws do not separate all digests.
     """
     for seed in range(SEEDS):
-        signed = written(sign(seed).withColumn("row", F.monotonically_increasing_id()))
+        signed = written(sign(seed).withColumn("row", F.monotonically_increasing_id()), folder)
         nodes = signed.where("key is not null").groupBy("key").agg(
             F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("strips").alias("strips"),
             F.min("print").alias("print"), F.min("digest").alias("digest"), F.max("digest").alias("last"),
             *[v.alias(c) for c, v in (also or {}).items()],
         )
-        nodes = written(nodes)
+        nodes = written(nodes, folder)
         if nodes.where("digest != last").isEmpty():
             return seed, signed, nodes.drop("digest", "last")
     raise RuntimeError(f"keys of word sequences collided in {SEEDS} draws")
@@ -179,7 +181,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, s
     both = spread_join(both, parts.toDF("a", "part", "grams_a"), ["a", "part"], ["b"])
     shares = both.select("a", "b", "need", F.size(F.array_intersect("grams_a", "grams_b")).alias("share"))
     summed = shares.groupBy("a", "b", "need").agg(F.sum("share").alias("overlap")).where("overlap >= need")
-    return written(summed.select("a", "b", "overlap"))
+    return summed.select("a", "b", "overlap")
 
 
 def linked(
@@ -190,13 +192,14 @@ def linked(
     percent: int,
     seed: int,
     likely: Callable[[DataFrame], DataFrame] | None = None,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes (``key``, ``root``, ``component_id``) and links (``a``, ``b``, ``overlap``) among keys that meet in the lists of ``shown``.
 
     In every list 1, then 8, then 32 of its keys meet those not yet connected to them; classes are renewed after each round. At last all
     keys of a list that are still apart meet, where the sizes of their fragments allow the similarity. So a
     large group of near copies is connected by the first rounds and costs a few pairs a key. ``likely`` may rule out pairs before
-    their sets are counted. ``shown``: (``shingle``, ``key``, ``n``, ``at``, ``up``); ``texts``: (``print``, ``text``).
+    their sets are counted. What is kept for the result lies in ``folder``, if given. ``shown``: (``shingle``, ``key``, ``n``, ``at``, ``up``); ``texts``: (``print``, ``text``).
     """
     links = nodes.sparkSession.createDataFrame([], "a long, b long, overlap long")
     found = nodes.sparkSession.createDataFrame([], "node long, root long")
@@ -206,21 +209,21 @@ def linked(
         state = state.select("key", F.coalesce("root", "key").alias("root"), *([] if hubs else ["strips"]))
         placed = shown.join(state, "key")
         apart = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-        with scratch(nodes.sparkSession) as folder:
-            apart = written(placed.join(apart.select("shingle"), "shingle", "left_semi"), folder)
-            pairs = written(met(apart, percent, hubs, turn), folder)
+        with scratch(nodes.sparkSession) as passing:
+            apart = written(placed.join(apart.select("shingle"), "shingle", "left_semi"), passing)
+            pairs = written(met(apart, percent, hubs, turn), passing)
             if hubs is not None:
                 sized = spread_join(pairs, sizes.toDF("a", "strips_a"), ["a"], ["b"])
                 sized = spread_join(sized, sizes.toDF("b", "strips_b"), ["b"], ["a"])
-                pairs = written(sized.where(can_share("strips_a", "strips_b") >= F.col("need")).select("a", "b", "need"), folder)
+                pairs = written(sized.where(can_share("strips_a", "strips_b") >= F.col("need")).select("a", "b", "need"), passing)
             if likely is not None:
-                pairs = written(likely(pairs), folder)
+                pairs = written(likely(pairs), passing)
             if pairs.isEmpty():
                 continue
-            links = links.unionByName(verified(pairs, nodes, texts, width, seed, folder))
+            links = links.unionByName(written(verified(pairs, nodes, texts, width, seed, passing), folder))
         found = components(links, "a", "b")
 
     joined = nodes.select("key", "least_id").join(found.withColumnRenamed("node", "key"), "key", "left")
-    joined = written(joined.withColumn("root", F.coalesce("root", "key")))
+    joined = written(joined.withColumn("root", F.coalesce("root", "key")), folder)
     smallest = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return spread_join(joined, smallest, ["root"], ["key"]).select("key", "root", "component_id"), links

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.common import WORD, filled_id, once, spread_join, written
 from riskloom.llm.linking import beside, different_texts, digest_of, gram_hashes, hashing, key_of, linked, strips_of, words_of
+from riskloom.session import scratch
 
 SHINGLE = 5
 
@@ -135,7 +136,7 @@ def _prune(similarity: float, bands: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85, folder: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more, transitively.
 
@@ -151,7 +152,8 @@ def near_duplicates(
     3. Candidates are pruned by comparing signatures in batches (posterior below ``MISS``),
        and the survivors are confirmed on their full sets of shingles.
 
-    Signatures are only fetched for candidates; all else is exchanged by 8-byte keys. NULL, empty and blank texts have no
+    Signatures are only fetched for candidates; all else is exchanged by 8-byte keys. What the results are read from lies in ``folder``
+    (of ``session.scratch``), if given, and in the shared folder else. NULL, empty and blank texts have no
     shingles and link with nothing; repeated rows and
     equal ids stay rows of their own. Texts are read whole. An empty table gives empty results.
     """
@@ -168,14 +170,14 @@ def near_duplicates(
         signed = rows.mapInPandas(_signed(n_bands, seed), schema)
         return signed.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
 
-    seed, signed, nodes = different_texts(sign, {"signature": F.first("signature", ignorenulls=True)})
+    seed, signed, nodes = different_texts(sign, {"signature": F.first("signature", ignorenulls=True)}, folder)
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(n_bands - 1)),
         lambda i: F.xxhash64(i, F.col("signature").substr(i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
     )
     banded = nodes.select("key", F.col("n"), F.explode(bands).alias("shingle"))
     several = banded.groupBy("shingle").count().where("count > 1").select("shingle")
-    shown = written(banded.join(several, "shingle").select("shingle", "key", "n", F.lit(0).alias("at"), F.lit(True).alias("up")))
+    shown = written(banded.join(several, "shingle").select("shingle", "key", "n", F.lit(0).alias("at"), F.lit(True).alias("up")), folder)
     signatures = nodes.select("key", "signature")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -183,7 +185,7 @@ def near_duplicates(
         both = spread_join(both, signatures.toDF("b", "sig_b"), ["b"], ["a"])
         return both.mapInPandas(_prune(percent / 100, n_bands), "a long, b long, need long")
 
-    classes, _links = linked(nodes, shown, docs.select(print, text.alias("text")), SHINGLE, percent, seed, likely)
+    classes, _links = linked(nodes, shown, docs.select(print, text.alias("text")), SHINGLE, percent, seed, likely, folder)
     members = signed.select("row", "doc_id", "text_key", F.col("key").alias("node"), "n_shingles")
     return members, classes.withColumnRenamed("key", "node")
 
@@ -201,11 +203,12 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     one stays. Columns are those of ``docs``.
     """
     text = F.coalesce(docs[text_column], F.lit(""))
-    members, nodes = near_duplicates(docs, id_column, text_column, percent)
-    signed = placed_members(members, nodes)
-    chosen = signed.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("c")
-    )
+    with scratch(docs.sparkSession) as folder:
+        members, nodes = near_duplicates(docs, id_column, text_column, percent, folder)
+        chosen = placed_members(members, nodes).groupBy("root").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("c")
+        )
+        chosen = written(chosen)
     filled, has_id = filled_id(docs, id_column)
     key = ["id", "has_id", "text_key"]
     chosen = chosen.select(
