@@ -48,7 +48,7 @@ def test_blocks_together(spark, monkeypatch):
 def test_search_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0], 1), (20, [1.0, 2.0], 1), (2, None, 1), (3, [None, 1.0], 1), (4, [nan, 1.0], 1), (5, [-inf, 1.0], 1), (6, [0.5, 0.5], None),
-            (7, [], 1)]
+            (7, [], 1), (None, [9.0, 9.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     whole = whole_vectors(table, "vec_id", F.col("embedding"))
     assert sorted(r.id for r in whole.collect()) == [0, 6, 7, 20]

@@ -44,9 +44,9 @@ def check_packing(rows, docs, limits):
         for x in mine:
             cuts = [(i, min(limits.tokens, len(x) - i)) for i in range(0, len(x), limits.tokens)]
             for i, n in cuts:
-                want[(i, n, zlib.crc32(np.array(x[i : i + n], "<u4").tobytes()), len(x))] += 1
+                want[(i, n, np.array(x[i : i + n], "<u4").tobytes(), len(x))] += 1
         doc_id = next(k for k, v in ids.items() if v is mine)
-        got = Counter((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id == doc_id)
+        got = Counter((r.start, r.length, bytes(r.ids), r.doc_tokens) for r in rows if r.doc_id == doc_id)
         assert got == want
     sequences = defaultdict(list)
     for r in rows:
@@ -74,6 +74,37 @@ def test_packing_table(spark, sf_small):
     check_packing(pack(docs, BPE, limits=tight).collect(), docs, tight)
 
 
+def test_loss_limit_binds_while_tokens_do_not(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, words, share) for i, share in enumerate([1.0, 0.5, 0.0, None] * 10)]
+    docs = spark.createDataFrame([*rows, (99, words * 30, 1.0)], "doc_id long, text string, bearing double")
+    limits = Limits(tokens=1024, segments=256, loss_tokens=200)
+    placed = pack(docs, BPE, limits=limits, loss_share=docs["bearing"]).collect()
+    sequences, whole = defaultdict(list), defaultdict(list)
+    for r in placed:
+        sequences[r.sequence_id].append(r)
+        whole[r.doc_id].append(r)
+    assert max(sum(r.loss_tokens for r in x) for x in sequences.values()) <= 200
+    assert max(sum(r.length for r in x) for x in sequences.values()) <= 1024
+    # Examples without loss fill up sequences whose loss is spent.
+    assert any(sum(r.length for r in x) > 300 for x in sequences.values())
+    by_id = {r.doc_id: r for r in docs.collect()}
+    for doc_id, pieces in whole.items():
+        pieces.sort(key=lambda r: r.start)
+        assert [r.start for r in pieces] == [sum(x.length for x in pieces[:i]) for i in range(len(pieces))]
+        assert sum(r.length for r in pieces) == pieces[0].doc_tokens
+        share = by_id[doc_id].bearing
+        assert all(r.loss_tokens == int(np.ceil((r.length - 1) * (1.0 if share is None else share))) for r in pieces)
+
+
+def test_query_gives_checksums_of_the_ids(spark, sf_small):
+    from riskloom.llm.queries import QUERIES
+
+    ids = {(r.doc_id, r.start): bytes(r.ids) for r in pack(spark.read.parquet(f"{sf_small}/documents.parquet"), BPE).collect()}
+    got = {(r.doc_id, r.start): r.ids_crc32 for r in QUERIES["op4_packing"](spark, sf_small).collect()}
+    assert got == {k: zlib.crc32(v) for k, v in ids.items()}
+
+
 def test_fill_respects_every_limit():
     rng = np.random.default_rng(1)
     demands = rng.random((500, 3)) * np.array([1, 0.3, 0.6])
