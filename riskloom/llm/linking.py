@@ -144,8 +144,8 @@ def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
 def met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame:
     """Candidates (``a``, ``b``, ``need``) among ``rows``, the lists (``shingle``) whose keys are not all connected.
 
-    With ``hubs``, so many texts of every list, drawn by their keys, meet the others of it; else all do, and then the sizes of the
-    fragments (``strips``) decide within the join. A pair is kept where its places (``at``) leave the similarity possible; ``up``
+    With ``hubs``, so many texts of every list, drawn by their keys, meet the others of it; else all do. Where rows carry the sizes of their
+    fragments (``strips``), these decide within the join. A pair is kept where its places (``at``) leave the similarity possible; ``up``
     marks the places at which a set meets those that are as large or larger.
     """
     names = [c for c in rows.columns if c != "shingle"]
@@ -160,10 +160,9 @@ def met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame
     need = needed(F.col("n_a"), F.col("n_b"), percent)
     left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     possible = (F.col("root_a") != F.col("root_b")) & fits & (left_over >= need)
-    if hubs is None:
-        possible = possible & smaller & F.col("up_a") & (can_share("strips_a", "strips_b") >= need)
-    else:
-        possible = possible & F.when(smaller, F.col("up_a")).otherwise(F.col("up_b"))
+    possible = possible & (smaller & F.col("up_a") if hubs is None else F.when(smaller, F.col("up_a")).otherwise(F.col("up_b")))
+    if "strips" in names:
+        possible = possible & (can_share("strips_a", "strips_b") >= need)
     pairs = a.join(b, "shingle").where(possible)
     return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), need.alias("need")).distinct()
 
@@ -206,13 +205,14 @@ def linked(
     sizes = nodes.select("key", "strips")
     for turn, hubs in enumerate(HUBS):
         state = nodes.join(found.withColumnRenamed("node", "key"), "key", "left")
-        state = state.select("key", F.coalesce("root", "key").alias("root"), *([] if hubs else ["strips"]))
+        # The first round has a pair a row at most; in all others the sizes are weighed before pairs leave the join.
+        state = state.select("key", F.coalesce("root", "key").alias("root"), *(["strips"] if turn else []))
         placed = shown.join(state, "key")
         apart = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
         with scratch(nodes.sparkSession) as passing:
             apart = written(placed.join(apart.select("shingle"), "shingle", "left_semi"), passing)
             pairs = written(met(apart, percent, hubs, turn), passing)
-            if hubs is not None:
+            if not turn:
                 sized = spread_join(pairs, sizes.toDF("a", "strips_a"), ["a"], ["b"])
                 sized = spread_join(sized, sizes.toDF("b", "strips_b"), ["b"], ["a"])
                 pairs = written(sized.where(can_share("strips_a", "strips_b") >= F.col("need")).select("a", "b", "need"), passing)
