@@ -122,7 +122,7 @@ def apply_dictionary(
     if large:
         row = key
         if row is None:
-            row = "_row"
+            row = "_row" + "_" * max(map(len, names))  # no column has this name
             df = materialize(df.withColumn(row, F.monotonically_increasing_id()))
         # A missing value is a value of its own, marked by the empty prefix.
         marked = lambda value: F.coalesce(F.concat(F.lit("="), value), F.lit(""))

@@ -265,7 +265,10 @@ class _Candidates:
     def cell(self, candidate: Column) -> Column:
         """Cell of the mixed score, 0 for the highest; missing scores come last. It never rises with the score."""
         mixed, last = self.mix(candidate), F.lit(CELLS - 1.0)
-        place = (F.lit(self.high) - mixed) * F.lit(CELLS / (self.high - self.low)) if self.high > self.low else mixed * 0.0
+        if self.high > self.low:
+            place = (F.lit(self.high) - mixed) * F.lit(CELLS / (self.high - self.low))
+        else:
+            place = F.when(mixed > self.high, 0.0).when(mixed < self.low, last).otherwise(1.0)
         place = F.least(last, F.greatest(F.lit(0.0), place))
         return F.floor(F.when(mixed.isNull() | F.isnan(mixed), last).otherwise(place)).cast("int")
 
