@@ -45,8 +45,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             )
             after = written(after, folder)
             # Done when every child has one parent and no parent is a child: the links are stars.
-            roots = after.select("parent").distinct().withColumnRenamed("parent", "child")
-            if after.join(roots, "child", "left_semi").isEmpty() and after.groupBy("child").count().where("count > 1").isEmpty():
+            roles = after.select("child", F.lit(1).alias("of")).union(after.select("parent", F.lit(0)).distinct())
+            held = roles.groupBy("child").agg(F.sum("of").alias("parents"), F.count("*").alias("roles"))
+            if held.where("parents > 1 or roles > parents and parents > 0").isEmpty():
                 tops = after.select("parent").distinct()
                 return written(after.toDF("node", "root").union(tops.select("parent", "parent")))
             edges = after

@@ -211,6 +211,8 @@ def linked(
         apart = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
         with scratch(nodes.sparkSession) as passing:
             apart = written(placed.join(apart.select("shingle"), "shingle", "left_semi"), passing)
+            if apart.isEmpty():
+                break
             pairs = written(met(apart, percent, hubs, turn), passing)
             if not turn:
                 sized = spread_join(pairs, sizes.toDF("a", "strips_a"), ["a"], ["b"])
