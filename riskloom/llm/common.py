@@ -80,17 +80,18 @@ def filled_id(docs: DataFrame, name: str) -> tuple[Column, Column]:
     return F.coalesce(docs[name], F.lit("0").cast(kind)), docs[name].isNotNull()
 
 
-def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES, instead_of: str | None = None):
+def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES, family: str | None = None):
     """A memo of ``compute`` that tasks of one Python worker share and that never exceeds two generations.
 
     A full generation becomes the old one and a new one begins, so frequent keys
     stay. Lookups of young keys run at the speed of a dict. ``name`` tells what is computed, so whatever the results depend on
-    is part of it. A new memo takes the place of those whose names begin with ``instead_of``.
+    is part of it. Only memos of one ``family`` (by default the name) are held at a time: workers outlive a stage, and what the last one
+    remembered is of no use to the next.
     """
     import sys
 
     class Memo(dict):
-        __slots__ = ("old", "compute")
+        __slots__ = ("old", "compute", "family")
 
         def __missing__(self, key):
             value = self.old.get(key)
@@ -104,11 +105,12 @@ def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES, instead_of:
 
     shelf = sys.__dict__.setdefault("_riskloom_llm_memos", {})
     if name not in shelf:
-        for old in [x for x in shelf if instead_of and x.startswith(instead_of)]:
+        for old in [x for x, held in shelf.items() if held.family != (family or name)]:
             del shelf[old]
         shelf[name] = Memo()
         shelf[name].old = {}
         shelf[name].compute = compute
+        shelf[name].family = family or name
     return shelf[name]
 
 

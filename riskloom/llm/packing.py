@@ -90,8 +90,8 @@ def encoder(path: str):
     def short_ids(text: str) -> bytes:
         return np.asarray(by_rank.encode_ordinary(text), dtype="<u4").tobytes() if by_rank else ids(text)
 
-    stems = memo(f"stems:{path}", short_ids, PIECES)
-    tails = memo(f"tails:{path}", short_ids)
+    stems = memo(f"stems:{path}", short_ids, PIECES, path)
+    tails = memo(f"tails:{path}", short_ids, family=path)
 
     def piece(text: str) -> bytes:
         stem = text.rstrip(TRAILING)
@@ -99,7 +99,7 @@ def encoder(path: str):
             return stems[stem] + tails[text[len(stem) :]]
         return stems[text]
 
-    pieces = memo(f"pieces:{path}", piece, PIECES)
+    pieces = memo(f"pieces:{path}", piece, PIECES, path)
 
     def encode(text: str) -> bytes:
         if any(s in text for s in specials):
