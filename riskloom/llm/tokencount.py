@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import filled_id, once, written
+from riskloom.llm.common import filled_id, memo, once, written
 
 #: A pre-token is frequent if it is known to hold this share of all occurrences, so at most 1/share of them are.
 FREQUENT_SHARE = 1 / 700_000
@@ -19,6 +24,20 @@ FREQUENT_BYTES = 64
 #: Distinct pre-tokens a task holds before it hands its counts on.
 HELD = 1_000_000
 
+#: Documents, and rare pre-tokens in them, that a task packs together. A document's place in its pack fits 16 bits.
+PACK_DOCS = 60_000
+PACK_ENTRIES = 500_000
+
+#: Occurrences of pre-tokens for each bucket in which rare ones meet; a task holds the pieces of one bucket at a time.
+BUCKET_TOKENS = 2_000_000
+
+#: Letters. Runs of them are cut from all else if no piece of the model holds a letter beside something else.
+LETTER = r"[^\W\d_²³¹¼½¾ªº]"
+RUN = re.compile(rf" *{LETTER}+|(?:(?!{LETTER}).)+", re.S)
+
+#: A character in no piece, behind which a run is encoded that continues a word.
+OUTSIDE = "\ue000"
+
 
 def pre_tokens(text: str) -> list[str]:
     """Cut a text where no piece of the model can cross: before every run of spaces.
@@ -51,118 +70,232 @@ def _load(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _local_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the pre-tokens that hold their share within what a task holds at once, and that total."""
+def letters_apart(pieces: list[str]) -> bool:
+    """Whether no piece, after its leading marks, holds a letter beside something else: then none crosses the ends of a run of letters."""
+    letter = re.compile(LETTER)
+    for piece in pieces:
+        kinds = {bool(letter.match(c)) for c in piece.lstrip("▁")}
+        if len(kinds) > 1 or OUTSIDE in piece or "▁" in piece.lstrip("▁"):
+            return False
+    return True
+
+
+def _cutter(model: str) -> Callable[[str], list[str]]:
+    """Cuts a pre-token into runs, if the model allows. All runs but the first start with a mark, which no pre-token holds."""
+
+    def allowed() -> bool:
+        loaded = _load(model)
+        plain = [i for i in range(loaded.get_piece_size()) if not (loaded.is_control(i) or loaded.is_byte(i) or loaded.is_unknown(i))]
+        return letters_apart([loaded.id_to_piece(i) for i in plain])
+
+    find = RUN.findall
 
-    def heads(held: Counter) -> pd.DataFrame:
-        total = sum(held.values())
-        often = {t: n for t, n in held.items() if n >= total * FREQUENT_SHARE and len(t.encode()) <= FREQUENT_BYTES}
-        return pd.DataFrame({"token": [None, *often], "freq": [total, *often.values()]})
+    def cut(token: str) -> list[str]:
+        runs = find(token)
+        return [token] if len(runs) < 2 else [runs[0], *["▁" + r for r in runs[1:]]]
 
-    held: Counter = Counter()
-    for batch in batches:
-        for text in batch["text"]:
-            held.update(pre_tokens(text))
-            if len(held) > HELD:
-                yield heads(held)
-                held = Counter()
-    yield heads(held)
+    def whole(token: str) -> list[str]:
+        return [token]
 
+    return cut if once(f"letters apart:{model}", allowed) else whole
 
-def _pieces(model: str):
-    def count(tokens: list[str]) -> list[int]:
+
+def _pieces(model: str) -> Callable[[list[str]], list[int]]:
+    """Counts the pieces of runs."""
+
+    def count(runs: list[str]) -> list[int]:
         encode = once(f"sentencepiece:{model}", lambda: _load(model)).encode
+        before = len(encode(OUTSIDE))
+        found = encode([OUTSIDE + r[1:] if r[:1] == "▁" else r for r in runs], num_threads=1)
         # The mark alone encodes to nothing by itself, as the model adds none to an empty text.
-        return [len(x) if token else 1 for x, token in zip(encode(tokens, num_threads=1), tokens, strict=True)]
+        return [len(x) - before if r[:1] == "▁" else len(x) if r else 1 for x, r in zip(found, runs, strict=True)]
 
     return count
 
 
-def frequent_pieces(texts: DataFrame, model: str) -> dict[str, int]:
-    """Pieces of the frequent pre-tokens: of all that hold twice the share, and of none that holds less than it.
+def frequent_pieces(texts: DataFrame, model: str, share: float = FREQUENT_SHARE) -> tuple[dict[str, int], int]:
+    """Pieces of the frequent runs, and the number of all runs: of all that hold twice the share, and of none that holds less than it.
 
-    A pre-token with twice the share of all occurrences keeps more than one share after the
+    A run with twice the share of all occurrences keeps more than one share after the
     parts in which it holds less are left out; so leaving them out of the exchange loses none.
+    The pieces are counted in tasks; the driver receives the bounded dictionary only.
     """
-    counted = texts.select("text").mapInPandas(_local_heads, "token string, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts of the runs that hold their share within what a task holds at once, and that total."""
+        cut = _cutter(model)
+
+        def heads(held: Counter) -> pd.DataFrame:
+            runs: Counter = Counter()
+            for token, n in held.items():
+                for run in cut(token):
+                    runs[run] += n
+            total = sum(runs.values())
+            often = {r: n for r, n in runs.items() if n >= total * share and len(r.encode()) <= FREQUENT_BYTES}
+            return pd.DataFrame({"run": [None, *often], "freq": [total, *often.values()]})
+
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                held.update(pre_tokens(text))
+                if len(held) > HELD:
+                    yield heads(held)
+                    held = Counter()
+        yield heads(held)
+
+    count = _pieces(model)
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"run": batch["run"], "n": count(batch["run"].tolist())})
+
+    counted = texts.select("text").mapInPandas(local, "run string, freq long").groupBy("run").agg(F.sum("freq").alias("freq"))
     counted = written(counted)
-    total = counted.where("token is null").agg(F.sum("freq")).first()[0] or 0
-    tokens = [r.token for r in counted.where(F.col("token").isNotNull() & (F.col("freq") >= F.lit(total * FREQUENT_SHARE))).collect()]
-    return dict(zip(tokens, _pieces(model)(tokens), strict=True))
+    total = counted.where("run is null").agg(F.sum("freq")).first()[0] or 0
+    often = counted.where(F.col("run").isNotNull() & (F.col("freq") >= F.lit(total * share))).select("run")
+    return {r.run: r.n for r in often.mapInPandas(sized, "run string, n long").collect()}, total
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in the narrowest of three widths, which the first byte tells."""
+    width = "<u2" if not len(numbers) or numbers.max() < 1 << 16 else "<u4" if numbers.max() < 1 << 32 else "<u8"
+    return width[-1:].encode() + numbers.astype(width).tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[:1].decode()}", offset=1).astype("int64")
+
 
+class _Pack:
+    """Documents of a task with what is known of them, and the rare runs in them."""
 
-def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def __init__(self, number: int):
+        self.number = number
+        self.ids, self.has_ids, self.sizes, self.known = [], [], [], []
+        self.names: dict[str, int] = {}
+        self.name, self.at, self.freq = [], [], []
+        self.digest = hashlib.blake2b(digest_size=16)
+
+    def rows(self, buckets: int) -> pd.DataFrame:
+        """One row a bucket with its runs, and one with the documents."""
+        task = TaskContext.get()
+        key = f"{task.partitionId() if task else 0}:{self.number}:".encode() + self.digest.digest()
+        names = list(self.names)
+        bucket = np.fromiter((crc32(n.encode("utf-8", "surrogatepass")) % buckets for n in names), "int64", len(names))
+        by_bucket = np.argsort(bucket, kind="stable")
+        place = np.empty(len(names), "int64")
+        place[by_bucket] = np.arange(len(names))
+        entry = place[np.array(self.name, "int64")]
+        order = np.argsort(entry, kind="stable")
+        entry, at, freq = entry[order], np.array(self.at, "int64")[order], np.array(self.freq, "int64")[order]
+        found, starts = np.unique(bucket[by_bucket], return_index=True)
+        ends = np.append(starts[1:], len(names))[: len(starts)]
+        rows = []
+        for b, i, j in zip(found.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            lo, hi = np.searchsorted(entry, [i, j])
+            uses = np.bincount(entry[lo:hi] - i, minlength=j - i)
+            runs = "▁▁".join(names[k] for k in by_bucket[i:j])
+            rows.append((b, key, runs, _narrow(uses), _narrow(at[lo:hi]), _narrow(freq[lo:hi]), 1, None, None, None))
+        own = (self.ids, _narrow(np.array(self.sizes, "int64")), np.array(self.has_ids, bool).tobytes())
+        rows.append((-1 - crc32(key) % 100_000, key, None, None, None, _narrow(np.array(self.known, "int64")), -len(rows), *own))
+        return pd.DataFrame(rows, columns=["bucket", "pack", "runs", "uses", "at", "n", "parts", "ids", "sizes", "has_ids"])
+
+
+def token_counts(
+    docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", share: float = FREQUENT_SHARE, pack_entries: int = PACK_ENTRIES
+) -> DataFrame:
     """Tokens of each text: one row per row of ``docs`` with ``doc_id``, ``n_bytes`` and ``n_tokens``.
 
-    Pieces are counted once per distinct pre-token, and documents meet these counts by pre-token:
-    the frequent ones, whose number and length are bounded whatever the input, through a
-    broadcast dictionary; all others where their per-document frequencies have been brought together by
-    pre-token. There, none can be a hot key, as each holds less than twice the
-    share. Token ids are never kept.
+    Pieces are counted once per distinct pre-token (or run of letters or of other characters in it, where no piece of the
+    model joins them), and documents meet these counts by it: the frequent ones, whose number and length are bounded
+    whatever the input, through a broadcast dictionary; all others where their per-document frequencies have been brought
+    together by bucket. There, none can be a hot key, as each holds less than twice the share. A task packs the rare runs of
+    many documents into one row a bucket, in which a document is its place in the pack; the sums return to the pack's own row,
+    which holds the ids. So documents need no identity of their own, and token ids are never kept.
+
+    A pack is named by task, number and a digest of its rows. If ``docs`` gives its rows in another order when a lost task runs
+    again, the parts of a pack do not add up, and the query fails instead of returning wrong sums; write such input to a table first.
 
-    NULL counts as empty text: no bytes, no tokens. Repeated rows each get their row.
+    NULL counts as empty text: no bytes, no tokens. Repeated rows each get their row, NULL ids too.
     Texts may be of any length. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    text = F.coalesce(docs[text_column], F.lit(""))
     doc_id, has_id = filled_id(docs, id_column)
-    rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), text.alias("text"), F.hash(text).alias("mark"))
-    same = ["doc_id", "has_id", "mark"]
-    known = spark.sparkContext.broadcast(frequent_pieces(rows, model))
+    rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
+    head, total = frequent_pieces(rows, model, share)
+    known = spark.sparkContext.broadcast(head)
+    buckets = total // BUCKET_TOKENS + 1
 
-    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = known.value
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, cut = known.value, _cutter(model)
+
+        def parted(token: str) -> tuple[int, list[str]]:
+            runs = cut(token)
+            return sum(head.get(r, 0) for r in runs), [r for r in runs if r not in head]
+
+        # What a token gives depends on this task's dictionary, so the memo lasts as long as the task.
+        parts = memo(f"runs:{id(head)}:{id(parted)}", parted, 100_000, "runs")
+        pack = _Pack(0)
         for batch in batches:
-            at, token, freq = [], [], []
-            for i, (text, mark) in enumerate(zip(batch["text"], batch["mark"], strict=True)):
-                mine = 0
-                for t, n in Counter(pre_tokens(text)).items():
-                    pieces = head.get(t)
-                    if pieces is None:
-                        at.append(i)
-                        token.append(t)
-                        freq.append(n)
-                    else:
-                        mine += n * pieces
-                # One row carries what is known already and the bytes, and makes the document appear. Its
-                # name starts with the mark, which no pre-token does, and spreads over tasks.
-                at.append(i)
-                token.append(f"▁{mark} {len(text.encode('utf-8', 'surrogatepass'))}")
-                freq.append(mine)
-                if len(at) > 200_000:
-                    yield batch[same].iloc[at].assign(token=token, freq=freq)
-                    at, token, freq = [], [], []
-            yield batch[same].iloc[at].assign(token=token, freq=freq)
+            for number, own, text in zip(batch["doc_id"].tolist(), batch["has_id"].tolist(), batch["text"], strict=True):
+                mine, place = 0, len(pack.ids)
+                for token, n in Counter(pre_tokens(text)).items():
+                    pieces, rare = parts[token]
+                    mine += n * pieces
+                    for run in rare:
+                        pack.name.append(pack.names.setdefault(run, len(pack.names)))
+                        pack.at.append(place)
+                        pack.freq.append(n)
+                data = text.encode("utf-8", "surrogatepass")
+                pack.digest.update(f"{own}:{number}:{len(data)}:".encode("utf-8", "surrogatepass"))
+                pack.digest.update(data)
+                pack.ids.append(number)
+                pack.has_ids.append(own)
+                pack.sizes.append(len(data))
+                pack.known.append(mine)
+                if len(pack.ids) >= PACK_DOCS or len(pack.name) >= pack_entries:
+                    yield pack.rows(buckets)
+                    pack = _Pack(pack.number + 1)
+        if pack.ids:
+            yield pack.rows(buckets)
 
     count = _pieces(model)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, int] = {}
+        pieces: dict[str, int] = {}
+        last = None
         for batch in batches:
-            names = batch["token"].unique()
-            new = [t for t in names if t not in last and not t.startswith("▁")]
-            pieces = last | dict(zip(new, count(new), strict=True))
-            last = {t: pieces[t] for t in names[-1:] if t in pieces}
-            whole = batch["token"].str.startswith("▁")
-            tokens = batch["freq"] * batch["token"].map(pieces).where(~whole, 1).astype("int64")
-            sizes = batch["token"].where(whole).str.split(" ").str[1].fillna("0").astype("int64")
-            out = batch[same].assign(n=tokens, n_bytes=sizes, copies=whole.astype("int64"))
-            yield out.groupby(same, sort=False, as_index=False).sum()
+            found = []
+            for bucket, runs, uses, at, n in zip(batch["bucket"], batch["runs"], batch["uses"], batch["at"], batch["n"], strict=True):
+                if bucket < 0:
+                    found.append((at, n))
+                    continue
+                if bucket != last:
+                    pieces, last = {}, bucket
+                names = runs.split("▁▁")
+                new = [r for r in names if r not in pieces]
+                pieces.update(zip(new, count(new), strict=True))
+                each = np.repeat(np.fromiter((pieces[r] for r in names), "int64", len(names)), _wide(uses))
+                places, where = np.unique(_wide(at), return_inverse=True)
+                sums = np.zeros(len(places), "int64")
+                np.add.at(sums, where, each * _wide(n))
+                found.append((_narrow(places), _narrow(sums)))
+            yield batch[["pack", "parts", "ids", "sizes", "has_ids"]].assign(at=[a for a, _ in found], n=[n for _, n in found])
+
+    def gathered(group: pd.DataFrame) -> pd.DataFrame:
+        if group["parts"].sum() != 0:
+            raise RuntimeError("the input's rows came in another order when a lost task ran again; write the input to a table first")
+        own = group[group["parts"] <= 0].iloc[0]
+        tokens = _wide(own["n"])
+        for at, n in zip(group["at"], group["n"], strict=True):
+            if at is not None:
+                tokens[_wide(at)] += _wide(n)
+        has_id = np.frombuffer(own["has_ids"], bool)
+        return pd.DataFrame({"doc_id": list(own["ids"]), "has_id": has_id, "n_bytes": _wide(own["sizes"]), "n_tokens": tokens})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    key = f"doc_id {kind}, has_id boolean, mark int"
-    parts = rows.mapInPandas(looked_up, f"{key}, token string, freq long")
-    together = parts.repartition(F.col("token")).sortWithinPartitions("token")
-    summed = (
-        together.mapInPandas(counted, f"{key}, n long, n_bytes long, copies long")
-        .groupBy(*same)
-        .agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"))
-    )
-    # Rows with equal id and text were summed together; each of them has its share.
-    each = summed.select(
-        F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"),
-        (F.col("n_bytes") / F.col("copies")).cast("long").alias("n_bytes"),
-        (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"),
-        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
-    )
-    return each.drop("copy")
+    result = f"pack binary, parts long, ids array<{kind}>, sizes binary, has_ids binary, at binary, n binary"
+    parts = rows.mapInPandas(packed, f"bucket long, pack binary, runs string, uses binary, at binary, n binary, parts long, ids array<{kind}>, sizes binary, has_ids binary")
+    together = parts.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    summed = together.mapInPandas(counted, result).groupBy("pack").applyInPandas(gathered, f"doc_id {kind}, has_id boolean, n_bytes long, n_tokens long")
+    return summed.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_tokens")

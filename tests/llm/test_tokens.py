@@ -11,7 +11,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from riskloom.llm.mixing import mix_plan, mixed  # noqa: E402
 from riskloom.llm.packing import Limits, fill, pack  # noqa: E402
-from riskloom.llm.tokencount import token_counts  # noqa: E402
+from riskloom.llm.tokencount import letters_apart, token_counts  # noqa: E402
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,23 @@ def test_token_counts(spark, sf_small, edge_docs, edge):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_rare_pre_tokens_meet_their_pieces_in_buckets(spark, sf_small, edge_docs, no_docs):
+    """Hardly any run is frequent, packs are small, texts under one id or none differ."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    more = spark.createDataFrame([(None, f"number {i} \ue000x.\nY{i}.²³ 1{i}▁a") for i in range(300)] + [(3, f"z{i}-y") for i in range(50)], "doc_id long, text string")
+    docs = some_docs(spark, sf_small).union(edge_docs.select("doc_id", "text")).union(more).repartition(5)
+    want = [(r.doc_id, len((r.text or "").encode()), len(model.encode(r.text or ""))) for r in docs.collect()]
+    got = [tuple(r) for r in token_counts(docs, PIECES, share=1 / 40, pack_entries=2000).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert token_counts(no_docs, PIECES).collect() == []
+
+
+def test_runs_are_cut_only_where_no_piece_joins_them():
+    assert letters_apart(["▁a", "ab", "▁,", ",,", "1", "▁▁"]) and not letters_apart(["a,"]) and not letters_apart(["a▁b"])
+
+
 def check_packing(rows, docs, limits):
     from tokenizers import Tokenizer
 
