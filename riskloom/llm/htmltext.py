@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskloom.llm.common import filled_id, written
 
+#: The best container is the deepest that holds this share of the page's text.
+NEARLY_ALL = 0.9
+
+#: A host's path is used on a page if it holds this share of what the page's own best container holds.
+COVERS = 0.5
+
 #: Hosts with this share of all voting pages are frequent; there are at most 1/share of them.
 FREQUENT_SHARE = 1 / 1000
 
@@ -24,6 +31,7 @@ BLOCK = set(
 ASIDE = set("nav header footer aside form button select head iframe object svg canvas audio video menu dialog".split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
 OPENS_NEXT = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+WHOLE_PAGE = set("html body main".split())
 CONTAINERS = set("article main section div td body blockquote".split())
 
 #: Class or id words of what is not the article.
@@ -49,12 +57,73 @@ def generalised(tag: str, classes: str) -> str:
 
 
 class Node:
-    """An open or closed element: its path, the blocks directly within, and whether it belongs to what surrounds the article."""
+    """An open or closed element: its place in the table of paths, and whether it belongs to what surrounds the article.
+
+    ``aside`` is sure (the kind of the element, a whole class word) or ``doubted``: a part of a class word, which holds
+    only for elements without most of the page's text.
+    """
+
+    __slots__ = ("tag", "path", "aside", "doubted", "above")
+
+    def __init__(self, tag: str, path: int, aside: bool, doubted: bool, above: Node | None):
+        self.tag, self.path, self.aside, self.doubted, self.above = tag, path, aside, doubted, above
+
+
+class Page:
+    """The blocks of a page in its order, (the element each lies in, text, characters of it in links), and its paths.
 
-    __slots__ = ("tag", "path", "aside", "parent")
+    A path is its parent's number and its last step, so that memory grows with the page, however deep its elements nest.
+    """
 
-    def __init__(self, tag: str, path: str, aside: bool, parent: Node | None):
-        self.tag, self.path, self.aside, self.parent = tag, path, aside, parent
+    def __init__(self) -> None:
+        self.blocks: list[tuple[Node, str, int]] = []
+        self.nodes: list[Node] = []
+        self.parents, self.steps, self.numbers = [-1], [""], {}
+
+    def below(self, path: int, step: str) -> int:
+        number = self.numbers.setdefault((path, step), len(self.steps))
+        if number == len(self.steps):
+            self.parents.append(path)
+            self.steps.append(step)
+        return number
+
+    def name(self, path: int) -> str:
+        steps = []
+        while path > 0:
+            steps.append(self.steps[path])
+            path = self.parents[path]
+        return "".join(f"/{x}" for x in reversed(steps))
+
+    def number(self, name: str) -> int | None:
+        path = 0
+        for step in name.split("/")[1:]:
+            path = self.numbers.get((path, step))
+            if path is None:
+                return None
+        return path
+
+    def settle(self) -> None:
+        """Class words alone don't make an element with most of the page's text a surrounding; and what lies in one is one."""
+        held: dict[Node, int] = {n: 0 for n in self.nodes}
+        total = 0
+        sure: dict[Node, bool] = {}
+        for n in self.nodes:
+            sure[n] = n.aside or (n.above is not None and sure.get(n.above, False))
+        for node, text, linked in self.blocks:
+            if node in sure and not sure[node] and 2 * linked <= len(text):
+                held[node] += len(text)
+                total += len(text)
+            elif node not in sure and 2 * linked <= len(text):
+                total += len(text)
+        for n in reversed(self.nodes):
+            if n.above in held:
+                held[n.above] += held[n]
+        for n in self.nodes:
+            above = n.above is not None and n.above.aside
+            n.aside = above or n.aside or (n.doubted and 2 * held[n] < total)
+
+    def own(self) -> list[tuple[Node, str, int]]:
+        return [b for b in self.blocks if not b[0].aside]
 
 
 def tokens_of(page: str) -> Iterator[re.Match]:
@@ -70,16 +139,18 @@ def tokens_of(page: str) -> Iterator[re.Match]:
                 break
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """The blocks of a page in its order: (the element it lies in, text, characters of it in links).
+def parsed(page: str) -> Page:
+    """The blocks of a page in its order.
 
     Tolerant of missing end tags: a new paragraph or item ends the one before, an end tag
     ends what is open inside, and stray ones are ignored. White space becomes one space.
     Raw elements are left out, to their end tag or, without one, to the end of the page.
     """
-    root = Node("", "", False, None)
+    result = Page()
+    open_tags: Counter = Counter()
+    root = Node("", 0, False, False, None)
     stack = [root]
-    found: list[tuple[Node, str, int]] = []
+    found = result.blocks
     parts: list[str] = []
     linked = link_depth = 0
 
@@ -107,10 +178,13 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             if tag == "a":
                 link_depth = max(0, link_depth - 1)
             if tag in BLOCK or tag in ASIDE:
-                if any(n.tag == tag for n in stack[1:]):
+                if open_tags[tag]:
                     flush()
-                    while stack.pop().tag != tag:
-                        pass
+                    while True:
+                        ended_tag = stack.pop().tag
+                        open_tags[ended_tag] -= 1
+                        if ended_tag == tag:
+                            break
             continue
         if tag in RAW:
             continue
@@ -126,60 +200,105 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             ended = OPENS_NEXT.get(tag)
             if tag in CLOSES_P and any(n.tag == "p" for n in stack[-3:]):
                 ended = {"p"}
-            if ended:
+            if ended and any(open_tags[x] for x in ended):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in ended:
+                        open_tags.subtract(n.tag for n in stack[i:])
                         del stack[i:]
                         break
                     if stack[i].tag in ("ul", "ol", "dl", "table"):
                         break
             marks = {k.lower(): a or b or c for k, a, b, c in MARKER.findall(m.group(3))}
-            words = set(WORDS.split(f"{marks.get('class', '')} {marks.get('id', '')} {marks.get('role', '')}".lower()))
+            named = f"{marks.get('class', '')} {marks.get('id', '')} {marks.get('role', '')}".lower()
+            whole = tag not in WHOLE_PAGE and not ASIDE_WORDS.isdisjoint(named.split())
+            doubted = tag not in WHOLE_PAGE and not ASIDE_WORDS.isdisjoint(WORDS.split(named))
             above = stack[-1]
-            aside = above.aside or tag in ASIDE or "hidden" in marks or bool(words & ASIDE_WORDS)
+            # An article may well be named after its matter: its class words never are sure.
+            aside = tag in ASIDE or "hidden" in marks or (whole and tag != "article")
             # Text formatting inside a container is no step of a path.
-            step = f"{above.path}/{generalised(tag, marks.get('class') or '')}" if tag in CONTAINERS or tag in ASIDE else above.path
+            step = result.below(above.path, generalised(tag, marks.get("class") or "")) if tag in CONTAINERS or tag in ASIDE else above.path
             if not m.group(3).endswith("/"):
-                stack.append(Node(tag, step, aside, above))
+                stack.append(Node(tag, step, aside, doubted, above))
+                open_tags[tag] += 1
+                result.nodes.append(stack[-1])
     flush()
-    return found
+    result.settle()
+    return result
 
 
-def container_scores(page: str) -> dict[str, float]:
-    """Score of every container path of a page.
-
-    The text of its own paragraphs counts in full, a fraction of what lies in containers below it; text of
-    links counts against it, and what surrounds the article counts nothing.
-    """
-    scores: dict[str, float] = {}
-    for node, text, linked in blocks_of(page):
-        if node.aside:
-            continue
-        worth = len(text) - 2.0 * linked
-        path, share = node.path, 1.0
-        while path:
-            scores[path] = scores.get(path, 0.0) + share * worth
-            path, share = path.rpartition("/")[0], share * 0.8
+def blocks_of(page: str) -> list[tuple[Node, str, int]]:
+    """The blocks of a page in its order: (the element it lies in, text, characters of it in links)."""
+    return parsed(page).blocks
+
+
+def container_scores(page: Page) -> list[int]:
+    """Score of every container path of a page: the text in it and below it that is no surrounding and not mostly links."""
+    scores = [0] * len(page.steps)
+    for node, text, linked in page.own():
+        if 2 * linked <= len(text):
+            scores[node.path] += len(text)
+    for path in range(len(scores) - 1, 0, -1):  # parents stand before what lies in them
+        scores[page.parents[path]] += scores[path]
     return scores
 
 
-def text_under(page: str, path: str | None) -> str:
-    """The blocks of a page that lie under a path, without what surrounds the article; of all such blocks if none lies there."""
-    own = [(n.path, t) for n, t, _ in blocks_of(page) if not n.aside]
-    under = [t for p, t in own if path is not None and (p == path or p.startswith(path + "/"))]
-    return "\n".join(under or [t for _, t in own])
+def best_container(page: Page, scores: list[int]) -> int:
+    """The outermost article with most of the text, or else main part; without one, the deepest container with nearly all of
+    the text, or what also holds the page's title around it. So short headings, leads and closing words beside a long inner body stay.
+    0 if the page has no text.
+    """
+    if not scores[0]:
+        return 0
+
+    def around(share: float) -> list[int]:
+        """The containers that hold more than that share, from the deepest on: they nest, so the last path is the deepest."""
+        chain = [max(i for i, x in enumerate(scores) if x > share * scores[0])]
+        while chain[-1] > 0:
+            chain.append(page.parents[chain[-1]])
+        return chain
+
+    for tag in ("article", "main"):
+        for path in reversed(around(0.5)):
+            if page.steps[path].partition(".")[0] == tag:
+                return path
+    chain = around(NEARLY_ALL)
+    best = chain[0]
+    titled = {node.path for node, _, _ in page.own() if node.tag == "h1"}
+    if titled and best not in titled:
+        for path in chain[1:]:
+            if path in titled and page.steps[path].partition(".")[0] not in WHOLE_PAGE:
+                return path
+    return best
+
+
+def text_under(html: str, name: str | None) -> str:
+    """The blocks of a page that lie under a path, without what surrounds the article.
+
+    Where that path holds only a small part of what the page's own best container holds, as on a page of another template
+    than most of its host, the page's own best container is extracted.
+    """
+    page = parsed(html)
+    scores = container_scores(page)
+    best = best_container(page, scores)
+    path = page.number(name) if name is not None else None
+    if path is None or scores[path] < COVERS * scores[best] or not scores[path]:
+        path = best
+    inside = [False] * len(page.steps)
+    for i in range(len(inside)):
+        inside[i] = i == path or (i > 0 and inside[page.parents[i]])
+    return "\n".join(t for n, t, _ in page.own() if inside[n.path])
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each page votes for its best container; votes are summed in the task."""
     votes: dict[tuple[str, str], int] = {}
     for batch in batches:
-        for host, page in zip(batch["host"], batch["html"], strict=True):
-            scores = container_scores(page)
-            if scores:
-                best = max(sorted(scores), key=scores.get)
-                if scores[best] > 0:
-                    votes[host, best] = votes.get((host, best), 0) + 1
+        for host, html in zip(batch["host"], batch["html"], strict=True):
+            page = parsed(html)
+            best = best_container(page, container_scores(page))
+            if best:
+                vote = host, page.name(best)
+                votes[vote] = votes.get(vote, 0) + 1
         if len(votes) > 200_000:
             yield pd.DataFrame([(*k, v) for k, v in votes.items()], columns=["host", "path", "votes"])
             votes = {}
@@ -193,9 +312,11 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     1. Every container of a page is scored; the page votes for the generalised tag-class path of its best one.
     2. Votes are counted per host, in the tasks first; the path with most votes wins (ties: the shorter, then the
        smaller one). A host of most pages is one row per task by then.
-    3. Every page is extracted again with its host's winning path. A page on which nothing lies under it gives all its
-       blocks that are not marked as surroundings.
+    3. Every page is extracted again with its host's winning path. A page where that holds less than ``COVERS`` of what its own best
+       container holds, as one of another template, gives the text of its own best container.
 
+    An element is a surrounding by its kind or a whole word of its class, id or role; by a part of such a word only if it holds less
+    than half of the page's text.
     The paths of hosts with at least ``FREQUENT_SHARE`` of all voting pages, boundedly many, are broadcast; the others meet
     their pages in a join by host, in which no host has a large share.
     NULL is an empty page, which gives an empty text, as does a page without blocks. Pages without

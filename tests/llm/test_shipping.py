@@ -13,7 +13,7 @@ def test_functions_load_without_the_package(tmp_path):
     shipped = [
         neardup._signed(21, 0), neardup._prune(0.85, 21), linking._parts(5, 0, []), ngramjoin._signed(4, 0, 85), hardneg._searching(5, True),
         prefixtrie._chunks, prefixtrie._hashed, packing._tokenised("file", 0), packing.fill,
-        tokencount._local_heads, tokencount._pieces("file"), htmltext._votes, htmltext.text_under, topk.nra_block,
+        tokencount._Pack, tokencount._pieces("file"), htmltext._votes, htmltext.text_under, topk.nra_block,
         toxicity._scorer, toxicity._document_features, toxicity.Field,
     ]
     path = tmp_path / "shipped"
