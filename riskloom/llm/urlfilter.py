@@ -10,12 +10,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskloom.llm.common import spread_join, written
+
 #: The trees are fitted on at most so many labelled URLs of either verdict.
 TRAIN_URLS = 5_000
 
 #: Weight of the overall share in the statistics of a suffix.
 PRIOR = 20.0
 
+#: Folds of hosts; the trees see the statistics of the other folds.
+FOLDS = 5
+
+#: Suffixes with this share of all rows are frequent; there are at most 1/share of them.
+FREQUENT_SHARE = 1 / 1000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,7 +99,7 @@ FEATURES = [
 
 @dataclass
 class UrlModel:
-    """Statistics of suffixes over all labelled URLs, and trees fitted on a bounded sample of them."""
+    """Shares of blocked URLs by suffix over all labelled URLs, and trees fitted on a bounded sample of them."""
 
     suffix1: DataFrame
     suffix2: DataFrame
@@ -99,9 +107,24 @@ class UrlModel:
     trees: PipelineModel | None
 
     def with_suffix_shares(self, urls: DataFrame) -> DataFrame:
-        for name in ("suffix1", "suffix2"):
-            urls = urls.join(getattr(self, name), name, "left").withColumn(f"f_{name}", F.coalesce(f"f_{name}", F.lit(self.prior)))
-        return urls
+        """Add the shares of both suffixes. The shorter one follows from the longer, so one lookup by the longer serves both.
+
+        Those with at least ``FREQUENT_SHARE`` of the rows, boundedly many, are broadcast, and their rows are not exchanged; the others meet their rows
+        in a join, in which none has a large share.
+        """
+        names = urls.groupBy("suffix2").agg(F.count("*").alias("urls")).withColumn("suffix1", F.substring_index("suffix2", ".", -1))
+        shares = spread_join(names, self.suffix1, ["suffix1"], ["suffix2"], "left").join(self.suffix2, "suffix2", "left")
+        filled = [F.coalesce(x, F.lit(self.prior)).alias(x) for x in ("f_suffix1", "f_suffix2")]
+        shares = written(shares.select("suffix2", "urls", F.struct(*filled).alias("shares")))
+        total = shares.agg(F.sum("urls")).first()[0] or 0
+        frequent = F.col("urls") >= F.lit(total * FREQUENT_SHARE)
+        often = shares.where(frequent).select("suffix2", F.col("shares").alias("_often"))
+        known = urls.join(F.broadcast(often), "suffix2", "left")
+        rare = shares.where(~frequent).select("suffix2", F.col("shares").alias("_rare"))
+        served = known.where("_often is not null").withColumn("_shares", F.col("_often")).drop("_often")
+        others = known.where("_often is null").drop("_often").join(rare, "suffix2", "left").withColumnRenamed("_rare", "_shares")
+        met = served.unionByName(others)
+        return met.withColumns({x: F.col(f"_shares.{x}") for x in ("f_suffix1", "f_suffix2")}).drop("_shares")
 
     def score(self, urls: DataFrame) -> DataFrame:
         """Add ``block_score`` to rows of ``lexical``; without labels of both verdicts, the share of blocked ones."""
@@ -111,30 +134,51 @@ class UrlModel:
         return scored.withColumn("block_score", vector_to_array("probability")[1])
 
 
+def _drawn(blocked: Column, weight: Column, prior: float) -> Column:
+    """A share of blocked URLs, drawn towards the prior."""
+    return (blocked + PRIOR * prior) / (weight + PRIOR)
+
+
 def fit_urls(labelled: DataFrame, per_label: int = TRAIN_URLS) -> UrlModel:
     """Fit on labelled URLs: rows of ``lexical`` with ``blocked`` (0.0 or 1.0).
 
-    Suffix statistics (shares of blocked URLs, drawn towards the overall share) cover all labelled
-    rows, summed in the tasks first. The trees see the URLs with the smallest digests, at
-    most ``per_label`` of either verdict.
+    Every different URL counts once, however many rows hold it. Both verdicts weigh alike in all, so a URL about which nothing is
+    known is not judged by how many URLs the rules block. Shares by suffix cover all labelled URLs, summed in the tasks
+    first. The trees see the URLs with the smallest digests, at most ``per_label`` of either verdict; for them, shares are
+    taken without the labels of their own fold of hosts, as the URLs to judge come from other hosts, too.
     """
-    total = {r.blocked: r["count"] for r in labelled.groupBy("blocked").count().collect()}
-    rows = sum(total.values())
-    prior = total.get(1.0, 0) / rows if rows else 0.0
-    shares = []
+    once = labelled.dropDuplicates(["url", "blocked"])
+    counts = {r.blocked: r["count"] for r in once.groupBy("blocked").count().collect()}
+    prior = 0.5 if len(counts) == 2 else float(max(counts, default=0.0))
+    weights = {k: sum(counts.values()) / (len(counts) * n) for k, n in counts.items()}
+    weight = F.when(F.col("blocked") == 1.0, weights.get(1.0, 1.0)).otherwise(weights.get(0.0, 1.0))
+    weighed = once.withColumns({"weight": weight, "fold": F.pmod(F.crc32(F.col("host").cast("binary")), F.lit(FOLDS))})
+    sums, shares = {}, []
     for name in ("suffix1", "suffix2"):
-        share = (F.sum("blocked") + PRIOR * prior) / (F.count("*") + PRIOR)
-        shares.append(labelled.groupBy(name).agg(share.alias(f"f_{name}")))
+        in_fold = [F.when(F.col("fold") == i, F.col("weight")).otherwise(0.0) for i in range(FOLDS)]
+        sums[name] = weighed.groupBy(name).agg(
+            F.array(*[F.sum(x * F.col("blocked")) for x in in_fold]).alias(f"blocked_{name}"),
+            F.array(*[F.sum(x) for x in in_fold]).alias(f"all_{name}"),
+        )
+        total = [F.aggregate(f"{part}_{name}", F.lit(0.0), lambda a, x: a + x) for part in ("blocked", "all")]
+        shares.append(sums[name].select(name, _drawn(*total, prior).alias(f"f_{name}")))
     model = UrlModel(*shares, prior, None)
-    if len(total) < 2:
+    if len(counts) < 2:
         return model
     order = F.md5(F.coalesce("url", F.lit("")).cast("binary"))
-    few = [labelled.where(F.col("blocked") == k).orderBy(order, "url").limit(per_label) for k in (0.0, 1.0)]
-    sample = model.with_suffix_shares(few[0].unionByName(few[1])).select("blocked", "url", *FEATURES)
-    sample = sample.repartition(1).sortWithinPartitions("url")
+    few = [weighed.where(F.col("blocked") == k).orderBy(order, "url").limit(per_label) for k in (0.0, 1.0)]
+    sample = few[0].unionByName(few[1])
+    for name in ("suffix1", "suffix2"):
+        sample = sample.join(sums[name], name)
+        others = [
+            F.aggregate(f"{part}_{name}", F.lit(0.0), lambda a, x: a + x) - F.element_at(f"{part}_{name}", F.col("fold").cast("int") + 1)
+            for part in ("blocked", "all")
+        ]
+        sample = sample.withColumn(f"f_{name}", _drawn(*others, prior))
+    sample = sample.select("blocked", "weight", "url", *FEATURES).repartition(1).sortWithinPartitions("url", "blocked")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     points = assembler.transform(sample)
-    trees = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=12, maxDepth=4, seed=7).fit(points)
+    trees = GBTClassifier(labelCol="blocked", featuresCol="features", weightCol="weight", maxIter=12, maxDepth=4, seed=7).fit(points)
     model.trees = PipelineModel([assembler, trees])
     return model
 
@@ -147,7 +191,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_column: str = "url") ->
 
     NULL and URLs without ``://`` have an empty host and path, fit no rule and are judged by the trees, as are empty
     ones. Repeated rows are judged alike. If all labels agree, the rest follows them; without any, it is
-    allowed. An empty table gives no rows. Statistics of suffixes are joined by suffix; a suffix with most rows is on the side that Spark splits.
+    allowed. An empty table gives no rows. No suffix, however frequent, has its rows in one task.
     """
     url = pages[url_column]
     host, path = host_and_path(url)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.quality import BUCKETS, quality_rules, ratio_table
 from riskloom.llm.queries import URL_RULES
-from riskloom.llm.urlfilter import filter_urls, parse_rule
+from riskloom.llm.urlfilter import filter_urls, fit_urls, host_and_path, lexical, matching_rule, parse_rule
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -120,3 +120,26 @@ def test_trees_learn_from_labelled_urls(spark):
     model = fit_urls(frame.where("url not like '%7'"))
     wrong = model.score(frame.where("url like '%7'")).where("(block_score >= 0.5) != (blocked = 1.0)").count()
     assert wrong == 0
+
+
+def labelled_urls(spark, rows):
+    host, path = host_and_path(F.col("url"))
+    parsed = rows.select("url", host.alias("host"), path.alias("path"))
+    _, verdict = matching_rule([parse_rule(x) for x in URL_RULES], F.col("host"), F.col("path"))
+    return lexical(parsed.withColumn("blocked", F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0)).where("blocked is not null"))
+
+
+def test_trees_on_held_out_hosts_of_the_given_table(spark):
+    rows = labelled_urls(spark, spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).withColumn("out", F.crc32(F.col("host").cast("binary")) % 4 == 0)
+    model = fit_urls(rows.where("not out").drop("out"))
+    judged = model.score(rows.where("out")).select("blocked", (F.col("block_score") >= 0.5).cast("double").alias("p")).collect()
+    hit = [sum(r.p == r.blocked for r in judged if r.blocked == k) / sum(r.blocked == k for r in judged) for k in (0.0, 1.0)]
+    assert len(judged) > 100 and sum(hit) / 2 > 0.7, hit
+
+
+def test_one_url_on_most_rows_changes_no_verdict(spark):
+    rows = labelled_urls(spark, spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    hot = rows.where("blocked = 1").orderBy("url").limit(1).crossJoin(spark.range(3000)).drop("id")
+    once, often = [sorted((r.url, r.block_score) for r in fit_urls(x, 40).score(rows).collect()) for x in (rows, rows.unionByName(hot))]
+    assert [u for u, _ in once] == [u for u, _ in often]
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(once, often, strict=True))
