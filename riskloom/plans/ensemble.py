@@ -8,8 +8,6 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way_mix, weighted_average
@@ -17,6 +15,7 @@ from riskloom.operators.folds import contiguous_folds
 from riskloom.operators.metrics import NEGATIVE_WEIGHT, TOP_SHARE, rank_score, rank_weighted_gradients, rank_weighted_log_loss
 from riskloom.operators.ordering import BUCKETS_PER_PART, descending
 from riskloom.operators.skew import row_floor
+from riskloom.plans import intasks
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate
 from riskloom.session import materialize, shuffle_partitions
 
@@ -196,31 +195,16 @@ def blend_moments(df: DataFrame, members: Sequence[str], label: str, weights: np
     """``(training, moments)``: loss, slope and curvature of the blend on the training rows of every fold, as one vector each.
 
     A row's ``fold`` is the one it is held out of; it counts for all others. The vector holds the mean loss, the slope along every member but
-    the last, and the curvature packed row by row (i, j <= i). One vector-valued aggregate, whatever the number of members.
+    the last, and the curvature packed row by row (i, j <= i). Tasks sum their rows by matrix products, and only the sums are exchanged.
     """
-    k, free = weights.shape
-    y, last = F.col(label).cast("double"), F.col(members[-1])
-    slopes = F.array(*[F.col(c) - last for c in members[:-1]])
-    packed = F.flatten(F.transform("_slopes", lambda x, i: F.transform(F.slice("_slopes", F.lit(1), i + 1), lambda z: x * z)))
-    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in (label, *members)])
-    rows = df.where(complete).withColumn("_slopes", slopes).withColumn("_packed", packed)
-
-    def at(f: int) -> Column:
-        blend = last
-        for i, w in enumerate(weights[f]):
-            blend = blend + F.lit(float(w)) * F.get("_slopes", F.lit(i))
-        return F.struct(F.lit(f).alias("training"), blend.alias("blend"))
-
-    each = rows.select(y.alias("y"), "fold", "_slopes", "_packed", F.explode(F.array(*[at(f) for f in range(k)])).alias("at"))
-    each = each.select("y", "_slopes", "_packed", "fold", "at.*").where("fold != training")
-    blend, y = F.col("blend"), F.col("y")
-    b = clip(blend, EPS, 1.0 - EPS)
-    inner = (blend > EPS) & (blend < 1.0 - EPS)
-    first = F.when(inner, (b - y) / (b * (F.lit(1.0) - b))).otherwise(0.0)
-    second = F.when(inner, y / (b * b) + (F.lit(1.0) - y) / ((F.lit(1.0) - b) * (F.lit(1.0) - b))).otherwise(0.0)
-    each = each.withColumns({"loss": bernoulli_loss(y, b), "first": first, "second": second})
-    moments = F.concat(F.array("loss"), F.transform("_slopes", lambda d: F.col("first") * d), F.transform("_packed", lambda o: F.col("second") * o))
-    return each.groupBy("training").agg(vector_to_array(Summarizer.mean(array_to_vector(moments))).alias("moments"))
+    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in ("fold", label, *members)])
+    values = [F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(members)]
+    rows = df.where(complete).select("fold", F.col(label).cast("double").alias("y"), *values)
+    parts = rows.mapInArrow(intasks.moment_sums(weights, EPS), "training int, n long, sums array<double>")
+    each = parts.select("training", "n", F.posexplode("sums").alias("at", "sum"))
+    whole = each.groupBy("training", "at").agg((F.sum("sum") / F.sum("n")).alias("mean"))
+    gathered = whole.groupBy("training").agg(F.sort_array(F.collect_list(F.struct("at", "mean"))).alias("means"))
+    return gathered.select("training", F.col("means.mean").alias("moments"))
 
 
 def _blend_sums(df: DataFrame, members: Sequence[str], label: str, weights: np.ndarray):
