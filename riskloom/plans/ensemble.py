@@ -8,12 +8,12 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way_mix, weighted_average
 from riskloom.operators.folds import contiguous_folds
 from riskloom.operators.metrics import NEGATIVE_WEIGHT, TOP_SHARE, rank_score, rank_weighted_gradients, rank_weighted_log_loss
-from riskloom.operators.ordering import BUCKETS_PER_PART, descending
+from riskloom.operators.ordering import BUCKETS_PER_PART
 from riskloom.operators.skew import row_floor
 from riskloom.plans import intasks
 from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate
@@ -29,7 +29,8 @@ FIRST_MIX_WEIGHT = 0.03221084221328546
 SEARCH_MAX_WEIGHT = 0.001
 SEARCH_STEPS = 100
 
-ROWS_PER_TASK = 1_000_000
+# Rows, one for each candidate, that a task orders.
+ROWS_PER_TASK = 4_000_000
 
 # Equal steps of the score from which the search makes its buckets.
 CELLS = 4096
@@ -256,30 +257,27 @@ class _Candidates:
         place = F.least(last, F.greatest(F.lit(0.0), place))
         return F.floor(F.when(mixed.isNull() | F.isnan(mixed), last).otherwise(place)).cast("int")
 
+    def placing(self, cells: int = CELLS) -> intasks.Placing:
+        return intasks.Placing(self.members, self.max_weight, self.steps, self.low, self.high, cells)
+
     def spread(self, candidates: Sequence[int]) -> DataFrame:
         """Every row once per bucket that it visits, with the run of candidates (positions ``start``..``stop``) for which it does.
 
         A mixed score moves one way as the weight grows, so a row visits few buckets, and with small weights one or two.
         """
-        tried, n = F.lit(list(candidates)), len(candidates)
-        bucket = F.lit(self.bucket_of_cell)
-        visits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(bucket, self.cell(F.get(tried, i))))
-        placed = self.rows.withColumn("_visits", visits)
-        changes = lambda i: (i == 0) | (F.get("_visits", i) != F.get("_visits", i - 1))
-        placed = placed.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.lit(n - 1)), changes))
-        run = lambda start, j: F.struct(
-            F.get("_visits", start).alias("bucket"), start.alias("start"), (F.coalesce(F.get("_starts", j + 1), F.lit(n)) - 1).alias("stop")
-        )
-        runs = placed.select(*self.rows.columns, F.explode(F.transform("_starts", run)).alias("_run"))
-        return runs.select(*self.rows.columns, "_run.*")
+        schema = T.StructType([*self.rows.schema.fields, *[T.StructField(c, T.IntegerType()) for c in ("bucket", "start", "stop")]])
+        return self.rows.mapInArrow(intasks.runs(self.placing(), np.array(self.bucket_of_cell), list(candidates)), schema)
+
+    def counted(self, candidates: Sequence[int], cells: int, bucket_of_cell: Sequence[int]) -> DataFrame:
+        """``(at, bucket, n, p)``: rows and positives per candidate and bucket; only these counts are exchanged."""
+        counts = intasks.counts(self.placing(cells), np.array(bucket_of_cell), list(candidates), self.label)
+        parts = self.rows.select(self.label, *self.members).mapInArrow(counts, "at int, bucket int, n long, p long")
+        return parts.groupBy("at", "bucket").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
 
     def totals(self, candidates: Sequence[int]) -> np.ndarray:
-        """Rows and positives per candidate and bucket; only these counts are exchanged. Their number is set by settings and steps."""
-        at = F.explode(F.sequence("start", "stop")).alias("at")
-        each = self.spread(candidates).select("bucket", F.col(self.label).alias("y"), at)
-        counted = each.groupBy("at", "bucket").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("p")).collect()
+        """Rows and positives per candidate and bucket. Their number is set by settings and steps."""
         made = np.zeros((len(candidates), max(self.bucket_of_cell) + 1, 2), dtype=np.int64)
-        for r in counted:
+        for r in self.counted(candidates, CELLS, self.bucket_of_cell).collect():
             made[r["at"], r.bucket] = r.n, r.p
         return made
 
@@ -307,33 +305,22 @@ class _Candidates:
 
     def exact(self, candidates: Sequence[int], totals: np.ndarray, min_rows: int | None = None) -> DataFrame:
         """``(candidate, rank_score)``: rows are exchanged once per bucket they visit and ordered there for every candidate."""
-        spark = self.rows.sparkSession
-        tried = F.lit(list(candidates))
         buckets = totals.shape[1]
         if totals[..., 0].max() > max(row_floor(min_rows), HOT_BUCKET * totals[0, :, 0].sum() / buckets):
             # A score shared by so many rows that one bucket is too much for a task: the general rank slices such ties.
-            copies = self.rows.withColumn("candidate", F.explode(tried)).withColumn("_mix", self.mix(F.col("candidate")))
+            copies = self.rows.withColumn("candidate", F.explode(F.lit(list(candidates)))).withColumn("_mix", self.mix(F.col("candidate")))
             return rank_score(copies, self.label, "_mix", self.id, by=["candidate"]).select("candidate", "rank_score")
         n, p = totals[..., 0], totals[..., 1]
+        # As many numbers as candidates and buckets, whatever the table.
         before = np.cumsum(NEGATIVE_WEIGHT * (n - p) + p, axis=1) - (NEGATIVE_WEIGHT * (n - p) + p)
-        shifts = [(int(b), int(c), int(before[c, b])) for c in range(len(candidates)) for b in range(buckets) if n[c, b]]
-        shifts = spark.createDataFrame(shifts, "bucket int, at int, before long")
         tasks = max(1, min(buckets, math.ceil(int(n.sum()) / ROWS_PER_TASK)))
-        moved = self.spread(candidates).repartition(tasks, "bucket")
-        each = moved.select("bucket", self.id, F.col(self.label).cast("long").alias("y"), *self.members, F.explode(F.sequence("start", "stop")).alias("at"))
-        each = each.withColumn("_mix", self.mix(F.get(tried, F.col("at"))))
-        order = Window.partitionBy("bucket", "at").orderBy(descending("_mix"), self.id)
-        running = order.rowsBetween(Window.unboundedPreceding, 0)
-        placed = each.select("bucket", "at", "y", F.row_number().over(order).alias("r"), F.sum("y").over(running).alias("p")).where("y = 1")
-        # As many rows as candidates and buckets, whatever the table.
-        joined = placed.join(F.broadcast(shifts), ["bucket", "at"])
-        passed = F.col("before") + F.lit(NEGATIVE_WEIGHT) * (F.col("r") - F.col("p")) + F.col("p")
-        summed = joined.groupBy("at").agg(
-            F.sum(F.lit(self.weight + 1) - passed).alias("area"),
-            F.count_if(passed <= math.floor(TOP_SHARE * self.weight)).alias("caught"),
+        order = intasks.ordered(
+            self.placing(), self.id, self.label, list(candidates), before, NEGATIVE_WEIGHT, self.weight, math.floor(TOP_SHARE * self.weight)
         )
+        placed = self.spread(candidates).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(order, "at int, area long, caught long")
+        summed = placed.groupBy("at").agg(F.sum("area").alias("area"), F.sum("caught").alias("caught"))
         score = self._score(F.col("area"), F.col("caught"))
-        return summed.select(F.get(tried, F.col("at")).alias("candidate"), score.alias("rank_score"))
+        return summed.select(F.get(F.lit(list(candidates)), F.col("at")).alias("candidate"), score.alias("rank_score"))
 
 
 def _candidates(df: DataFrame, label: str, first: str, second: str, id: str, max_weight: float, steps: int) -> _Candidates | None:

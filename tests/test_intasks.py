@@ -35,6 +35,16 @@ def test_moments_are_summed_in_the_tasks(spark):
         assert abs(r.moments[0] - loss) < 1e-9 and len(r.moments) == 3
 
 
+def test_rows_are_placed_and_ordered_in_batches(spark):
+    made = ensemble._candidates(members(spark), "y", "a", "b", "id", 1.0, 20)
+    tried = list(range(21))
+    assert "lambdafunction" not in plan(made.spread(tried))
+    exact = made.exact(tried, made.totals(tried))
+    assert "Window" not in plan(exact) and "applyInArrow" in plan(exact) or "FlatMapGroupsInArrow" in plan(exact)
+    runs = made.spread(tried).groupBy("id", "a", "b").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("n"), F.count_if(F.col("start") == 0).alias("rows"))
+    assert runs.where("n != 21 * rows").isEmpty()
+
+
 def test_functions_load_without_the_package(tmp_path):
     placing = intasks.Placing(("a", "b"), 1.0, 4, 0.0, 1.0, 8)
     cells = np.arange(8)
