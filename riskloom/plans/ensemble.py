@@ -35,6 +35,9 @@ ROWS_PER_TASK = 4_000_000
 # Equal steps of the score from which the search makes its buckets.
 CELLS = 4096
 
+# Cells that bound the candidates left beside the leader.
+FINE_CELLS = 1 << 16
+
 # Buckets beyond those that balance the tasks only tighten the bounds.
 MOST_BUCKETS = 2048
 
@@ -281,6 +284,16 @@ class _Candidates:
             made[r["at"], r.bucket] = r.n, r.p
         return made
 
+    def upper(self, candidates: Sequence[int]) -> dict[int, float]:
+        """Largest possible score of every candidate, by cells so narrow that few rows share one. One row a candidate is collected."""
+        weight = F.lit(NEGATIVE_WEIGHT) * (F.col("n") - F.col("p")) + F.col("p")
+        above = Window.partitionBy("at").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        cells = self.counted(candidates, FINE_CELLS, range(FINE_CELLS)).withColumn("before", F.coalesce(F.sum(weight).over(above), F.lit(0)))
+        area = F.col("p") * (F.lit(self.weight + 1.0) - F.col("before")) - F.col("p") * (F.col("p") + 1) / 2
+        caught = F.least(F.col("p"), F.greatest(F.lit(0), F.lit(math.floor(TOP_SHARE * self.weight)) - F.col("before")))
+        ends = cells.groupBy("at").agg(F.sum(area).alias("area"), F.sum(caught).alias("caught")).collect()
+        return {candidates[r["at"]]: self._score(r.area, r.caught) for r in ends}
+
     def bounds(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest possible score of every candidate: negatives, or positives, first in every bucket."""
         n, p = totals[..., 0], totals[..., 1]
@@ -398,7 +411,7 @@ def search_best(
     """The grid's best candidate by branch and bound; the smallest weight wins a tie.
 
     Counts per candidate and bucket bound every score from both sides, without ordering a row. The candidate that may score highest is ordered first; of the
-    others, only those are ordered whose upper bound reaches the best score known.
+    others, only those are ordered whose upper bound reaches the best score known, by the buckets and then by cells many times as narrow.
     """
     made = _candidates(df, label, first, second, id, max_weight, steps)
     if made is None:
@@ -415,6 +428,9 @@ def search_best(
     scores = ordered([leader])
     least = max(float(lower.max()), scores[leader]) - ROUNDING
     rest = [c for c in tried if c != leader and upper[c] >= least]
+    if rest:
+        closer = made.upper(rest)
+        rest = [c for c in rest if closer[c] >= least]
     if rest:
         scores |= ordered(rest)
     best = min(scores, key=lambda c: (-scores[c], c))

@@ -45,6 +45,15 @@ def test_rows_are_placed_and_ordered_in_batches(spark):
     assert runs.where("n != 21 * rows").isEmpty()
 
 
+def test_narrow_cells_bound_and_rule_out(spark):
+    df = members(spark)
+    made = ensemble._candidates(df, "y", "a", "b", "id", 1.0, 20)
+    tried = list(range(21))
+    want = {r.candidate: r.rank_score for r in ensemble.blend_grid(df, "y", "a", "b", "id", 1.0, 20).collect()}
+    closer, wide = made.upper(tried), made.bounds(made.totals(tried))[1]
+    assert all(want[c] - 1e-9 <= closer[c] <= wide[c] + 1e-9 for c in tried)
+
+
 def test_functions_load_without_the_package(tmp_path):
     placing = intasks.Placing(("a", "b"), 1.0, 4, 0.0, 1.0, 8)
     cells = np.arange(8)
