@@ -8,8 +8,8 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from riskloom.operators.ordering import ranked
-from riskloom.operators.skew import spread_join
-from riskloom.session import materialize
+from riskloom.operators.skew import DEALS, row_floor, sample_fraction
+from riskloom.session import materialize, shuffle_partitions
 
 # A column's dictionary up to this many entries is ranked by one task.
 SMALL_DICTIONARY = 100_000
@@ -32,19 +32,23 @@ def _text(df: DataFrame, column: str) -> Column:
     return value.cast("string")
 
 
-def _entry(df: DataFrame, column: str) -> Column:
-    """Column name, value as text, and numbers that sort it: exact for integers and decimals, else a double."""
-    kind, value = df.schema[column].dataType, F.col(column)
-    none = {"integer": "bigint", "whole": WHOLE, "fraction": FRACTION, "number": "double"}
-    sorts = {name: F.lit(None).cast(t) for name, t in none.items()}
-    if isinstance(kind, T.IntegralType):
-        sorts["integer"] = value.cast("bigint")
-    elif isinstance(kind, T.DecimalType):
-        below = F.floor(value)
-        sorts |= {"whole": below.cast(WHOLE), "fraction": (value - below).cast(FRACTION)}
-    elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        sorts["number"] = F.when(~F.isnan(value), value.cast("double"))
-    return F.struct(F.lit(column).alias("feature"), _text(df, column).alias("value"), *[v.alias(n) for n, v in sorts.items()])
+def _line(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Numbers that sort the entries (``feature``, ``value``), read back from the text: exact for integers and decimals, else a double."""
+    kinds = {c: df.schema[c].dataType for c in columns}
+
+    def read(these: type | tuple, as_number) -> list[Column]:
+        own = {c: k for c, k in kinds.items() if isinstance(k, these)}
+        return [F.when(F.col("feature") == c, as_number(F.col("value").try_cast(k))) for c, k in own.items()]
+
+    def one_of(found: list[Column], kind: str) -> Column:
+        return F.coalesce(*found, F.lit(None).cast(kind))
+
+    return {
+        "integer": one_of(read(T.IntegralType, lambda v: v.cast("bigint")), "bigint"),
+        "whole": one_of(read(T.DecimalType, lambda v: F.floor(v).cast(WHOLE)), WHOLE),
+        "fraction": one_of(read(T.DecimalType, lambda v: (v - F.floor(v)).cast(FRACTION)), FRACTION),
+        "number": one_of(read((T.FloatType, T.DoubleType), lambda v: v.cast("double")), "double"),
+    }
 
 
 def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DICTIONARY) -> DataFrame:
@@ -52,10 +56,11 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DIC
 
     Values collapse on the map side before anything is exchanged, and the distinct
     entries are kept, so the table is read once. Their number decides how they are ranked: one window per column while it is small,
-    the distributed rank otherwise.
+    the distributed rank otherwise, which is done once, however often the dictionary is read.
     """
-    entries = F.explode(F.array(*[_entry(df, c) for c in columns]))
-    distinct = materialize(df.select(entries.alias("e")).select("e.*").distinct())
+    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _text(df, c).alias("value")) for i, c in enumerate(columns)]))
+    texts = df.select(entries.alias("e")).select("e.*").distinct()
+    distinct = materialize(texts.select(F.get(F.lit(list(columns)), F.col("i")).alias("feature"), "value")).withColumns(_line(df, columns))
     largest = distinct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
     if largest <= small:
         order = Window.partitionBy("feature").orderBy(*[F.col(c).asc_nulls_last() for c in LINE])
@@ -66,7 +71,7 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str], small: int = SMALL_DIC
     near = F.when(F.col("value").isNull(), F.lit(float("inf"))).otherwise(near)
     line = [near, F.col("value").isNull().cast("int"), *[F.coalesce(c, F.lit(0)) for c in LINE[:3]], F.col("value")]
     placed = ranked(distinct, line, by=["feature"])
-    return placed.select("feature", "value", (F.col("rank") - 1).alias("code"))
+    return materialize(placed.select("feature", "value", (F.col("rank") - 1).alias("code")))
 
 
 def save_dictionary(dictionary: DataFrame, path: str) -> None:
@@ -126,17 +131,46 @@ def apply_dictionary(
             df = materialize(df.withColumn(row, F.monotonically_increasing_id()))
         # A missing value is a value of its own, marked by the empty prefix.
         marked = lambda value: F.coalesce(F.concat(F.lit("="), value), F.lit(""))
-        cells = F.array(*[F.struct(F.lit(c).alias("feature"), marked(texts[c]).alias("value")) for c in large])
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), marked(texts[c]).alias("value")) for i, c in enumerate(large)])
         long = df.select(F.col(row).alias("_id"), F.explode(cells).alias("cell")).select("_id", "cell.*")
-        entries = dictionary.where(F.col("feature").isin(large)).select("feature", marked(F.col("value")).alias("value"), "code")
-        met = spread_join(long, entries, ["feature", "value"], ["_id"], "left")
-        codes = [F.max(F.when(F.col("feature") == c, F.col("code"))).alias(f"_code_{c}") for c in large]
+        place = (F.array_position(F.lit(list(large)), F.col("feature")) - 1).cast("int").alias("i")
+        entries = dictionary.where(F.col("feature").isin(large)).select(place, marked(F.col("value")).alias("value"), "code")
+        # The cells of a row meet again in one exchange, before any is aggregated.
+        hot = _hot_cells(df, cells, len(large))
+        met = _met(long, entries, hot).select("_id", "i", "code").repartition("_id")
+        codes = [F.max(F.when(F.col("i") == i, F.col("code"))).alias(f"_code_{c}") for i, c in enumerate(large)]
         df = df.join(met.groupBy("_id").agg(*codes).withColumnRenamed("_id", row), row)
     looked, found = _looked_up(df.withColumns({f"_text_{c}": texts[c] for c in small}), dictionary, small) if small else (df, {})
     found |= {c: F.col(f"_code_{c}") for c in large}
     return looked.select(*[settled(c, found[c], F.col(c)).alias(c) if c in found else F.col(f"`{c}`") for c in names])
 
 
+def _hot_cells(df: DataFrame, cells: Column, n: int) -> list[int]:
+    """Hashes of cells that hold more than a partition's worth of all, judged by a sample of rows of fixed size; at most two a partition."""
+    floor, parts = row_floor(None), shuffle_partitions(df.sparkSession)
+    total = df.count() * n
+    if total < floor:
+        return []
+    fraction = sample_fraction(total, parts)
+    seen = df.sample(fraction, seed=7).select(F.explode(cells).alias("cell")).groupBy(F.xxhash64("cell.i", "cell.value").alias("_cell")).count()
+    return [r[0] for r in seen.where(F.col("count") >= 0.5 * max(floor, total / parts) * fraction).collect()]
+
+
+def _met(long: DataFrame, entries: DataFrame, hot: Sequence[int]) -> DataFrame:
+    """The cells (``_id``, ``i``, ``value``) with their codes. Cells are exchanged once, and those of values that fill the table dealt out.
+
+    They are sorted by a hash first, which tells nearly all of them apart without a look at the texts.
+    """
+    cell = F.xxhash64("i", "value")
+    long, entries = long.withColumn("_cell", cell), entries.withColumn("_cell", cell)
+    if not hot:
+        return long.join(entries, ["_cell", "i", "value"], "left")
+    is_hot = F.col("_cell").isin(list(hot))
+    dealt = long.withColumn("_deal", F.when(is_hot, F.pmod(F.xxhash64("_id"), F.lit(DEALS)).cast("int")).otherwise(0))
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))).alias("_deal")
+    return dealt.join(entries.select("*", copies), ["_cell", "i", "value", "_deal"], "left")
+
+
 def _looked_up(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
     """Codes of small dictionaries, by one multi-column indexer whose labels stand in the order of their codes."""
     entries: dict[str, dict] = {c: {} for c in columns}
