@@ -12,6 +12,7 @@ before the exchange that joins the slices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Sequence
 from functools import reduce
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from riskloom.operators.ordered import FIRST_GAP_DAYS, days_between, difference_of_ends, gap_days
 from riskloom.operators.ordering import FROM_END, SEQ, with_sequence
 from riskloom.operators.skew import HotGroups, hot_groups, split_hot
+from riskloom.session import shuffle_partitions
 
 # The names of the statistics and the tenure of a new key.
 NUMERIC_STATS = ("first", "mean", "std", "min", "max", "last")
@@ -30,6 +32,9 @@ WIDE_LIMIT = 20
 
 NEW_CUSTOMER_TENURE = 0.5
 
+# Cells that a task unfolds and holds groups of. Tables with more get more tasks, whatever the number of shuffle partitions.
+CELLS_PER_TASK = 1_500_000
+
 
 def _first_last(value: Column) -> tuple[Column, Column]:
     """Aggregates for the first and last value that is not missing."""
@@ -304,11 +309,16 @@ def profile(
     names = [*numeric, *([gap] if gap else [])]
     diff = {c for c in names if c not in set(no_diff)}
     needed = list(dict.fromkeys([key, *order, *numeric, *categorical, *([time] if time else []), *markers]))
+    cells = len(names) + len(categorical) + (1 + len(markers) if time else 0)
 
     def branch(rows: DataFrame, groups: HotGroups) -> DataFrame:
         rows = rows.select(*needed)
         if gap and groups:
             rows = gap_days(rows, key, order[0], order[1:], name=gap, hot=groups, min_rows=min_rows)
+        if not groups and hot.total * cells > CELLS_PER_TASK:
+            # The exchange that the window needs, with its number of tasks; merged ones would hold too much.
+            tasks = max(shuffle_partitions(rows.sparkSession), math.ceil(hot.total * cells / CELLS_PER_TASK))
+            rows = rows.where(F.col(key).isNotNull()).repartition(tasks, key)
         numbered = with_sequence(rows, key, order, groups, min_rows)
         if gap and not groups:
             # The window that numbers the rows is partitioned and sorted alike, so this costs no exchange.
