@@ -99,6 +99,20 @@ def rank_weighted_gradients(
     all other rows weigh 1. Adds ``weight``, ``grad`` and ``hess``.
     """
     rows = ranked_by_score(df, label, raw_score, id, by)
+    return gradients_of_ranked(rows, label, raw_score, id, by, steepness, max_weight, min_hessian)
+
+
+def gradients_of_ranked(
+    rows: DataFrame,
+    label: str,
+    raw_score: str,
+    id: str,
+    by: Sequence[str] = (),
+    steepness: float = 5.0,
+    max_weight: float = 2.0,
+    min_hessian: float | None = 1e-16,
+) -> DataFrame:
+    """:func:`rank_weighted_gradients` of rows that :func:`ranked_by_score` has ranked."""
     y = F.col(label).cast("double")
     missed = (F.col(label) == 1) & ~F.col("in_top")
     weighted = rows.withColumns(
@@ -131,7 +145,13 @@ def rank_weighted_log_loss(
     max_weight: float = 2.0,
 ) -> DataFrame:
     """Mean log loss at raw scores where every positive carries its rank weight."""
-    rows = ranked_by_score(df, label, raw_score, id, by)
+    return log_loss_of_ranked(ranked_by_score(df, label, raw_score, id, by), label, raw_score, by, steepness, max_weight)
+
+
+def log_loss_of_ranked(
+    rows: DataFrame, label: str, raw_score: str, by: Sequence[str] = (), steepness: float = 5.0, max_weight: float = 2.0
+) -> DataFrame:
+    """:func:`rank_weighted_log_loss` of rows that :func:`ranked_by_score` has ranked."""
     y, p = F.col(label).cast("double"), sigmoid(F.col(raw_score))
     loss = -_falling_weight(steepness, max_weight) * y * F.log(p) - (F.lit(1.0) - y) * F.log(F.lit(1.0) - p)
     return rows.groupBy(*by).agg(F.avg(loss).alias("rank_weighted_log_loss"))

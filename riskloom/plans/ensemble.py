@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.functions.arith import bernoulli_loss, clip, linear_blend, two_way_mix, weighted_average
 from riskloom.operators.folds import contiguous_folds
-from riskloom.operators.metrics import NEGATIVE_WEIGHT, TOP_SHARE, rank_score, rank_weighted_gradients, rank_weighted_log_loss
+from riskloom.operators.metrics import NEGATIVE_WEIGHT, TOP_SHARE, gradients_of_ranked, log_loss_of_ranked, rank_score, ranked_by_score
 from riskloom.operators.ordering import BUCKETS_PER_PART
 from riskloom.operators.skew import row_floor
 from riskloom.plans import intasks
-from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate
+from riskloom.plans.learn import ModelBundle, average_folds, boosted_trees, cross_validate, fold_scores
 from riskloom.session import materialize, shuffle_partitions
 
 EPS = 1e-15
@@ -96,11 +96,13 @@ def stack_until_settled(
     while True:
         weight = "weight" if held else None
         stages = lambda weight=weight: [boosted_trees(rounds, depth, seed=seed, weight=weight, label=label)]
-        bundle = cross_validate(weighted, members, label, id, stages, k, seed, carry=["weight"] if weight else [])
+        bundle = cross_validate(weighted, members, label, id, stages, k, seed, carry=["weight"] if weight else [], scored=False)
         p = clip(F.col("prediction"), EPS, 1.0 - EPS)
         raw = bundle.oof.select(id, label, F.log(p / (F.lit(1.0) - p)).alias("raw"))
-        weights = materialize(rank_weighted_gradients(raw, label, "raw", id).select(id, label, "raw", "weight"))
-        losses.append(rank_weighted_log_loss(raw, label, "raw", id).first().rank_weighted_log_loss)
+        # Ranked once, for the weights and for the loss.
+        ranked = materialize(ranked_by_score(raw, label, "raw", id))
+        weights = gradients_of_ranked(ranked, label, "raw", id).select(id, label, "raw", "weight")
+        losses.append(log_loss_of_ranked(ranked, label, "raw").first().rank_weighted_log_loss)
         held.append(weights.select(F.lit(len(held)).alias("round"), "*"))
         if len(losses) > 1 and abs(losses[-1] - losses[-2]) <= tolerance * abs(losses[-1]):
             break
@@ -108,6 +110,8 @@ def stack_until_settled(
             raise RuntimeError(f"the weighted loss has not settled after {most} fits: {losses}")
         weighted = oof.join(weights.select(id, "weight"), id)
     bundle.oof = bundle.oof.drop("weight")
+    # Only the settled bundle is scored; those before it are not kept.
+    bundle.scores = fold_scores(bundle.oof.withColumn("repeat", F.lit(0)), bundle.oof, label, id)
     return StackFit(bundle, average_folds(bundle.models, test, members), reduce(DataFrame.unionByName, held), losses)
 
 

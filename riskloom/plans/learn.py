@@ -116,11 +116,11 @@ def early_stopping_stages(inputs: int, hidden: Sequence[int] = (16, 8), label: s
 
 @dataclass
 class ModelBundle:
-    """Fold models over a ``features`` vector, out-of-fold predictions and scores."""
+    """Fold models over a ``features`` vector, out-of-fold predictions and scores (None if they were not asked for)."""
 
     models: list[PipelineModel]
     oof: DataFrame
-    scores: DataFrame
+    scores: DataFrame | None
 
     def save(self, path: str) -> None:
         """One folder: a pipeline per fold, and parquet for predictions and scores."""
@@ -192,6 +192,7 @@ def cross_validate(
     nominal: Mapping[str, int] | None = None,
     metric: Metric = rank_score,
     measure: str = "rank_score",
+    scored: bool = True,
 ) -> ModelBundle:
     """Train one model per fold and predict every row with the model that did not see it.
 
@@ -199,16 +200,16 @@ def cross_validate(
     shared folder with a part for each fold, so that a fold's model reads the other parts only; folds are fitted
     from a few driver threads. ``group`` keeps all rows of an entity
     in one fold. With ``repeats`` the out-of-fold prediction of a row is the mean
-    over repeats. ``metric(rows, label, score, id, by)`` gives the column ``measure`` of the scores.
+    over repeats. ``metric(rows, label, score, id, by)`` gives the column ``measure`` of the scores; ``scored=False`` leaves them out.
     """
     with scratch(df.sparkSession) as folder:
         return _cross_validate(
-            df, features, label, id, make_stages, k, seed, group, repeats, threads, carry, nominal, metric, measure, folder
+            df, features, label, id, make_stages, k, seed, group, repeats, threads, carry, nominal, metric, measure, scored, folder
         )
 
 
 def _cross_validate(
-    df, features, label, id, make_stages, k, seed, group, repeats, threads, carry, nominal, metric, measure, folder
+    df, features, label, id, make_stages, k, seed, group, repeats, threads, carry, nominal, metric, measure, scored, folder
 ) -> ModelBundle:
     kept = list(dict.fromkeys([id, label, *([group] if group else []), *carry, "features"]))
     # Placing the rows in folds reads them several times.
@@ -245,10 +246,12 @@ def _cross_validate(
         oof = materialize(oof.withColumn("fold", F.lit(None).cast("int")).select(id, *carry, "fold", label, "prediction"))
     else:
         oof = each.drop("repeat")
-    return ModelBundle(models, oof, _scores(each, oof, label, id, metric, measure))
+    return ModelBundle(models, oof, fold_scores(each, oof, label, id, metric, measure) if scored else None)
 
 
-def _scores(each: DataFrame, oof: DataFrame, label: str, id: str, metric: Metric, measure: str) -> DataFrame:
+def fold_scores(
+    each: DataFrame, oof: DataFrame, label: str, id: str, metric: Metric = rank_score, measure: str = "rank_score"
+) -> DataFrame:
     """``(measure, repeat, fold, value)``: every fold, their mean and deviation, and all rows."""
     folds = metric(each, label, "prediction", id, ["repeat", "fold"])
     folds = materialize(folds.select("repeat", "fold", F.col(measure).alias("value")))
