@@ -80,6 +80,15 @@ def filled_id(docs: DataFrame, name: str) -> tuple[Column, Column]:
     return F.coalesce(docs[name], F.lit("0").cast(kind)), docs[name].isNotNull()
 
 
+def forget(family: str | None = None) -> None:
+    """Let go of the memos of this Python worker, but for those of ``family``. Tasks that remember nothing call it, as others' memos would stay."""
+    import sys
+
+    shelf = sys.__dict__.get("_riskloom_llm_memos", {})
+    for old in [x for x, held in shelf.items() if held.family != family]:
+        del shelf[old]
+
+
 def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES, family: str | None = None):
     """A memo of ``compute`` that tasks of one Python worker share and that never exceeds two generations.
 
@@ -105,8 +114,7 @@ def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES, family: str
 
     shelf = sys.__dict__.setdefault("_riskloom_llm_memos", {})
     if name not in shelf:
-        for old in [x for x, held in shelf.items() if held.family != (family or name)]:
-            del shelf[old]
+        forget(family or name)
         shelf[name] = Memo()
         shelf[name].old = {}
         shelf[name].compute = compute

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskloom.llm.common import memo, spread_join, written
+from riskloom.llm.common import forget, spread_join, written
 from riskloom.llm.components import components
 from riskloom.session import scratch
 
@@ -53,9 +53,11 @@ def gram_hashes(words: list[bytes], width: int, word_hash) -> np.ndarray:
 
 
 def hashing() -> Callable[[bytes], int]:
+    """The hash of a word. It is not remembered: a lookup takes longer than the hash, and a worker's memory would grow with its words."""
     import xxhash
 
-    return memo("xxh64", xxhash.xxh64_intdigest).__getitem__
+    forget()
+    return xxhash.xxh64_intdigest
 
 
 def digest_of(words: list[bytes], seed: int) -> bytes:

@@ -11,17 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.llm.common import filled_id, memo, once
+from riskloom.llm.common import filled_id, forget, once
 
 #: Rows that are packed together in one task; every group leaves at most one badly filled sequence behind.
 GROUP_ROWS = 4_000
 
-#: Entries of one generation of the memos of pieces and of their stems. Most different pieces are rare, so that few entries more save many encodings.
-PIECES = 600_000
-
-#: Punctuation that ends a token when it follows a letter or digit. (The apostrophe starts contractions.)
-TRAILING = ".,;:!?*%&#$)\""
-
 
 @dataclass(frozen=True)
 class Limits:
@@ -35,7 +29,7 @@ class Limits:
 def rank_encoder(path: str):
     """An encoder by merge ranks for the same byte-level vocabulary, or None if the file is not of that kind.
 
-    It encodes short texts in a fraction of the time. Ids are ranks where tokens are numbered in
+    It encodes texts in a fraction of the time. Ids are ranks where tokens are numbered in
     the order of their merges.
     """
     import json
@@ -64,12 +58,9 @@ def rank_encoder(path: str):
 def encoder(path: str):
     """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids, for a byte-level BPE file.
 
-    The pre-tokeniser always cuts before a single space that stands between two
-    other characters, and merges never cross its cuts. So a text is cut there and
-    the pieces, most of which repeat, are encoded once per Python worker.
+    Whole texts go through the encoder by ranks; texts that hold a special token's string, and files of another kind, go through the
+    library that the file belongs to. Nothing is remembered between texts, so a worker's memory does not grow with what it has read.
     """
-    import re
-
     from tokenizers import Tokenizer
 
     def load():
@@ -78,36 +69,17 @@ def encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return Tokenizer.from_file(path)
 
+    forget()
     tokenizer = once(f"tokenizer:{path}", load)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    inner_space = re.compile(r"(?<=\S) (?=\S)")
     by_rank = once(f"ranks:{path}", lambda: rank_encoder(path))
 
-    def ids(text: str) -> bytes:
-        found = tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(found, dtype="<u4").tobytes()
-
-    def short_ids(text: str) -> bytes:
-        return np.asarray(by_rank.encode_ordinary(text), dtype="<u4").tobytes() if by_rank else ids(text)
-
-    stems = memo(f"stems:{path}", short_ids, PIECES, path)
-    tails = memo(f"tails:{path}", short_ids, family=path)
-
-    def piece(text: str) -> bytes:
-        stem = text.rstrip(TRAILING)
-        if stem and len(stem) < len(text) and stem[-1].isalnum():
-            return stems[stem] + tails[text[len(stem) :]]
-        return stems[text]
-
-    pieces = memo(f"pieces:{path}", piece, PIECES, path)
-
     def encode(text: str) -> bytes:
-        if any(s in text for s in specials):
-            return ids(text)
-        first, *rest = text.split(" ")
-        if not all(rest) or any(x[0].isspace() or x[-1].isspace() for x in (first or "\n", *rest)):
-            first, *rest = inner_space.split(text)
-        return piece(first) + b"".join(map(pieces.__getitem__, [" " + x for x in rest])) if text else b""
+        if by_rank and not any(s in text for s in specials):
+            found = by_rank.encode_ordinary(text)
+        else:
+            found = tokenizer.encode(text, add_special_tokens=False).ids
+        return np.asarray(found, dtype="<u4").tobytes()
 
     return encode
 
