@@ -22,9 +22,15 @@ STRIPS = 128
 #: Parts whose overlaps are counted separately; each is a run of fragments.
 PARTS = 8
 
+#: Bits of a set's sketch, whole words of 64. A bit tells whether an odd number of the set's n-grams falls on it.
+SKETCH_BITS = 1024
+
 #: How many texts of a list meet all others of the list, by round. In the last round all that are still apart meet.
 HUBS = (1, 8, 32, None)
 
+#: After the first round, all of a list meet at once where that makes at most so many times the pairs that the round's hubs would make.
+FEW = 4
+
 #: Bits of the filter that keeps most texts without candidates out of the exchange (8 MB, whatever the table).
 FILTER_BITS = 1 << 26
 
@@ -75,6 +81,12 @@ def strips_of(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=STRIPS).astype(np.int32)
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """The set's sketch. Where two sketches differ, an n-gram that only one of the sets holds must have fallen."""
+    odd = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def beside(batch: pd.DataFrame, names: list[str], rows: list[tuple]) -> pd.DataFrame:
     """The batch with further columns. Whole numbers stay whole beside NULLs, which a plain frame would turn to doubles."""
     made = {}
@@ -90,13 +102,13 @@ def different_texts(
 ) -> tuple[int, DataFrame, DataFrame]:
     """Signed rows and one row per key, for the first seed that gives different digests different keys.
 
-    ``sign(seed)`` has ``key`` (NULL without words), ``digest``, ``doc_id``, ``n_shingles``, ``strips``, ``print``.
+    ``sign(seed)`` has ``key`` (NULL without words), ``digest``, ``doc_id``, ``n_shingles``, ``strips``, ``sketch``, ``print``.
     Keys are 64-bit hashes; raises if ``SEEDS`` draws do not separate all digests.
     """
     for seed in range(SEEDS):
         signed = written(sign(seed).withColumn("row", F.monotonically_increasing_id()), folder)
         nodes = signed.where("key is not null").groupBy("key").agg(
-            F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("strips").alias("strips"),
+            F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("strips").alias("strips"), F.first("sketch").alias("sketch"),
             F.min("print").alias("print"), F.min("digest").alias("digest"), F.max("digest").alias("last"),
             *[v.alias(c) for c, v in (also or {}).items()],
         )
@@ -117,6 +129,17 @@ def can_share(strips_a: str, strips_b: str) -> Column:
     return F.aggregate(smaller, F.lit(0), lambda total, x: total + x)
 
 
+def apart_at_least(sketch_a: str, sketch_b: str) -> Column:
+    """How many n-grams at least only one of two sets holds: every bit in which their sketches differ stands for another one."""
+    differing = F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differing, F.lit(0), lambda total, x: total + x)
+
+
+def reachable(need: Column, both: Column) -> Column:
+    """Whether two sets of ``both`` n-grams together may share ``need``, by their sketches, then by the sizes of their fragments."""
+    return F.when(apart_at_least("sketch_a", "sketch_b") > both - 2 * need, False).otherwise(can_share("strips_a", "strips_b") >= need)
+
+
 def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
     """(``key``, ``part``, ``grams``) of the texts whose prints the filter lets through, copies within a task once."""
     bits = dict(held)
@@ -146,8 +169,8 @@ def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
 def met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame:
     """Candidates (``a``, ``b``, ``need``) among ``rows``, the lists (``shingle``) whose keys are not all connected.
 
-    With ``hubs``, so many texts of every list, drawn by their keys, meet the others of it; else all do. Where rows carry the sizes of their
-    fragments (``strips``), these decide within the join. A pair is kept where its places (``at``) leave the similarity possible; ``up``
+    With ``hubs``, so many texts of every list, drawn by their keys, meet the others of it; else all do. Where rows carry their sketches and the sizes of their
+    fragments (``sketch``, ``strips``), these decide within the join. A pair is kept where its places (``at``) leave the similarity possible; ``up``
     marks the places at which a set meets those that are as large or larger.
     """
     names = [c for c in rows.columns if c != "shingle"]
@@ -164,7 +187,7 @@ def met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame
     possible = (F.col("root_a") != F.col("root_b")) & fits & (left_over >= need)
     possible = possible & (smaller & F.col("up_a") if hubs is None else F.when(smaller, F.col("up_a")).otherwise(F.col("up_b")))
     if "strips" in names:
-        possible = possible & (can_share("strips_a", "strips_b") >= need)
+        possible = possible & reachable(need, F.col("n_a") + F.col("n_b"))
     pairs = a.join(b, "shingle").where(possible)
     return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), need.alias("need")).distinct()
 
@@ -198,34 +221,42 @@ def linked(
     """Classes (``key``, ``root``, ``component_id``) and links (``a``, ``b``, ``overlap``) among keys that meet in the lists of ``shown``.
 
     In every list 1, then 8, then 32 of its keys meet those not yet connected to them; classes are renewed after each round. At last all
-    keys of a list that are still apart meet, where the sizes of their fragments allow the similarity. So a
+    keys of a list that are still apart meet, where their sketches and the sizes of their fragments allow the similarity. They do so
+    as soon as lists are so short that this makes few pairs more (``FEW``). So a
     large group of near copies is connected by the first rounds and costs a few pairs a key. ``likely`` may rule out pairs before
     their sets are counted. What is kept for the result lies in ``folder``, if given. ``shown``: (``shingle``, ``key``, ``n``, ``at``, ``up``); ``texts``: (``print``, ``text``).
     """
     links = nodes.sparkSession.createDataFrame([], "a long, b long, overlap long")
     found = nodes.sparkSession.createDataFrame([], "node long, root long")
-    sizes = nodes.select("key", "strips")
+    sizes = nodes.select("key", "n", "sketch", "strips")
     for turn, hubs in enumerate(HUBS):
         state = nodes.join(found.withColumnRenamed("node", "key"), "key", "left")
         # The first round has a pair a row at most; in all others the sizes are weighed before pairs leave the join.
-        state = state.select("key", F.coalesce("root", "key").alias("root"), *(["strips"] if turn else []))
+        state = state.select("key", F.coalesce("root", "key").alias("root"), *(["sketch", "strips"] if turn else []))
         placed = shown.join(state, "key")
         apart = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
         with scratch(nodes.sparkSession) as passing:
             apart = written(placed.join(apart.select("shingle"), "shingle", "left_semi"), passing)
-            if apart.isEmpty():
+            lists = apart.groupBy("shingle").agg(F.count("*").cast("double").alias("m"))
+            all_pairs, with_hubs = lists.agg(F.sum(F.col("m") * F.col("m") / 2), F.sum(F.least(F.col("m"), F.lit(float(hubs or 0))) * F.col("m"))).first()
+            if all_pairs is None:
                 break
+            if turn and hubs is not None and all_pairs <= FEW * with_hubs:
+                hubs = None
             pairs = written(met(apart, percent, hubs, turn), passing)
             if not turn:
-                sized = spread_join(pairs, sizes.toDF("a", "strips_a"), ["a"], ["b"])
-                sized = spread_join(sized, sizes.toDF("b", "strips_b"), ["b"], ["a"])
-                pairs = written(sized.where(can_share("strips_a", "strips_b") >= F.col("need")).select("a", "b", "need"), passing)
+                sized = spread_join(pairs, sizes.toDF("a", "n_a", "sketch_a", "strips_a"), ["a"], ["b"])
+                sized = spread_join(sized, sizes.toDF("b", "n_b", "sketch_b", "strips_b"), ["b"], ["a"])
+                pairs = written(sized.where(reachable(F.col("need"), F.col("n_a") + F.col("n_b"))).select("a", "b", "need"), passing)
             if likely is not None:
                 pairs = written(likely(pairs), passing)
-            if pairs.isEmpty():
-                continue
-            links = links.unionByName(written(verified(pairs, nodes, texts, width, seed, passing), folder))
-        found = components(links, "a", "b")
+            none = pairs.isEmpty()
+            if not none:
+                links = links.unionByName(written(verified(pairs, nodes, texts, width, seed, passing), folder))
+        if not none:
+            found = components(links, "a", "b")
+        if hubs is None:
+            break
 
     joined = nodes.select("key", "least_id").join(found.withColumnRenamed("node", "key"), "key", "left")
     joined = written(joined.withColumn("root", F.coalesce("root", "key")), folder)
