@@ -24,17 +24,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     change nothing. Raises if ``MAX_ROUNDS`` do not suffice.
     """
     with scratch(links.sparkSession) as folder:
-        edges = written(
-            links.where(F.col(a) != F.col(b))
-            .select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent"))
-            .distinct(),
-            folder,
-        )
+        edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent"))
         for _ in range(MAX_ROUNDS):
             both = edges.union(edges.select("parent", "child")).toDF("node", "other")
             least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
             large = both.where("other > node").join(least, "node").select(F.col("other").alias("child"), F.col("m").alias("parent"))
-            large = large.distinct()
             first = large.groupBy("child").agg(F.min("parent").alias("m"))
             small = large.join(first, "child")
             after = (
@@ -45,9 +39,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             )
             after = written(after, folder)
             # Done when every child has one parent and no parent is a child: the links are stars.
-            roles = after.select("child", F.lit(1).alias("of")).union(after.select("parent", F.lit(0)).distinct())
-            held = roles.groupBy("child").agg(F.sum("of").alias("parents"), F.count("*").alias("roles"))
-            if held.where("parents > 1 or roles > parents and parents > 0").isEmpty():
+            roles = after.select("child", F.lit(1).alias("of")).union(after.select("parent", F.lit(0)))
+            held = roles.groupBy("child").agg(F.sum("of").alias("parents"), F.min("of").alias("least"))
+            if held.where("parents > 1 or parents > 0 and least = 0").isEmpty():
                 tops = after.select("parent").distinct()
                 return written(after.toDF("node", "root").union(tops.select("parent", "parent")))
             edges = after

@@ -26,7 +26,7 @@ PARTS = 8
 SKETCH_BITS = 1024
 
 #: How many texts of a list meet all others of the list, by round. In the last round all that are still apart meet.
-HUBS = (1, 8, 32, None)
+HUBS = (1, 8, None)
 
 #: After the first round, all of a list meet at once where that makes at most so many times the pairs that the round's hubs would make.
 FEW = 4
@@ -102,13 +102,13 @@ def different_texts(
 ) -> tuple[int, DataFrame, DataFrame]:
     """Signed rows and one row per key, for the first seed that gives different digests different keys.
 
-    ``sign(seed)`` has ``key`` (NULL without words), ``digest``, ``doc_id``, ``n_shingles``, ``strips``, ``sketch``, ``print``.
+    ``sign(seed)`` has ``key`` (NULL without words), ``digest``, ``doc_id``, ``n_shingles``, ``sketch``, ``print``.
     Keys are 64-bit hashes; raises if ``SEEDS`` draws do not separate all digests.
     """
     for seed in range(SEEDS):
         signed = written(sign(seed).withColumn("row", F.monotonically_increasing_id()), folder)
         nodes = signed.where("key is not null").groupBy("key").agg(
-            F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("strips").alias("strips"), F.first("sketch").alias("sketch"),
+            F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
             F.min("print").alias("print"), F.min("digest").alias("digest"), F.max("digest").alias("last"),
             *[v.alias(c) for c, v in (also or {}).items()],
         )
@@ -123,21 +123,15 @@ def needed(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.floor(((n_a + n_b) * percent + (99 + percent)) / (100 + percent))
 
 
-def can_share(strips_a: str, strips_b: str) -> Column:
-    """What two sets share at most, by the sizes of their fragments."""
-    smaller = F.zip_with(strips_a, strips_b, lambda x, y: F.least(x, y))
-    return F.aggregate(smaller, F.lit(0), lambda total, x: total + x)
-
-
 def apart_at_least(sketch_a: str, sketch_b: str) -> Column:
     """How many n-grams at least only one of two sets holds: every bit in which their sketches differ stands for another one."""
-    differing = F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(differing, F.lit(0), lambda total, x: total + x)
+    differing = [F.bit_count(F.col(sketch_a)[i].bitwiseXOR(F.col(sketch_b)[i])) for i in range(SKETCH_BITS // 64)]
+    return sum(differing[1:], differing[0])
 
 
 def reachable(need: Column, both: Column) -> Column:
-    """Whether two sets of ``both`` n-grams together may share ``need``, by their sketches, then by the sizes of their fragments."""
-    return F.when(apart_at_least("sketch_a", "sketch_b") > both - 2 * need, False).otherwise(can_share("strips_a", "strips_b") >= need)
+    """Whether two sets of ``both`` n-grams together may share ``need``, by their sketches."""
+    return apart_at_least("sketch_a", "sketch_b") <= both - 2 * need
 
 
 def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
@@ -169,8 +163,8 @@ def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
 def met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame:
     """Candidates (``a``, ``b``, ``need``) among ``rows``, the lists (``shingle``) whose keys are not all connected.
 
-    With ``hubs``, so many texts of every list, drawn by their keys, meet the others of it; else all do. Where rows carry their sketches and the sizes of their
-    fragments (``sketch``, ``strips``), these decide within the join. A pair is kept where its places (``at``) leave the similarity possible; ``up``
+    With ``hubs``, so many texts of every list, drawn by their keys, meet the others of it; else all do. Where rows carry their sketches
+    (``sketch``), these decide within the join. A pair is kept where its places (``at``) leave the similarity possible; ``up``
     marks the places at which a set meets those that are as large or larger.
     """
     names = [c for c in rows.columns if c != "shingle"]
@@ -186,7 +180,7 @@ def met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame
     left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     possible = (F.col("root_a") != F.col("root_b")) & fits & (left_over >= need)
     possible = possible & (smaller & F.col("up_a") if hubs is None else F.when(smaller, F.col("up_a")).otherwise(F.col("up_b")))
-    if "strips" in names:
+    if "sketch" in names:
         possible = possible & reachable(need, F.col("n_a") + F.col("n_b"))
     pairs = a.join(b, "shingle").where(possible)
     return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), need.alias("need")).distinct()
@@ -199,10 +193,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, s
     bucket = F.bitmap_bucket_number(at).alias("bucket")
     held = nodes.select("key", "print").join(keys, "key").groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     held = [(r.bucket, bytes(r.bits)) for r in held]
+    # The filter lets few others through, which meet no pair.
     found = texts.mapInPandas(_parts(width, seed, held), "key long, part int, grams array<long>")
-    parts = written(found.join(keys, "key", "left_semi").groupBy("key", "part").agg(F.first("grams").alias("grams")), folder)
-    both = spread_join(pairs, parts.toDF("b", "part", "grams_b"), ["b"], ["a"])
-    both = spread_join(both, parts.toDF("a", "part", "grams_a"), ["a", "part"], ["b"])
+    parts = written(found.groupBy("key", "part").agg(F.first("grams").alias("grams")), folder)
+    both = pairs.join(parts.toDF("b", "part", "grams_b"), "b").join(parts.toDF("a", "part", "grams_a"), ["a", "part"])
     shares = both.select("a", "b", "need", F.size(F.array_intersect("grams_a", "grams_b")).alias("share"))
     summed = shares.groupBy("a", "b", "need").agg(F.sum("share").alias("overlap")).where("overlap >= need")
     return summed.select("a", "b", "overlap")
@@ -220,34 +214,39 @@ def linked(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes (``key``, ``root``, ``component_id``) and links (``a``, ``b``, ``overlap``) among keys that meet in the lists of ``shown``.
 
-    In every list 1, then 8, then 32 of its keys meet those not yet connected to them; classes are renewed after each round. At last all
-    keys of a list that are still apart meet, where their sketches and the sizes of their fragments allow the similarity. They do so
+    In every list 1, then 8 of its keys meet those not yet connected to them; classes are renewed after each round. At last all
+    keys of a list that are still apart meet, where their sketches allow the similarity. They do so
     as soon as lists are so short that this makes few pairs more (``FEW``). So a
     large group of near copies is connected by the first rounds and costs a few pairs a key. ``likely`` may rule out pairs before
     their sets are counted. What is kept for the result lies in ``folder``, if given. ``shown``: (``shingle``, ``key``, ``n``, ``at``, ``up``); ``texts``: (``print``, ``text``).
+
+    Lists are told apart by narrow rows; only what then meets carries its sketch. A key in very many pairs meets its sketch or set in a
+    merge join of two exchanged tables, which Spark can split.
     """
     links = nodes.sparkSession.createDataFrame([], "a long, b long, overlap long")
     found = nodes.sparkSession.createDataFrame([], "node long, root long")
-    sizes = nodes.select("key", "n", "sketch", "strips")
+    sketches = nodes.select("key", "sketch")
     for turn, hubs in enumerate(HUBS):
-        state = nodes.join(found.withColumnRenamed("node", "key"), "key", "left")
-        # The first round has a pair a row at most; in all others the sizes are weighed before pairs leave the join.
-        state = state.select("key", F.coalesce("root", "key").alias("root"), *(["sketch", "strips"] if turn else []))
-        placed = shown.join(state, "key")
-        apart = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
         with scratch(nodes.sparkSession) as passing:
-            apart = written(placed.join(apart.select("shingle"), "shingle", "left_semi"), passing)
-            lists = apart.groupBy("shingle").agg(F.count("*").cast("double").alias("m"))
-            all_pairs, with_hubs = lists.agg(F.sum(F.col("m") * F.col("m") / 2), F.sum(F.least(F.col("m"), F.lit(float(hubs or 0))) * F.col("m"))).first()
-            if all_pairs is None:
-                break
-            if turn and hubs is not None and all_pairs <= FEW * with_hubs:
-                hubs = None
-            pairs = written(met(apart, percent, hubs, turn), passing)
             if not turn:
-                sized = spread_join(pairs, sizes.toDF("a", "n_a", "sketch_a", "strips_a"), ["a"], ["b"])
-                sized = spread_join(sized, sizes.toDF("b", "n_b", "sketch_b", "strips_b"), ["b"], ["a"])
-                pairs = written(sized.where(reachable(F.col("need"), F.col("n_a") + F.col("n_b"))).select("a", "b", "need"), passing)
+                # A pair a row at most, with the sketches of the different pairs only.
+                pairs = written(met(shown.withColumn("root", F.col("key")), percent, hubs, turn), passing)
+                sizes = nodes.select("key", "n", "sketch")
+                sized = pairs.join(sizes.toDF("a", "n_a", "sketch_a"), "a").join(sizes.toDF("b", "n_b", "sketch_b"), "b")
+                pairs = sized.where(reachable(F.col("need"), F.col("n_a") + F.col("n_b"))).select("a", "b", "need")
+            else:
+                placed = shown.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+                lists = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").cast("double").alias("m"))
+                lists = written(lists.where("lo != hi"), passing)
+                m = F.col("m")
+                all_pairs, with_hubs = lists.agg(F.sum(m * m / 2), F.sum(F.least(m, F.lit(float(hubs or 0))) * m)).first()
+                if all_pairs is None:
+                    break
+                if hubs is not None and all_pairs <= FEW * with_hubs:
+                    hubs = None
+                apart = placed.join(lists.select("shingle"), "shingle", "left_semi").join(sketches, "key")
+                pairs = met(written(apart, passing), percent, hubs, turn)
+            pairs = written(pairs, passing)
             if likely is not None:
                 pairs = written(likely(pairs), passing)
             none = pairs.isEmpty()

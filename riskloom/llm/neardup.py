@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.common import WORD, filled_id, once, spread_join, written
-from riskloom.llm.linking import beside, different_texts, digest_of, gram_hashes, hashing, key_of, linked, sketch_of, strips_of, words_of
+from riskloom.llm.linking import beside, different_texts, digest_of, gram_hashes, hashing, key_of, linked, sketch_of, words_of
 from riskloom.session import scratch
 
 SHINGLE = 5
@@ -67,7 +67,7 @@ def minima(hashes: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _signed(bands: int, seed: int):
-    """Per text: key and digest of its words, the size of its set of shingles, the sizes of its fragments, its sketch and its signature.
+    """Per text: key and digest of its words, the size of its set of shingles, its sketch and its signature.
 
     Of copies within a task only the first carries a signature.
     """
@@ -80,16 +80,16 @@ def _signed(bands: int, seed: int):
             for text in batch["text"]:
                 words = words_of(text)
                 if not words:
-                    out.append((None, None, 0, None, None, None))
+                    out.append((None, None, 0, None, None))
                     continue
                 hashes = gram_hashes(words, SHINGLE, word_hash)
                 digest, signature = digest_of(words, seed), None
                 if digest not in seen:
                     seen.add(digest)
                     signature = minima(hashes, bands).astype("<u4").tobytes()
-                out.append((key_of(digest), digest, len(hashes), strips_of(hashes), sketch_of(hashes), signature))
+                out.append((key_of(digest), digest, len(hashes), sketch_of(hashes), signature))
             batch = batch.drop(columns="text")
-            yield beside(batch, ["key", "digest", "n_shingles", "strips", "sketch", "signature"], out)
+            yield beside(batch, ["key", "digest", "n_shingles", "sketch", "signature"], out)
 
     return run
 
@@ -146,9 +146,9 @@ def near_duplicates(
     for each group), ``component_id`` (smallest doc_id of the group, NULL if none has an id).
 
     1. Equal word sequences are one node, however many copies there are.
-    2. Nodes that share a band are candidates. They meet in rounds (``linking.linked``): in a bucket 1, then 8, then 32
+    2. Nodes that share a band are candidates. They meet in rounds (``linking.linked``): in a bucket 1, then 8
        nodes meet those not connected to them yet, at last all that are still apart. So a large group of near
-       copies costs a few pairs a member and bucket. What their sets' sketches and the sizes of their fragments rule out goes first, which loses no link.
+       copies costs a few pairs a member and bucket. What their sets' sketches rule out goes first, which loses no link.
     3. Candidates are pruned by comparing signatures in batches (posterior below ``MISS``),
        and the survivors are confirmed on their full sets of shingles.
 
@@ -164,7 +164,7 @@ def near_duplicates(
     print = F.xxhash64(text).alias("print")
     digest = F.unhex(F.md5(text.cast("binary"))).alias("text_key")
     rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), digest, print, text.alias("text"))
-    schema = f"doc_id {kind}, has_id boolean, text_key binary, print long, key long, digest binary, n_shingles long, strips array<int>, sketch array<long>, signature binary"
+    schema = f"doc_id {kind}, has_id boolean, text_key binary, print long, key long, digest binary, n_shingles long, sketch array<long>, signature binary"
 
     def sign(seed: int) -> DataFrame:
         signed = rows.mapInPandas(_signed(n_bands, seed), schema)
@@ -181,8 +181,7 @@ def near_duplicates(
     signatures = nodes.select("key", "signature")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        both = spread_join(pairs, signatures.toDF("a", "sig_a"), ["a"], ["b"])
-        both = spread_join(both, signatures.toDF("b", "sig_b"), ["b"], ["a"])
+        both = pairs.join(signatures.toDF("a", "sig_a"), "a").join(signatures.toDF("b", "sig_b"), "b")
         return both.mapInPandas(_prune(percent / 100, n_bands), "a long, b long, need long")
 
     classes, _links = linked(nodes, shown, docs.select(print, text.alias("text")), SHINGLE, percent, seed, likely, folder)

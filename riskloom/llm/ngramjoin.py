@@ -3,8 +3,7 @@
 All n-grams have one global order, cut into ``STRIPS`` fragments by the leading bits of their
 hashes. The first ``COUNTED`` fragments are ordered by how many texts hold
 an n-gram, rarest first; the others follow by hash. Two sets that reach the
-similarity share one of the first n-grams of either, which makes the candidates. The sketches of two sets and the sizes of their
-fragments bound what they can share; for the pairs left, the overlap of each part of the order is counted separately
+similarity share one of the first n-grams of either, which makes the candidates. The sketches of two sets bound what they can share; for the pairs left, the overlap of each part of the order is counted separately
 and summed per pair.
 """
 
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskloom.llm.common import filled_id, spread_join, written
-from riskloom.llm.linking import STRIPS, beside, different_texts, digest_of, gram_hashes, hashing, key_of, linked, needed, sketch_of, strips_of, words_of
+from riskloom.llm.linking import beside, different_texts, digest_of, gram_hashes, hashing, key_of, linked, needed, sketch_of, strips_of, words_of
 from riskloom.session import shuffle_partitions
 
 #: Fragments of the order that are ordered by frequency, and the hash at which the others begin.
@@ -34,7 +33,7 @@ def first_grams(n: int, percent: int) -> int:
 
 
 def _signed(width: int, seed: int, percent: int):
-    """Per text: key and digest of its word sequence, its number of n-grams, their number in each fragment, its sketch, and the
+    """Per text: key and digest of its word sequence, its number of n-grams, their number in the counted fragments, its sketch, and the
     n-grams of the counted fragments with what is missing to those it must show. Of copies within a task only the first shows any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,14 +47,14 @@ def _signed(width: int, seed: int, percent: int):
                     out.append((None, None, 0, None, None, None))
                     continue
                 hashes = gram_hashes(words, width, word_hash)
-                strips = strips_of(hashes)
+                counted = int(strips_of(hashes)[:COUNTED].sum())
                 digest, shown = digest_of(words, seed), None
                 if digest not in seen:
                     seen.add(digest)
-                    shown = hashes[: max(int(strips[:COUNTED].sum()), first_grams(len(hashes), percent))].view(np.int64)
-                out.append((key_of(digest), digest, len(hashes), strips, sketch_of(hashes), shown))
+                    shown = hashes[: max(counted, first_grams(len(hashes), percent))].view(np.int64)
+                out.append((key_of(digest), digest, len(hashes), counted, sketch_of(hashes), shown))
             batch = batch.drop(columns="text")
-            yield beside(batch, ["key", "digest", "n_shingles", "strips", "sketch", "shown"], out)
+            yield beside(batch, ["key", "digest", "n_shingles", "counted", "sketch", "shown"], out)
 
     return run
 
@@ -133,14 +132,13 @@ def ngram_join(
     kind = docs.schema[id_column].dataType.simpleString()
     print = F.xxhash64(text).alias("print")
     rows = docs.select(doc_id.alias("doc_id"), has_id.alias("has_id"), print, text.alias("text"))
-    schema = f"doc_id {kind}, has_id boolean, print long, key long, digest binary, n_shingles long, strips array<int>, sketch array<long>, shown array<long>"
+    schema = f"doc_id {kind}, has_id boolean, print long, key long, digest binary, n_shingles long, counted int, sketch array<long>, shown array<long>"
 
     def sign(seed: int) -> DataFrame:
         signed = rows.mapInPandas(_signed(width, seed, percent), schema)
         return signed.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
 
-    counted = F.aggregate(F.slice(F.first("strips"), 1, COUNTED), F.lit(0), lambda total, x: total + x)
-    seed, signed, nodes = different_texts(sign, {"counted": counted})
+    seed, signed, nodes = different_texts(sign, {"counted": F.min("counted")})
     hot = _hot_grams(signed, signed.count())
     shown = written(_prefixes(_counted(signed.select(F.explode("shown").alias("shingle"), "key"), hot), nodes, percent))
     classes, links = linked(nodes, shown, docs.select(print, text.alias("text")), width, percent, seed)
