@@ -29,7 +29,7 @@ SKETCH_BITS = 1024
 HUBS = (1, 8, None)
 
 #: After the first round, all of a list meet at once where that makes at most so many times the pairs that the round's hubs would make.
-FEW = 4
+FEW = 16
 
 #: Bits of the filter that keeps most texts without candidates out of the exchange (8 MB, whatever the table).
 FILTER_BITS = 1 << 26
