@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import filled_id, memo, once, written
+from riskloom.llm.common import filled_id, forget, once, written
 
 #: A pre-token is frequent if it is known to hold this share of all occurrences, so at most 1/share of them are.
 FREQUENT_SHARE = 1 / 700_000
@@ -21,10 +22,10 @@ FREQUENT_SHARE = 1 / 700_000
 #: Longer pre-tokens never count as frequent; together both bound what is broadcast.
 FREQUENT_BYTES = 64
 
-#: Distinct pre-tokens a task holds before it hands its counts on.
+#: Distinct pre-tokens a task holds before it hands its counts or its pack on.
 HELD = 1_000_000
 
-#: Documents, and rare pre-tokens in them, that a task packs together. A document's place in its pack fits 16 bits.
+#: A pack is full with so many documents, or so many rare runs in them; it takes whole batches.
 PACK_DOCS = 60_000
 PACK_ENTRIES = 500_000
 
@@ -166,15 +167,79 @@ def _wide(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"<u{packed[:1].decode()}", offset=1).astype("int64")
 
 
+class _Numbers(dict):
+    """Numbers from 0 on for what is looked up, in the order of its first lookup."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class _Pack:
-    """Documents of a task with what is known of them, and the rare runs in them."""
+    """Documents of a task with what is known of them, and the rare runs in them.
+
+    Each different pre-token is cut and looked up once a pack; what it gives is added up for all documents of a batch at once.
+    """
 
     def __init__(self, number: int):
         self.number = number
         self.ids, self.has_ids, self.sizes, self.known = [], [], [], []
-        self.names: dict[str, int] = {}
-        self.name, self.at, self.freq = [], [], []
+        self.names = _Numbers()
+        self.name, self.at, self.freq, self.entries = [], [], [], 0
         self.digest = hashlib.blake2b(digest_size=16)
+        self.tokens = _Numbers()
+        # By pre-token: pieces of its frequent runs, where its rare ones begin in ``rare``, and how many these are.
+        self.pieces, self.start, self.rares = (np.empty(0, "int64") for _ in range(3))
+        self.rare = np.empty(0, "int64")
+
+    def learn(self, head: dict[str, int], cut: Callable[[str], list[str]]) -> None:
+        """Look up the pre-tokens that came since the last time."""
+        pieces, rares, rare = [], [], []
+        for token in islice(self.tokens, len(self.pieces), None):
+            whole = head.get(token)
+            if whole is not None:
+                pieces.append(whole)
+                rares.append(0)
+                continue
+            known = unknown = 0
+            for run in cut(token):
+                if (n := head.get(run)) is None:
+                    unknown += 1
+                    rare.append(self.names[run])
+                else:
+                    known += n
+            pieces.append(known)
+            rares.append(unknown)
+        count = np.array(rares, "int64")
+        self.start = np.concatenate([self.start, len(self.rare) + np.cumsum(count) - count])
+        self.pieces, self.rares = np.concatenate([self.pieces, np.array(pieces, "int64")]), np.concatenate([self.rares, count])
+        self.rare = np.concatenate([self.rare, np.array(rare, "int64")])
+
+    def add(self, ids: list, has_ids: list[bool], texts: list[str], head: dict[str, int], cut: Callable[[str], list[str]]) -> None:
+        first = len(self.ids)
+        cuts = [pre_tokens(text) for text in texts]
+        lengths = np.fromiter(map(len, cuts), "int64", len(cuts))
+        tokens = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(cuts)), "int64", int(lengths.sum()))
+        self.learn(head, cut)
+        ends = np.cumsum(lengths)
+        total = np.concatenate([[0], np.cumsum(self.pieces[tokens])])
+        self.known.append(total[ends] - total[ends - lengths])
+        among = self.rares[tokens] > 0
+        place, freq = np.unique(np.repeat(np.arange(len(cuts)), lengths)[among] * len(self.tokens) + tokens[among], return_counts=True)
+        place, token = np.divmod(place, max(len(self.tokens), 1))
+        count = self.rares[token]
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        self.name.append(self.rare[np.repeat(self.start[token], count) + within])
+        self.at.append(np.repeat(place, count) + first)
+        self.freq.append(np.repeat(freq, count))
+        self.entries += len(within)
+        for number, own, text in zip(ids, has_ids, texts, strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            self.digest.update(f"{own}:{number}:{len(data)}:".encode("utf-8", "surrogatepass"))
+            self.digest.update(data)
+            self.sizes.append(len(data))
+        self.ids += ids
+        self.has_ids += has_ids
 
     def rows(self, buckets: int) -> pd.DataFrame:
         """One row a bucket with its runs, and one with the documents."""
@@ -185,9 +250,9 @@ class _Pack:
         by_bucket = np.argsort(bucket, kind="stable")
         place = np.empty(len(names), "int64")
         place[by_bucket] = np.arange(len(names))
-        entry = place[np.array(self.name, "int64")]
+        entry = place[np.concatenate(self.name)]
         order = np.argsort(entry, kind="stable")
-        entry, at, freq = entry[order], np.array(self.at, "int64")[order], np.array(self.freq, "int64")[order]
+        entry, at, freq = entry[order], np.concatenate(self.at)[order], np.concatenate(self.freq)[order]
         found, starts = np.unique(bucket[by_bucket], return_index=True)
         ends = np.append(starts[1:], len(names))[: len(starts)]
         rows = []
@@ -197,7 +262,7 @@ class _Pack:
             runs = "▁▁".join(names[k] for k in by_bucket[i:j])
             rows.append((b, key, runs, _narrow(uses), _narrow(at[lo:hi]), _narrow(freq[lo:hi]), 1, None, None, None))
         own = (self.ids, _narrow(np.array(self.sizes, "int64")), np.array(self.has_ids, bool).tobytes())
-        rows.append((-1 - crc32(key) % 100_000, key, None, None, None, _narrow(np.array(self.known, "int64")), -len(rows), *own))
+        rows.append((-1 - crc32(key) % 100_000, key, None, None, None, _narrow(np.concatenate(self.known)), -len(rows), *own))
         return pd.DataFrame(rows, columns=["bucket", "pack", "runs", "uses", "at", "n", "parts", "ids", "sizes", "has_ids"])
 
 
@@ -210,7 +275,7 @@ def token_counts(
     model joins them), and documents meet these counts by it: the frequent ones, whose number and length are bounded
     whatever the input, through a broadcast dictionary; all others where their per-document frequencies have been brought
     together by bucket. There, none can be a hot key, as each holds less than twice the share. A task packs the rare runs of
-    many documents into one row a bucket, in which a document is its place in the pack; the sums return to the pack's own row,
+    many documents, whose different pre-tokens it looks up once, into one row a bucket, in which a document is its place in the pack; the sums return to the pack's own row,
     which holds the ids. So documents need no identity of their own, and token ids are never kept.
 
     A pack is named by task, number and a digest of its rows. If ``docs`` gives its rows in another order when a lost task runs
@@ -227,35 +292,14 @@ def token_counts(
     buckets = total // BUCKET_TOKENS + 1
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         head, cut = known.value, _cutter(model)
-
-        def parted(token: str) -> tuple[int, list[str]]:
-            runs = cut(token)
-            return sum(head.get(r, 0) for r in runs), [r for r in runs if r not in head]
-
-        # What a token gives depends on this task's dictionary, so the memo lasts as long as the task.
-        parts = memo(f"runs:{id(head)}:{id(parted)}", parted, 100_000, "runs")
         pack = _Pack(0)
         for batch in batches:
-            for number, own, text in zip(batch["doc_id"].tolist(), batch["has_id"].tolist(), batch["text"], strict=True):
-                mine, place = 0, len(pack.ids)
-                for token, n in Counter(pre_tokens(text)).items():
-                    pieces, rare = parts[token]
-                    mine += n * pieces
-                    for run in rare:
-                        pack.name.append(pack.names.setdefault(run, len(pack.names)))
-                        pack.at.append(place)
-                        pack.freq.append(n)
-                data = text.encode("utf-8", "surrogatepass")
-                pack.digest.update(f"{own}:{number}:{len(data)}:".encode("utf-8", "surrogatepass"))
-                pack.digest.update(data)
-                pack.ids.append(number)
-                pack.has_ids.append(own)
-                pack.sizes.append(len(data))
-                pack.known.append(mine)
-                if len(pack.ids) >= PACK_DOCS or len(pack.name) >= pack_entries:
-                    yield pack.rows(buckets)
-                    pack = _Pack(pack.number + 1)
+            pack.add(batch["doc_id"].tolist(), batch["has_id"].tolist(), batch["text"].tolist(), head, cut)
+            if len(pack.ids) >= PACK_DOCS or pack.entries >= pack_entries or len(pack.tokens) >= HELD:
+                yield pack.rows(buckets)
+                pack = _Pack(pack.number + 1)
         if pack.ids:
             yield pack.rows(buckets)
 
@@ -277,9 +321,10 @@ def token_counts(
                 pieces.update(zip(new, count(new), strict=True))
                 each = np.repeat(np.fromiter((pieces[r] for r in names), "int64", len(names)), _wide(uses))
                 places, where = np.unique(_wide(at), return_inverse=True)
-                sums = np.zeros(len(places), "int64")
-                np.add.at(sums, where, each * _wide(n))
-                found.append((_narrow(places), _narrow(sums)))
+                order = np.argsort(where, kind="stable")
+                total = np.concatenate([[0], np.cumsum((each * _wide(n))[order])])
+                ends = np.cumsum(np.bincount(where, minlength=len(places)))
+                found.append((_narrow(places), _narrow(np.diff(total[np.concatenate([[0], ends])]))))
             yield batch[["pack", "parts", "ids", "sizes", "has_ids"]].assign(at=[a for a, _ in found], n=[n for _, n in found])
 
     def gathered(group: pd.DataFrame) -> pd.DataFrame:
