@@ -80,13 +80,25 @@ def filled_id(docs: DataFrame, name: str) -> tuple[Column, Column]:
     return F.coalesce(docs[name], F.lit("0").cast(kind)), docs[name].isNotNull()
 
 
-def forget(family: str | None = None) -> None:
-    """Let go of the memos of this Python worker, but for those of ``family``. Tasks that remember nothing call it, as others' memos would stay."""
+def forget(family: str | None = None, objects: bool = False) -> None:
+    """Let go of the memos of this Python worker, but for those of ``family``, with ``objects`` of what it loaded (``once``), and hand
+    memory that is free back to the system.
+
+    Tasks that remember nothing call it, as others' memos would stay. Workers outlive a stage, and what its tasks have freed would add to what the next one needs.
+    """
+    import ctypes
     import sys
 
+    import pyarrow
+
     shelf = sys.__dict__.get("_riskloom_llm_memos", {})
     for old in [x for x, held in shelf.items() if held.family != family]:
         del shelf[old]
+    if objects:
+        sys.__dict__.get("_riskloom_llm_objects", {}).clear()
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def memo(name: str, compute: Callable, entries: int = MEMO_ENTRIES, family: str | None = None):

@@ -26,6 +26,14 @@ class Limits:
     loss_tokens: int = 1024
 
 
+def special_strings(path: str) -> list[str]:
+    """The strings of the added tokens of a tokenizer's file."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        return [t["content"] for t in json.load(file).get("added_tokens") or []]
+
+
 def rank_encoder(path: str):
     """An encoder by merge ranks for the same byte-level vocabulary, or None if the file is not of that kind.
 
@@ -59,26 +67,26 @@ def encoder(path: str):
     """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids, for a byte-level BPE file.
 
     Whole texts go through the encoder by ranks; texts that hold a special token's string, and files of another kind, go through the
-    library that the file belongs to. Nothing is remembered between texts, so a worker's memory does not grow with what it has read.
+    library that the file belongs to, which is loaded for the first of them. Nothing is remembered between texts, so a worker's memory does not grow with what it has read.
     """
-    from tokenizers import Tokenizer
 
     def load():
         import os
 
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return Tokenizer.from_file(path)
 
     forget()
-    tokenizer = once(f"tokenizer:{path}", load)
-    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     by_rank = once(f"ranks:{path}", lambda: rank_encoder(path))
+    specials = once(f"specials:{path}", lambda: special_strings(path)) if by_rank else []
 
     def encode(text: str) -> bytes:
         if by_rank and not any(s in text for s in specials):
             found = by_rank.encode_ordinary(text)
         else:
-            found = tokenizer.encode(text, add_special_tokens=False).ids
+            found = once(f"tokenizer:{path}", load).encode(text, add_special_tokens=False).ids
         return np.asarray(found, dtype="<u4").tobytes()
 
     return encode
@@ -175,6 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     grouped = encoded.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "has_id", "doc_tokens", "mark", "copy"), F.lit(groups)))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
+        forget(objects=True)  # the vocabulary, which the tasks before have loaded
         group = group.sort_values(["doc_tokens", "doc_id", "has_id", "mark", "copy"], kind="stable").reset_index(drop=True)
         number = int(group["pack_group"].iloc[0])
         total, ids = group["doc_tokens"].to_numpy(dtype="int64"), group["ids"].tolist()
