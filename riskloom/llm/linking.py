@@ -22,9 +22,20 @@ STRIPS = 128
 #: Parts whose overlaps are counted separately; each is a run of fragments.
 PARTS = 8
 
+#: Sets that need to share at most so many n-grams are counted in one part.
+WHOLE = 4096
+
 #: Bits of a set's sketch, whole words of 64. A bit tells whether an odd number of the set's n-grams falls on it.
 SKETCH_BITS = 1024
 
+#: How many of its first lists a set carries behind its sketch in the last round, by which two sets meet once, not in every list they share.
+LEAD = 16
+
+#: In the last round so often a pair or two of every text go first, where there are more than ``MANY_PAIRS`` pairs and ``MANY`` a text.
+TRIES = 2
+MANY = 4
+MANY_PAIRS = 10_000
+
 #: How many texts of a list meet all others of the list, by round. In the last round all that are still apart meet.
 HUBS = (1, 8, None)
 
@@ -134,8 +145,11 @@ def reachable(need: Column, both: Column) -> Column:
     return apart_at_least("sketch_a", "sketch_b") <= both - 2 * need
 
 
-def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
-    """(``key``, ``part``, ``grams``) of the texts whose prints the filter lets through, copies within a task once."""
+def _parts(width: int, seed: int, held: list[tuple[int, bytes]], percent: int = 0):
+    """(``key``, ``parts``, ``part``, ``grams``) of the texts whose prints the filter lets through, copies within a task once.
+
+    A set is cut into 1 or ``PARTS`` parts, or both ways, if pairs of either kind may hold it (they need between ``percent`` and 100 % of its size).
+    """
     bits = dict(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,10 +166,13 @@ def _parts(width: int, seed: int, held: list[tuple[int, bytes]]):
                     continue
                 seen.add(digest)
                 hashes = gram_hashes(words, width, word_hash)
-                edges = np.searchsorted(hashes >> np.uint64(57), np.arange(1, PARTS, dtype=np.uint64) * np.uint64(STRIPS // PARTS))
-                out += [(key_of(digest), i, part.view(np.int64)) for i, part in enumerate(np.split(hashes, edges))]
+                if 100 * WHOLE >= percent * len(hashes):
+                    out.append((key_of(digest), 1, 0, hashes.view(np.int64)))
+                if len(hashes) > WHOLE:
+                    edges = np.searchsorted(hashes >> np.uint64(57), np.arange(1, PARTS, dtype=np.uint64) * np.uint64(STRIPS // PARTS))
+                    out += [(key_of(digest), PARTS, i, part.view(np.int64)) for i, part in enumerate(np.split(hashes, edges))]
             if out:
-                yield pd.DataFrame(out, columns=["key", "part", "grams"])
+                yield pd.DataFrame(out, columns=["key", "parts", "part", "grams"])
 
     return run
 
@@ -164,7 +181,8 @@ def met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame
     """Candidates (``a``, ``b``, ``need``) among ``rows``, the lists (``shingle``) whose keys are not all connected.
 
     With ``hubs``, so many texts of every list, drawn by their keys, meet the others of it; else all do. Where rows carry their sketches
-    (``sketch``), these decide within the join. A pair is kept where its places (``at``) leave the similarity possible; ``up``
+    (``sketch``), these decide within the join, and where all meet, two sets do so in the first list they share, if
+    it is among the first ``LEAD`` of both, which follow the sketch. A pair is kept where its places (``at``) leave the similarity possible; ``up``
     marks the places at which a set meets those that are as large or larger.
     """
     names = [c for c in rows.columns if c != "shingle"]
@@ -182,26 +200,58 @@ def met(rows: DataFrame, percent: int, hubs: int | None, turn: int) -> DataFrame
     possible = possible & (smaller & F.col("up_a") if hubs is None else F.when(smaller, F.col("up_a")).otherwise(F.col("up_b")))
     if "sketch" in names:
         possible = possible & reachable(need, F.col("n_a") + F.col("n_b"))
+        if hubs is None:
+            # Both carry the lists in one order, so the first in both is the first of all they share; there the places decide for the pair.
+            lead_a, lead_b = (F.slice(c, SKETCH_BITS // 64 + 1, LEAD) for c in ("sketch_a", "sketch_b"))
+            possible = possible & F.coalesce(F.get(F.array_intersect(lead_a, lead_b), F.lit(0)) == F.col("shingle"), F.lit(True))
     pairs = a.join(b, "shingle").where(possible)
     return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), need.alias("need")).distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, seed: int, folder: str) -> DataFrame:
-    """The pairs (``a``, ``b``, ``overlap``) whose full sets share what they need: overlaps counted part by part and summed."""
+def with_leads(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``rows`` (as ``met`` takes them) with ``sketch``, the sets' sketches and behind them the first ``LEAD`` of their lists by place and number."""
+    own = rows.groupBy("key").agg(
+        F.min("n").alias("n"), F.min("root").alias("root"), F.sort_array(F.collect_list(F.struct("at", "shingle", "up"))).alias("shows")
+    )
+    carried = F.concat("sketch", F.slice("shows", 1, LEAD)["shingle"]).alias("sketch")
+    each = own.join(sketches, "key").select("key", "n", "root", carried, F.explode("shows").alias("shown"))
+    return each.select("key", "shown.shingle", "n", "shown.at", "shown.up", "root", "sketch")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, seed: int, folder: str) -> DataFrame:
+    """The pairs (``a``, ``b``, ``overlap``) whose full sets share what they need: overlaps of long ones are counted part by part and summed."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     at = F.pmod("print", F.lit(FILTER_BITS)) + 1
     bucket = F.bitmap_bucket_number(at).alias("bucket")
     held = nodes.select("key", "print").join(keys, "key").groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     held = [(r.bucket, bytes(r.bits)) for r in held]
     # The filter lets few others through, which meet no pair.
-    found = texts.mapInPandas(_parts(width, seed, held), "key long, part int, grams array<long>")
-    parts = written(found.groupBy("key", "part").agg(F.first("grams").alias("grams")), folder)
-    both = pairs.join(parts.toDF("b", "part", "grams_b"), "b").join(parts.toDF("a", "part", "grams_a"), ["a", "part"])
+    found = texts.mapInPandas(_parts(width, seed, held, percent), "key long, parts int, part int, grams array<long>")
+    parts = written(found.groupBy("key", "parts", "part").agg(F.first("grams").alias("grams")), folder)
+    cut = pairs.withColumn("parts", F.when(F.col("need") <= WHOLE, 1).otherwise(PARTS))
+    both = cut.join(parts.toDF("b", "parts", "part", "grams_b"), ["b", "parts"])
+    both = both.join(parts.toDF("a", "parts", "part", "grams_a"), ["a", "parts", "part"])
     shares = both.select("a", "b", "need", F.size(F.array_intersect("grams_a", "grams_b")).alias("share"))
     summed = shares.groupBy("a", "b", "need").agg(F.sum("share").alias("overlap")).where("overlap >= need")
     return summed.select("a", "b", "overlap")
 
 
+def joined_classes(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (``node``, ``root``) after new ``links``, of which only those between classes are looked at."""
+    of = lambda end: found.withColumnsRenamed({"node": end, "root": f"root_{end}"})
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    moved = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), "a", "b")
+    kept = found.join(moved.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return kept.union(moved.join(found, "node", "left_anti"))
+
+
+def one_of_each_text(pairs: DataFrame) -> DataFrame:
+    """A pair of every text that has one, at most two a text, whatever their number."""
+    other = lambda c: F.min(F.struct(F.xxhash64("a", "b").alias("draw"), F.col(c), F.col("need"))).alias("x")
+    first = pairs.groupBy("a").agg(other("b")).select("a", "x.b", "x.need")
+    return first.union(pairs.groupBy("b").agg(other("a")).select("x.a", "b", "x.need")).distinct()
+
+
 def linked(
     nodes: DataFrame,
     shown: DataFrame,
@@ -217,7 +267,8 @@ def linked(
     In every list 1, then 8 of its keys meet those not yet connected to them; classes are renewed after each round. At last all
     keys of a list that are still apart meet, where their sketches allow the similarity. They do so
     as soon as lists are so short that this makes few pairs more (``FEW``). So a
-    large group of near copies is connected by the first rounds and costs a few pairs a key. ``likely`` may rule out pairs before
+    large group of near copies is connected by the first rounds and costs a few pairs a key. Should very many pairs be left in the last
+    round, a pair or two of every text are compared first, and those that this connects no more. ``likely`` may rule out pairs before
     their sets are counted. What is kept for the result lies in ``folder``, if given. ``shown``: (``shingle``, ``key``, ``n``, ``at``, ``up``); ``texts``: (``print``, ``text``).
 
     Lists are told apart by narrow rows; only what then meets carries its sketch. A key in very many pairs meets its sketch or set in a
@@ -244,16 +295,27 @@ def linked(
                     break
                 if hubs is not None and all_pairs <= FEW * with_hubs:
                     hubs = None
-                apart = placed.join(lists.select("shingle"), "shingle", "left_semi").join(sketches, "key")
+                apart = placed.join(lists.select("shingle"), "shingle", "left_semi")
+                apart = with_leads(apart, sketches) if hubs is None else apart.join(sketches, "key")
                 pairs = met(written(apart, passing), percent, hubs, turn)
             pairs = written(pairs, passing)
             if likely is not None:
                 pairs = written(likely(pairs), passing)
-            none = pairs.isEmpty()
-            if not none:
-                links = links.unionByName(written(verified(pairs, nodes, texts, width, seed, passing), folder))
-        if not none:
-            found = components(links, "a", "b")
+            for tries in range(TRIES + 1):
+                n, batch = pairs.count(), pairs
+                if not n:
+                    break
+                if hubs is None and tries < TRIES and n > MANY_PAIRS and n > MANY * pairs.select(F.explode(F.array("a", "b"))).distinct().count():
+                    batch = written(one_of_each_text(pairs), passing)
+                fresh = written(verified(batch, nodes, texts, width, percent, seed, passing), folder)
+                links = links.unionByName(fresh)
+                found = written(joined_classes(found, fresh), folder)
+                if batch is pairs:
+                    break
+                root = lambda end: found.withColumnsRenamed({"node": end, "root": f"root_{end}"})
+                rest = pairs.join(batch, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+                rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+                pairs = written(rest.select("a", "b", "need"), passing)
         if hubs is None:
             break
 
